@@ -147,14 +147,91 @@ FROM docs GROUP BY 1 HAVING count(*) > 1""",
 WITH {DOCS} SELECT relative_path, {lines('content')} AS line_count FROM docs ORDER BY 2 DESC, 1 LIMIT 20""",
     "guess_package": f"""
 WITH {CODE} SELECT relative_path, CASE lang
-  WHEN 'java' THEN 'com.shop.o' || k % 20 WHEN 'python' THEN 'shop.orders' WHEN 'go' THEN ''
+  WHEN 'java' THEN 'com.shop.o' || k % 20 WHEN 'python' THEN 'shop.orders' WHEN 'go' THEN 'orders' || k % 20
   ELSE 'orders' || k % 20 END AS package FROM code""",
     "class_names": f"""
 WITH {CODE}, named AS (SELECT relative_path, CASE lang
-  WHEN 'java' THEN 'of,Order' || k || 'Controller'
+  WHEN 'java' THEN 'Order' || k || 'Controller,of'
   WHEN 'python' THEN 'Order' || k || ',of' WHEN 'go' THEN 'Order' || k || ',Reader' || k
   ELSE 'Order' || k END AS names FROM code)
 SELECT relative_path, names, len(string_split(names, ','))::INT AS n FROM named""",
     "display_names": f"""
 WITH {DOCS} SELECT relative_path, 'doc_' || doc_id || '.txt' AS name, '.txt' AS ext, md5(substr(content, 1, 80)) AS head_md5 FROM docs""",
 }
+
+
+def _line_walk(limit: int, source: str) -> str:
+    """CTEs: every line with its cost, and a recursive walk that numbers the bins of each file."""
+    return f"""
+split_ AS (SELECT relative_path, generate_subscripts(parts, 1) AS i, unnest(parts) AS line
+           FROM (SELECT relative_path, string_split(content, chr(10)) AS parts FROM {source})),
+cost_ AS (SELECT *, {tokens("(line || chr(10))")} AS c FROM split_),
+walk AS (
+  SELECT relative_path, i, c::BIGINT AS s, 0 AS bin FROM cost_ WHERE i = 1
+  UNION ALL
+  SELECT n.relative_path, n.i, CASE WHEN w.s + n.c > {limit} THEN n.c ELSE w.s + n.c END,
+         CASE WHEN w.s + n.c > {limit} THEN w.bin + 1 ELSE w.bin END
+  FROM walk w JOIN cost_ n ON n.relative_path = w.relative_path AND n.i = w.i + 1),
+line_chunks AS (
+  SELECT relative_path, bin, sum(c)::BIGINT AS token_count, string_agg(line, chr(10) ORDER BY i) AS content
+  FROM walk JOIN cost_ USING (relative_path, i) GROUP BY ALL)"""
+
+
+def _document_chunks(limit: int) -> str:
+    return f"""
+{DOCS}, counted AS (SELECT *, {tokens("content")} AS t FROM docs),
+long_ AS (SELECT * FROM counted WHERE t > {limit}), {_line_walk(limit, "long_")},
+chunks AS (
+  SELECT relative_path, 0 AS ordinal, relative_path || ':full' AS chunk_id, t AS token_count, content FROM counted WHERE t <= {limit}
+  UNION ALL
+  SELECT relative_path, bin, relative_path || ':lc' || bin, token_count, content FROM line_chunks)"""
+
+
+def _pack_walk(limit: int, group: str) -> str:
+    """A recursive walk over all chunks in order: the reference packing, one row at a time."""
+    return f"""
+seq AS (SELECT *, {group} AS g, token_count > {limit // 2} AS big,
+        row_number() OVER (PARTITION BY {group} ORDER BY relative_path, ordinal) AS i FROM chunks),
+pack AS (
+  SELECT g, i, token_count AS s, big, 0 AS p FROM seq WHERE i = 1
+  UNION ALL
+  SELECT n.g, n.i, CASE WHEN n.big OR w.big OR w.s + greatest(n.token_count, 1) > {limit} THEN n.token_count ELSE w.s + greatest(n.token_count, 1) END,
+         n.big, CASE WHEN n.big OR w.big OR w.s + greatest(n.token_count, 1) > {limit} THEN w.p + 1 ELSE w.p END
+  FROM pack w JOIN seq n ON n.g = w.g AND n.i = w.i + 1),
+packed AS (SELECT seq.*, p FROM seq JOIN pack USING (g, i))"""
+
+
+ORACLES |= {
+    "file_order": f"WITH {DOCS} SELECT relative_path, row_number() OVER (ORDER BY relative_path) - 1 AS ordinal FROM docs",
+    "whole_file_chunks": f"""
+WITH {CODE}, counted AS (SELECT *, {tokens("content")} AS t FROM code)
+SELECT relative_path || ':full' AS chunk_id, t AS token_count, sha256(content) AS sha, CASE lang
+  WHEN 'java' THEN 'Order' || k || 'Controller,of' WHEN 'python' THEN 'Order' || k || ',of'
+  WHEN 'go' THEN 'Order' || k || ',Reader' || k ELSE 'Order' || k END AS names
+FROM counted WHERE t <= 300""",
+    "line_chunks": f"""
+WITH RECURSIVE {DOCS}, {_line_walk(200, "docs")}
+SELECT relative_path || ':lc' || bin AS chunk_id, bin AS ordinal, token_count, sha256(content) AS sha FROM line_chunks""",
+    "chunk_stats": f"""
+WITH RECURSIVE {DOCS}, {_line_walk(200, "docs")}
+SELECT count(*) AS chunks, (sum(token_count) // count(*))::BIGINT AS avg_tokens, max(token_count) AS max_tokens FROM line_chunks""",
+    "batch_packs": f"""
+WITH RECURSIVE {_document_chunks(1000)}, {_pack_walk(1000, "split_part(relative_path, '/', 1)")}
+SELECT chunk_id, first_value(chunk_id) OVER (PARTITION BY g, p ORDER BY i) AS first_chunk FROM packed""",
+    "batch_packs_one_sequence": f"""
+WITH RECURSIVE {_document_chunks(1000)}, {_pack_walk(1000, "0")}
+SELECT min_by(chunk_id, i) AS first_chunk, count(*) AS chunks, sum(token_count) AS tokens FROM packed GROUP BY p""",
+    "merged_batches": f"""
+WITH RECURSIVE {_document_chunks(1000)}, {_pack_walk(1000, "0")},
+merged AS (
+  SELECT p, bool_or(big) AS big, min_by(chunk_id, i) AS first_id, count(*) AS members, max(token_count) AS t,
+    CASE WHEN bool_or(big) THEN max(content)
+         ELSE string_agg('### File: ' || relative_path || chr(10) || '### Language: unknown' || chr(10) || '---' || chr(10) || content,
+                         chr(10) || chr(10) ORDER BY i) END AS content,
+    array_to_string(list_distinct(list(relative_path)), ',') AS files
+  FROM packed GROUP BY p),
+ordered AS (SELECT p, string_agg(relative_path, ',' ORDER BY i) AS source_files FROM (SELECT p, relative_path, min(i) AS i FROM packed GROUP BY ALL) GROUP BY p)
+SELECT CASE WHEN big THEN first_id ELSE 'batch_' || first_id END AS chunk_id,
+       CASE WHEN big THEN t ELSE {tokens("content")} END AS token_count, members, sha256(content) AS sha, source_files
+FROM merged JOIN ordered USING (p)""",
+}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import texts
 from corpusmill.functions.tokens import token_count
-from corpusmill.operators import rollups, routing
+from corpusmill.operators import blocks, chunking, packing, rollups, routing
 from corpusmill.options import Options
 from corpusmill.sources import derived, files as fs
 
@@ -157,3 +157,64 @@ def display_names(spark, sf):
         texts.extension(F.col("relative_path")).alias("ext"),
         F.md5(texts.prefix(F.col("content"), 80)).alias("head_md5"),
     )
+
+
+# --- chunks and packs ---------------------------------------------------------------------------
+
+
+@query
+def file_order(spark, sf):
+    files = derived.document_files(spark, sf).select("relative_path", "line_count")
+    return blocks.numbered(files, ["relative_path"]).select("relative_path", "ordinal")
+
+
+@query
+def whole_file_chunks(spark, sf):
+    chunks = chunking.whole_file_chunks(derived.code_files(spark, sf), Options(max_tokens=300))
+    return chunks.select("chunk_id", "token_count", F.sha2("content", 256).alias("sha"), F.array_join("class_names", ",").alias("names"))
+
+
+@query
+def line_chunks(spark, sf):
+    chunks = chunking.line_chunks(derived.document_files(spark, sf), Options(max_tokens=200))
+    return chunks.select("chunk_id", "ordinal", "token_count", F.sha2("content", 256).alias("sha"))
+
+
+@query
+def chunk_stats(spark, sf):
+    return rollups.chunk_stats(chunking.line_chunks(derived.document_files(spark, sf), Options(max_tokens=200)))
+
+
+def _document_chunks(spark, sf, o):
+    return chunking.whole_file_chunks(derived.document_files(spark, sf), o).unionByName(
+        chunking.line_chunks(chunking.oversize(derived.document_files(spark, sf), o).drop("tokens"), o)
+    )
+
+
+PACK = Options(max_tokens=1000)
+
+
+@query
+def batch_packs(spark, sf):
+    chunks = _document_chunks(spark, sf, PACK).withColumn("source", F.split_part("relative_path", F.lit("/"), F.lit(1)))
+    packed = packing.assign_packs(chunks, "source", PACK)
+    first = packed.groupBy("pack").agg(F.min_by("chunk_id", F.struct("relative_path", "ordinal")).alias("first_chunk"))
+    return packed.join(first, "pack").select("chunk_id", "first_chunk")
+
+
+@query
+def batch_packs_one_sequence(spark, sf):
+    packed = packing.assign_packs(_document_chunks(spark, sf, PACK), None, PACK)
+    return packed.groupBy("pack").agg(
+        F.min_by("chunk_id", F.struct("relative_path", "ordinal")).alias("first_chunk"),
+        F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"),
+    ).drop("pack")
+
+
+@query
+def merged_batches(spark, sf):
+    o = PACK
+    chunks = _document_chunks(spark, sf, o)
+    merged = chunking.merge_packs(packing.assign_packs(chunks, None, o), chunks, o)
+    return merged.select("chunk_id", "token_count", "members", F.sha2("content", 256).alias("sha"),
+                         F.array_join("source_files", ",").alias("source_files"))

@@ -14,7 +14,11 @@ from corpusmill.sources.files import scan_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One that Spark reads in fewer tasks than it has cores is spread over them;
+    a table of many splits is left as it is, so no shuffle is added at scale."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:

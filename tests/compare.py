@@ -60,8 +60,9 @@ def compare(spark, con, name: str, sf_dir: str, queries, oracles) -> str | None:
     if got[0] != want[0]:
         return f"columns {got[0]} != {want[0]}"
     if got[1] != want[1]:
-        extra = [r for r in got[1] if r not in set(want[1])][:3]
-        missing = [r for r in want[1] if r not in set(got[1])][:3]
+        ours, theirs = set(got[1]), set(want[1])
+        extra = [r for r in got[1] if r not in theirs][:3]
+        missing = [r for r in want[1] if r not in ours][:3]
         return f"rows {len(got[1])} vs {len(want[1])}\n  only ours: {extra}\n  only SQL:  {missing}"
     return None
 
