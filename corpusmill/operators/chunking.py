@@ -81,8 +81,28 @@ def oversize(files: DataFrame, o: Options | None = None) -> DataFrame:
 
 
 def line_chunks(files: DataFrame, o: Options | None = None) -> DataFrame:
-    """Cut by lines, whatever the language; a line's cost counts its line feed."""
-    return cut(files.withColumn("spans", F.expr(NO_SPANS)), o or Options())
+    """Cut every file by lines, whatever its language; a line's cost counts its line feed."""
+    o = o or Options()
+    df = files.withColumn("lines", texts.lines_of(F.col("content")))
+    df = df.withColumn("costs", o.measure.of_each(F.transform("lines", lambda x: F.concat(x, F.lit("\n")))))
+    priced = F.transform("costs", lambda c: F.struct(F.lit(0).alias("unit"), c.alias("cost")))
+    df = df.withColumn("cuts", bin_starts(priced, "cost", "unit", o.max_tokens))
+
+    def piece(start: Column, j: Column) -> Column:
+        n = F.when(j + 1 < F.size("cuts"), F.get(F.col("cuts"), j + 1)).otherwise(F.size("lines")) - start
+        return F.struct(
+            j.cast("long").alias("ordinal"),
+            F.concat("relative_path", F.lit(":lc"), j.cast("string")).alias("chunk_id"),
+            F.array_join(F.slice("lines", start + 1, n), "\n").alias("content"),
+            F.aggregate(F.slice("costs", start + 1, n), F.lit(0).cast("long"), lambda a, x: a + x).alias("token_count"),
+        )
+
+    df = df.withColumn("pieces", F.transform("cuts", piece))
+    none = F.expr(NO_NAMES)
+    return df.select(
+        "relative_path", F.array("relative_path").alias("source_files"), "language", none.alias("class_names"),
+        none.alias("function_names"), F.lit("lines").alias("level"), F.inline_outer("pieces"),
+    ).select(*CHUNK_COLUMNS)
 
 
 def spans_of(types: DataFrame, functions: DataFrame) -> DataFrame:
@@ -222,8 +242,10 @@ def cut(files_with_spans: DataFrame, o: Options) -> DataFrame:
     pieces = F.concat(types, F.transform("groups", group_piece), F.transform("cuts", line_piece))
     lines_only = F.filter(F.transform("cuts", line_piece), lambda x: x.isNotNull())
     df = df.withColumn("pieces", F.when(F.col("gives"), pieces).otherwise(lines_only))
+    # The outer form: a plain inline() would infer the filter size(pieces) > 0, which Spark pushes down
+    # through every step above, computing the whole cut a second time as one nested expression.
     return df.select(
-        "relative_path", F.array("relative_path").alias("source_files"), "language", F.inline("pieces")
+        "relative_path", F.array("relative_path").alias("source_files"), "language", F.inline_outer("pieces")
     ).select(*CHUNK_COLUMNS)
 
 

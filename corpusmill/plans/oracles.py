@@ -165,23 +165,23 @@ def _line_walk(limit: int, source: str) -> str:
     return f"""
 split_ AS (SELECT relative_path, generate_subscripts(parts, 1) AS i, unnest(parts) AS line
            FROM (SELECT relative_path, string_split(content, chr(10)) AS parts FROM {source})),
-cost_ AS (SELECT *, {tokens("(line || chr(10))")} AS c FROM split_),
+cost_ AS MATERIALIZED (SELECT *, {tokens("(line || chr(10))")} AS c FROM split_),
 walk AS (
   SELECT relative_path, i, c::BIGINT AS s, 0 AS bin FROM cost_ WHERE i = 1
   UNION ALL
   SELECT n.relative_path, n.i, CASE WHEN w.s + n.c > {limit} THEN n.c ELSE w.s + n.c END,
          CASE WHEN w.s + n.c > {limit} THEN w.bin + 1 ELSE w.bin END
   FROM walk w JOIN cost_ n ON n.relative_path = w.relative_path AND n.i = w.i + 1),
-line_chunks AS (
+line_chunks AS MATERIALIZED (
   SELECT relative_path, bin, sum(c)::BIGINT AS token_count, string_agg(line, chr(10) ORDER BY i) AS content
   FROM walk JOIN cost_ USING (relative_path, i) GROUP BY ALL)"""
 
 
 def _document_chunks(limit: int) -> str:
     return f"""
-{DOCS}, counted AS (SELECT *, {tokens("content")} AS t FROM docs),
+{DOCS}, counted AS MATERIALIZED (SELECT *, {tokens("content")} AS t FROM docs),
 long_ AS (SELECT * FROM counted WHERE t > {limit}), {_line_walk(limit, "long_")},
-chunks AS (
+chunks AS MATERIALIZED (
   SELECT relative_path, 0 AS ordinal, relative_path || ':full' AS chunk_id, t AS token_count, content FROM counted WHERE t <= {limit}
   UNION ALL
   SELECT relative_path, bin, relative_path || ':lc' || bin, token_count, content FROM line_chunks)"""
@@ -190,7 +190,7 @@ chunks AS (
 def _pack_walk(limit: int, group: str) -> str:
     """A recursive walk over all chunks in order: the reference packing, one row at a time."""
     return f"""
-seq AS (SELECT *, {group} AS g, token_count > {limit // 2} AS big,
+seq AS MATERIALIZED (SELECT *, {group} AS g, token_count > {limit // 2} AS big,
         row_number() OVER (PARTITION BY {group} ORDER BY relative_path, ordinal) AS i FROM chunks),
 pack AS (
   SELECT g, i, token_count AS s, big, 0 AS p FROM seq WHERE i = 1
@@ -235,3 +235,102 @@ SELECT CASE WHEN big THEN first_id ELSE 'batch_' || first_id END AS chunk_id,
        CASE WHEN big THEN t ELSE {tokens("content")} END AS token_count, members, sha256(content) AS sha, source_files
 FROM merged JOIN ordered USING (p)""",
 }
+
+CHUNKED = """
+ch AS (SELECT doc_id, source, lang, n_chars, text AS content, source || '/doc_' || doc_id || '.txt' AS path,
+              source || '/doc_' || doc_id || '.txt:full' AS chunk_id, ceil(n_chars / 4)::BIGINT AS tokens FROM documents)"""
+IN_STORE = "doc_id % 3 = 0 AND (doc_id % 30 = 0 OR doc_id % 21 <> 0)"
+HIT = "(doc_id % 3 = 0 AND doc_id % 30 <> 0 AND doc_id % 21 <> 0)"
+USER = """('Files: ' || path || chr(10) || 'Language: ' || lang || chr(10)
+  || 'Classes: ' || CASE WHEN doc_id % 2 = 0 THEN 'A, B' ELSE 'N/A' END || chr(10)
+  || 'Functions: ' || array_to_string(list_transform(range(least(doc_id % 20 + 1, 15)), lambda i: 'f' || i), ', ')
+  || chr(10) || chr(10) || content || chr(10) || chr(10)
+  || 'Describe this code as JSON with the keys file_path, summary, purpose, key_methods (name, signature, description, complexity),'
+  || ' dependencies, complexity_score (1 to 10) and complexity_notes.')"""
+SYSTEM = "('You read ' || lang || ' source code and answer with one JSON object and nothing else.')"
+RUN = f"""
+{CHUNKED},
+missing AS (SELECT *, {tokens("(" + SYSTEM + " || " + USER + ")")} AS est FROM ch WHERE NOT {HIT}),
+decided AS (SELECT *, sum(est * 0.00000015::DECIMAL(18,10)) OVER (ORDER BY path, doc_id) < 0.03 AS admitted FROM missing),
+results AS (
+  SELECT chunk_id, doc_id, 'cached' AS status, NULL AS error, (doc_id % 10 + 1)::VARCHAR AS score FROM ch WHERE {HIT}
+  UNION ALL
+  SELECT chunk_id, doc_id,
+    CASE WHEN NOT admitted OR doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'error' ELSE 'fresh' END,
+    CASE WHEN NOT admitted THEN 'budget exceeded' WHEN doc_id % 11 = 0 THEN 'no answer for ' || doc_id
+         WHEN doc_id % 13 = 0 THEN 'parse failed' END,
+    CASE WHEN admitted AND doc_id % 11 <> 0 AND doc_id % 13 <> 0 THEN (doc_id % 10 + 1)::VARCHAR END
+  FROM decided)"""
+SECOND = f"""
+{RUN},
+left_ AS (SELECT m.* FROM missing m JOIN results r USING (chunk_id) WHERE r.status = 'error'),
+again AS (SELECT *, sum(est * 0.00000015::DECIMAL(18,10)) OVER (ORDER BY path, doc_id) < 0.03 AS ok FROM left_),
+second_ AS (
+  SELECT 'cached' AS status, NULL AS error FROM results WHERE status <> 'error'
+  UNION ALL
+  SELECT CASE WHEN NOT ok OR doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'error' ELSE 'fresh' END,
+    CASE WHEN NOT ok THEN 'budget exceeded' WHEN doc_id % 11 = 0 THEN 'no answer for ' || doc_id
+         WHEN doc_id % 13 = 0 THEN 'parse failed' END
+  FROM again)"""
+TYPED = """
+typed AS (
+  SELECT d.doc_id, source || '/' || d.doc_id AS file_path, CASE WHEN d.doc_id % 5 = 0 THEN '' ELSE lang END AS summary, '' AS purpose,
+    CASE WHEN d.doc_id % 3 = 0 THEN 0 ELSE 1 END AS methods,
+    CASE WHEN d.doc_id % 3 <> 0 THEN n_chars % 10 END AS first_complexity,
+    source || ',' || lang AS dependencies, source, lang,
+    CASE d.doc_id % 4 WHEN 0 THEN 0 WHEN 1 THEN n_chars % 10 + 1 WHEN 2 THEN 0 ELSE coalesce(quality, 3) END AS complexity_score,
+    d.doc_id % 4 = 2 AS _corrupt
+  FROM documents d LEFT JOIN labels USING (doc_id))"""
+
+ORACLES |= {
+    "cache_keys": f"""
+WITH {CHUNKED} SELECT chunk_id, {sha16("content")} AS chunk_hash,
+  substr(sha256({sha16("content")} || ':' || chunk_id), 1, 32) AS cache_key FROM ch""",
+    "cache_hits": f"WITH {CHUNKED} SELECT chunk_id, (doc_id % 10 + 1)::VARCHAR AS score FROM ch WHERE {HIT}",
+    "cache_misses": f"WITH {CHUNKED} SELECT chunk_id FROM ch WHERE NOT {HIT}",
+    "cache_stats": f"""
+SELECT sum({HIT}::INT) AS hits, sum((NOT {HIT})::INT) AS misses,
+  round(100.0 * sum({HIT}::INT) / count(*))::INT || '%' AS hit_rate FROM documents""",
+    "request_texts": f"""
+WITH {CHUNKED} SELECT chunk_id, {tokens("(" + SYSTEM + " || " + USER + ")")} AS est_tokens, sha256({SYSTEM} || {USER}) AS sha FROM ch""",
+    "prompt_texts": f"""
+WITH {CHUNKED} SELECT chunk_id, sha256('### File: ' || path || chr(10) || '### Language: ' || lang || chr(10)
+  || CASE WHEN doc_id % 2 = 0 THEN '### Classes: A, B' || chr(10) ELSE '' END
+  || '### Functions: ' || array_to_string(list_transform(range(least(doc_id % 20 + 1, 15)), lambda i: 'f' || i), ', ') || chr(10)
+  || '---' || chr(10) || content) AS sha FROM ch""",
+    "budget_admission": f"""
+WITH {CHUNKED} SELECT source, doc_id,
+  sum(tokens * 0.00000015::DECIMAL(18,10)) OVER (ORDER BY source, doc_id) < 0.04 AS admitted FROM ch""",
+    "usage_report": f"""
+WITH {CHUNKED} SELECT sum(tokens) AS input_tokens, sum(n_chars % 100) AS output_tokens, count(*) AS calls,
+  round(sum(tokens * 0.00000015::DECIMAL(18,10) + (n_chars % 100) * 0.0000006::DECIMAL(18,10)), 6) AS cost_usd
+FROM ch WHERE doc_id % 7 <> 0""",
+    "inference_results": """
+SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'no answer for ' || doc_id END AS error,
+  CASE WHEN doc_id % 11 <> 0 AND doc_id % 13 <> 0 THEN (doc_id % 10 + 1)::VARCHAR END AS score FROM documents""",
+    "analysis_results": f"WITH {RUN} SELECT chunk_id, status, error, score FROM results",
+    "analysis_second_run": f"WITH {SECOND} SELECT status, error, count(*) AS chunks FROM second_ GROUP BY ALL",
+    "json_repair": """
+SELECT event_id, CASE WHEN event_id % 8 < 6 THEN json_extract_string(props, '$.k') END AS k FROM events""",
+    "typed_analysis": f"""
+WITH {TYPED} SELECT doc_id, file_path, summary, purpose, methods, first_complexity, dependencies, complexity_score, _corrupt FROM typed""",
+    "context_cut": f"""
+SELECT source, doc_id, n_chars FROM (
+  SELECT *, sum(n_chars + 1) OVER (ORDER BY source, doc_id) AS s FROM documents) WHERE s <= 80000""",
+    "lexical_scores": f"""
+WITH {CODE}, b AS (SELECT relative_path, CASE lang WHEN 'javascript' THEN 2 * n ELSE n END AS branches FROM code)
+SELECT relative_path, least(10, 1 + branches // 3) AS complexity_score, branches || ' branches' AS complexity_notes FROM b""",
+    "dependency_degree": f"""
+WITH {TYPED} SELECT dependency, count(DISTINCT file_path) AS files FROM (
+  SELECT file_path, source AS dependency FROM typed UNION ALL SELECT file_path, lang FROM typed) GROUP BY 1""",
+    "most_complex_files": f"""
+WITH {TYPED} SELECT file_path, complexity_score AS score, '' AS notes FROM typed ORDER BY 2 DESC, 1 LIMIT 25""",
+    "key_methods": f"""
+WITH {TYPED} SELECT file_path, 'm' || doc_id AS name, first_complexity AS complexity FROM typed WHERE methods = 1
+ORDER BY 3 DESC, 1, 2 LIMIT 20""",
+    "average_complexity": f"WITH {TYPED} SELECT avg(complexity_score) AS average_complexity FROM typed",
+    "top_files_per_source": """
+SELECT source, doc_id, n_chars, rank FROM (
+  SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents)
+WHERE rank <= 3""",
+}

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import texts
+from corpusmill.functions.jsonfix import parse_typed, repair_json
 from corpusmill.functions.tokens import token_count
-from corpusmill.operators import blocks, chunking, packing, rollups, routing
+from corpusmill.operators import blocks, chunking, inference, packing, rollups, routing
 from corpusmill.options import Options
-from corpusmill.sources import derived, files as fs
+from corpusmill.session import scratch_path
+from corpusmill.sources import derived, files as fs, store as st
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -218,3 +221,171 @@ def merged_batches(spark, sf):
     merged = chunking.merge_packs(packing.assign_packs(chunks, None, o), chunks, o)
     return merged.select("chunk_id", "token_count", "members", F.sha2("content", 256).alias("sha"),
                          F.array_join("source_files", ",").alias("source_files"))
+
+
+# --- store, requests, cost, inference, JSON -----------------------------------------------------
+
+
+def _keyed(spark, sf):
+    return inference.with_cache_key(derived.document_chunks(spark, sf))
+
+
+def _looked_up(spark, sf):
+    keyed = _keyed(spark, sf)
+    store = st.latest(derived.store_entries(keyed))
+    return inference.lookup(keyed, store)
+
+
+@query
+def cache_keys(spark, sf):
+    return _keyed(spark, sf).select("chunk_id", inference.chunk_hash(F.col("content")).alias("chunk_hash"), "cache_key")
+
+
+@query
+def cache_hits(spark, sf):
+    return _looked_up(spark, sf).filter("is_hit").select("chunk_id", F.get_json_object("payload", "$.complexity_score").alias("score"))
+
+
+@query
+def cache_misses(spark, sf):
+    keyed = _keyed(spark, sf)
+    return inference.misses(keyed, st.latest(derived.store_entries(keyed))).select("chunk_id")
+
+
+@query
+def cache_stats(spark, sf):
+    return inference.cache_stats(_looked_up(spark, sf))
+
+
+@query
+def request_texts(spark, sf):
+    asked = inference.estimate(inference.render_requests(derived.document_chunks(spark, sf)))
+    return asked.select("chunk_id", "est_tokens", F.sha2(F.concat("system", "user"), 256).alias("sha"))
+
+
+@query
+def prompt_texts(spark, sf):
+    c = derived.document_chunks(spark, sf)
+    text = texts.prompt_text(*[F.col(x) for x in ("source_files", "language", "class_names", "function_names", "content")])
+    return c.select("chunk_id", F.sha2(text, 256).alias("sha"))
+
+
+@query
+def budget_admission(spark, sf):
+    chunks = derived.document_chunks(spark, sf).withColumnRenamed("token_count", "est_tokens")
+    cost = inference.call_cost(F.col("est_tokens"), F.lit(0))
+    decided = inference.admit(chunks.select("source", "doc_id", "est_tokens"), cost, Decimal("0.04"), ["source", "doc_id"])
+    return decided.select("source", "doc_id", "admitted")
+
+
+@query
+def usage_report(spark, sf):
+    called = derived.document_chunks(spark, sf).select(
+        F.col("token_count").alias("est_tokens"), (F.col("n_chars") % 100).alias("out_tokens"),
+        F.when(F.col("doc_id") % 7 == 0, "failed").alias("error"),
+    )
+    return inference.usage_report(called)
+
+
+def _answer(system: str, user: str) -> str:
+    """A stand-in for a model: fails on some requests, answers others without an object."""
+    path = user.split("\n", 1)[0].removeprefix("Files: ")
+    number = int(path.rsplit("_", 1)[1].split(".")[0])
+    if number % 11 == 0:
+        raise RuntimeError(f"no answer for {number}")
+    if number % 13 == 0:
+        return "nothing to say"
+    return f'Sure:\n```json\n{{"file_path": "{path}", "complexity_score": {number % 10 + 1},}}\n```'
+
+
+@query
+def inference_results(spark, sf):
+    requests = inference.render_requests(derived.document_chunks(spark, sf))
+    called = inference.infer(requests, _answer, ["doc_id"])
+    return called.withColumn("payload", repair_json(F.col("raw"))).select(
+        "doc_id", "error", F.get_json_object("payload", "$.complexity_score").alias("score")
+    )
+
+
+def _analysed(spark, sf, runs: int):
+    chunks = derived.document_chunks(spark, sf)
+    path = scratch_path(spark, "store")
+    keyed = inference.with_cache_key(chunks)
+    derived.store_entries(keyed).write.parquet(path)
+    for _ in range(runs):
+        result = inference.analyse(chunks.drop("token_count"), path, _answer, Options(max_cost=Decimal("0.03")))
+    return result
+
+
+@query
+def analysis_results(spark, sf):
+    return _analysed(spark, sf, 1).select(
+        "chunk_id", "status", "error", F.get_json_object("payload", "$.complexity_score").alias("score")
+    )
+
+
+@query
+def analysis_second_run(spark, sf):
+    return _analysed(spark, sf, 2).groupBy("status", "error").agg(F.count("*").alias("chunks"))
+
+
+@query
+def json_repair(spark, sf):
+    raw = derived.raw_responses(spark, sf)
+    return raw.select("event_id", F.get_json_object(repair_json(F.col("raw")), "$.k").alias("k"))
+
+
+@query
+def typed_analysis(spark, sf):
+    typed = derived.analysis_texts(spark, sf).select("doc_id", parse_typed(F.col("payload")).alias("a"))
+    return typed.select(
+        "doc_id", "a.file_path", "a.summary", "a.purpose", F.size("a.key_methods").alias("methods"),
+        F.get("a.key_methods", F.lit(0))["complexity"].alias("first_complexity"),
+        F.array_join("a.dependencies", ",").alias("dependencies"), "a.complexity_score", "a._corrupt",
+    )
+
+
+@query
+def context_cut(spark, sf):
+    chunks = derived.document_chunks(spark, sf)
+    return inference.cut_to_chars(chunks, "content", 80_000, ["source", "doc_id"]).select("source", "doc_id", "n_chars")
+
+
+@query
+def lexical_scores(spark, sf):
+    files = derived.code_files(spark, sf)
+    chunks = chunking.whole_file_chunks(files, Options(max_tokens=1_000_000))
+    scored = inference.parsed(inference.lexical_scores(chunks))
+    typed = scored.select("relative_path", parse_typed(F.col("payload")).alias("a"))
+    return typed.select("relative_path", "a.complexity_score", "a.complexity_notes")
+
+
+def _analyses(spark, sf):
+    typed = derived.analysis_texts(spark, sf).select("doc_id", parse_typed(F.col("payload")).alias("a"))
+    return typed.select("doc_id", "a.*")
+
+
+@query
+def dependency_degree(spark, sf):
+    return rollups.dependency_degree(_analyses(spark, sf))
+
+
+@query
+def most_complex_files(spark, sf):
+    return rollups.most_complex_files(_analyses(spark, sf), 25)
+
+
+@query
+def key_methods(spark, sf):
+    return rollups.key_methods(_analyses(spark, sf), 20).select("file_path", "name", "complexity")
+
+
+@query
+def average_complexity(spark, sf):
+    return rollups.average_complexity(_analyses(spark, sf))
+
+
+@query
+def top_files_per_source(spark, sf):
+    docs = derived.table(spark, sf, "documents").select("source", "doc_id", "n_chars")
+    return rollups.top_k(docs, "n_chars", ["doc_id"], 3, by="source")

@@ -167,3 +167,63 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     path = choose(F.col("lang"), {x: _filled(p) for x, p in CODE_PATHS.items()})
     return scan_table(rows, content, path)
+
+
+def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One chunk per document, priced at a quarter token per character."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat("source", F.lit("/doc_"), "doc_id", F.lit(".txt"))
+    return docs.select(
+        path.alias("relative_path"), F.col("doc_id").alias("ordinal"), F.concat(path, F.lit(":full")).alias("chunk_id"),
+        F.col("text").alias("content"), F.ceil(F.col("n_chars") / 4).alias("token_count"), F.array(path).alias("source_files"),
+        F.col("lang").alias("language"), F.expr("if(doc_id % 2 = 0, array('A', 'B'), array())").alias("class_names"),
+        F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 20).cast("int")), lambda i: F.concat(F.lit("f"), i.cast("string"))).alias("function_names"),
+        "doc_id", "source", "n_chars",
+    )
+
+
+def store_entries(keyed: DataFrame) -> DataFrame:
+    """Entries for every third chunk: an empty object for every thirtieth, a stale second entry for
+    every sixth, and an unreadable one for every twenty-first."""
+    some = keyed.filter("doc_id % 3 = 0")
+    new = some.select(
+        "cache_key",
+        F.expr("CASE WHEN doc_id % 30 = 0 THEN '{}' WHEN doc_id % 21 = 0 THEN '{\"cut' "
+               "ELSE concat('{\"complexity_score\":', doc_id % 10 + 1, '}') END").alias("payload"),
+        F.expr("timestamp'2024-02-02 00:00:00'").alias("written_at"),
+    )
+    old = some.filter("doc_id % 6 = 0 AND doc_id % 21 <> 0").select(
+        "cache_key", F.lit('{"complexity_score":0}').alias("payload"), F.expr("timestamp'2024-01-01 00:00:00'").alias("written_at")
+    )
+    return new.unionByName(old)
+
+
+def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events.props`` mangled by ``event_id % 8``."""
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        F.expr(r"""CASE event_id % 8
+            WHEN 0 THEN props
+            WHEN 1 THEN concat('Here it is:\n```json\n', props, '\n```\nDone.')
+            WHEN 2 THEN concat(substr(props, 1, length(props) - 1), ',}')
+            WHEN 3 THEN concat(substr(props, 1, length(props) - 1), ' // the key\n}')
+            WHEN 4 THEN concat('The result is ', props, ' as asked.')
+            WHEN 5 THEN concat('  ', substr(props, 1, length(props) - 1))
+            WHEN 6 THEN ''
+            ELSE 'no object here' END""").alias("raw"),
+    )
+
+
+def analysis_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON analyses from ``documents`` and ``labels``: quoted numbers, unknown and missing keys."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    method = "named_struct('name', concat('m', doc_id), 'signature', lang, 'complexity', cast(n_chars % 10 as string), 'extra', 1)"
+    score = "CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN concat('', n_chars % 10 + 1) WHEN 2 THEN 'high' ELSE concat('', coalesce(quality, 3)) END"
+    return docs.join(labels, "doc_id", "left").select(
+        "doc_id",
+        F.expr(
+            f"to_json(named_struct('file_path', concat(source, '/', doc_id), 'summary', if(doc_id % 5 = 0, NULL, lang), "
+            f"'key_methods', if(doc_id % 3 = 0, NULL, array({method})), 'dependencies', array(source, lang), "
+            f"'complexity_score', {score}, 'unknown', 7))"
+        ).alias("payload"),
+    )

@@ -22,6 +22,9 @@ TABLES = (
 ).split()
 
 
+SECONDS: dict[str, float] = {}
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for t in TABLES:
@@ -51,8 +54,10 @@ def normal(columns, rows):
 
 def compare(spark, con, name: str, sf_dir: str, queries, oracles) -> str | None:
     """None if equal (or without SQL), else the first differences."""
+    started = time.time()
     df = queries[name](spark, sf_dir)
     got = normal(df.columns, df.collect())
+    SECONDS[name] = time.time() - started
     if name not in oracles:
         return None if got[1] else "no rows"
     rel = con.execute(oracles[name])
@@ -88,7 +93,7 @@ def main(argv):
         except Exception as ex:  # report and go on with the next query
             problem = f"{type(ex).__name__}: {str(ex)[:1500]}"
         n_sql = "" if name in oracles else " (no SQL)"
-        print(f"{'ok  ' if problem is None else 'FAIL'} {name}{n_sql} {time.time() - t:.1f}s" + (f"\n  {problem}" if problem else ""), flush=True)
+        print(f"{'ok  ' if problem is None else 'FAIL'} {name}{n_sql} {SECONDS.get(name, 0):.1f}s of {time.time() - t:.1f}s" + (f"\n  {problem}" if problem else ""), flush=True)
         bad += problem is not None
     print(f"{len(names) - bad}/{len(names)} equal")
     return bad
