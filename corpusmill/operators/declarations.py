@@ -63,6 +63,7 @@ PYTHON_IMPORT = r"(?s)^(?:import\s[^\n]*|from\s[^\n(]*\([^)]*\)|from\s[^\n]*)"
 GO_TYPE = r"^type\s+(\w+)(?:\[[^\]]*\])?\s+(struct|interface)?"
 GO_METHOD = rf"^(func\s*\(([^()]*)\)\s*(\w+)\s*\()({_ARGS})\)"
 GO_FUNCTION = rf"^(func\s+(\w+)\s*(?:\[[^\]]*\])?\()({_ARGS})\)"
+GO_IMPORT = r'^\s*import\b|^\s*(?:[\w.]+\s+)?"[^"]*"\s*$'
 GO_PACKAGE = r"^package\s+(\w+)"
 GO_FIELD = r"^\s+(\w+)(?:\s*,\s*\w+)*\s+([\w.*\[\]{}<\-]+(?:\s*\{\s*\})?)"
 
@@ -179,45 +180,90 @@ def _docstring_below(lines: Column, i: Column) -> Column:
     return texts.prefix(F.btrim(text, F.lit(" \t\n")), fv.DOCSTRING_CHARS)
 
 
-def explode_lines(files: DataFrame) -> DataFrame:
-    """(path, language, line_no from 1, raw, code): ``code`` has strings and comments blanked.
-
-    Lines that may begin a declaration also get its whole head (``sig``, ``raw_sig``: the rest of the
-    file if the head is not closed on the line), the decorators above it and its comment.
-    """
+def _blanked(files: DataFrame) -> DataFrame:
+    """Per file: ``raw_lines`` and ``code_lines`` (strings and comments blanked)."""
     family = F.coalesce(choose(F.col("language"), {k: F.lit(v) for k, v in FAMILY.items()}), F.lit("generic"))
-    df = files.select("relative_path", "language", "content", family.alias("family"),
-                      texts.guess_package(F.col("relative_path")).alias("guessed"))
+    df = files.select("relative_path", "language", "content", family.alias("family"))
     code = choose(F.col("family"), {f: masked(F.col("content"), f) for f in LEXEMES}, F.col("content"))
-    df = df.withColumn("raw_lines", texts.lines_of(F.col("content"))).withColumn("code_lines", texts.lines_of(code))
+    return df.withColumn("raw_lines", texts.lines_of(F.col("content"))).withColumn("code_lines", texts.lines_of(code))
+
+
+def explode_lines(files: DataFrame) -> DataFrame:
+    """(path, language, line_no from 1, raw, code): ``code`` has strings and comments blanked."""
+    lines = _blanked(files).withColumn(
+        "lines", F.transform("code_lines", lambda c, i: F.struct((i + 1).alias("line_no"), F.get(F.col("raw_lines"), i).alias("raw"), c.alias("code")))
+    )
+    return lines.select("relative_path", "language", F.inline_outer("lines"))
+
+
+def _hinted(line: Column) -> Column:
+    return choose(F.col("family"), {f: F.rlike(line, F.lit(p)) for f, p in HINT.items()}, F.lit(False))
+
+
+def _may_matter(line: Column) -> Column:
+    """A cheap test that every line passes which declares something or moves the depth."""
+    blank = F.btrim(line, F.lit(BLANKS)) == ""
+    braces = F.contains(line, F.lit("{")) | F.contains(line, F.lit("}"))
+    return choose(
+        F.col("family"),
+        {
+            "java": braces | F.rlike(line, F.lit(r"[;=,(]|^\s*(?:package|import)\s")),
+            "go": braces | ~blank,
+            "js": braces | F.startswith(line, F.lit("import")),
+        },
+        ~blank,
+    )
+
+
+def declaring_lines(files: DataFrame) -> DataFrame:
+    """Lines that declare something or move the depth, with their ``tag`` and, where they may begin a
+    declaration, its whole head (``sig``, ``raw_sig``: up to the end of the file if the head is not closed
+    on the line), the decorators above it and its comment."""
+    df = _blanked(files).withColumn("guessed", texts.guess_package(F.col("relative_path")))
     raw, coded = F.col("raw_lines"), F.col("code_lines")
-    hint = choose(F.col("family"), {f: F.lit(p) for f, p in HINT.items()}, F.lit(r"\b\B"))
     is_headed = F.col("family").isin("java", "js")
 
-    def row(line: Column, i: Column) -> Column:
-        hinted = choose(F.col("family"), {f: F.rlike(line, F.lit(p)) for f, p in HINT.items()}, F.lit(False))
-        open_head = (_excess(line, "(", ")") > 0) | (
-            is_headed & ~F.contains(line, F.lit("{")) & F.rlike(line, F.lit(HEADED))
-        ) | (F.startswith(line, F.lit("import")) & (_excess(line, "{", "}") > 0))
+    def mark(line: Column, i: Column) -> Column:
+        return F.when(_may_matter(line), F.struct(i.alias("i"), line.alias("code"), _hinted(line).alias("hinted")))
+
+    df = df.withColumn("marks", F.filter(F.transform("code_lines", mark), lambda m: m.isNotNull()))
+
+    def head(m: Column) -> Column:
+        line, i = m["code"], m["i"]
+        open_head = (
+            (_excess(line, "(", ")") > 0)
+            | (is_headed & ~F.contains(line, F.lit("{")) & F.rlike(line, F.lit(HEADED)))
+            | (F.startswith(line, F.lit("import")) & (_excess(line, "{", "}") > 0))
+        )
+        whole = m["hinted"] & open_head
         near = F.array_join(F.slice(raw, F.greatest(i - 8, F.lit(1)), F.least(i, F.lit(fv.DECORATOR_REACH))), "\n")
-        above = F.when(hinted & F.contains(near, F.lit("@")), _decorators_above(raw, i))
-        reach = F.coalesce(above["reach"], F.lit(0))
+        above = F.when(m["hinted"] & F.contains(near, F.lit("@")), _decorators_above(raw, i))
+        commented = m["hinted"] & F.rlike(line, F.lit(HEADED + r"|^type\s"))
         comment = (
-            F.when(F.col("family").isin("java", "go") & F.rlike(line, F.lit(HEADED + r"|^type\s")), _comment_above(raw, i - reach))
+            F.when(F.col("family").isin("java", "go") & commented, _comment_above(raw, i - F.coalesce(above["reach"], F.lit(0))))
             .when((F.col("family") == "python") & F.startswith(line, F.lit("class ")), _docstring_below(raw, i))
         )
-        whole = hinted & open_head
         return F.struct(
-            (i + 1).alias("line_no"), line.alias("code"), F.get(raw, i).alias("raw"),
+            (i + 1).alias("line_no"), line.alias("code"), F.get(raw, i).alias("raw"), m["hinted"].alias("hinted"),
             F.when(whole, F.array_join(F.slice(coded, i + 1, F.size(coded)), "\n")).otherwise(line).alias("sig"),
             F.when(whole, F.array_join(F.slice(raw, i + 1, F.size(raw)), "\n")).otherwise(F.get(raw, i)).alias("raw_sig"),
-            F.when(hinted, F.coalesce(above["found"], F.expr("cast(array() as array<string>)"))).alias("decorators"),
-            reach.alias("reach"), comment.alias("docstring"),
+            above.alias("above"), comment.alias("docstring"),
         )
 
-    df = df.withColumn("rows", F.transform("code_lines", row))
+    df = df.withColumn("heads", F.transform("marks", head))
+
+    def tagged(h: Column) -> Column:
+        return F.struct(*[h[c].alias(c) for c in HEAD_FIELDS], _tag(h).alias("tag"))
+
+    def matters(t: Column) -> Column:
+        depth = F.contains(t["code"], F.lit("{")) | F.contains(t["code"], F.lit("}"))
+        return t["tag"].isNotNull() | F.when(F.col("family") == "python", True).when(F.col("family") == "generic", False).otherwise(depth)
+
+    df = df.withColumn("rows", F.filter(F.transform("heads", tagged), matters))
     # The outer form keeps Spark from computing the rows twice for an inferred size filter.
-    return df.select("relative_path", "language", "family", "guessed", F.size("raw_lines").alias("n_lines"), F.inline_outer("rows"))
+    return df.select(
+        "relative_path", "language", "family", "guessed", F.size("raw_lines").alias("n_lines"), F.inline_outer("rows")
+    ).filter(F.col("line_no").isNotNull())
 
 
 # --- one line -> what it declares ---------------------------------------------------------------
@@ -227,62 +273,68 @@ def _split_list(text: Column, pattern: str) -> Column:
     return F.filter(F.transform(F.split(text, pattern, -1), lambda p: F.btrim(p, F.lit(" \t\n"))), lambda p: p != "")
 
 
-def tag_lines(lines: DataFrame) -> DataFrame:
-    """Keep lines that declare something or change the depth, with the parts of the declaration."""
-    family, sig, raw_sig, code, raw = (F.col(c) for c in ("family", "sig", "raw_sig", "code", "raw"))
+def _like(c: Column, p: str) -> Column:
+    return F.rlike(c, F.lit(p))
+
+
+def _tag(h: Column) -> Column:
+    """What a line declares, if anything; ``h`` has its code, its head and whether it was hinted."""
+    code, sig, raw, hinted = h["code"], h["sig"], h["raw"], h["hinted"]
+    called = hinted & F.contains(sig, F.lit("("))
     typescript = F.col("language").isin("typescript", "tsx")
+    bare = F.ltrim(code)
+    java = (
+        F.when(hinted & _like(code, HEADED) & _like(sig, JAVA_TYPE), "type")
+        .when(called & _like(sig, JAVA_FUNCTION), "function")
+        .when(F.startswith(bare, F.lit("import ")), "import")
+        .when(F.startswith(bare, F.lit("package ")), "package")
+        .when(~hinted & _like(code, JAVA_FIELD), "field")
+    )
+    python = (
+        F.when(hinted & _like(sig, PYTHON_TYPE), "type")
+        .when(hinted & _like(sig, PYTHON_FUNCTION), "function")
+        .when(_like(code, r"^(?:import|from)\s"), "import")
+    )
+    go = (
+        F.when(hinted & _like(code, GO_TYPE), "type")
+        .when(hinted & _like(sig, GO_METHOD), "method")
+        .when(hinted & _like(sig, GO_FUNCTION), "function")
+        .when(F.startswith(code, F.lit("package ")), "package")
+        .when(F.contains(raw, F.lit('"')) & _like(raw, GO_IMPORT) & ~_like(code, r"[{}=:,]"), "import")
+        .when(_like(code, GO_FIELD), "field")
+    )
+    js = (
+        F.when(hinted & _like(code, JS_CLASS), "type")
+        .when(hinted & typescript & _like(code, JS_INTERFACE), "type")
+        .when(called & _like(sig, JS_FUNCTION), "function")
+        .when(called & _like(sig, JS_METHOD), "method")
+        .when(_like(code, r"^import\b(?!\s*\()"), "import")
+    )
+    generic = F.when(_like(code, fv.GENERIC_TYPE_PATTERN), "type").when(F.size(_generic_functions(code)) > 0, "function")
+    return choose(F.col("family"), {"java": java, "python": python, "go": go, "js": js}, generic)
+
+
+def _generic_functions(code: Column) -> Column:
+    names = F.regexp_extract_all(code, F.lit(fv.GENERIC_FUNCTION_PATTERN), F.lit(2))
+    return F.filter(names, lambda n: ~n.isin(*fv.GENERIC_NOT_FUNCTIONS))
+
+
+def tag_lines(files: DataFrame) -> DataFrame:
+    """The declaring lines as slim rows: depth changes for all, the parts of a declaration (``d``) for tagged ones."""
+    df = declaring_lines(files)
+    family, sig, raw_sig, code, raw, tag = (F.col(c) for c in ("family", "sig", "raw_sig", "code", "raw", "tag"))
 
     def like(c: Column, p: str) -> Column:
-        return F.rlike(c, F.lit(p))
+        return _like(c, p)
 
     def get(c: Column, p: str, g: int) -> Column:
         return F.regexp_extract(c, p, g)
 
-    has_args = F.contains(sig, F.lit("("))
-    go_import = r'^\s*import\b|^\s*(?:[\w.]+\s+)?"[^"]*"\s*$'
-    java_tag = (
-        F.when(like(code, HEADED) & like(sig, JAVA_TYPE), "type")
-        .when(has_args & like(sig, JAVA_FUNCTION) & ((get(sig, JAVA_FUNCTION, 3) != "") | (get(sig, JAVA_FUNCTION, 6) != ";")), "function")
-        .when(like(code, JAVA_IMPORT), "import")
-        .when(like(code, JAVA_PACKAGE), "package")
-        .when(like(code, JAVA_FIELD), "field")
-    )
-    python_tag = (
-        F.when(like(sig, PYTHON_TYPE), "type")
-        .when(like(sig, PYTHON_FUNCTION), "function")
-        .when(like(code, r"^(?:import|from)\s"), "import")
-    )
-    go_tag = (
-        F.when(like(code, GO_TYPE), "type")
-        .when(like(sig, GO_METHOD), "method")
-        .when(like(sig, GO_FUNCTION), "function")
-        .when(like(code, GO_PACKAGE), "package")
-        .when(like(raw, go_import) & ~like(code, r"[{}=:,]"), "import")
-        .when(like(code, GO_FIELD), "field")
-    )
-    js_tag = (
-        F.when(like(code, JS_CLASS), "type")
-        .when(typescript & like(code, JS_INTERFACE), "type")
-        .when(has_args & like(sig, JS_FUNCTION), "function")
-        .when(has_args & like(sig, JS_METHOD), "method")
-        .when(like(code, r"^import\b(?!\s*\()"), "import")
-    )
-    fn_names = F.filter(
-        F.regexp_extract_all(code, F.lit(fv.GENERIC_FUNCTION_PATTERN), F.lit(2)), lambda n: ~n.isin(*fv.GENERIC_NOT_FUNCTIONS)
-    )
-    generic_tag = F.when(like(code, fv.GENERIC_TYPE_PATTERN), "type").when(F.size(fn_names) > 0, "function")
-    df = lines.withColumn(
-        "tag", choose(family, {"java": java_tag, "python": python_tag, "go": go_tag, "js": js_tag}, generic_tag)
-    )
-    brackets = F.when(family == "python", F.regexp_count(code, F.lit(r"[(\[{]"))).otherwise(F.regexp_count(code, F.lit(r"\{")))
-    closers = F.when(family == "python", F.regexp_count(code, F.lit(r"[)\]}]"))).otherwise(F.regexp_count(code, F.lit(r"\}")))
-    df = df.filter(
-        F.col("tag").isNotNull()
-        | F.when(family == "python", F.btrim(code, F.lit(texts_blank)) != "").when(
-            family == "generic", F.lit(False)
-        ).otherwise(like(code, r"[{}]"))
-    )
-    tag = F.col("tag")
+    def without(chars: str) -> Column:
+        return F.octet_length(code) - F.octet_length(F.translate(code, chars, ""))
+
+    opens = F.when(family == "python", without("([{")).when(family == "generic", 0).otherwise(without("{"))
+    closes = F.when(family == "python", without(")]}")).when(family == "generic", 0).otherwise(without("}"))
 
     def of(cases: dict[tuple[str, str], Column]) -> Column:
         case = F
@@ -329,24 +381,8 @@ def tag_lines(lines: DataFrame) -> DataFrame:
         family.isin("java", "js") & like(code, r"^\s*@"), F.regexp_extract_all(get(raw, rf"^\s*{_NOTES}", 0), F.lit(r"@[\w.]+(?:\([^)]*\))?"), F.lit(0))
     ).otherwise(no_text)
     receiver_words = F.split(F.btrim(get(sig, GO_METHOD, 2), F.lit(" ")), r"\s+")
-    first_paren_end = F.when(family == "java", get(sig, JAVA_FUNCTION, 0)).otherwise("")
-    return df.select(
-        "relative_path", "language", "family", "guessed", "n_lines", "line_no", "tag", "docstring", "reach",
-        F.when(family == "python", F.length(get(code, r"^[ \t]*", 0))).otherwise(0).alias("indent"),
-        (F.when(family == "generic", 0).otherwise(brackets)).alias("opens"),
-        (F.when(family == "generic", 0).otherwise(closers)).alias("closes"),
-        F.startswith(F.ltrim(code), F.lit(STRING_END)).alias("in_string"),
-        of({
-            ("java", "type"): get(sig, JAVA_TYPE, 3), ("java", "function"): get(sig, JAVA_FUNCTION, 4),
-            ("java", "field"): get(code, JAVA_FIELD, 3), ("java", "package"): get(code, JAVA_PACKAGE, 1),
-            ("python", "type"): get(sig, PYTHON_TYPE, 1), ("python", "function"): get(sig, PYTHON_FUNCTION, 3),
-            ("go", "type"): get(code, GO_TYPE, 1), ("go", "method"): get(sig, GO_METHOD, 3),
-            ("go", "function"): get(sig, GO_FUNCTION, 2), ("go", "package"): get(code, GO_PACKAGE, 1),
-            ("go", "field"): get(code, GO_FIELD, 1),
-            ("js", "type"): F.when(like(code, JS_CLASS), get(code, JS_CLASS, 1)).otherwise(get(code, JS_INTERFACE, 1)),
-            ("js", "function"): get(sig, JS_FUNCTION, 2), ("js", "method"): get(sig, JS_METHOD, 3),
-            ("generic", "type"): get(code, fv.GENERIC_TYPE_PATTERN, 2),
-        }).alias("name"),
+    whole_head = F.when(family == "java", get(sig, JAVA_FUNCTION, 0)).otherwise("")
+    parts = F.struct(
         of({
             ("java", "type"): F.when(java_kind == "@interface", "interface").otherwise(java_kind), ("python", "type"): F.lit("class"),
             ("go", "type"): F.when(get(code, GO_TYPE, 2) == "interface", "interface").otherwise("struct"),
@@ -354,7 +390,7 @@ def tag_lines(lines: DataFrame) -> DataFrame:
             ("js", "type"): F.when(like(code, JS_CLASS), "class").otherwise("interface"),
             ("generic", "type"): get(code, fv.GENERIC_TYPE_PATTERN, 1),
         }).alias("kind"),
-        F.when(family == "generic", fn_names).alias("fn_names"),
+        F.when(family == "generic", _generic_functions(code)).alias("fn_names"),
         of({
             ("java", "function"): get(sig, JAVA_FUNCTION, 3), ("java", "field"): get(code, JAVA_FIELD, 2),
             ("python", "function"): get(sig, PYTHON_FUNCTION, 5), ("go", "field"): get(code, GO_FIELD, 2),
@@ -362,10 +398,11 @@ def tag_lines(lines: DataFrame) -> DataFrame:
         }).alias("type_text"),
         F.coalesce(_split_list(args, r",(?![^<(]*[>)])"), no_text).alias("parameters"),
         F.filter(F.split(F.btrim(F.coalesce(modifiers, F.lit("")), F.lit(" \t\n")), r"\s+"), lambda m: m != "").alias("modifiers"),
-        F.concat(F.coalesce("decorators", no_text), inline_notes).alias("decorators"),
+        F.concat(F.coalesce("above.found", no_text), inline_notes).alias("decorators"),
+        F.coalesce("above.reach", F.lit(0)).alias("reach"),
+        F.coalesce("docstring", F.lit("")).alias("docstring"),
         F.coalesce(superclass, F.lit("")).alias("superclass"),
         F.coalesce(interfaces, no_text).alias("interfaces"),
-        of({("go", "method"): F.ltrim(F.regexp_replace(F.element_at(receiver_words, -1), r"\[.*$", ""), F.lit("*"))}).alias("receiver"),
         of({
             ("java", "import"): F.array(get(raw, JAVA_IMPORT, 1)),
             ("python", "import"): F.array(get(raw_sig, PYTHON_IMPORT, 0)),
@@ -373,123 +410,142 @@ def tag_lines(lines: DataFrame) -> DataFrame:
             ("go", "import"): F.when(like(code, r"^\s*import\b"), F.regexp_extract_all(raw, F.lit(r'(?:[\w.]+\s+)?"[^"]*"'), F.lit(0)))
             .otherwise(F.array(F.btrim(raw, F.lit(" \t")))),
         }).alias("import_texts"),
-        # A body, a semicolon, or neither on the head's last line; and how many lines the head takes.
+        # What ends a head (a body, a semicolon, or neither on its last line) and how many lines it takes.
         of({("java", "function"): get(sig, JAVA_FUNCTION, 6)}).alias("terminator"),
-        texts.newline_count(F.btrim(first_paren_end, F.lit("\n"))).alias("head_lines"),
+        texts.newline_count(F.btrim(whole_head, F.lit("\n"))).alias("head_lines"),
+    )
+    return df.select(
+        "relative_path", "language", "family", "guessed", "n_lines", "line_no", "tag",
+        F.when(family == "python", F.length(get(code, r"^[ \t]*", 0))).otherwise(0).alias("indent"),
+        opens.cast("int").alias("opens"),
+        closes.cast("int").alias("closes"),
+        F.startswith(F.ltrim(code), F.lit(STRING_END)).alias("in_string"),
+        of({
+            ("java", "type"): get(sig, JAVA_TYPE, 3), ("java", "function"): get(sig, JAVA_FUNCTION, 4),
+            ("java", "field"): get(code, JAVA_FIELD, 3), ("java", "package"): get(code, JAVA_PACKAGE, 1),
+            ("python", "type"): get(sig, PYTHON_TYPE, 1), ("python", "function"): get(sig, PYTHON_FUNCTION, 3),
+            ("go", "type"): get(code, GO_TYPE, 1), ("go", "method"): get(sig, GO_METHOD, 3),
+            ("go", "function"): get(sig, GO_FUNCTION, 2), ("go", "package"): get(code, GO_PACKAGE, 1),
+            ("go", "field"): get(code, GO_FIELD, 1),
+            ("js", "type"): F.when(like(code, JS_CLASS), get(code, JS_CLASS, 1)).otherwise(get(code, JS_INTERFACE, 1)),
+            ("js", "function"): get(sig, JS_FUNCTION, 2), ("js", "method"): get(sig, JS_METHOD, 3),
+            ("generic", "type"): get(code, fv.GENERIC_TYPE_PATTERN, 2),
+        }).alias("name"),
+        of({("go", "method"): F.ltrim(F.regexp_replace(F.element_at(receiver_words, -1), r"\[.*$", ""), F.lit("*"))}).alias("receiver"),
+        F.when(tag.isNotNull() & (tag != "package"), parts).alias("d"),
     )
 
 
+HEAD_FIELDS = ("line_no", "code", "raw", "sig", "raw_sig", "above", "docstring")
 NO_TEXTS = "cast(array() as array<string>)"
-texts_blank = " \t\x0b\x0c\r"
+BLANKS = " \t\x0b\x0c\r"
 
 
 # --- windows over the lines of a file -----------------------------------------------------------
 
 
 def resolve(tagged: DataFrame) -> DataFrame:
-    """Depth, owner, block end and type number of every tagged line; one shuffle by file."""
+    """Depth, owner, block end and type number of every tagged line.
+
+    One shuffle by file and three sorts within it: by line, by (level, line), by line again.
+    """
     by_file = Window.partitionBy("relative_path")
     down = by_file.orderBy("line_no")
     so_far = down.rowsBetween(Window.unboundedPreceding, 0)
-    # Later lines, nearest last: in falling order a running frame replaces a growing one.
-    after = by_file.orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
-    family, tag = F.col("family"), F.col("tag")
+    family, tag, name = F.col("family"), F.col("tag"), F.col("name")
+    opens, closes, kind = F.col("opens"), F.col("closes"), F.col("d.kind")
     python, generic = family == "python", family == "generic"
 
-    df = tagged.withColumn("depth_after", F.sum(F.col("opens") - F.col("closes")).over(so_far))
-    df = df.withColumn("depth", F.col("depth_after") - F.col("opens") + F.col("closes"))
-    df = df.withColumn("prev_line", F.lag("line_no").over(down))
-    df = df.withColumn("package", F.last(F.when(tag == "package", F.col("name")), ignorenulls=True).over(so_far))
+    df = tagged.withColumn("depth_after", F.sum(opens - closes).over(so_far)).withColumn("prev_line", F.lag("line_no").over(down))
+    df = df.withColumn("depth", F.col("depth_after") - opens + closes)
+    # In Python a line inside brackets or a string has no indentation of its own.
     df = df.withColumn("inner", python & ((F.col("depth") > 0) | F.col("in_string")))
-    top = F.when(python, (F.col("indent") == 0) & ~F.col("inner")).when(generic, F.lit(True)).otherwise(F.col("depth") == 0)
-    df = df.withColumn("top", top)
+    df = df.withColumn(
+        "top", F.when(python, (F.col("indent") == 0) & ~F.col("inner")).when(generic, F.lit(True)).otherwise(F.col("depth") == 0)
+    )
     df = df.withColumn("is_type", F.coalesce((tag == "type") & F.col("top"), F.lit(False)))
     df = df.withColumn("type_no", (F.sum(F.col("is_type").cast("int")).over(so_far) - 1).cast("int"))
-    df = df.withColumn("has_types", F.max("is_type").over(by_file))
-    df = df.withColumn("last_line", F.max("line_no").over(by_file))
-
-    # Python: a block ends at the last line before the next one that is not deeper.
-    df = df.withColumn("body_indent", F.last(F.when(~F.col("inner"), F.col("indent")), ignorenulls=True).over(after))
-    df = df.withColumn("top_end", F.last(F.when(F.col("top"), F.col("prev_line")), ignorenulls=True).over(after))
+    df = df.withColumn(
+        "body_indent",
+        F.expr("lead(if(inner, null, indent)) ignore nulls over (partition by relative_path order by line_no)"),
+    )
+    go_type = F.when((family == "go") & F.col("is_type"), F.struct("name", "type_no"))
+    df = (
+        df.withColumn("has_types", F.max("is_type").over(by_file))
+        .withColumn("last_line", F.max("line_no").over(by_file))
+        .withColumn("package", F.coalesce(F.max(F.when(tag == "package", name)).over(by_file), "guessed"))
+        .withColumn("go_types", F.collect_list(go_type).over(by_file))
+    )
+    df = attach_receivers(df)
 
-    # Braces: lines that open are filed under the depth before them, others under the depth after;
-    # the next line in the same file closes what this one opened.
-    opens, closes = F.col("opens"), F.col("closes")
-    df = df.withColumn("level", F.when(opens > closes, F.col("depth")).otherwise(F.col("depth_after")))
+    # Lines that open are filed under the depth before them, others under the depth after, Python lines
+    # under their indentation: the next line in the same file ends what this one began.
+    df = df.withColumn(
+        "level",
+        F.when(python, F.when(F.col("inner"), -1).otherwise(F.col("indent"))).when(opens > closes, F.col("depth")).otherwise(F.col("depth_after")),
+    )
     beside = Window.partitionBy("relative_path", "level").orderBy("line_no")
-    braces = F.struct("line_no", "opens", "closes")
-    df = df.withColumn("next1", F.lead(braces, 1).over(beside)).withColumn("next2", F.lead(braces, 2).over(beside))
+    line = F.struct("line_no", "prev_line", "opens", "closes")
+    df = df.withColumn("next1", F.lead(line, 1).over(beside)).withColumn("next2", F.lead(line, 2).over(beside))
     one_line = (opens == closes) & (opens > 0)
-    later = F.when(
-        F.col("next1.opens") == F.col("next1.closes"), F.col("next1.line_no")
-    ).otherwise(F.col("next2.line_no"))
-    declares_only = (F.col("terminator") == ";") | ((family == "go") & (tag == "type") & (F.col("kind") != "interface") & (opens == 0))
+    later = F.when(F.col("next1.opens") == F.col("next1.closes"), F.col("next1.line_no")).otherwise(F.col("next2.line_no"))
+    bodiless = (F.col("d.terminator") == ";") | ((family == "go") & (tag == "type") & (kind != "interface") & (opens == 0))
     brace_end = (
         F.when(one_line, F.col("line_no"))
         .when(opens > closes, F.col("next1.line_no"))
-        .when(F.coalesce(declares_only, F.lit(False)), F.col("line_no") + F.col("head_lines"))
+        .when(F.coalesce(bodiless, F.lit(False)), F.col("line_no") + F.col("d.head_lines"))
         .otherwise(later)
     )
     df = df.withColumn(
         "end_line",
-        F.when(generic, F.col("line_no")).when(python, F.coalesce("top_end", "last_line")).otherwise(F.coalesce(brace_end, F.col("n_lines"))),
-    )
+        F.when(generic, F.col("line_no"))
+        .when(python, F.coalesce("next1.prev_line", "last_line"))
+        .otherwise(F.coalesce(brace_end, F.col("n_lines"))),
+    ).drop("next1", "next2", "level")
 
-    # The owner is the last type above. In Python any other top-level line ends it.
+    # The owner is the last type above; in Python any other top-level line ends it.
     scope = F.struct(
-        F.col("is_type").alias("valid"), "name", "kind", "type_no", "line_no", "end_line",
+        F.col("is_type").alias("valid"), "name", kind.alias("kind"), "type_no", "line_no", "end_line",
         F.when(python, F.col("body_indent")).otherwise(0).alias("body_indent"),
     )
     df = df.withColumn("scope", F.last(F.when(F.col("is_type") | (python & F.col("top")), scope), ignorenulls=True).over(so_far))
-    df = df.withColumn("scope", F.when(F.col("scope.valid") & (generic | python | (F.col("line_no") <= F.col("scope.end_line"))), F.col("scope")))
-    shallow = ~F.col("inner") & (F.col("top") | (F.col("indent") <= F.coalesce("scope.body_indent", F.lit(0))))
-    df = df.withColumn("member_end", F.last(F.when(shallow, F.col("prev_line")), ignorenulls=True).over(after))
+    open_scope = F.col("scope.valid") & (generic | python | (F.col("line_no") <= F.col("scope.end_line")))
+    df = df.withColumn("scope", F.when(open_scope, F.col("scope")))
     df = df.withColumn(
-        "end_line", F.when(python & ~F.col("top"), F.coalesce("member_end", "last_line")).otherwise(F.col("end_line"))
+        "end_line", F.when(python & ~F.col("top"), F.least("end_line", "scope.end_line")).otherwise(F.col("end_line"))
     )
 
     # Where the line stands: a member of its type, on the module level, or neither.
-    name, in_scope = F.col("name"), F.col("scope").isNotNull()
-    member = in_scope & (
+    member = F.col("scope").isNotNull() & (
         F.when(python, ~F.col("inner") & ~F.col("top") & (F.col("indent") == F.col("scope.body_indent")))
         .when(generic, F.lit(True))
         .otherwise((F.col("depth") == 1) & (F.col("line_no") > F.col("scope.line_no")))
     )
     df = df.withColumn("member", F.coalesce(member, F.lit(False)))
-    df = attach_receivers(df)
-    function_of_type = F.col("member") & (
-        ((family == "java") & (tag == "function") & ((F.col("type_text") != "") | (name == F.col("scope.name"))))
+    # A bare ``name(...)`` is a constructor only under its type's name.
+    of_type = F.col("member") & (
+        ((family == "java") & (tag == "function") & ((F.col("d.type_text") != "") | (name == F.col("scope.name"))))
         | (python & (tag == "function"))
         | ((family == "js") & (tag == "method") & (F.col("scope.kind") == "class"))
-        | (generic & (F.size("fn_names") > 0))
+        | (generic & (F.size("d.fn_names") > 0))
     )
     free = F.col("top") & (tag == "function") & ~F.col("has_types") & family.isin("python", "js", "generic")
-    go_function = (family == "go") & (tag == "function") & F.col("top")
-    role = (
-        F.when(F.coalesce(function_of_type, F.lit(False)), "member")
-        .when(F.coalesce((family == "go") & (tag == "method") & F.col("receiver_type").isNotNull(), F.lit(False)), "received")
-        .when(F.coalesce(go_function, F.lit(False)), "own")
-        .when(F.coalesce(free, F.lit(False)), "module")
+    df = df.withColumn(
+        "role",
+        F.when(F.coalesce(of_type, F.lit(False)), "member")
+        .when(F.coalesce((tag == "method") & F.col("receiver_type").isNotNull(), F.lit(False)), "received")
+        .when(F.coalesce((family == "go") & (tag == "function") & F.col("top"), F.lit(False)), "own")
+        .when(F.coalesce(free, F.lit(False)), "module"),
     )
-    df = df.withColumn("role", role)
-    df = df.withColumn("package", F.coalesce(F.last("package", ignorenulls=True).over(by_file.orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "guessed"))
-    df = df.withColumn("module_no", F.when(F.col("role") == "module", F.row_number().over(by_file.orderBy(F.col("role") == "module", "line_no"))))
     first_module = F.min(F.when(F.col("role") == "module", F.col("line_no"))).over(by_file)
-    return df.withColumn("opens_module", F.coalesce((F.col("role") == "module") & (F.col("line_no") == first_module), F.lit(False))).drop("module_no")
+    return df.withColumn("opens_module", F.coalesce((F.col("role") == "module") & (F.col("line_no") == first_module), F.lit(False)))
 
 
 def attach_receivers(df: DataFrame) -> DataFrame:
-    """Go methods to the type their receiver names in the same file; null if there is none.
-
-    Types and methods meet in a window on (file, type name): a join within the partitioning by file.
-    """
-    go = F.col("family") == "go"
-    link = F.when(go & F.col("is_type"), F.col("name")).when(go & (F.col("tag") == "method"), F.col("receiver"))
-    same = Window.partitionBy("relative_path", "link")
-    target = F.struct("type_no", "name")
-    return df.withColumn("link", link).withColumn(
-        "receiver_type", F.when(F.col("link").isNotNull(), F.max(F.when(F.col("is_type"), target)).over(same))
-    ).drop("link")
+    """Go methods to the type their receiver names in the same file, null if there is none: an equi-join
+    that stays within the rows of a file, whose types ``go_types`` lists."""
+    named = F.filter("go_types", lambda t: t["name"] == F.col("receiver"))
+    return df.withColumn("receiver_type", F.when(F.col("receiver").isNotNull(), F.get(named, F.lit(0)))).drop("go_types")
 
 
 # --- the four tables ----------------------------------------------------------------------------
@@ -500,7 +556,7 @@ def declarations(files: DataFrame) -> Declared:
 
     The four tables share one plan; ``persist`` the files' resolved lines if several are needed.
     """
-    return tables(resolve(tag_lines(explode_lines(files))))
+    return tables(resolve(tag_lines(files)))
 
 
 def module_name() -> Column:
@@ -514,32 +570,32 @@ FIRST_OWN = 1 << 20  # functions that stand as types of their own are numbered a
 def tables(resolved: DataFrame) -> Declared:
     opens_module, role = F.col("opens_module"), F.col("role")
     own = F.coalesce(role == "own", F.lit(False))
-    start = F.when(F.col("family") == "java", F.col("line_no") - F.col("reach")).otherwise(F.col("line_no"))
+    start = F.when(F.col("family") == "java", F.col("line_no") - F.col("d.reach")).otherwise(F.col("line_no"))
     own_no = (F.col("line_no") + FIRST_OWN).cast("int")
     types = resolved.filter(F.col("is_type") | opens_module | own).select(
         "relative_path", "language",
         F.when(opens_module, 0).when(own, own_no).otherwise(F.col("type_no")).cast("int").alias("type_no"),
         "package",
         F.when(opens_module, module_name()).otherwise(F.col("name")).alias("name"),
-        F.when(opens_module, "module").otherwise(F.col("kind")).alias("kind"),
-        "superclass", "interfaces",
-        F.when(opens_module, F.expr(NO_TEXTS)).otherwise(F.col("decorators")).alias("decorators"),
-        F.coalesce("docstring", F.lit("")).alias("docstring"),
+        F.when(opens_module, "module").otherwise(F.col("d.kind")).alias("kind"),
+        "d.superclass", "d.interfaces",
+        F.when(opens_module, F.expr(NO_TEXTS)).otherwise(F.col("d.decorators")).alias("decorators"),
+        F.when(opens_module, "").otherwise(F.col("d.docstring")).alias("docstring"),
         F.when(opens_module, 1).otherwise(start).cast("int").alias("start_line"),
         F.when(opens_module, F.col("n_lines")).otherwise(F.col("end_line")).cast("int").alias("end_line"),
     ).withColumn("fqn", texts.fqn(F.col("package"), F.col("name")))
 
     generic = F.col("family") == "generic"
-    names = F.when(generic, F.col("fn_names")).otherwise(F.array("name"))
+    names = F.when(generic, F.col("d.fn_names")).otherwise(F.array("name"))
     functions = resolved.filter(role.isNotNull()).select(
         "relative_path", "language",
         F.when(role == "member", F.col("scope.type_no")).when(role == "received", F.col("receiver_type.type_no"))
         .when(own, own_no).otherwise(0).cast("int").alias("type_no"),
         F.when(role == "member", F.col("scope.name")).when(role == "received", F.col("receiver_type.name"))
         .when(own, F.col("name")).otherwise(module_name()).alias("owner"),
-        F.when(generic, "").when(F.col("family") == "java", F.coalesce(F.nullif("type_text", F.lit("")), F.lit("void")))
-        .otherwise(F.coalesce("type_text", F.lit(""))).alias("return_type"),
-        "parameters", "decorators", "modifiers",
+        F.when(generic, "").when(F.col("family") == "java", F.coalesce(F.nullif("d.type_text", F.lit("")), F.lit("void")))
+        .otherwise(F.coalesce("d.type_text", F.lit(""))).alias("return_type"),
+        "d.parameters", "d.decorators", "d.modifiers",
         start.cast("int").alias("start_line"),
         F.col("end_line").cast("int").alias("end_line"),
         F.posexplode_outer(names).alias("place", "name"),
@@ -548,10 +604,10 @@ def tables(resolved: DataFrame) -> Declared:
     field_owner = ((F.col("family") == "java")) | ((F.col("family") == "go") & (F.col("scope.kind") == "struct"))
     fields = resolved.filter((F.col("tag") == "field") & F.col("member") & field_owner).select(
         "relative_path", F.col("scope.type_no").alias("type_no"), F.col("scope.name").alias("owner"), "name",
-        F.col("type_text").alias("type"), "line_no",
+        F.col("d.type_text").alias("type"), "line_no",
     )
     at_top = F.col("top") | (F.col("family") == "go")
     imports = resolved.filter((F.col("tag") == "import") & at_top).select(
-        "relative_path", "line_no", F.posexplode("import_texts").alias("place", "text")
+        "relative_path", "line_no", F.posexplode("d.import_texts").alias("place", "text")
     ).withColumn("import_text", F.when(F.endswith("relative_path", F.lit(".go")), F.btrim("text", F.lit('"'))).otherwise(F.col("text"))).drop("text")
     return Declared(types, functions, fields, imports)

@@ -334,3 +334,144 @@ SELECT source, doc_id, n_chars, rank FROM (
   SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents)
 WHERE rank <= 3""",
 }
+
+
+def _per_language(**rows: str) -> str:
+    return " UNION ALL ".join(rows.values())
+
+
+# Where the templates put every declaration, by arithmetic on the number of methods.
+_I = "CROSS JOIN LATERAL (SELECT unnest(range(n)) AS i)"
+SPANS = f"""
+{CODE},
+types_ AS (
+  SELECT relative_path, lang, k, n, 0 AS type_no, 'Order' || k || 'Controller' AS name, 'class' AS kind, 'com.shop.o' || k % 20 AS package,
+    'BaseOrder' AS superclass, 'Readable|Comparable<Order' || k || 'Controller>' AS interfaces,
+    '@RestController|@RequestMapping("/orders' || k || '")' AS decorators, 9 AS s, 25 + 10 * n AS e FROM code WHERE lang = 'java'
+  UNION ALL SELECT relative_path, lang, k, n, 0, 'Order' || k, 'class', 'shop.orders', 'Base', 'Mixin', '@dataclass', 9, 18 + 10 * n FROM code WHERE lang = 'python'
+  UNION ALL SELECT relative_path, lang, k, n, 0, 'Order' || k, 'struct', 'orders' || k % 20, '', '', '', 9, 12 FROM code WHERE lang = 'go'
+  UNION ALL SELECT relative_path, lang, k, n, 1, 'Reader' || k, 'interface', 'orders' || k % 20, '', '', '', 14, 16 FROM code WHERE lang = 'go'
+  UNION ALL SELECT relative_path, lang, k, n, 2, 'helper', 'function', 'orders' || k % 20, '', '', '', 21 + 8 * n, 21 + 8 * n FROM code WHERE lang = 'go'
+  UNION ALL SELECT relative_path, lang, k, n, 0, 'Order' || k, 'class', 'orders' || k % 20, 'BaseOrder', '', '', 5, 11 + 8 * n FROM code WHERE lang = 'javascript'
+  UNION ALL SELECT relative_path, lang, k, n, 0, 'Line' || k, 'interface', 'orders' || k % 20, '', '', '', 3, 5 FROM code WHERE lang = 'typescript'
+  UNION ALL SELECT relative_path, lang, k, n, 1, 'Order' || k, 'class', 'orders' || k % 20, 'BaseOrder', 'Readable', '', 7, 11 + 7 * n FROM code WHERE lang = 'typescript'),
+fns_ AS (
+  SELECT relative_path, 0 AS type_no, 0 AS fn, 'Order' || k || 'Controller' AS owner, 'Order' || k || 'Controller' AS name, 'void' AS ret,
+    'int total' AS params, '' AS deco, true AS pub, 17 AS s, 19 AS e FROM code WHERE lang = 'java'
+  UNION ALL SELECT relative_path, 0, i + 1, 'Order' || k || 'Controller', 'line' || i, 'long', '@Param("q") int quantity|List<String> tags',
+    '@GetMapping("/lines/' || i || '")', true, 21 + 10 * i, 29 + 10 * i FROM code {_I} WHERE lang = 'java'
+  UNION ALL SELECT relative_path, 0, n + 1, 'Order' || k || 'Controller', 'close', 'void', '', '', false, 21 + 10 * n, 24 + 10 * n FROM code WHERE lang = 'java'
+  UNION ALL SELECT relative_path, 0, 0, 'Order' || k, '__init__', '', 'self|total', '', false, 15, 16 FROM code WHERE lang = 'python'
+  UNION ALL SELECT relative_path, 0, i + 1, 'Order' || k, 'line' || i, 'int', 'self|quantity: int|tags=None', '@cached', true, 19 + 10 * i, 26 + 10 * i FROM code {_I} WHERE lang = 'python'
+  UNION ALL SELECT relative_path, 0, n + 1, 'Order' || k, '_close', '', 'self', '', false, 18 + 10 * n, 18 + 10 * n FROM code WHERE lang = 'python'
+  UNION ALL SELECT relative_path, 0, i, 'Order' || k, 'Line' || i, '', 'quantity int|tags []string', '', true, 18 + 8 * i, 24 + 8 * i FROM code {_I} WHERE lang = 'go'
+  UNION ALL SELECT relative_path, 2, 0, 'helper', 'helper', '', 'n int', '', false, 21 + 8 * n, 21 + 8 * n FROM code WHERE lang = 'go'
+  UNION ALL SELECT relative_path, 0, 0, 'Order' || k, 'constructor', '', 'total', '', true, 6, 8 FROM code WHERE lang = 'javascript'
+  UNION ALL SELECT relative_path, 0, i + 1, 'Order' || k, 'line' || i, '', 'quantity|tags', '', true, 10 + 8 * i, 16 + 8 * i FROM code {_I} WHERE lang = 'javascript'
+  UNION ALL SELECT relative_path, 0, n + 1, 'Order' || k, 'close', '', '', '', true, 10 + 8 * n, 10 + 8 * n FROM code WHERE lang = 'javascript'
+  UNION ALL SELECT relative_path, 1, 0, 'Order' || k, 'constructor', '', 'private total: number', '', true, 8, 9 FROM code WHERE lang = 'typescript'
+  UNION ALL SELECT relative_path, 1, i + 1, 'Order' || k, 'line' || i, 'number', 'quantity: number|tags: string[]', '', true, 11 + 7 * i, 16 + 7 * i FROM code {_I} WHERE lang = 'typescript')"""
+
+
+def _script_cte() -> str:
+    langs = ", ".join(quoted(x) for x in derived.SCRIPT_PATHS)
+    paths = " ".join(f"WHEN '{x}' THEN {_filled(p)}" for x, p in derived.SCRIPT_PATHS.items())
+    return (
+        f"scripts AS (SELECT k, n, lang, CASE lang {paths} END AS relative_path FROM (SELECT p_partkey AS k,"
+        f" (p_size % 5 + 1)::INT AS n, [{langs}][(p_partkey % 4 + 1)::INT] AS lang FROM part))"
+    )
+
+
+SCRIPTS = _script_cte()
+
+
+def _typed_walk(limit: int) -> str:
+    """All chunks below the whole file, from the known spans: slices, next-fit over functions, then over lines."""
+    return f"""
+{SPANS},
+big AS MATERIALIZED (SELECT relative_path, string_split(content, chr(10)) AS ls FROM code WHERE {tokens("content")} > {limit}),
+tt AS MATERIALIZED (SELECT *, {tokens("body")} AS t FROM (
+  SELECT t.*, ls, array_to_string(ls[s:e], chr(10)) AS body FROM types_ t JOIN big USING (relative_path))),
+ff AS MATERIALIZED (SELECT *, {tokens("body")} AS t,
+    row_number() OVER (PARTITION BY relative_path, type_no ORDER BY fn) AS pos FROM (
+  SELECT f.*, tt.ls, array_to_string(tt.ls[f.s:f.e], chr(10)) AS body FROM fns_ f JOIN tt USING (relative_path, type_no) WHERE tt.t > {limit})),
+heads AS (SELECT tt.relative_path, tt.name, array_to_string(tt.ls[tt.s:coalesce(f.s, tt.e) - 1], chr(10)) AS body
+  FROM tt LEFT JOIN ff f ON f.relative_path = tt.relative_path AND f.type_no = tt.type_no AND f.pos = 1 WHERE tt.t > {limit}),
+fw AS (
+  SELECT relative_path, type_no, pos, t AS w, t > {limit} AS alone, 0 AS g FROM ff WHERE pos = 1
+  UNION ALL
+  SELECT f.relative_path, f.type_no, f.pos, CASE WHEN f.t > {limit} OR x.alone OR x.w + f.t > {limit} THEN f.t ELSE x.w + f.t END, f.t > {limit},
+    CASE WHEN f.t > {limit} OR x.alone OR x.w + f.t > {limit} THEN x.g + 1 ELSE x.g END
+  FROM fw x JOIN ff f ON f.relative_path = x.relative_path AND f.type_no = x.type_no AND f.pos = x.pos + 1),
+gg AS (SELECT relative_path, type_no, g, any_value(ff.owner) AS owner, min_by(ff.name, pos) AS first_name, max_by(ff.name, pos) AS last_name,
+    string_agg(ff.name, ',' ORDER BY pos) AS names, array_to_string(any_value(ff.ls)[min(ff.s):max(ff.e)], chr(10)) AS body
+  FROM fw JOIN ff USING (relative_path, type_no, pos) WHERE NOT alone GROUP BY relative_path, type_no, g),
+fl AS MATERIALIZED (SELECT relative_path, owner, name, j, line, {tokens("(line || chr(10))")} AS c FROM (
+  SELECT relative_path, owner, name, generate_subscripts(string_split(body, chr(10)), 1) AS j, unnest(string_split(body, chr(10))) AS line FROM ff WHERE t > {limit})),
+lw AS (
+  SELECT relative_path, name, j, c::BIGINT AS w, 0 AS b FROM fl WHERE j = 1
+  UNION ALL
+  SELECT n.relative_path, n.name, n.j, CASE WHEN w.w + n.c > {limit} THEN n.c ELSE w.w + n.c END, CASE WHEN w.w + n.c > {limit} THEN w.b + 1 ELSE w.b END
+  FROM lw w JOIN fl n ON n.relative_path = w.relative_path AND n.name = w.name AND n.j = w.j + 1),
+parts AS (SELECT relative_path, name, b, any_value(owner) AS owner, sum(c)::BIGINT AS t, string_agg(line, chr(10) ORDER BY j) AS body
+  FROM lw JOIN fl USING (relative_path, name, j) GROUP BY ALL),
+levels AS (
+  SELECT relative_path || ':' || name AS chunk_id, 'type' AS level, t AS token_count, sha256(body) AS sha, name AS class_names,
+    coalesce((SELECT string_agg(f.name, ',' ORDER BY fn) FROM fns_ f WHERE f.relative_path = tt.relative_path AND f.type_no = tt.type_no), '') AS function_names
+  FROM tt WHERE t <= {limit}
+  UNION ALL SELECT relative_path || ':' || name || ':header', 'header', {tokens("body")}, sha256(body), name, '' FROM heads WHERE {tokens("body")} > 50
+  UNION ALL SELECT relative_path || ':' || owner || ':' || first_name || '-' || last_name, 'functions', {tokens("body")}, sha256(body), owner, names FROM gg
+  UNION ALL SELECT relative_path || ':' || owner || ':' || name || ':f' || b, 'function_part', t, sha256(body), owner, name FROM parts)"""
+
+
+def _level(limit: int, level: str) -> str:
+    return f"WITH RECURSIVE {_typed_walk(limit)} SELECT * FROM levels WHERE level = '{level}'"
+
+
+ORACLES |= {
+    "exploded_lines": f"""
+WITH {CODE} SELECT relative_path, len(string_split(content, chr(10))) AS lines,
+  length(replace(content, chr(10), '')) AS raw_chars, length(replace(content, chr(10), '')) AS code_chars,
+  len(string_split(content, chr(10))) * (len(string_split(content, chr(10))) + 1) // 2 AS line_no_sum FROM code""",
+    "declared_types": f"""
+WITH {SPANS} SELECT relative_path, name, kind, package || '.' || name AS fqn, superclass, interfaces, decorators, s AS start_line, e AS end_line FROM types_""",
+    "docstrings": f"""
+WITH {SPANS} SELECT relative_path, name, CASE lang WHEN 'java' THEN 'Lines of one order.' WHEN 'go' THEN 'Order holds lines.'
+  ELSE 'Lines of one order.' || chr(10) || chr(10) || '  class of text' END AS docstring
+FROM types_ WHERE type_no = 0 AND lang IN ('java', 'python', 'go')""",
+    "declared_functions": f"""
+WITH {SPANS} SELECT relative_path, owner, name, ret AS return_type, params AS parameters, deco AS decorators, pub AS is_public,
+  s AS start_line, e AS end_line FROM fns_""",
+    "methods_per_class": f"""
+WITH {SPANS} SELECT relative_path, owner, count(*) AS methods FROM fns_ GROUP BY ALL""",
+    "imports_by_file": f"""
+WITH {CODE} SELECT relative_path, line_no, import_text FROM code JOIN (VALUES
+  ('java', 3, 'java.util.List'), ('java', 4, 'static java.lang.Math.max'), ('python', 1, 'import os'),
+  ('python', 2, 'from typing import (' || chr(10) || '    List,' || chr(10) || '    Dict,' || chr(10) || ')'),
+  ('go', 4, 'fmt'), ('go', 5, 'log "std/log'), ('javascript', 1, 'import {{ a,' || chr(10) || '  b }} from ''shop'';'),
+  ('javascript', 3, 'import c from "cart";'), ('typescript', 1, 'import {{ a }} from ''shop'';')) v(lang, line_no, import_text) USING (lang)""",
+    "fields_table": f"""
+WITH {CODE} SELECT relative_path, CASE lang WHEN 'java' THEN 'Order' || k || 'Controller' ELSE 'Order' || k END AS owner, name, type, line_no
+FROM code JOIN (VALUES ('java', 'total', 'int', 13), ('java', 'names', 'List<String>', 14), ('go', 'ID', 'int', 10), ('go', 'Names', '[]string', 11))
+  v(lang, name, type, line_no) USING (lang)""",
+    "module_and_generic_types": f"""
+WITH {SCRIPTS} SELECT relative_path, CASE lang WHEN 'ruby' THEN 'User' || k WHEN 'javascript' THEN 'tools' ELSE 'module' END AS name,
+  CASE lang WHEN 'ruby' THEN 'class' ELSE 'module' END AS kind, CASE lang WHEN 'javascript' THEN 'tools' ELSE '' END AS package,
+  CASE lang WHEN 'ruby' THEN 2 ELSE 1 END AS start_line,
+  CASE lang WHEN 'ruby' THEN 2 WHEN 'python' THEN 4 * n + 2 ELSE 3 * n + 1 END AS end_line FROM scripts""",
+    "module_and_generic_functions": f"""
+WITH {SCRIPTS}, placed AS (SELECT *, CASE lang WHEN 'python' THEN 4 * i + 1 WHEN 'ruby' THEN 3 * i + 3 ELSE 3 * i + 1 END AS s FROM scripts {_I})
+SELECT relative_path, CASE lang WHEN 'ruby' THEN 'User' || k WHEN 'javascript' THEN 'tools' ELSE 'module' END AS owner,
+  CASE lang WHEN 'ruby' THEN 'm' WHEN 'rust' THEN 'calc' ELSE 'f' END || i AS name, s AS start_line,
+  s + CASE lang WHEN 'python' THEN 1 WHEN 'javascript' THEN 2 ELSE 0 END AS end_line FROM placed
+UNION ALL SELECT relative_path, 'User' || k, 'ready', s + 1, s + 1 FROM placed WHERE lang = 'ruby'""",
+    "type_chunks": _level(110, "type"),
+    "header_chunks": _level(110, "header"),
+    "function_groups": _level(110, "functions"),
+    "split_functions": _level(40, "function_part"),
+    "chunk_pipeline": f"""
+WITH RECURSIVE {_typed_walk(200)}
+SELECT c.lang AS language, level, count(*) AS chunks, sum(token_count)::BIGINT AS tokens
+FROM levels l JOIN code c ON starts_with(l.chunk_id, c.relative_path) GROUP BY ALL
+UNION ALL SELECT lang, 'file', count(*), sum({tokens("content")})::BIGINT FROM code WHERE {tokens("content")} <= 200 GROUP BY ALL""",
+}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import texts
 from corpusmill.functions.jsonfix import parse_typed, repair_json
 from corpusmill.functions.tokens import token_count
-from corpusmill.operators import blocks, chunking, inference, packing, rollups, routing
+from corpusmill.operators import blocks, chunking, declarations, inference, packing, rollups, routing
 from corpusmill.options import Options
 from corpusmill.session import scratch_path
 from corpusmill.sources import derived, files as fs, store as st
@@ -389,3 +389,109 @@ def average_complexity(spark, sf):
 def top_files_per_source(spark, sf):
     docs = derived.table(spark, sf, "documents").select("source", "doc_id", "n_chars")
     return rollups.top_k(docs, "n_chars", ["doc_id"], 3, by="source")
+
+
+# --- declarations -------------------------------------------------------------------------------
+
+
+def _declared(spark, sf):
+    return declarations.declarations(derived.code_files(spark, sf))
+
+
+@query
+def exploded_lines(spark, sf):
+    lines = declarations.explode_lines(derived.code_files(spark, sf))
+    return lines.groupBy("relative_path").agg(
+        F.count("*").alias("lines"), F.sum(F.length("raw")).alias("raw_chars"), F.sum(F.length("code")).alias("code_chars"),
+        F.sum("line_no").alias("line_no_sum"),
+    )
+
+
+@query
+def declared_types(spark, sf):
+    t = _declared(spark, sf).types
+    return t.select(
+        "relative_path", "name", "kind", "fqn", "superclass", F.array_join("interfaces", "|").alias("interfaces"),
+        F.array_join("decorators", "|").alias("decorators"), "start_line", "end_line",
+    )
+
+
+@query
+def docstrings(spark, sf):
+    return _declared(spark, sf).types.filter("docstring <> ''").select("relative_path", "name", "docstring")
+
+
+@query
+def declared_functions(spark, sf):
+    f = _declared(spark, sf).functions
+    return f.select(
+        "relative_path", "owner", "name", "return_type", F.array_join("parameters", "|").alias("parameters"),
+        F.array_join("decorators", "|").alias("decorators"), "is_public", "start_line", "end_line",
+    )
+
+
+@query
+def methods_per_class(spark, sf):
+    f = _declared(spark, sf).functions
+    return f.groupBy("relative_path", "owner").agg(F.count("*").alias("methods"))
+
+
+@query
+def imports_by_file(spark, sf):
+    return _declared(spark, sf).imports.select("relative_path", "line_no", "import_text")
+
+
+@query
+def fields_table(spark, sf):
+    return _declared(spark, sf).fields.select("relative_path", "owner", "name", "type", "line_no")
+
+
+@query
+def module_and_generic_types(spark, sf):
+    t = declarations.declarations(derived.script_files(spark, sf)).types
+    return t.select("relative_path", "name", "kind", "package", "start_line", "end_line")
+
+
+@query
+def module_and_generic_functions(spark, sf):
+    f = declarations.declarations(derived.script_files(spark, sf)).functions
+    return f.select("relative_path", "owner", "name", "start_line", "end_line")
+
+
+# --- chunks along declarations ------------------------------------------------------------------
+
+
+def _typed_chunks(spark, sf, max_tokens: int):
+    o = Options(max_tokens=max_tokens)
+    files = derived.code_files(spark, sf)
+    d = declarations.declarations(chunking.oversize(files, o))
+    chunks = chunking.typed_chunks(files, chunking.spans_of(d.types, d.functions), o)
+    return chunks.select("chunk_id", "level", "token_count", F.sha2("content", 256).alias("sha"),
+                         F.array_join("class_names", ",").alias("class_names"), F.array_join("function_names", ",").alias("function_names"))
+
+
+@query
+def type_chunks(spark, sf):
+    return _typed_chunks(spark, sf, 110).filter("level = 'type'")
+
+
+@query
+def header_chunks(spark, sf):
+    return _typed_chunks(spark, sf, 110).filter("level = 'header'")
+
+
+@query
+def function_groups(spark, sf):
+    return _typed_chunks(spark, sf, 110).filter("level = 'functions'")
+
+
+@query
+def split_functions(spark, sf):
+    return _typed_chunks(spark, sf, 40).filter("level = 'function_part'")
+
+
+@query
+def chunk_pipeline(spark, sf):
+    o = Options(max_tokens=200)
+    chunks = chunking.chunk(derived.code_files(spark, sf), o)
+    return chunks.groupBy("language", "level").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"))

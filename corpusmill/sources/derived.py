@@ -227,3 +227,29 @@ def analysis_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             f"'complexity_score', {score}, 'unknown', 7))"
         ).alias("payload"),
     )
+
+
+SCRIPT_TEMPLATES = {
+    "python": ("", "def f{i}(a, b):\n    return a\n\n\n", "x = 1\n"),
+    "javascript": ("", "function f{i}(a) {\n  return a;\n}\n", ""),
+    "ruby": ("# Users\nclass User{k}\n", "  def m{i}(x)\n    go if ready(x)\n  end\n", "end\n"),
+    "rust": ("", "fn calc{i}(x: i32) -> i32 {\n    x + 1\n}\n", ""),
+}
+SCRIPT_PATHS = {
+    "python": "tools/script{k}.py", "javascript": "lib/tools/util{k}.js", "ruby": "app/user{k}.rb", "rust": "src/calc{k}.rs",
+}
+
+
+def script_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file per part: functions without a type, and languages without rules of their own."""
+    langs = F.array(*[F.lit(x) for x in SCRIPT_TEMPLATES])
+    rows = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("k"), (F.col("p_size") % 5 + 1).cast("int").alias("n"),
+        F.element_at(langs, (F.col("p_partkey") % 4 + 1).cast("int")).alias("lang"),
+    )
+    content = choose(
+        F.col("lang"),
+        {x: F.concat(_filled(head), _methods(method), _filled(tail)) for x, (head, method, tail) in SCRIPT_TEMPLATES.items()},
+    )
+    path = choose(F.col("lang"), {x: _filled(p) for x, p in SCRIPT_PATHS.items()})
+    return scan_table(rows, content, path)
