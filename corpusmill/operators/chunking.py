@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import texts
-from corpusmill.operators import packing
+from corpusmill.operators import declarations, packing
 from corpusmill.options import Options
 
 CHUNK_COLUMNS = (
@@ -18,7 +18,6 @@ CHUNK_COLUMNS = (
     "class_names", "function_names", "level",
 )
 NO_NAMES = "cast(array() as array<string>)"
-NO_FUNCTIONS = "cast(array() as array<struct<start:int,end:int,name:string>>)"
 NO_SPANS = (
     "cast(array() as array<struct<type_no:int,name:string,start:int,end:int,"
     "functions:array<struct<start:int,end:int,name:string>>>>)"
@@ -105,22 +104,6 @@ def line_chunks(files: DataFrame, o: Options | None = None) -> DataFrame:
     ).select(*CHUNK_COLUMNS)
 
 
-def spans_of(types: DataFrame, functions: DataFrame) -> DataFrame:
-    """Per file, its types in order with their functions' lines; bounded by the size of a file."""
-    # ``type_no`` is the type's place in its file; functions carry their owner's.
-    fns = functions.groupBy("relative_path", "type_no").agg(
-        F.array_sort(
-            F.collect_list(F.struct(F.col("start_line").alias("start"), F.col("end_line").alias("end"), "name"))
-        ).alias("functions")
-    )
-    joined = types.join(fns, ["relative_path", "type_no"], "left")
-    span = F.struct(
-        "type_no", "name", F.col("start_line").alias("start"), F.col("end_line").alias("end"),
-        F.coalesce("functions", F.expr(NO_FUNCTIONS)).alias("functions"),
-    )
-    return joined.groupBy("relative_path").agg(F.array_sort(F.collect_list(span)).alias("spans"))
-
-
 def cut(files_with_spans: DataFrame, o: Options) -> DataFrame:
     """All chunk levels below the whole file, decided per file in one pass.
 
@@ -258,12 +241,8 @@ def typed_chunks(files: DataFrame, spans: DataFrame, o: Options | None = None) -
 
 def chunk(files: DataFrame, o: Options | None = None) -> DataFrame:
     """Source files to chunks: whole where they fit, else along declarations, else by lines."""
-    from corpusmill.operators.declarations import declarations
-
     o = o or Options()
-    big = oversize(files, o)
-    declared = declarations(big)
-    spans = spans_of(declared.types, declared.functions)
+    spans = declarations.file_spans(oversize(files, o))
     return whole_file_chunks(files, o).unionByName(typed_chunks(files, spans, o))
 
 

@@ -41,18 +41,18 @@ LEXEMES = {
 STRING_END = "\x01"  # closes a blanked string that spans lines
 
 _ARGS = r"(?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+"
-_NOTES = r"(?:@[\w.]+(?:\((?:[^()]++|\([^()]*+\))*+\))?\s*)*"
+_NOTES = r"(?:@[\w.]++(?:\((?:[^()]++|\([^()]*+\))*+\))?\s*+)*+"
 _JAVA_MODS = (
-    r"((?:(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp|transient|volatile|sealed|non-sealed)\s+)*)"
+    r"((?:(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp|transient|volatile|sealed|non-sealed)\s++)*+)"
 )
 _JAVA_WORDS = r"(?!(?:if|for|while|switch|catch|return|throw|new|else|try|do|case|assert|super|this|package|import|break|continue|goto|yield)\b)"
 _JAVA_TYPE = r"([\w$.]+(?:\s*<[^()=;]*>)?(?:\s*\[\s*\])*(?:\.\.\.)?)"
-JAVA_TYPE = rf"^\s*{_NOTES}{_JAVA_MODS}(class|interface|enum|record|@interface)\s+([\w$]+)([^{{]*)"
+JAVA_TYPE = rf"^\s*+{_NOTES}{_JAVA_MODS}(class|interface|enum|record|@interface)\s+([\w$]+)([^{{]*)"
 JAVA_FUNCTION = (
-    rf"^(\s*{_NOTES}{_JAVA_WORDS}{_JAVA_MODS}(?:<[^()=;]*>\s*)?(?:{_JAVA_TYPE}\s+)?{_JAVA_WORDS}([\w$]+)\s*\()({_ARGS})\)"
+    rf"^(\s*+{_NOTES}{_JAVA_WORDS}{_JAVA_MODS}(?:<[^()=;]*>\s*)?(?:{_JAVA_TYPE}\s+)?{_JAVA_WORDS}([\w$]+)\s*\()({_ARGS})\)"
     r"\s*(?:throws\s[^{;]*)?(?:default\s[^;]*)?([{;]|\z|\n)"
 )
-JAVA_FIELD = rf"^\s*{_NOTES}{_JAVA_WORDS}{_JAVA_MODS}{_JAVA_TYPE}\s+([\w$]+)\s*(?:=|;|,|\[|$)"
+JAVA_FIELD = rf"^\s*+{_NOTES}{_JAVA_WORDS}{_JAVA_MODS}{_JAVA_TYPE}\s+([\w$]+)\s*(?:=|;|,|\[|$)"
 JAVA_IMPORT = r"^\s*import\s+([^;]+?)\s*(?:;|$)"
 JAVA_PACKAGE = r"^\s*package\s+([\w.]+)"
 
@@ -72,7 +72,7 @@ JS_CLASS = rf"^{_JS_EXPORT}(?:abstract\s+)?class\s+([\w$]+)([^{{]*)"
 JS_INTERFACE = rf"^{_JS_EXPORT}interface\s+([\w$]+)"
 JS_FUNCTION = rf"^({_JS_EXPORT}(?:async\s+)?function\s*\*?\s*([\w$]+)\s*(?:<[^(]*>)?\s*\()({_ARGS})\)"
 JS_METHOD = (
-    rf"^(\s*{_NOTES}((?:(?:public|private|protected|static|async|readonly|override|abstract|get|set)\s+)*)\*?\s*"
+    rf"^(\s*+{_NOTES}((?:(?:public|private|protected|static|async|readonly|override|abstract|get|set)\s++)*+)\*?\s*"
     r"(?!(?:if|for|while|switch|catch|return|function|new|super|with|await|yield|throw|typeof)\b)"
     rf"([\w$]+)\s*(?:<[^(]*>)?\s*\()({_ARGS})\)\s*(?::\s*([^{{;=]+?))?\s*(?:\{{|\z|\n)"
 )
@@ -80,12 +80,12 @@ JS_IMPORT = r"(?s)^import\b[^'\";]*['\"][^'\"\n]*['\"];?"
 
 # A line that may begin a declaration; only these lines look at their neighbours.
 HINT = {
-    "java": rf"(?:^|\s)(?:class|interface|enum|record|@interface)\s|^\s*{_NOTES}{_JAVA_WORDS}[\w$.<>\[\],?& ]+\(",
+    "java": rf"\b(?:class|interface|enum|record)\s|^\s*+{_NOTES}{_JAVA_WORDS}[\w$.<>\[\],?& ]++\(",
     "python": r"^\s*(?:class|def|async\s+def)\s|^from\s",
     "go": r"^(?:func|type)\b",
-    "js": r"(?:^|\s)(?:class|interface|function)\b|^import\b|^\s*(?:@.*\s)?(?!(?:if|for|while|switch|catch|return|new)\b)[\w$*<> ]+\(",
+    "js": r"\b(?:class|interface|function)\b|^import\b|^\s*+(?:@.*\s)?(?!(?:if|for|while|switch|catch|return|new)\b)[\w$*<> ]++\(",
 }
-HEADED = r"(?:^|\s)(?:class|interface|enum|record|@interface)\s"
+HEADED = r"\b(?:class|interface|enum|record)\s"
 
 
 class Declared(NamedTuple):
@@ -456,25 +456,33 @@ def resolve(tagged: DataFrame) -> DataFrame:
     opens, closes, kind = F.col("opens"), F.col("closes"), F.col("d.kind")
     python, generic = family == "python", family == "generic"
 
-    df = tagged.withColumn("depth_after", F.sum(opens - closes).over(so_far)).withColumn("prev_line", F.lag("line_no").over(down))
-    df = df.withColumn("depth", F.col("depth_after") - opens + closes)
+    # Window columns of one ordering are added together: each group is one pass over the sorted rows.
+    df = tagged.withColumns(
+        {"depth_after": F.sum(opens - closes).over(so_far), "prev_line": F.lag("line_no").over(down)}
+    )
+    depth = F.col("depth_after") - opens + closes
     # In Python a line inside brackets or a string has no indentation of its own.
-    df = df.withColumn("inner", python & ((F.col("depth") > 0) | F.col("in_string")))
-    df = df.withColumn(
-        "top", F.when(python, (F.col("indent") == 0) & ~F.col("inner")).when(generic, F.lit(True)).otherwise(F.col("depth") == 0)
+    inner = python & ((depth > 0) | F.col("in_string"))
+    top = F.when(python, (F.col("indent") == 0) & ~inner).when(generic, F.lit(True)).otherwise(depth == 0)
+    df = df.withColumns(
+        {"depth": depth, "inner": inner, "top": top, "is_type": F.coalesce((tag == "type") & top, F.lit(False))}
     )
-    df = df.withColumn("is_type", F.coalesce((tag == "type") & F.col("top"), F.lit(False)))
-    df = df.withColumn("type_no", (F.sum(F.col("is_type").cast("int")).over(so_far) - 1).cast("int"))
-    df = df.withColumn(
-        "body_indent",
-        F.expr("lead(if(inner, null, indent)) ignore nulls over (partition by relative_path order by line_no)"),
+    df = df.withColumns(
+        {
+            "type_no": (F.sum(F.col("is_type").cast("int")).over(so_far) - 1).cast("int"),
+            "body_indent": F.expr(
+                "lead(if(inner, null, indent)) ignore nulls over (partition by relative_path order by line_no)"
+            ),
+        }
     )
     go_type = F.when((family == "go") & F.col("is_type"), F.struct("name", "type_no"))
-    df = (
-        df.withColumn("has_types", F.max("is_type").over(by_file))
-        .withColumn("last_line", F.max("line_no").over(by_file))
-        .withColumn("package", F.coalesce(F.max(F.when(tag == "package", name)).over(by_file), "guessed"))
-        .withColumn("go_types", F.collect_list(go_type).over(by_file))
+    df = df.withColumns(
+        {
+            "has_types": F.max("is_type").over(by_file),
+            "last_line": F.max("line_no").over(by_file),
+            "package": F.coalesce(F.max(F.when(tag == "package", name)).over(by_file), "guessed"),
+            "go_types": F.collect_list(go_type).over(by_file),
+        }
     )
     df = attach_receivers(df)
 
@@ -486,7 +494,7 @@ def resolve(tagged: DataFrame) -> DataFrame:
     )
     beside = Window.partitionBy("relative_path", "level").orderBy("line_no")
     line = F.struct("line_no", "prev_line", "opens", "closes")
-    df = df.withColumn("next1", F.lead(line, 1).over(beside)).withColumn("next2", F.lead(line, 2).over(beside))
+    df = df.withColumns({"next1": F.lead(line, 1).over(beside), "next2": F.lead(line, 2).over(beside)})
     one_line = (opens == closes) & (opens > 0)
     later = F.when(F.col("next1.opens") == F.col("next1.closes"), F.col("next1.line_no")).otherwise(F.col("next2.line_no"))
     bodiless = (F.col("d.terminator") == ";") | ((family == "go") & (tag == "type") & (kind != "interface") & (opens == 0))
@@ -567,47 +575,114 @@ def module_name() -> Column:
 FIRST_OWN = 1 << 20  # functions that stand as types of their own are numbered after the types
 
 
+def _is_own() -> Column:
+    return F.coalesce(F.col("role") == "own", F.lit(False))
+
+
+def _own_no() -> Column:
+    return (F.col("line_no") + FIRST_OWN).cast("int")
+
+
+def _start() -> Column:
+    """In Java a declaration begins at its first annotation."""
+    java = F.col("family") == "java"
+    return F.when(java, F.col("line_no") - F.coalesce("d.reach", F.lit(0))).otherwise(F.col("line_no")).cast("int")
+
+
+def _type_columns() -> dict[str, Column]:
+    opens_module, own = F.col("opens_module"), _is_own()
+    return {
+        "type_no": F.when(opens_module, 0).when(own, _own_no()).otherwise(F.col("type_no")).cast("int"),
+        "name": F.when(opens_module, module_name()).otherwise(F.col("name")),
+        "start_line": F.when(opens_module, 1).otherwise(_start()).cast("int"),
+        "end_line": F.when(opens_module, F.col("n_lines")).otherwise(F.col("end_line")).cast("int"),
+    }
+
+
+def _type_row() -> Column:
+    return F.col("is_type") | F.col("opens_module") | _is_own()
+
+
+def _owner_no() -> Column:
+    role = F.col("role")
+    return (
+        F.when(role == "member", F.col("scope.type_no")).when(role == "received", F.col("receiver_type.type_no"))
+        .when(_is_own(), _own_no()).otherwise(0).cast("int")
+    )
+
+
+def _function_names() -> Column:
+    return F.when(F.col("family") == "generic", F.col("d.fn_names")).otherwise(F.array("name"))
+
+
 def tables(resolved: DataFrame) -> Declared:
     opens_module, role = F.col("opens_module"), F.col("role")
-    own = F.coalesce(role == "own", F.lit(False))
-    start = F.when(F.col("family") == "java", F.col("line_no") - F.col("d.reach")).otherwise(F.col("line_no"))
-    own_no = (F.col("line_no") + FIRST_OWN).cast("int")
-    types = resolved.filter(F.col("is_type") | opens_module | own).select(
-        "relative_path", "language",
-        F.when(opens_module, 0).when(own, own_no).otherwise(F.col("type_no")).cast("int").alias("type_no"),
-        "package",
-        F.when(opens_module, module_name()).otherwise(F.col("name")).alias("name"),
+    t = _type_columns()
+    types = resolved.filter(_type_row()).select(
+        "relative_path", "language", t["type_no"].alias("type_no"), "package", t["name"].alias("name"),
         F.when(opens_module, "module").otherwise(F.col("d.kind")).alias("kind"),
-        "d.superclass", "d.interfaces",
+        F.when(opens_module, "").otherwise(F.col("d.superclass")).alias("superclass"),
+        F.when(opens_module, F.expr(NO_TEXTS)).otherwise(F.col("d.interfaces")).alias("interfaces"),
         F.when(opens_module, F.expr(NO_TEXTS)).otherwise(F.col("d.decorators")).alias("decorators"),
         F.when(opens_module, "").otherwise(F.col("d.docstring")).alias("docstring"),
-        F.when(opens_module, 1).otherwise(start).cast("int").alias("start_line"),
-        F.when(opens_module, F.col("n_lines")).otherwise(F.col("end_line")).cast("int").alias("end_line"),
+        t["start_line"].alias("start_line"), t["end_line"].alias("end_line"),
     ).withColumn("fqn", texts.fqn(F.col("package"), F.col("name")))
 
-    generic = F.col("family") == "generic"
-    names = F.when(generic, F.col("d.fn_names")).otherwise(F.array("name"))
     functions = resolved.filter(role.isNotNull()).select(
-        "relative_path", "language",
-        F.when(role == "member", F.col("scope.type_no")).when(role == "received", F.col("receiver_type.type_no"))
-        .when(own, own_no).otherwise(0).cast("int").alias("type_no"),
+        "relative_path", "language", _owner_no().alias("type_no"),
         F.when(role == "member", F.col("scope.name")).when(role == "received", F.col("receiver_type.name"))
-        .when(own, F.col("name")).otherwise(module_name()).alias("owner"),
-        F.when(generic, "").when(F.col("family") == "java", F.coalesce(F.nullif("d.type_text", F.lit("")), F.lit("void")))
+        .when(_is_own(), F.col("name")).otherwise(module_name()).alias("owner"),
+        F.when(F.col("family") == "generic", "").when(F.col("family") == "java", F.coalesce(F.nullif("d.type_text", F.lit("")), F.lit("void")))
         .otherwise(F.coalesce("d.type_text", F.lit(""))).alias("return_type"),
         "d.parameters", "d.decorators", "d.modifiers",
-        start.cast("int").alias("start_line"),
+        _start().alias("start_line"),
         F.col("end_line").cast("int").alias("end_line"),
-        F.posexplode_outer(names).alias("place", "name"),
+        F.posexplode_outer(_function_names()).alias("place", "name"),
     ).withColumn("is_public", texts.is_public(F.col("modifiers"), F.col("name")))
 
-    field_owner = ((F.col("family") == "java")) | ((F.col("family") == "go") & (F.col("scope.kind") == "struct"))
+    field_owner = (F.col("family") == "java") | ((F.col("family") == "go") & (F.col("scope.kind") == "struct"))
     fields = resolved.filter((F.col("tag") == "field") & F.col("member") & field_owner).select(
         "relative_path", F.col("scope.type_no").alias("type_no"), F.col("scope.name").alias("owner"), "name",
         F.col("d.type_text").alias("type"), "line_no",
     )
-    at_top = F.col("top") | (F.col("family") == "go")
-    imports = resolved.filter((F.col("tag") == "import") & at_top).select(
-        "relative_path", "line_no", F.posexplode("d.import_texts").alias("place", "text")
-    ).withColumn("import_text", F.when(F.endswith("relative_path", F.lit(".go")), F.btrim("text", F.lit('"'))).otherwise(F.col("text"))).drop("text")
+    imported = resolved.filter((F.col("tag") == "import") & (F.col("top") | (F.col("family") == "go")))
+    imports = imported.select(
+        "relative_path", "line_no", "family", F.posexplode_outer("d.import_texts").alias("place", "text")
+    ).select(
+        "relative_path", "line_no", "place",
+        F.when(F.col("family") == "go", F.btrim("text", F.lit('"'))).otherwise(F.col("text")).alias("import_text"),
+    )
     return Declared(types, functions, fields, imports)
+
+
+def spans(resolved: DataFrame) -> DataFrame:
+    """Per file, its types in order with the lines of their functions: one pass over the resolved lines,
+    whose partitioning by file also serves this grouping. Bounded by the size of a file."""
+    t = _type_columns()
+    rows = resolved.filter(_type_row() | F.col("role").isNotNull()).select(
+        "relative_path",
+        F.when(_type_row(), F.struct(t["type_no"].alias("type_no"), t["name"].alias("name"), t["start_line"].alias("start"), t["end_line"].alias("end"))).alias("t"),
+        F.when(
+            F.col("role").isNotNull(),
+            F.transform(
+                _function_names(),
+                lambda n: F.struct(_owner_no().alias("type_no"), _start().alias("start"), F.col("end_line").cast("int").alias("end"), n.alias("name")),
+            ),
+        ).alias("f"),
+    )
+    by_file = rows.groupBy("relative_path").agg(
+        F.array_sort(F.collect_list("t")).alias("types"), F.array_sort(F.flatten(F.collect_list("f"))).alias("fns")
+    )
+
+    def with_functions(x: Column) -> Column:
+        own = F.transform(
+            F.filter("fns", lambda f: f["type_no"] == x["type_no"]),
+            lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), f["name"].alias("name")),
+        )
+        return F.struct(*[x[c].alias(c) for c in ("type_no", "name", "start", "end")], own.alias("functions"))
+
+    return by_file.select("relative_path", F.transform("types", with_functions).alias("spans"))
+
+
+def file_spans(files: DataFrame) -> DataFrame:
+    return spans(resolve(tag_lines(files)))

@@ -464,8 +464,7 @@ def module_and_generic_functions(spark, sf):
 def _typed_chunks(spark, sf, max_tokens: int):
     o = Options(max_tokens=max_tokens)
     files = derived.code_files(spark, sf)
-    d = declarations.declarations(chunking.oversize(files, o))
-    chunks = chunking.typed_chunks(files, chunking.spans_of(d.types, d.functions), o)
+    chunks = chunking.typed_chunks(files, declarations.file_spans(chunking.oversize(files, o)), o)
     return chunks.select("chunk_id", "level", "token_count", F.sha2("content", 256).alias("sha"),
                          F.array_join("class_names", ",").alias("class_names"), F.array_join("function_names", ",").alias("function_names"))
 
