@@ -128,3 +128,81 @@ def run_summary(routed: DataFrame, chunks: DataFrame, usage: DataFrame, hits: Da
     )
     c = chunks.agg(F.count("*").alias("chunks"))
     return r.crossJoin(c).crossJoin(usage).crossJoin(hits)  # frames of one row each
+
+
+# --- types, their roles and endpoints -----------------------------------------------------------
+
+ROLES = {
+    "controller": r"Controller$|Resource$",
+    "service": r"Service(?:Impl)?$",
+    "repository": r"Repository$|Dao$",
+    "security": r"Security|Auth",
+    "exception": r"Exception|Error",
+}
+ROLE_ANNOTATIONS = {
+    "controller": "@RestController|@Controller",
+    "service": "@Service",
+    "repository": "@Repository",
+    "security": "@EnableWebSecurity|@PreAuthorize",
+    "exception": "@ControllerAdvice|@RestControllerAdvice|@ExceptionHandler",
+}
+MAPPING = r"^@(Get|Post|Put|Delete|Patch|Request)Mapping\b"
+MAPPED_PATH = r'^@\w+Mapping\([^"]*"([^"]*)"'
+
+
+def role_of(name: Column, decorators: Column) -> Column:
+    """The role a type's name ends in, else the one its annotations tell, else ''."""
+    noted = F.array_join(decorators, "\n")
+    case = F
+    for role, pattern in ROLES.items():
+        case = case.when(F.rlike(name, F.lit(pattern)), role)
+    for role, pattern in ROLE_ANNOTATIONS.items():
+        case = case.when(F.rlike(noted, F.lit(rf"(?m)^(?:{pattern})\b")), role)
+    return case.otherwise("")
+
+
+def _mapping(decorators: Column) -> Column:
+    return F.get(F.filter(decorators, lambda d: F.rlike(d, F.lit(MAPPING))), F.lit(0))
+
+
+def endpoints(types: DataFrame, functions: DataFrame) -> DataFrame:
+    """HTTP method, path and handler of mapped functions, the type's own path in front."""
+    mapped = functions.withColumn("mapping", _mapping(F.col("decorators"))).filter("mapping IS NOT NULL")
+    owners = types.select(
+        "relative_path", "type_no", "package", F.regexp_extract(F.coalesce(_mapping(F.col("decorators")), F.lit("")), MAPPED_PATH, 1).alias("prefix")
+    )
+    verb = F.upper(F.regexp_extract("mapping", MAPPING, 1))
+    return mapped.join(owners, ["relative_path", "type_no"]).select(
+        "relative_path", "package",
+        F.when(verb == "REQUEST", "").otherwise(verb).alias("method"),
+        F.concat("prefix", F.regexp_extract("mapping", MAPPED_PATH, 1)).alias("path"),
+        F.concat("owner", F.lit("."), "name").alias("handler"),
+    )
+
+
+def service_of(package: Column) -> Column:
+    return F.substring_index(package, ".", -1)
+
+
+def services(types: DataFrame, endpoint_rows: DataFrame) -> DataFrame:
+    """Classes and endpoints per service, the last segment of the package. Members stay rows of
+    ``types`` and ``endpoints``: a service may hold any share of them, so no list is collected."""
+    t = types.groupBy(service_of(F.col("package")).alias("service_name")).agg(F.count("*").alias("classes"))
+    e = endpoint_rows.groupBy(service_of(F.col("package")).alias("service_name")).agg(F.count("*").alias("endpoints"))
+    return t.join(e, "service_name", "left").fillna(0, ["endpoints"])
+
+
+def key_classes(types: DataFrame, functions: DataFrame, k: int) -> DataFrame:
+    """The ``k`` types with most functions, each with its function list (bounded by its file)."""
+    key = ["relative_path", "type_no"]
+    counted = functions.groupBy(*key).agg(F.count("*").alias("n_methods"))
+    ranked = types.join(counted, key, "left").withColumn("n_methods", F.coalesce("n_methods", F.lit(0)))
+    best = top_k(
+        ranked.select(*key, "name", "n_methods", role_of(F.col("name"), F.col("decorators")).alias("role")),
+        "n_methods", ["relative_path", "type_no"], k,
+    )
+    # ``best`` holds k rows, so it may be sent to every task.
+    listed = functions.join(F.broadcast(best.select(*key)), key).groupBy(*key).agg(
+        F.array_sort(F.collect_list(F.struct("start_line", "name", "return_type", "parameters"))).alias("methods")
+    )
+    return best.join(F.broadcast(listed), key, "left")

@@ -475,3 +475,44 @@ SELECT c.lang AS language, level, count(*) AS chunks, sum(token_count)::BIGINT A
 FROM levels l JOIN code c ON starts_with(l.chunk_id, c.relative_path) GROUP BY ALL
 UNION ALL SELECT lang, 'file', count(*), sum({tokens("content")})::BIGINT FROM code WHERE {tokens("content")} <= 200 GROUP BY ALL""",
 }
+
+# Lines of the routed corpus and of the scripts as the whole job counts them: source rows after cleaning.
+# Neither holds blank runs or trailing blanks, so cleaning leaves the line counts as they are.
+WHOLE = f"""
+{SCRIPTS}, {ROUTED},
+all_files AS (
+  SELECT category, line_count FROM categorised
+  UNION ALL
+  SELECT CASE WHEN lang IN ('python', 'javascript') THEN 'source' ELSE 'config' END,
+    CASE lang WHEN 'python' THEN 4 * n + 1 WHEN 'ruby' THEN 3 * n + 3 ELSE 3 * n END FROM scripts)"""
+
+ORACLES |= {
+    "type_roles": f"""
+WITH {SPANS} SELECT CASE WHEN lang = 'java' THEN 'controller' ELSE '' END AS role, count(*) AS types FROM types_ GROUP BY 1""",
+    "endpoint_table": f"""
+WITH {CODE} SELECT relative_path, 'GET' AS method, '/orders' || k || '/lines/' || i AS path,
+  'Order' || k || 'Controller.line' || i AS handler FROM code {_I} WHERE lang = 'java'""",
+    "services": f"""
+WITH {SPANS}, e AS (SELECT 'o' || k % 20 AS service_name, sum(n) AS endpoints FROM code WHERE lang = 'java' GROUP BY 1)
+SELECT service_name, count(*) AS classes, coalesce(any_value(endpoints), 0) AS endpoints
+FROM (SELECT string_split(package, '.')[-1] AS service_name FROM types_) LEFT JOIN e USING (service_name) GROUP BY 1""",
+    "key_classes": f"""
+WITH {SPANS}, m AS (SELECT relative_path, type_no, count(*) AS n_methods, string_agg(name, ',' ORDER BY fn) AS methods FROM fns_ GROUP BY ALL)
+SELECT relative_path, name, CASE WHEN lang = 'java' THEN 'controller' ELSE '' END AS role, n_methods, methods
+FROM types_ JOIN m USING (relative_path, type_no) ORDER BY n_methods DESC, relative_path, type_no LIMIT 8""",
+    "complexity_metrics": f"""
+WITH {SPANS}, b AS (SELECT least(10, 1 + (CASE lang WHEN 'javascript' THEN 2 * n ELSE n END) // 3) AS score FROM code),
+c AS (SELECT (SELECT count(*) FROM code) AS total_files, (SELECT sum({lines("content")}) FROM code) AS total_lines,
+  (SELECT count(*) FROM types_) AS total_classes, (SELECT count(*) FROM fns_) AS total_functions, (SELECT avg(score) FROM b) AS avg_complexity_score)
+SELECT *, total_functions / total_classes AS avg_methods_per_class FROM c""",
+    "scan_directory": f"""
+SELECT 'lang=' || lang AS top, sum(length(text) - length(replace(text, chr(10), '')) + 1) AS lines, sum(strlen(text) + 1) AS bytes
+FROM documents GROUP BY 1""",
+    "run_summary": f"""
+WITH {WHOLE} SELECT count(*) AS total_discovered, count(*) FILTER (category = 'source') AS source_files,
+  count(*) FILTER (category = 'config') AS config_files, count(*) FILTER (category = 'skipped') AS skipped,
+  sum(line_count) FILTER (category = 'source') AS total_lines, 0 AS hits, '0%' AS hit_rate FROM all_files""",
+    "report_document": f"""
+WITH {WHOLE} SELECT count(*) AS total_discovered, count(*) FILTER (category = 'source') AS total_files,
+  max(line_count) AS largest_lines, 'lexical' AS mode FROM all_files""",
+}

@@ -13,6 +13,7 @@ from corpusmill.functions.jsonfix import parse_typed, repair_json
 from corpusmill.functions.tokens import token_count
 from corpusmill.operators import blocks, chunking, declarations, inference, packing, rollups, routing
 from corpusmill.options import Options
+from corpusmill.plans import pipeline
 from corpusmill.session import scratch_path
 from corpusmill.sources import derived, files as fs, store as st
 
@@ -494,3 +495,87 @@ def chunk_pipeline(spark, sf):
     o = Options(max_tokens=200)
     chunks = chunking.chunk(derived.code_files(spark, sf), o)
     return chunks.groupBy("language", "level").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"))
+
+
+# --- rollups over declarations, reports, the whole job ------------------------------------------
+
+
+@query
+def type_roles(spark, sf):
+    t = _declared(spark, sf).types
+    return t.groupBy(rollups.role_of(F.col("name"), F.col("decorators")).alias("role")).agg(F.count("*").alias("types"))
+
+
+@query
+def endpoint_table(spark, sf):
+    d = _declared(spark, sf)
+    return rollups.endpoints(d.types, d.functions).select("relative_path", "method", "path", "handler")
+
+
+@query
+def services(spark, sf):
+    d = _declared(spark, sf)
+    return rollups.services(d.types, rollups.endpoints(d.types, d.functions))
+
+
+@query
+def key_classes(spark, sf):
+    d = _declared(spark, sf)
+    best = rollups.key_classes(d.types, d.functions, 8)
+    return best.select("relative_path", "name", "role", "n_methods", F.array_join(F.transform("methods", lambda m: m["name"]), ",").alias("methods"))
+
+
+@query
+def complexity_metrics(spark, sf):
+    files = derived.code_files(spark, sf)
+    d = declarations.declarations(files)
+    chunks = chunking.whole_file_chunks(files, Options(max_tokens=1_000_000))
+    scored = inference.parsed(inference.lexical_scores(chunks)).select("relative_path", "ordinal", "chunk_id", "payload")
+    return rollups.complexity_metrics(files, d.types, d.functions, inference.typed_analyses(scored))
+
+
+@query
+def scan_directory(spark, sf):
+    """Documents written as text files below one directory per language, then scanned from disk."""
+    root = scratch_path(spark, "tree")
+    docs = derived.table(spark, sf, "documents")
+    docs.select("lang", "text").write.partitionBy("lang").option("maxRecordsPerFile", 50).text(root)
+    files = fs.scan_files(spark, root, Options(max_file_bytes=2_000_000_000))
+    return files.groupBy(F.split_part("relative_path", F.lit("/"), F.lit(1)).alias("top")).agg(
+        F.sum("line_count").alias("lines"), F.sum("size_bytes").alias("bytes")
+    )
+
+
+def _all_files(spark, sf):
+    return derived.code_files(spark, sf).unionByName(derived.script_files(spark, sf)).unionByName(derived.routed_files(spark, sf))
+
+
+@query
+def run_summary(spark, sf):
+    files = derived.script_files(spark, sf).unionByName(derived.routed_files(spark, sf))
+    a = pipeline.analyse_corpus(files, scratch_path(spark, "store"), None, Options(max_tokens=1000))
+    return a.summary.select("total_discovered", "source_files", "config_files", "skipped", "total_lines", "hits", "hit_rate")
+
+
+@query
+def corpus_analysis(spark, sf):
+    """The flagship: the whole job over code, scripts and documents, as one row."""
+    a = pipeline.analyse_corpus(_all_files(spark, sf), scratch_path(spark, "store"))
+    return a.metrics.crossJoin(a.summary)  # one row each
+
+
+@query
+def report_document(spark, sf):
+    from corpusmill.sources import report as rp
+
+    files = derived.script_files(spark, sf).unionByName(derived.routed_files(spark, sf))
+    a = pipeline.analyse_corpus(files, scratch_path(spark, "store"), None, Options(max_tokens=1000))
+    path = scratch_path(spark, "report")
+    rp.write_report(pipeline.report(a, {"codebase": "corpus", "mode": "lexical"}), path, {"chunk_analyses": a.analyses})
+    text = spark.read.option("wholetext", True).text(f"{path}/report").filter("length(value) > 0")
+    return text.select(
+        F.get_json_object("value", "$._metadata.total_discovered").cast("long").alias("total_discovered"),
+        F.get_json_object("value", "$.complexity_metrics.total_files").cast("long").alias("total_files"),
+        F.get_json_object("value", "$.largest_files[0].line_count").cast("long").alias("largest_lines"),
+        F.get_json_object("value", "$._pipeline.mode").alias("mode"),
+    )
