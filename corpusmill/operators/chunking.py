@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import texts
+from corpusmill.functions.jsonfix import let
 from corpusmill.operators import declarations, packing
 from corpusmill.options import Options
 
@@ -54,15 +55,23 @@ def _with_tokens(files: DataFrame, o: Options) -> DataFrame:
 
 
 def whole_file_chunks(files: DataFrame, o: Options | None = None) -> DataFrame:
-    """Files within the budget, each as one chunk ``path:full``."""
+    """Files within the budget, each as one chunk ``path:full``.
+
+    The token count decides and is kept in one generator: as a filter on a column it would be pushed
+    down and counted a second time.
+    """
     o = o or Options()
-    small = _with_tokens(files, o).filter(F.col("tokens") <= o.max_tokens)
+    fitting = let(
+        o.measure.of_text(F.col("content")),
+        lambda t: F.when(t <= o.max_tokens, F.array(F.struct(F.lit(0).cast("long").alias("ordinal"), t.cast("long").alias("token_count")))),
+    )
+    small = files.select("relative_path", "language", "content", F.inline_outer(fitting)).filter(F.col("ordinal").isNotNull())
     return small.select(
         "relative_path",
-        F.lit(0).cast("long").alias("ordinal"),
+        "ordinal",
         F.concat("relative_path", F.lit(":full")).alias("chunk_id"),
         "content",
-        F.col("tokens").cast("long").alias("token_count"),
+        "token_count",
         F.array("relative_path").alias("source_files"),
         "language",
         texts.class_names(F.col("content"), F.col("language")).alias("class_names"),

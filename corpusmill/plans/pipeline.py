@@ -37,14 +37,17 @@ def analyse_corpus(
     group_key: str | None = None,
 ) -> Analysis:
     o = o or Options()
-    routed = routing.cleaned(routing.route(files, o))
+    # Written once: a filter on a derived column is pushed below it and computes it again, so every
+    # later filter on category, text or size would repeat the routing and cleaning of all texts.
+    routed = written(routing.cleaned(routing.route(files, o)), "routed")
     source = routed.filter(F.col("category") == routing.SOURCE).drop("category", "skip_reason")
-    batches = written(chunking.batched(chunking.chunk(source, o), group_key, o), "batches")
+    # Packing reads the chunks twice, once for their sizes and once for their texts.
+    chunks = written(chunking.chunk(source, o), "chunks")
+    batches = written(chunking.batched(chunks, group_key, o), "batches")
     results = inference.analyse(batches, store_path, fn, o)
     analyses = inference.typed_analyses(results)
-    # Read four ways by the rollups; the tagged lines are slim, the texts are gone by then.
-    lines = written(declarations.tag_lines(source), "lines")
-    declared = declarations.tables(declarations.resolve(lines))
+    # Read several times by the rollups; these rows are slim, the texts are gone by then.
+    declared = declarations.tables(written(declarations.resolve(declarations.tag_lines(source)), "declared"))
     metrics = rollups.complexity_metrics(source, declared.types, declared.functions, analyses)
     usage = inference.usage_report(results.filter("status <> 'cached'"), o)
     hits = inference.cache_stats(results.withColumn("is_hit", F.col("status") == "cached"))

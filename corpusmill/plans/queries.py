@@ -462,9 +462,14 @@ def module_and_generic_functions(spark, sf):
 # --- chunks along declarations ------------------------------------------------------------------
 
 
+def _code_table(spark, sf):
+    """The code corpus as a written table, the form in which a job finds its files."""
+    return pipeline.written(derived.code_files(spark, sf), "code")
+
+
 def _typed_chunks(spark, sf, max_tokens: int):
     o = Options(max_tokens=max_tokens)
-    files = derived.code_files(spark, sf)
+    files = _code_table(spark, sf)
     chunks = chunking.typed_chunks(files, declarations.file_spans(chunking.oversize(files, o)), o)
     return chunks.select("chunk_id", "level", "token_count", F.sha2("content", 256).alias("sha"),
                          F.array_join("class_names", ",").alias("class_names"), F.array_join("function_names", ",").alias("function_names"))
@@ -493,7 +498,7 @@ def split_functions(spark, sf):
 @query
 def chunk_pipeline(spark, sf):
     o = Options(max_tokens=200)
-    chunks = chunking.chunk(derived.code_files(spark, sf), o)
+    chunks = chunking.chunk(_code_table(spark, sf), o)
     return chunks.groupBy("language", "level").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"))
 
 
