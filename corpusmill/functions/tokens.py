@@ -47,7 +47,9 @@ def encoder_measure(encode: Callable[[str], list]) -> TokenMeasure:
     def of_each(texts: pd.Series) -> pd.Series:
         return texts.map(lambda ts: None if ts is None else [len(encode(t)) for t in ts])
 
-    return TokenMeasure(of_text, of_each)
+    # Not because counting is random: Spark never copies a nondeterministic column into the array
+    # functions that use it (where a Python function could not run) nor evaluates it twice for a filter.
+    return TokenMeasure(of_text.asNondeterministic(), of_each.asNondeterministic())
 
 
 def token_count(text: Column, measure: TokenMeasure | None = None) -> Column:

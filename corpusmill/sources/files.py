@@ -117,7 +117,7 @@ def _hidden_listing(spark: SparkSession, root: str, o: Options) -> DataFrame:
 
         for batch in batches:
             for path, hidden in zip(batch["path"], batch["hidden"]):
-                system, inner = fs.FileSystem.from_uri(path)
+                system, inner = _file_system(path)
                 head = path[: len(path) - len(inner)] if path.endswith(inner) else ""
                 rows = []
                 for info in system.get_file_info(fs.FileSelector(inner, recursive=False)):
@@ -135,7 +135,9 @@ def _hidden_listing(spark: SparkSession, root: str, o: Options) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["path", "is_dir", "hidden", "length"])
 
     start = root if "://" in root else "file://" + root.removeprefix("file:")
-    level = spark.createDataFrame([(start.rstrip("/"), True, False, 0)], "path string, is_dir boolean, hidden boolean, length long")
+    level = spark.createDataFrame(
+        [(start.rstrip("/"), True, False, 0)], "path string, is_dir boolean, hidden boolean, length long"
+    )
     found = None
     while True:
         level = cut_lineage(
@@ -155,10 +157,22 @@ def _is_hidden(name: str) -> bool:
 
 
 def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
-
     for batch in batches:
         for row in batch.itertuples(index=False):
-            system, inner = fs.FileSystem.from_uri(row.path)
+            system, inner = _file_system(row.path)
             with system.open_input_stream(inner) as stream:
-                yield pd.DataFrame([(row.path, row.length, row.relative_path, stream.read())], columns=["path", "length", "relative_path", "content"])
+                yield pd.DataFrame(
+                    [(row.path, row.length, row.relative_path, stream.read())],
+                    columns=["path", "length", "relative_path", "content"],
+                )
+
+
+def _file_system(path: str):
+    """The file system of a path and the path within it."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(quote(path, safe=":/@"))
