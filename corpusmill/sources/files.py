@@ -94,8 +94,8 @@ def scan_files(spark: SparkSession, root: str, o: Options | None = None) -> Data
         .load(root)
         .select("path", "length", "content")
     )
-    shown = _eligible(shown, root, o)
-    hidden = _eligible(_hidden_listing(spark, root, o), root, o)
+    shown = eligible(shown, root, o)
+    hidden = eligible(_hidden_listing(spark, root, o), root, o)
     hidden = hidden.repartition("path").mapInPandas(
         _read_files, "path string, length long, relative_path string, content binary"
     )
@@ -103,7 +103,7 @@ def scan_files(spark: SparkSession, root: str, o: Options | None = None) -> Data
     return with_measures(valid_text(both))
 
 
-def _eligible(listed: DataFrame, root: str, o: Options) -> DataFrame:
+def eligible(listed: DataFrame, root: str, o: Options) -> DataFrame:
     sized = size_between(listed, o.min_file_bytes, o.max_file_bytes, "length")
     return exclude_dirs(with_relpath(sized, root), o.skip_dirs)
 

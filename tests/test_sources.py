@@ -36,7 +36,7 @@ def test_scan_files(spark, tmp_path):
 def test_scan_pushes_the_size_filter(spark, tmp_path):
     write(tmp_path, "a.py", "x")
     shown = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "length", "content")
-    plan = fs._eligible(shown, str(tmp_path), Options())._jdf.queryExecution().executedPlan().toString()
+    plan = fs.eligible(shown, str(tmp_path), Options())._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(length,1)" in plan and "LessThanOrEqual(length,500000)" in plan
 
 
