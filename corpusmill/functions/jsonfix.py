@@ -39,15 +39,16 @@ def repair_json(raw: Column) -> Column:
     commas; without ``//`` comments; from the first to the last brace; with missing closers added.
     """
     fence = r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```"
-    trimmed = F.btrim(raw, F.lit(WHITE))
-    bare = F.when(
-        F.contains(trimmed, F.lit("```")) & F.rlike(trimmed, F.lit(fence)),
-        F.btrim(F.regexp_extract(trimmed, fence, 1), F.lit(WHITE)),
-    ).otherwise(trimmed)
-    no_commas = F.regexp_replace(bare, r",\s*([\]}])", "$1")
-    no_comments = F.regexp_replace(no_commas, r"(?m)//.*?$", "")
-    braced = F.regexp_extract(no_comments, r"(?s)\{.*\}", 0)
-    sliced = F.when(F.length(braced) > 0, braced).otherwise(no_comments)
+
+    def unfenced(text: Column) -> Column:
+        return F.when(
+            F.contains(text, F.lit("```")) & F.rlike(text, F.lit(fence)),
+            F.btrim(F.regexp_extract(text, fence, 1), F.lit(WHITE)),
+        ).otherwise(text)
+
+    def braced(text: Column) -> Column:
+        found = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+        return let(found, lambda f: F.when(F.length(f) > 0, f).otherwise(text))
 
     def closed(text: Column) -> Column:
         tail = F.substr(text, F.instr(text, "{"))
@@ -63,7 +64,20 @@ def repair_json(raw: Column) -> Column:
             ),
         )
 
-    value = F.coalesce(*[_one_value(t) for t in (bare, no_commas, no_comments, sliced, closed(sliced))])
+    steps = [
+        lambda t: F.regexp_replace(t, r",\s*([\]}])", "$1"),
+        lambda t: F.regexp_replace(t, r"(?m)//.*?$", ""),
+        braced,
+        closed,
+    ]
+
+    # Each text is bound once, and a later one is made only if the earlier ones did not parse.
+    def first_value(text: Column, later: list) -> Column:
+        if not later:
+            return _one_value(text)
+        return let(text, lambda t: F.coalesce(_one_value(t), first_value(later[0](t), later[1:])))
+
+    value = first_value(let(F.btrim(raw, F.lit(WHITE)), unfenced), steps)
     return let(
         value, lambda v: F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.to_json(v))
     )

@@ -32,6 +32,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def declared_tables(files: DataFrame) -> declarations.Declared:
+    """The declarations for jobs that use several of the tables: the resolved lines they share are
+    slim, the texts are gone by then, so they are written once."""
+    return declarations.tables(written(declarations.resolve(declarations.tag_lines(files)), "declared"))
+
+
 def analyse_corpus(
     files: DataFrame, store_path: str, fn: Callable[[str, str], str] | None = None, o: Options | None = None,
     group_key: str | None = None,
@@ -46,8 +52,7 @@ def analyse_corpus(
     batches = written(chunking.batched(chunks, group_key, o), "batches")
     results = inference.analyse(batches, store_path, fn, o)
     analyses = inference.typed_analyses(results)
-    # Read several times by the rollups; these rows are slim, the texts are gone by then.
-    declared = declarations.tables(written(declarations.resolve(declarations.tag_lines(source)), "declared"))
+    declared = declared_tables(source)
     metrics = rollups.complexity_metrics(source, declared.types, declared.functions, analyses)
     usage = inference.usage_report(results.filter("status <> 'cached'"), o)
     hits = inference.cache_stats(results.withColumn("is_hit", F.col("status") == "cached"))

@@ -513,30 +513,31 @@ def type_roles(spark, sf):
 
 @query
 def endpoint_table(spark, sf):
-    d = _declared(spark, sf)
+    d = pipeline.declared_tables(derived.code_files(spark, sf))
     return rollups.endpoints(d.types, d.functions).select("relative_path", "method", "path", "handler")
 
 
 @query
 def services(spark, sf):
-    d = _declared(spark, sf)
+    d = pipeline.declared_tables(derived.code_files(spark, sf))
     return rollups.services(d.types, rollups.endpoints(d.types, d.functions))
 
 
 @query
 def key_classes(spark, sf):
-    d = _declared(spark, sf)
+    d = pipeline.declared_tables(derived.code_files(spark, sf))
     best = rollups.key_classes(d.types, d.functions, 8)
     return best.select("relative_path", "name", "role", "n_methods", F.array_join(F.transform("methods", lambda m: m["name"]), ",").alias("methods"))
 
 
 @query
 def complexity_metrics(spark, sf):
-    files = derived.code_files(spark, sf)
-    d = declarations.declarations(files)
+    files = _code_table(spark, sf)
+    d = pipeline.declared_tables(files)
     chunks = chunking.whole_file_chunks(files, Options(max_tokens=1_000_000))
     scored = inference.parsed(inference.lexical_scores(chunks)).select("relative_path", "ordinal", "chunk_id", "payload")
-    return rollups.complexity_metrics(files, d.types, d.functions, inference.typed_analyses(scored))
+    analyses = inference.typed_analyses(pipeline.written(scored, "scored"))
+    return rollups.complexity_metrics(files, d.types, d.functions, analyses)
 
 
 @query
