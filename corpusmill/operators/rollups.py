@@ -6,12 +6,21 @@ Every aggregate here combines before its shuffle, and every top list is an
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators.routing import CONFIG, SKIPPED, SOURCE
 
 
+def side_by_side(*one_row_frames: DataFrame) -> DataFrame:
+    """One-row frames with different columns as one row: a union and an aggregate, no join."""
+    columns = [c for f in one_row_frames for c in f.columns]
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), one_row_frames)
+    return union.agg(*[F.first(c, ignorenulls=True).alias(c) for c in columns])
+
+
 def skip_reasons(routed: DataFrame) -> DataFrame:
     return (
         routed.filter(F.col("skip_reason").isNotNull())
@@ -108,12 +117,8 @@ def complexity_metrics(files: DataFrame, types: DataFrame, functions: DataFrame,
     t = types.agg(F.count("*").alias("total_classes"))
     m = functions.agg(F.count("*").alias("total_functions"))
     a = analyses.agg(F.coalesce(F.avg("complexity_score"), F.lit(0.0)).alias("avg_complexity_score"))
-    return (
-        f.crossJoin(t).crossJoin(m).crossJoin(a)  # four frames of one row each
-        .withColumn(
-            "avg_methods_per_class",
-            F.col("total_functions") / F.greatest(F.col("total_classes"), F.lit(1)),
-        )
+    return side_by_side(f, t, m, a).withColumn(
+        "avg_methods_per_class", F.col("total_functions") / F.greatest(F.col("total_classes"), F.lit(1))
     )
 
 
@@ -127,7 +132,7 @@ def run_summary(routed: DataFrame, chunks: DataFrame, usage: DataFrame, hits: Da
         F.coalesce(F.sum(F.when(F.col("category") == SOURCE, F.col("line_count"))), F.lit(0)).alias("total_lines"),
     )
     c = chunks.agg(F.count("*").alias("chunks"))
-    return r.crossJoin(c).crossJoin(usage).crossJoin(hits)  # frames of one row each
+    return side_by_side(r, c, usage, hits)
 
 
 # --- types, their roles and endpoints -----------------------------------------------------------

@@ -567,7 +567,7 @@ def run_summary(spark, sf):
 def corpus_analysis(spark, sf):
     """The flagship: the whole job over code, scripts and documents, as one row."""
     a = pipeline.analyse_corpus(_all_files(spark, sf), scratch_path(spark, "store"))
-    return a.metrics.crossJoin(a.summary)  # one row each
+    return rollups.side_by_side(a.metrics, a.summary.drop("total_lines"))
 
 
 @query
@@ -578,7 +578,7 @@ def report_document(spark, sf):
     a = pipeline.analyse_corpus(files, scratch_path(spark, "store"), None, Options(max_tokens=1000))
     path = scratch_path(spark, "report")
     rp.write_report(pipeline.report(a, {"codebase": "corpus", "mode": "lexical"}), path, {"chunk_analyses": a.analyses})
-    text = spark.read.option("wholetext", True).text(f"{path}/report").filter("length(value) > 0")
+    text = spark.read.text(f"{path}/report", wholetext=True).filter("length(value) > 0")
     return text.select(
         F.get_json_object("value", "$._metadata.total_discovered").cast("long").alias("total_discovered"),
         F.get_json_object("value", "$.complexity_metrics.total_files").cast("long").alias("total_files"),
