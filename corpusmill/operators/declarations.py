@@ -207,9 +207,9 @@ def _may_matter(line: Column) -> Column:
     return choose(
         F.col("family"),
         {
-            "java": braces | F.rlike(line, F.lit(r"[;=,(]|^\s*(?:package|import)\s")),
+            "java": braces | F.rlike(line, F.lit(r"[;=,(]|\b(?:class|interface|enum|record|package|import)\s")),
             "go": braces | ~blank,
-            "js": braces | F.startswith(line, F.lit("import")),
+            "js": braces | F.rlike(line, F.lit(r"\(|^import\b|\b(?:class|interface|function)\b")),
         },
         ~blank,
     )
