@@ -247,8 +247,8 @@ def analyse(
     o = o or Options()
     spark = chunks.sparkSession
     keyed = with_cache_key(chunks)
-    # Read the store once, before this run appends to it.
-    store = cut_lineage(read_store(spark, store_path))
+    # This run's entries, read once, before the run appends to the store.
+    store = cut_lineage(read_store(spark, store_path, keyed.select("cache_key")))
     missing = misses(keyed, store)
     asked = estimate(render_requests(missing, template), o)
     decided = admit(asked, call_cost(F.col("est_tokens"), F.lit(0), o), o.max_cost, KEY, o.blocks)
