@@ -111,7 +111,6 @@ def masked(content: Column, family: str) -> Column:
         return F.when(F.contains(t, F.lit("\n")), spanning).otherwise(one_line)
 
     comment_starts = ("#",) if family == "python" else ("//", "/*")
-    is_string = F.lit(False)
 
     def masked_lexeme(t: Column) -> Column:
         is_comment = F.lit(False)

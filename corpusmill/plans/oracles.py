@@ -239,7 +239,6 @@ FROM merged JOIN ordered USING (p)""",
 CHUNKED = """
 ch AS (SELECT doc_id, source, lang, n_chars, text AS content, source || '/doc_' || doc_id || '.txt' AS path,
               source || '/doc_' || doc_id || '.txt:full' AS chunk_id, ceil(n_chars / 4)::BIGINT AS tokens FROM documents)"""
-IN_STORE = "doc_id % 3 = 0 AND (doc_id % 30 = 0 OR doc_id % 21 <> 0)"
 HIT = "(doc_id % 3 = 0 AND doc_id % 30 <> 0 AND doc_id % 21 <> 0)"
 USER = """('Files: ' || path || chr(10) || 'Language: ' || lang || chr(10)
   || 'Classes: ' || CASE WHEN doc_id % 2 = 0 THEN 'A, B' ELSE 'N/A' END || chr(10)
@@ -336,10 +335,6 @@ WHERE rank <= 3""",
 }
 
 
-def _per_language(**rows: str) -> str:
-    return " UNION ALL ".join(rows.values())
-
-
 # Where the templates put every declaration, by arithmetic on the number of methods.
 _I = "CROSS JOIN LATERAL (SELECT unnest(range(n)) AS i)"
 SPANS = f"""
