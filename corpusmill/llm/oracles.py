@@ -5,7 +5,58 @@ from __future__ import annotations
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
 ORACLES: dict[str, str] = {
+    "op3_quality_cascade": f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls
+  FROM documents
+),
+win AS (SELECT doc_id, p, array_to_string(ws[p:p + 7], ' ') AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS p FROM d WHERE len(ws) >= 8)),
+twice AS (SELECT doc_id, p FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, w) > 1),
+rep AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 8)) AS q FROM twice) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id AS doc_id, t, ws, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+    length(regexp_replace(t, '\\P{{L}}+', '', 'g')) AS letters, length(regexp_replace(t, '\\P{{Lu}}+', '', 'g')) AS upper_letters,
+    length(regexp_replace(t, '[^.!?。！？]', '', 'g')) AS stops, len(list_distinct(list_transform(ws, lambda w: lower(w)))) AS n_distinct,
+    len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_same
+  FROM d LEFT JOIN rep USING (doc_id)
+),
+j AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR n_symbols > 0.1 * n_words OR word_chars < 2.5 * n_words OR word_chars > 12 * n_words OR 2 * n_dup_lines > n_lines
+    OR letters < 0.7 * word_chars OR 2 * upper_letters > letters OR stops > 0.5 * n_words OR n_distinct < 0.1 * greatest(n_words, 1) OR n_same > 0.3 * n_words) AS kept
+FROM j
+""",
+    "op4_golden_mix": f"""
+WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+s AS (
+  SELECT source, source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, row_number() OVER (ORDER BY source NULLS LAST) AS rank
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)
+),
+l AS (
+  SELECT *, row_number() OVER o AS nth, 3 * source_size / weight AS per_weight,
+    (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY 3 * source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+  FROM s WINDOW o AS (ORDER BY 3 * source_size / weight, rank)
+),
+free AS (SELECT min(nth) AS nth, arg_min(level, nth) AS level FROM l WHERE per_weight > level),
+t AS (
+  SELECT l.source AS source, l.source_size AS source_size,
+    CASE WHEN free.nth IS NULL OR l.nth < free.nth THEN CAST(3 * l.source_size AS DOUBLE) ELSE free.level * l.weight END AS target
+  FROM l, free
+),
+p AS (
+  SELECT d.doc_id AS doc_id, d.source AS source, size, source_size, target, CAST(round(target) AS BIGINT) AS goal, pass,
+    md5('1:' || pass || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source, (SELECT unnest(range(0, 3)) AS pass)
+),
+r AS (SELECT *, pass * source_size + sum(size) OVER (PARTITION BY source, pass ORDER BY key, size, doc_id ROWS UNBOUNDED PRECEDING) AS stop FROM p)
+SELECT doc_id, size, source_size, target, CAST(sum(greatest(0, least(stop, goal) - (stop - size))) AS BIGINT) AS taken
+FROM r GROUP BY doc_id, size, source_size, target
+""",
     "op8_wu_manber": f"""
 WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS ws FROM documents),
 i AS (SELECT item_id, {_ITEM_WORDS} AS ws FROM benchmark),

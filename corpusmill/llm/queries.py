@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import held_out
 from corpusmill.llm.decontaminate import decontaminate
 from corpusmill.llm.language import language, profiles
+from corpusmill.llm.mixing import mix
+from corpusmill.llm.quality import Rule, base_failed, cascade, default_rules, measures
 from corpusmill.llm.toxicity import toxicity, train, with_labels
 
 
@@ -17,6 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("m", measures())
+    base = Rule("base", base_failed("m"))
+    judged = cascade(docs, default_rules("m"), first=base, into="rejected_by")
+    m = [F.col(f"m.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return judged.select("doc_id", *m, base.rejects.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
+
+
+def op4_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mix(table(spark, sf_dir, "documents"))
+    taken = m.schedule.groupBy("_row").agg(F.sum(F.col("end") - F.col("start")).alias("taken"))
+    known = F.broadcast(m.sources.select(F.col("source").alias("_source"), "source_size", "target"))  # a row for each source, MAX_SOURCES at most
+    rows = m.rows.join(known, F.col("source").eqNullSafe(F.col("_source"))).join(taken, "_row", "left")
+    return rows.select("doc_id", F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
 def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), into="leak")
     items = F.col("leak.items")
@@ -46,6 +64,8 @@ def op10_multiple_instance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_cascade": op3_quality_cascade,
+    "op4_golden_mix": op4_golden_mix,
     "op8_wu_manber": op8_wu_manber,
     "op9_rank_order": op9_rank_order,
     "op10_multiple_instance": op10_multiple_instance,
