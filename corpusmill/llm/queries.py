@@ -12,6 +12,7 @@ from corpusmill.llm.decontaminate import decontaminate
 from corpusmill.llm.language import language, profiles
 from corpusmill.llm.mixing import mix
 from corpusmill.llm.quality import Rule, base_failed, cascade, default_rules, measures
+from corpusmill.llm.token_shards import read_slots, write_shards
 from corpusmill.llm.toxicity import toxicity, train, with_labels
 
 
@@ -19,6 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored_sequences(docs: DataFrame) -> DataFrame:
+    """The documents as shards, and for each slot what the manifest says and the hash of what its record holds."""
+    shards = write_shards(docs)
+    held = read_slots(docs.sparkSession, shards).select("slot", F.sha2("tokens", 256).alias("tokens_sha256"))
+    doc_ids = F.transform("docs", lambda d: d["doc"]).alias("doc_ids")
+    return shards.manifest.join(held, "slot").select("slot", "shard", "offset", "n_tokens", doc_ids, "docs", "tokens_sha256")
+
+
+def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_sequences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("m", measures())
     base = Rule("base", base_failed("m"))
@@ -64,6 +77,7 @@ def op10_multiple_instance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_shards": op1_token_shards,
     "op3_quality_cascade": op3_quality_cascade,
     "op4_golden_mix": op4_golden_mix,
     "op8_wu_manber": op8_wu_manber,
