@@ -16,111 +16,112 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import as_bytes, fresh
+from corpusmill.llm.common import as_bytes, fresh, written
 
 _SENTENCE = re.compile(r"[.!?\n。！？]+")
 _WORD = re.compile(r"\w+")
-#: Bound of the training sample: labelled documents, and their distinct words over all sentences.
-SAMPLE_DOCS = 12_000
-SAMPLE_WORDS = 6_000_000
+#: Bound of the training sample: labelled documents.
+SAMPLE_DOCS = 20_000
 #: A word is a feature if it is in so many documents of the sample and so far above chance in toxic ones.
 MIN_DOCS = 5
 MIN_Z = 5.0
+#: The start of a longer word is a feature too, so that forms unseen in training count.
+STEM = 5
+#: Features at most, the clearest; one is a word and a number.
+MAX_FEATURES = 50_000
 
 SCORE = "score double, sentences array<struct<start:long,end:long,p:double>>"
 
 
 def sentences(text: str) -> Iterator[tuple[int, int, set[str]]]:
-    """(start, end, distinct lower-cased words) of each piece between sentence marks that has a word."""
+    """(start, end, distinct lower-cased words and their first STEM letters) of each piece that has a word."""
     start = 0
     for m in _SENTENCE.finditer(text):
-        if found := set(_WORD.findall(text[start : m.start()].lower())):
+        if found := _evidence(text[start : m.start()]):
             yield start, m.start(), found
         start = m.end()
-    if found := set(_WORD.findall(text[start:].lower())):
+    if found := _evidence(text[start:]):
         yield start, len(text), found
 
 
-def _sample(labelled: DataFrame, id_col: str, text: str, label: str, docs: int) -> list:
-    """About ``docs`` labelled rows, by the hash of their id, as lists of sentences' words."""
+def _evidence(piece: str) -> set[str]:
+    found = set(_WORD.findall(piece.lower()))
+    return found | {w[:STEM] + "-" for w in found if len(w) > STEM}
+
+
+def _sample(labelled: DataFrame, id_col: str, text: str, label: str, docs: int) -> DataFrame:
+    """(at, text, label) of about ``docs`` labelled rows, by the hash of their id; copies of a text with its label once."""
     rows = labelled.where(F.col(label).isNotNull()).select(
-        F.xxhash64(F.col(id_col).cast("string"), F.lit(17)).alias("_at"), as_bytes(text).alias("_text"), F.col(label).cast("int").alias("_label")
+        F.xxhash64(F.col(id_col).cast("string"), F.lit(17)).alias("at"), as_bytes(text).alias("text"), (F.col(label) != 0).cast("int").alias("label")
     )
-    n = rows.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    n = rows.count()
     # A share of the hash range that holds about ``docs`` rows: no sort and no limit over all texts.
     if n > docs:
-        rows = rows.where(F.pmod("_at", F.lit(1 << 20)) < int((1 << 20) * docs / n))
+        rows = rows.where(F.pmod("at", F.lit(1 << 20)) < int((1 << 20) * docs / n))
+    return rows.groupBy(F.md5("text").alias("key"), "label").agg(F.first("text").alias("text"))
+
+
+def _bags(t: bytes) -> list[set[str]]:
+    return [w for _, _, w in sentences(t.decode("utf-8", "replace"))]
+
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _features(sample: DataFrame, n: int, rate: float) -> list[str]:
+    """Words whose documents are toxic more often than chance allows, by MIN_Z standard errors; the clearest first."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            bags = [[" ".join(sorted(w)) for _, _, w in sentences(t.decode("utf-8", "replace"))] for t in b["_text"]]
-            yield pd.DataFrame({"at": b["_at"], "label": b["_label"], "bags": bags})
+            docs, toxic = Counter(), Counter()
+            for t, label in zip(b["text"], b["label"], strict=True):
+                seen = set().union(*_bags(t))
+                docs.update(seen)
+                if label:
+                    toxic.update(seen)
+            yield pd.DataFrame([(w, k, toxic[w]) for w, k in docs.items()], columns=["word", "docs", "toxic"])
 
-    return rows.mapInPandas(cut, "at long, label int, bags array<string>").collect()
+    counts = sample.mapInPandas(count, "word string, docs long, toxic long").groupBy("word").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
+    above = (F.col("toxic") - F.col("docs") * rate) / F.sqrt(F.col("docs") * rate * (1 - rate))
+    best = counts.where((F.col("docs") >= MIN_DOCS) & (above > MIN_Z)).orderBy(above.desc(), "word").limit(MAX_FEATURES)
+    return sorted(r["word"] for r in best.select("word").collect())
 
 
-def train(
-    labelled: DataFrame,
-    id_col: str = "doc_id",
-    text: str = "text",
-    label: str = "toxic",
-    sample_docs: int = SAMPLE_DOCS,
-    sample_words: int = SAMPLE_WORDS,
-    steps: int = 300,
-) -> dict:
+def train(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample_docs: int = SAMPLE_DOCS, steps: int = 300) -> dict:
     """{"bias", "leak", "weights": {word: weight}} fitted on a bounded sample of rows with a label.
 
-    The sample is the only bound: about ``sample_docs`` documents in the order of a hash of their id, taken until
-    ``sample_words`` words are reached; each is used whole. Null labels are left out, any label but 0 counts as 1,
-    copies of a text with the same label count once. Without a labelled row, or with one label only, no word has a
-    weight and every document scores the share of toxic labels (0 without any).
+    The sample is the only bound: about ``sample_docs`` documents, chosen by a hash of their id, each used whole.
+    Null labels are left out, any label but 0 counts as 1, copies of a text with the same label count once. Without
+    a labelled row, or with one label only, no word has a weight and every document scores the share of toxic
+    labels (0 without any). The driver gets the features and, for each sentence with one, their numbers.
     """
-    rows = sorted(_sample(labelled, id_col, text, label, sample_docs), key=lambda r: (r["at"], r["label"], r["bags"]))
-    bags, y, total, seen = [], [], 0, set()
-    for r in rows:
-        if (key := hash((r["label"], *r["bags"]))) in seen:
-            continue
-        seen.add(key)
-        doc = [b.split(" ") for b in r["bags"]]
-        total += sum(map(len, doc))
-        if bags and total > sample_words:
-            break
-        bags.append(doc)
-        y.append(1.0 if r["label"] else 0.0)
-    return fit(bags, np.array(y), steps)
-
-
-def features(bags: list[list[list[str]]], y: np.ndarray) -> list[str]:
-    """Words whose documents are toxic more often than chance allows, by MIN_Z standard errors."""
-    rate = y.mean()
-    in_docs, in_toxic = Counter(), Counter()
-    for doc, label in zip(bags, y, strict=True):
-        seen = set().union(*doc)
-        in_docs.update(seen)
-        if label:
-            in_toxic.update(seen)
-    return sorted(w for w, k in in_toxic.items() if in_docs[w] >= MIN_DOCS and k - in_docs[w] * rate > MIN_Z * np.sqrt(in_docs[w] * rate * (1 - rate)))
-
-
-def fit(bags: list[list[list[str]]], y: np.ndarray, steps: int = 300, rate: float = 0.1, decay: float = 1e-5) -> dict:
+    sample = written(_sample(labelled, id_col, text, label, sample_docs), "toxicity-sample")
+    counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    n, toxic = sum(counts.values()), counts.get(1, 0)
+    if not 0 < toxic < n:
+        return {"bias": 0.0, "leak": toxic / n if n else 0.0, "weights": {}}
+    words = _features(sample, n, toxic / n)
+    place = {w: i for i, w in enumerate(words)}
+
+    def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            bags = [[sorted(place[w] for w in bag & place.keys()) for bag in _bags(t)] for t in b["text"]]
+            yield pd.DataFrame({"key": b["key"], "label": b["label"], "bags": [[x for x in doc if x] for doc in bags]})
+
+    rows = sample.mapInPandas(known, "key string, label int, bags array<array<int>>").where(F.size("bags") > 0).collect()
+    rows = sorted(rows, key=lambda r: (r["key"], r["label"]))
+    bags, labels = [r["bags"] for r in rows], [r["label"] for r in rows]
+    silent = [n - toxic - labels.count(0), toxic - labels.count(1)]  # documents without any feature, by label
+    return fit(bags, np.array(labels, float), silent, words, steps)
+
+
+def fit(bags: list[list[list[int]]], y: np.ndarray, silent: list[int], words: list[str], steps: int = 300, rate: float = 0.1, decay: float = 1e-5) -> dict:
     """Maximum likelihood of the noisy-or with Adam, over whole documents.
 
     A sentence without any feature is no evidence. What labels say beyond the sentences goes into ``leak``, the
     noisy-or's chance that a document is labelled toxic without an offending sentence, whatever its length.
     """
-    model = {"bias": 0.0, "leak": float(y.mean()) if len(y) else 0.0, "weights": {}}
-    if len(y) == 0 or y.min() == y.max():
-        return model
-    place = {w: i for i, w in enumerate(features(bags, y))}
-    feature, sentence, doc_of = [], [], []
-    for d, doc in enumerate(bags):
-        for bag in doc:
-            if known := [place[w] for w in bag if w in place]:
-                feature += known
-                sentence += [len(doc_of)] * len(known)
-                doc_of.append(d)
-    f, s, d = np.array(feature, np.int64), np.array(sentence, np.int64), np.array(doc_of, np.int64)
-    n_s, n_d, n_f = len(doc_of), len(bags), len(place)
+    f = np.array([w for doc in bags for bag in doc for w in bag], np.int64)
+    s = np.repeat(np.arange(sum(map(len, bags))), [len(bag) for doc in bags for bag in doc])
+    d = np.repeat(np.arange(len(bags)), [len(doc) for doc in bags])
+    n_s, n_d, n_f, n = len(d), len(bags), len(words), len(bags) + sum(silent)
     x = np.concatenate((np.full(n_f, 1.0), [-1.0, -3.0]))  # weights, bias, log odds of the leak
     m, v = np.zeros(n_f + 2), np.zeros(n_f + 2)
     for step in range(1, steps + 1):
@@ -129,10 +130,11 @@ def fit(bags: list[list[list[str]]], y: np.ndarray, steps: int = 300, rate: floa
         clean = np.log1p(-leak) + np.bincount(d, -np.logaddexp(0, z), n_d)  # log of the chance that nothing is toxic
         pull = np.where(y > 0, np.exp(clean) / np.clip(-np.expm1(clean), 1e-12, None), -1.0)
         g_s = -p * pull[d]
-        g = np.concatenate((np.bincount(f, g_s[s], n_f), [g_s.sum(), -(leak * pull).sum()])) / n_d + decay * x
+        leaks = leak * (pull.sum() - silent[0] + silent[1] * (1 - leak) / max(leak, 1e-12))
+        g = np.concatenate((np.bincount(f, g_s[s], n_f), [g_s.sum(), -leaks])) / n + decay * x
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return {"bias": float(x[n_f]), "leak": float(1 / (1 + np.exp(-x[-1]))), "weights": {w: float(x[i]) for w, i in place.items()}}
+    return {"bias": float(x[n_f]), "leak": float(1 / (1 + np.exp(-x[-1]))), "weights": {w: float(x[i]) for i, w in enumerate(words)}}
 
 
 def score_text(text: str, model: dict) -> tuple[float, list[tuple[int, int, float]]]:
