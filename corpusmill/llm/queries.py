@@ -11,6 +11,7 @@ from corpusmill.llm.common import held_out
 from corpusmill.llm.decontaminate import decontaminate
 from corpusmill.llm.language import language, profiles
 from corpusmill.llm.mixing import mix
+from corpusmill.llm.ngram_join import jaccard_classes
 from corpusmill.llm.quality import Rule, base_failed, cascade, default_rules, measures
 from corpusmill.llm.token_shards import read_slots, write_shards
 from corpusmill.llm.toxicity import toxicity, train, with_labels
@@ -32,6 +33,10 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_sequences(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key")
+
+
 def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("m", measures())
     base = Rule("base", base_failed("m"))
@@ -78,6 +83,7 @@ def op10_multiple_instance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
+    "op2_jaccard_forest": op2_jaccard_forest,
     "op3_quality_cascade": op3_quality_cascade,
     "op4_golden_mix": op4_golden_mix,
     "op8_wu_manber": op8_wu_manber,
