@@ -67,6 +67,23 @@ p AS (
 r AS (SELECT *, pass * source_size + sum(size) OVER (PARTITION BY source, pass ORDER BY key, size, doc_id ROWS UNBOUNDED PRECEDING) AS stop FROM p)
 SELECT doc_id, size, source_size, target, CAST(sum(greatest(0, least(stop, goal) - (stop - size))) AS BIGINT) AS taken
 FROM r GROUP BY doc_id, size, source_size, target
+""",
+    "op6_previous_factors": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, p, substring(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM d WHERE n >= 50)),
+hit AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS first FROM w) WHERE first < doc_id),
+gap AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM hit),
+run AS (SELECT doc_id, p, sum(CASE WHEN q IS NULL OR p > q + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM gap),
+span AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM run GROUP BY doc_id, r),
+piece AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM span),
+kept AS (
+  SELECT doc_id, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substring(any_value(h), 2 * max(b) + 1) AS h,
+    sum(b - a) AS n_removed, count(*) AS n_spans
+  FROM piece JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT d.doc_id AS doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
 """,
     "op8_wu_manber": f"""
 WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS ws FROM documents),

@@ -13,6 +13,7 @@ from corpusmill.llm.language import language, profiles
 from corpusmill.llm.mixing import mix
 from corpusmill.llm.ngram_join import jaccard_classes
 from corpusmill.llm.quality import Rule, base_failed, cascade, default_rules, measures
+from corpusmill.llm.repeats import without_repeats
 from corpusmill.llm.token_shards import read_slots, write_shards
 from corpusmill.llm.toxicity import toxicity, train, with_labels
 
@@ -53,6 +54,12 @@ def op4_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
+def op6_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_spans = (F.size("spans") / 2).cast("long").alias("n_spans")
+    return cut.select("doc_id", "n_bytes", "n_removed", n_spans, "kept_sha256")
+
+
 def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), into="leak")
     items = F.col("leak.items")
@@ -86,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_forest": op2_jaccard_forest,
     "op3_quality_cascade": op3_quality_cascade,
     "op4_golden_mix": op4_golden_mix,
+    "op6_previous_factors": op6_previous_factors,
     "op8_wu_manber": op8_wu_manber,
     "op9_rank_order": op9_rank_order,
     "op10_multiple_instance": op10_multiple_instance,
