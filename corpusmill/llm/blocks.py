@@ -23,8 +23,8 @@ SCHEMA = "block string, ids binary, marks binary, ends binary, size long, texts
 
 
 def squeezed(*arrays: np.ndarray) -> bytes:
-    """The arrays' bytes, one after the other, compressed; the total size comes first."""
-    raw = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    """The arrays' bytes, compressed; the total size comes first. Bytes of equal weight stand together, as they are alike."""
+    raw = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"" for a in arrays)
     return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 
@@ -35,8 +35,10 @@ def spread(blob: bytes, *kinds: str) -> list[np.ndarray]:
     n = size // sum(np.dtype(k).itemsize for k in kinds)
     out, at = [], 0
     for k in kinds:
-        out.append(np.frombuffer(raw, k, n, at))
-        at += n * np.dtype(k).itemsize
+        width = np.dtype(k).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(k).reshape(n))
+        at += n * width
     return out
 
 

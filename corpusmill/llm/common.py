@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,3 +64,13 @@ def let(value: Column, body) -> Column:
     computed again for each element; a lambda's own argument never is.
     """
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def released(spark) -> None:
+    """Let go of shuffle files of passes whose results are written.
+
+    Spark deletes them once the driver's collector finds that nothing refers to them; passes over the whole corpus
+    leave files as large as the corpus, so ask for a collection between two of them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -12,6 +12,7 @@ from corpusmill.llm.decontaminate import decontaminate
 from corpusmill.llm.language import language, profiles
 from corpusmill.llm.mixing import mix
 from corpusmill.llm.ngram_join import jaccard_classes
+from corpusmill.llm.pitman_yor import pitman_yor_scores
 from corpusmill.llm.quality import Rule, base_failed, cascade, default_rules, measures
 from corpusmill.llm.repeats import without_repeats
 from corpusmill.llm.token_shards import read_slots, write_shards
@@ -54,6 +55,10 @@ def op4_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
+def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), held_out("doc_id", 7, 2))
+
+
 def op6_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n_spans = (F.size("spans") / 2).cast("long").alias("n_spans")
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_forest": op2_jaccard_forest,
     "op3_quality_cascade": op3_quality_cascade,
     "op4_golden_mix": op4_golden_mix,
+    "op5_pitman_yor": op5_pitman_yor,
     "op6_previous_factors": op6_previous_factors,
     "op8_wu_manber": op8_wu_manber,
     "op9_rank_order": op9_rank_order,
