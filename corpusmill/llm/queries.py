@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import held_out
 from corpusmill.llm.decontaminate import decontaminate
 from corpusmill.llm.language import language, profiles
+from corpusmill.llm.line_align import without_aligned_lines
 from corpusmill.llm.mixing import mix
 from corpusmill.llm.ngram_join import jaccard_classes
 from corpusmill.llm.pitman_yor import pitman_yor_scores
@@ -65,6 +66,11 @@ def op6_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", n_spans, "kept_sha256")
 
 
+def op7_patience_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = without_aligned_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), into="lines")
+    return cut.select("doc_id", "lines.n_lines", "lines.removed", F.sha2(F.col("lines.kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), into="leak")
     items = F.col("leak.items")
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_golden_mix": op4_golden_mix,
     "op5_pitman_yor": op5_pitman_yor,
     "op6_previous_factors": op6_previous_factors,
+    "op7_patience_lines": op7_patience_lines,
     "op8_wu_manber": op8_wu_manber,
     "op9_rank_order": op9_rank_order,
     "op10_multiple_instance": op10_multiple_instance,
