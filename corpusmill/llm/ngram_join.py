@@ -170,13 +170,14 @@ def jaccard_classes(
     target: float = TARGET,
     block: int = BLOCK,
 ) -> DataFrame:
-    """(id, text_key, n_shingles, class_id, n_links) for each row of ``docs``.
+    """(id, text_key, n_shingles, class_id, class_key, n_links) for each row of ``docs``.
 
     Two documents are linked if the Jaccard similarity of their sets of ``width`` consecutive words is ``threshold``
     or more. Words are runs of characters other than space and \\x09-\\x0D; a text of fewer than ``width`` words is one
     shingle; a text without words (null, empty, blank) has no links and is its own class. A class is a component of
-    linked documents, class_id the smallest id in it; n_links counts a document's linked documents, copies and
-    repeated rows too. text_key is the text's md5. Other columns aren't read.
+    linked documents; its first one has the smallest id, of equal ids the smallest md5 of the text, and class_id and
+    class_key are that id (null if none has one) and md5. text_key is the own text's md5. n_links counts a document's
+    linked documents, copies and repeated rows too. Other columns aren't read.
 
     Documents with equal sets are one text with a weight from the signatures on, so copies are never compared.
     A prefix of ``prefix_depth`` values is common to all pairs at the threshold in some tree with the target recall,
@@ -189,7 +190,7 @@ def jaccard_classes(
     rows = written(signed.select("id", F.md5("text").alias("text_key"), F.col("s.set").alias("set"), F.col("s.n").alias("n"), F.col("s.prefixes").alias("prefixes")), "signatures")
     known = rows.where(F.col("set").isNotNull())
     texts = written(
-        known.groupBy("set").agg(F.min(F.struct("id", "text_key")).alias("first"), F.min("id").alias("least"), F.count(F.lit(1)).alias("weight"), F.first("prefixes").alias("prefixes")),
+        known.groupBy("set").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key")).alias("first"), F.count(F.lit(1)).alias("weight"), F.first("prefixes").alias("prefixes")),
         "texts",
     )
     branches = texts.select("set", F.explode("prefixes").alias("prefix"))
@@ -218,26 +219,25 @@ def jaccard_classes(
 
     links = found.groupBy("set").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("set").alias("a"), F.col("root").alias("b"))).select(F.col("v").alias("set"), "root")
-    of_text = texts.select("set", "least", "weight").join(links, "set", "left").join(classes, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    of_text = texts.select("set", "first", "weight").join(links, "set", "left").join(classes, "set", "left").withColumn("root", F.coalesce("root", "set"))
     of_text = written(of_text, "text-classes")
-    least = of_text.groupBy("root").agg(F.min("least").alias("class_id"))
-    answer = of_text.join(least, "root").select("set", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    with_words = known.join(answer, "set").select("id", "text_key", F.col("n").alias("n_shingles"), "class_id", "n_links")
-    without = rows.where(F.col("set").isNull()).select("id", "text_key", F.lit(0).alias("n_shingles"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    least = of_text.groupBy("root").agg(F.min("first").alias("least"))
+    answer = of_text.join(least, "root").select("set", F.col("least.id").alias("class_id"), F.col("least.text_key").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    with_words = known.join(answer, "set").select("id", "text_key", F.col("n").alias("n_shingles"), "class_id", "class_key", "n_links")
+    without = rows.where(F.col("set").isNull()).select("id", "text_key", F.lit(0).alias("n_shingles"), F.col("id").alias("class_id"), F.col("text_key").alias("class_key"), F.lit(0).cast("long").alias("n_links"))
     return with_words.unionByName(without).withColumnRenamed("id", id_col)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each class: the one with the smallest id, of equal ids the smallest text key.
+    """``docs`` with one document of each class: the one with the smallest id, of equal ids the smallest text key;
+    one without an id comes last.
 
     Rows with the same id and the same text are one document. Texts without words stay.
     """
     found = jaccard_classes(docs, id_col, text, **options)
-    mine = F.struct(F.col(id_col), F.col("text_key"))
-    judged = written(found.where("n_shingles > 0").select(id_col, "text_key", "class_id", mine.alias("mine")), "classes")
-    first = judged.groupBy("class_id").agg(F.min("mine").alias("first"))
     key = lambda k, i: F.concat_ws(":", k, i.cast("string"))
-    dropped = judged.join(first, "class_id").where("mine <> first").select(key(F.col("text_key"), F.col(id_col)).alias("_at")).distinct()
+    first = F.col(id_col).eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("class_key"))
+    dropped = found.where(~first).select(key(F.col("text_key"), F.col(id_col)).alias("_at")).distinct()
     at = "_at"
     while at in docs.columns:
         at = "_" + at

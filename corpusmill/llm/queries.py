@@ -37,7 +37,7 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key")
+    return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key", "class_key")
 
 
 def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
