@@ -28,58 +28,68 @@ def _one_value(text: Column) -> Column:
     )
 
 
-def _count(text: Column, char: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
+# A lexeme of JSON as models write it: a string (without its quote where the text ends in it), a comment, a run of
+# white space, a bracket or comma, or a run of anything else.
+_LEXEMES = r'(?s)"(?:[^"\\]++|\\.)*+"?|//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/)?|[\[\]{},]|[^"/\[\]{},\s]++|\s++|/'
+_OPEN_STRING = r'(?s)^"(?:[^"\\]++|\\.)*+$'
 
 
-def repair_json(raw: Column) -> Column:
-    """The object in ``raw`` as compact JSON text, or null.
+def _first_object(raw: Column) -> Column:
+    """The text of the first object in ``raw``, in one walk over its lexemes, or null.
 
-    Tries, each on top of the one before: the text (out of its code fence); without trailing
-    commas; without ``//`` comments; from the first to the last brace; with missing closers added.
+    Strings stay as they are, so that nothing in them is taken for a comment or a comma. Comments go, and so does a
+    comma in front of a closing bracket; what is still open at the end is closed. An object with another closing
+    brace after it is none: it isn't clear which one is meant.
     """
-    fence = r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```"
-
-    def unfenced(text: Column) -> Column:
-        return F.when(
-            F.contains(text, F.lit("```")) & F.rlike(text, F.lit(fence)),
-            F.btrim(F.regexp_extract(text, fence, 1), F.lit(WHITE)),
-        ).otherwise(text)
-
-    def braced(text: Column) -> Column:
-        found = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-        return let(found, lambda f: F.when(F.length(f) > 0, f).otherwise(text))
-
-    def closed(text: Column) -> Column:
-        tail = F.substr(text, F.instr(text, "{"))
-        return F.when(
-            F.contains(text, F.lit("{")),
-            let(
-                tail,
-                lambda c: F.concat(
-                    c,
-                    F.repeat(F.lit("]"), F.greatest(_count(c, "[") - _count(c, "]"), F.lit(0))),
-                    F.repeat(F.lit("}"), F.greatest(_count(c, "{") - _count(c, "}"), F.lit(0))),
-                ),
-            ),
+    begun = F.regexp_extract(raw, r'(?s)\{\s*(?:["}/].*|\z)', 0)
+    lexemes = F.filter(
+        F.regexp_extract_all(begun, F.lit(_LEXEMES), F.lit(0)),
+        lambda x: ~F.rlike(x, F.lit(r"^(?:\s|//|/\*)")),
+    )
+
+    def walk(s: Column, x: Column) -> Column:
+        at = s["at"] + 1
+        shut = F.substring(s["open"], 2, 1 << 30)
+
+        def state(open_: Column, end: Column) -> Column:
+            return F.struct(at.alias("at"), open_.alias("open"), end.alias("end"))
+
+        return (
+            F.when(s["end"] > 0, s)
+            .when(x == "{", state(F.concat(F.lit("}"), s["open"]), s["end"]))
+            .when(x == "[", state(F.concat(F.lit("]"), s["open"]), s["end"]))
+            .when(x == F.substring(s["open"], 1, 1), state(shut, F.when(shut == "", at).otherwise(0)))
+            .otherwise(state(s["open"], s["end"]))
         )
 
-    steps = [
-        lambda t: F.regexp_replace(t, r",\s*([\]}])", "$1"),
-        lambda t: F.regexp_replace(t, r"(?m)//.*?$", ""),
-        braced,
-        closed,
-    ]
+    start = F.expr("named_struct('at', 0, 'open', '', 'end', 0)")
+
+    def text(ls: Column) -> Column:
+        def cut(s: Column) -> Column:
+            rest = F.when(s["end"] > 0, F.slice(ls, s["end"] + 1, F.greatest(F.size(ls) - s["end"], F.lit(0))))
+            inside = F.when(s["end"] > 0, F.slice(ls, 1, s["end"])).otherwise(ls)
 
-    # Each text is bound once, and a later one is made only if the earlier ones did not parse.
-    def first_value(text: Column, later: list) -> Column:
-        if not later:
-            return _one_value(text)
-        return let(text, lambda t: F.coalesce(_one_value(t), first_value(later[0](t), later[1:])))
+            def tidy(own: Column) -> Column:
+                def piece(x: Column, i: Column) -> Column:
+                    after = F.coalesce(F.get(own, i + 1), F.lit("}"))
+                    unquoted = after.isNotNull() & (i == F.size(own) - 1) & F.rlike(x, F.lit(_OPEN_STRING))
+                    return F.when((x == ",") & after.isin("]", "}"), "").when(unquoted, F.concat(x, F.lit('"'))).otherwise(x)
 
-    value = first_value(let(F.btrim(raw, F.lit(WHITE)), unfenced), steps)
+                return F.concat(F.array_join(F.transform(own, piece), " "), F.when(s["end"] > 0, "").otherwise(s["open"]))
+
+            return F.when(~F.coalesce(F.exists(rest, lambda x: x == "}"), F.lit(False)), let(inside, tidy))
+
+        return F.when(F.size(ls) > 0, let(F.aggregate(ls, start, walk), cut))
+
+    return let(lexemes, text)
+
+
+def repair_json(raw: Column) -> Column:
+    """The object in ``raw`` as compact JSON text, or null: the whole text if it is one value, else its first object."""
+    whole = lambda t: F.coalesce(_one_value(t), _one_value(_first_object(t)))
     return let(
-        value, lambda v: F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.to_json(v))
+        let(F.btrim(raw, F.lit(WHITE)), whole),
+        lambda v: F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.to_json(v)),
     )
 
 

@@ -128,6 +128,21 @@ def class_names(text: Column, language: Column) -> Column:
     return choose(language, by_language, found(fv.NAME_KEYWORDS_OTHERWISE))
 
 
+# Words and signs at which a program's way divides.
+BRANCH_WORDS = ("if", "elif", "for", "while", "case", "catch", "except", "switch")
+_BRANCH = rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(BRANCH_WORDS)})(?![\p{{L}}\p{{N}}_])|&&|\|\|"
+
+
+def branch_count(text: Column) -> Column:
+    """Branch words and signs in a text."""
+    return F.regexp_count(text, F.lit(_BRANCH)).cast("long")
+
+
+def branch_score(branches: Column) -> Column:
+    """1, and one more for each three branches."""
+    return (1 + F.floor(branches / 3)).cast("long")
+
+
 def is_public(modifiers: Column, name: Column) -> Column:
     return (
         F.when(F.array_contains(modifiers, "private"), F.lit(False))
@@ -153,6 +168,6 @@ def prompt_text(
     return F.concat(
         F.lit("### File: "), F.array_join(source_files, ", "), F.lit("\n### Language: "), language, F.lit("\n"),
         listed("Classes", class_names_),
-        listed("Functions", F.slice(function_names, 1, fv.HEADER_FUNCTIONS)),
+        listed("Functions", function_names),
         F.lit("---\n"), content,
     )

@@ -118,7 +118,8 @@ def cut(files_with_spans: DataFrame, o: Options) -> DataFrame:
 
     type: a declared type that fits. header / functions / function_part: an oversize type as the text
     before its first function (if above ``header_min_tokens``), next-fit groups of functions, and
-    oversize functions cut by lines. lines: a file without spans, or whose spans give no chunk.
+    oversize functions cut by lines. rest: runs of lines in none of these, unless blank, cut by lines.
+    lines: a file without spans, or whose spans give no chunk. Ordinals ascend with the first line.
     """
     m, each = o.max_tokens, o.measure.of_each
     df = files_with_spans.withColumn("lines", texts.lines_of(F.col("content")))
@@ -173,34 +174,58 @@ def cut(files_with_spans: DataFrame, o: Options) -> DataFrame:
     def lines_of_big(b: Column) -> Column:
         return F.transform(texts.lines_of(F.col("fn_texts")[b["first"]]), lambda x: F.struct(b["first"].alias("unit"), x.alias("line")))
 
+    # What the chunks so far leave out: the gaps between their lines, in order.
+    interval = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+    whole_types = F.transform("spans", lambda s, i: F.when(F.col("type_tokens")[i] <= m, interval(s["start"], s["end"])))
+    heads = F.transform(
+        "spans",
+        lambda s, i: F.when(
+            (F.col("type_tokens")[i] > m) & (F.col("header_tokens")[i] > o.header_min_tokens),
+            interval(s["start"], F.when(F.size(s["functions"]) > 0, s["functions"][0]["start"]).otherwise(s["end"]) - 1),
+        ),
+    )
+    in_bins = F.transform("bins", lambda b: interval(F.col("fns")[b["first"]]["start"], F.col("fns")[b["last"]]["end"]))
+    end_of_file = F.array(interval(F.size("lines") + 1, F.size("lines") + 1))
+    taken = F.sort_array(F.concat(F.filter(F.concat(whole_types, heads, in_bins), lambda x: x.isNotNull()), end_of_file))
+
+    def gap(s: Column, x: Column) -> Column:
+        found = F.when(x["start"] > s["reach"] + 1, F.concat(s["gaps"], F.array(interval(s["reach"] + 1, x["start"] - 1)))).otherwise(s["gaps"])
+        return F.struct(F.greatest(s["reach"], x["end"]).alias("reach"), found.alias("gaps"))
+
+    zero = F.expr("named_struct('reach', 0, 'gaps', cast(array() as array<struct<start:int,end:int>>))")
+    text_in = lambda g: F.exists(F.slice("lines", g["start"], g["end"] - g["start"] + 1), lambda x: F.rlike(x, F.lit(r"\S")))
+    df = df.withColumn("gaps", F.filter(F.aggregate(taken, zero, gap, lambda s: s["gaps"]), text_in))
+
+    def lines_of_gap(g: Column, k: Column) -> Column:
+        return F.transform(F.slice("lines", g["start"], g["end"] - g["start"] + 1), lambda x: F.struct((-2 - k).alias("unit"), x.alias("line")))
+
     whole = F.transform("lines", lambda x: F.struct(F.lit(-1).alias("unit"), x.alias("line")))
-    df = df.withColumn("cuttable", F.when(F.col("gives"), F.flatten(F.transform("big", lines_of_big))).otherwise(whole))
+    parted = F.concat(F.flatten(F.transform("big", lines_of_big)), F.flatten(F.transform("gaps", lines_of_gap)))
+    df = df.withColumn("cuttable", F.when(F.col("gives"), parted).otherwise(whole))
     df = df.withColumn("line_costs", each(F.transform("cuttable", lambda x: F.concat(x["line"], F.lit("\n")))))
     df = df.withColumn("priced", F.transform("cuttable", lambda x, i: F.struct(x["unit"].alias("unit"), F.col("line_costs")[i].alias("cost"))))
     df = df.withColumn("cuts", bin_starts(F.col("priced"), "cost", "unit", m))
 
     path = F.col("relative_path")
 
-    def piece(level: str, ordinal: Column, suffix: Column, content: Column, tokens: Column, classes: Column, functions: Column) -> Column:
+    def piece(level: str, start: Column, part: Column, suffix: Column, content: Column, tokens: Column, classes: Column, functions: Column) -> Column:
         return F.struct(
-            ordinal.cast("long").alias("ordinal"), F.concat(path, F.lit(":"), suffix).alias("chunk_id"), content.alias("content"),
+            start.cast("long").alias("start"), part.cast("long").alias("part"),
+            F.concat(path, F.lit(":"), suffix).alias("chunk_id"), content.alias("content"),
             tokens.cast("long").alias("token_count"), classes.alias("class_names"), functions.alias("function_names"),
             F.lit(level).alias("level"),
         )
 
-    # Ordinals ascend in the order of the text: type, then function within it, then piece of the function.
-    def place(unit: Column, fn: Column, part: Column) -> Column:
-        return F.shiftleft(unit.cast("long"), 42) + F.shiftleft(fn.cast("long"), 21) + part
-
+    first_part = F.lit(0)
     none = F.expr(NO_NAMES)
     types = F.filter(
         F.transform("spans", lambda s, i: F.when(
             F.col("type_tokens")[i] <= m,
-            piece("type", place(i, F.lit(0), F.lit(0)), s["name"], F.col("type_texts")[i], F.col("type_tokens")[i],
+            piece("type", s["start"], first_part, s["name"], F.col("type_texts")[i], F.col("type_tokens")[i],
                   F.array(s["name"]), F.transform(s["functions"], lambda f: f["name"])),
         ).when(
             F.col("header_tokens")[i] > o.header_min_tokens,
-            piece("header", place(i, F.lit(0), F.lit(0)), F.concat(s["name"], F.lit(":header")), F.col("header_texts")[i],
+            piece("header", s["start"], first_part, F.concat(s["name"], F.lit(":header")), F.col("header_texts")[i],
                   F.col("header_tokens")[i], F.array(s["name"]), none),
         )),
         lambda x: x.isNotNull(),
@@ -210,7 +235,7 @@ def cut(files_with_spans: DataFrame, o: Options) -> DataFrame:
         first, last = F.col("fns")[b["first"]], F.col("fns")[b["last"]]
         names = F.transform(F.slice("fns", b["first"] + 1, b["last"] - b["first"] + 1), lambda f: f["name"])
         return piece(
-            "functions", place(first["unit"], b["first"] + 1, F.lit(0)),
+            "functions", first["start"], first_part,
             F.concat(first["type_name"], F.lit(":"), first["name"], F.lit("-"), last["name"]),
             F.col("group_texts")[i], F.col("group_tokens")[i], F.array(first["type_name"]), names,
         )
@@ -222,22 +247,29 @@ def cut(files_with_spans: DataFrame, o: Options) -> DataFrame:
         tokens = F.aggregate(F.slice("line_costs", start + 1, stop - start), F.lit(0).cast("long"), lambda a, x: a + x)
         # Pieces are numbered within their function, or within the file.
         before = F.size(F.filter("cuts", lambda c: (c < start) & (F.col("cuttable")[c]["unit"] == unit)))
-        fn = F.get(F.col("fns"), unit)
+        fn, hole = F.get(F.col("fns"), unit), F.get(F.col("gaps"), -2 - unit)
         return F.when(
-            unit < 0, piece("lines", j, F.concat(F.lit("lc"), j.cast("string")), content, tokens, none, none)
+            unit == -1, piece("lines", F.lit(1), j, F.concat(F.lit("lc"), j.cast("string")), content, tokens, none, none)
+        ).when(
+            unit < -1,
+            piece("rest", hole["start"], before, F.concat(F.lit("rest"), hole["start"].cast("string"), F.lit("-"), before.cast("string")),
+                  content, tokens, none, none),
         ).otherwise(
-            piece("function_part", place(fn["unit"], unit + 1, before),
+            piece("function_part", fn["start"], before,
                   F.concat(fn["type_name"], F.lit(":"), fn["name"], F.lit(":f"), before.cast("string")),
                   content, tokens, F.array(fn["type_name"]), F.array(fn["name"])),
         )
 
     pieces = F.concat(types, F.transform("groups", group_piece), F.transform("cuts", line_piece))
     lines_only = F.filter(F.transform("cuts", line_piece), lambda x: x.isNotNull())
-    df = df.withColumn("pieces", F.when(F.col("gives"), pieces).otherwise(lines_only))
+    df = df.withColumn("pieces", F.sort_array(F.when(F.col("gives"), pieces).otherwise(lines_only)))
+    numbered = F.transform("pieces", lambda x, i: F.struct(
+        i.cast("long").alias("ordinal"), *[x[c].alias(c) for c in ("chunk_id", "content", "token_count", "class_names", "function_names", "level")]
+    ))
     # The outer form: a plain inline() would infer the filter size(pieces) > 0, which Spark pushes down
     # through every step above, computing the whole cut a second time as one nested expression.
     return df.select(
-        "relative_path", F.array("relative_path").alias("source_files"), "language", F.inline_outer("pieces")
+        "relative_path", F.array("relative_path").alias("source_files"), "language", F.inline_outer(numbered)
     ).select(*CHUNK_COLUMNS)
 
 

@@ -23,6 +23,12 @@ FAMILY = {
     "javascript": "js", "jsx": "js", "typescript": "js", "tsx": "js",
 }
 
+# Lines that are looked at above a declaration for what belongs to it.
+REACH = 1_000
+# Lines of a head that isn't closed on its own line: as many as it takes, by steps, so that a head's cost is that of
+# its own lines and not of the file below it.
+HEAD_LINES = (8, 64, 2_048)
+
 # --- patterns -----------------------------------------------------------------------------------
 # Possessive groups keep matching iterative, so long texts cannot exhaust the stack.
 
@@ -32,10 +38,15 @@ _TRIPLE = r'"""(?:[^"\\]++|\\.|"(?!""))*+(?:""")?'
 _TRIPLE_SINGLE = r"'''(?:[^'\\]++|\\.|'(?!''))*+(?:''')?"
 _BACKTICK = r"`[^`\\]*+(?:\\.[^`\\]*+)*+`?"
 _COMMENTS = r"//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/)?"
+# A slash begins a regular expression after an operator, an opening bracket, a comma or one of these words, or on its own line.
+_REGEX = (
+    r"(?<=[=(,\[!&|?:;{+\-*%~^]\s{0,40}|\b(?:return|typeof|case|else|do|in|of|void|delete|throw|await|yield)\s{1,40}|^\s{0,40}|\n\s{0,40})"
+    r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[A-Za-z]*+"
+)
 LEXEMES = {
     "java": rf"(?s){_TRIPLE}|{_DOUBLE}|{_SINGLE}|{_COMMENTS}|[^\"'/]++|/",
     "go": rf"(?s){_DOUBLE}|{_SINGLE}|`[^`]*+`?|{_COMMENTS}|[^\"'`/]++|/",
-    "js": rf"(?s){_DOUBLE}|{_SINGLE}|{_BACKTICK}|{_COMMENTS}|[^\"'`/]++|/",
+    "js": rf"(?s){_DOUBLE}|{_SINGLE}|{_BACKTICK}|{_COMMENTS}|{_REGEX}|[^\"'`/]++|/",
     "python": rf"(?s){_TRIPLE}|{_TRIPLE_SINGLE}|{_DOUBLE}|{_SINGLE}|#[^\n]*+|[^\"'#]++",
 }
 STRING_END = "\x01"  # closes a blanked string that spans lines
@@ -116,7 +127,10 @@ def masked(content: Column, family: str) -> Column:
         is_comment = F.lit(False)
         for c in comment_starts:
             is_comment = is_comment | F.startswith(t, F.lit(c))
-        return F.when(is_comment, blank(t)).when(F.substring(t, 1, 1).isin('"', "'", "`"), quoted(t)).otherwise(t)
+        literal = F.substring(t, 1, 1).isin('"', "'", "`")
+        if family == "js":
+            literal = literal | (F.startswith(t, F.lit("/")) & (F.length(t) > 1))
+        return F.when(is_comment, blank(t)).when(literal, quoted(t)).otherwise(t)
 
     return F.array_join(F.transform(F.regexp_extract_all(content, F.lit(LEXEMES[family]), F.lit(0)), masked_lexeme), "")
 
@@ -145,7 +159,7 @@ def _decorators_above(lines: Column, i: Column) -> Column:
         )
 
     zero = F.expr("named_struct('over', false, 'at', 0, 'reach', 0, 'found', cast(array() as array<string>))")
-    return F.aggregate(_above(lines, i, fv.DECORATOR_REACH), zero, step)
+    return F.aggregate(_above(lines, i, REACH), zero, step)
 
 
 def _comment_above(lines: Column, i: Column) -> Column:
@@ -166,17 +180,24 @@ def _comment_above(lines: Column, i: Column) -> Column:
         )
 
     zero = F.expr("named_struct('over', false, 'inside', false, 'found', cast(array() as array<string>))")
-    found = F.aggregate(_above(lines, i, fv.DOCSTRING_REACH), zero, step, lambda s: s["found"])
+    found = F.aggregate(_above(lines, i, REACH), zero, step, lambda s: s["found"])
     text = F.replace(F.replace(F.array_join(found, "\n"), F.lit("/**"), F.lit("")), F.lit("*/"), F.lit(""))
     bare = F.regexp_replace(F.regexp_replace(text, r"/\*", ""), r"(?m)^\*+ ?", "")
-    return texts.prefix(F.btrim(bare, F.lit(" \t\n")), fv.DOCSTRING_CHARS)
+    return F.btrim(bare, F.lit(" \t\n"))
 
 
 def _docstring_below(lines: Column, i: Column) -> Column:
     """The string that is the first statement below a Python class line."""
-    rest = F.array_join(F.slice(lines, i + 2, F.size(lines)), "\n")
-    text = F.regexp_extract(rest, r"(?s)\A\s*[rRuUbB]{0,2}(\"\"\"|'''|\"|')(.*?)\1", 2)
-    return texts.prefix(F.btrim(text, F.lit(" \t\n")), fv.DOCSTRING_CHARS)
+    pattern = r"(?s)\A\s*[rRuUbB]{0,2}(\"\"\"|'''|\"|')(.*?)\1"
+
+    def below(n: int) -> Column:
+        return F.array_join(F.slice(lines, i + 2, n), "\n")
+
+    begun = F.rlike(below(HEAD_LINES[0]), F.lit(r"\A\s*[rRuUbB]{0,2}[\"']"))
+    closed = F.rlike(below(HEAD_LINES[0]), F.lit(pattern))
+    rest = F.when(~begun, "").when(closed, below(HEAD_LINES[0])).otherwise(below(HEAD_LINES[-1]))
+    text = F.regexp_extract(rest, pattern, 2)
+    return F.btrim(text, F.lit(" \t\n"))
 
 
 def _blanked(files: DataFrame) -> DataFrame:
@@ -214,10 +235,18 @@ def _may_matter(line: Column) -> Column:
     )
 
 
+def _closed(text: Column) -> Column:
+    """Whether a head ends in these lines: its argument list, or its name and what follows, and then a body or an end."""
+    listed = F.rlike(text, F.lit(rf"^[^(]*+\({_ARGS}\)[^{{;:\n]*+(?:[{{;:\n]|\n\s*+[^\s])"))
+    return F.when(F.startswith(text, F.lit("import")) | F.startswith(text, F.lit("from")), F.rlike(text, F.lit(r"[;)]|['\"]\s*+\n"))).when(
+        F.rlike(text, F.lit(r"\A[^(\n]*" + HEADED)), F.contains(text, F.lit("{"))
+    ).otherwise(listed)
+
+
 def declaring_lines(files: DataFrame) -> DataFrame:
     """Lines that declare something or move the depth, with their ``tag`` and, where they may begin a
-    declaration, its whole head (``sig``, ``raw_sig``: up to the end of the file if the head is not closed
-    on the line), the decorators above it and its comment."""
+    declaration, its whole head (``sig``, ``raw_sig``: as many lines as it takes if the head is
+    not closed on its own), the decorators above it and its comment."""
     df = _blanked(files).withColumn("guessed", texts.guess_package(F.col("relative_path")))
     raw, coded = F.col("raw_lines"), F.col("code_lines")
     is_headed = F.col("family").isin("java", "js")
@@ -235,7 +264,10 @@ def declaring_lines(files: DataFrame) -> DataFrame:
             | (F.startswith(line, F.lit("import")) & (_excess(line, "{", "}") > 0))
         )
         whole = m["hinted"] & open_head
-        near = F.array_join(F.slice(raw, F.greatest(i - 8, F.lit(1)), F.least(i, F.lit(fv.DECORATOR_REACH))), "\n")
+        first, second, most = HEAD_LINES
+        within = lambda n: _closed(F.array_join(F.slice(coded, i + 1, n), "\n"))
+        span = F.when(within(first), first).when(within(second), second).otherwise(most)
+        near = F.array_join(F.slice(raw, F.greatest(i - 8, F.lit(1)), F.least(i, F.lit(9))), "\n")
         above = F.when(m["hinted"] & F.contains(near, F.lit("@")), _decorators_above(raw, i))
         commented = m["hinted"] & F.rlike(line, F.lit(HEADED + r"|^type\s"))
         comment = (
@@ -244,8 +276,8 @@ def declaring_lines(files: DataFrame) -> DataFrame:
         )
         return F.struct(
             (i + 1).alias("line_no"), line.alias("code"), F.get(raw, i).alias("raw"), m["hinted"].alias("hinted"),
-            F.when(whole, F.array_join(F.slice(coded, i + 1, F.size(coded)), "\n")).otherwise(line).alias("sig"),
-            F.when(whole, F.array_join(F.slice(raw, i + 1, F.size(raw)), "\n")).otherwise(F.get(raw, i)).alias("raw_sig"),
+            F.when(whole, F.array_join(F.slice(coded, i + 1, span), "\n")).otherwise(line).alias("sig"),
+            F.when(whole, F.array_join(F.slice(raw, i + 1, span), "\n")).otherwise(F.get(raw, i)).alias("raw_sig"),
             above.alias("above"), comment.alias("docstring"),
         )
 
@@ -309,13 +341,18 @@ def _tag(h: Column) -> Column:
         .when(called & _like(sig, JS_METHOD), "method")
         .when(_like(code, r"^import\b(?!\s*\()"), "import")
     )
-    generic = F.when(_like(code, fv.GENERIC_TYPE_PATTERN), "type").when(F.size(_generic_functions(code)) > 0, "function")
+    generic = F.when(_like(code, _KIND), "type").when(F.size(_generic_functions(code)) > 0, "function")
     return choose(F.col("family"), {"java": java, "python": python, "go": go, "js": js}, generic)
 
 
+# A language without rules of its own: a type is a kind's word and the word after it; a function is a word between
+# another word, or the end of its type, and an opening bracket.
+_KIND = rf"\b({'|'.join(fv.GENERIC_TYPE_KINDS)})\s+(\w+)"
+_CALLABLE = r"(?<=[\w>\]])\s+(\w+)\s*\("
+
+
 def _generic_functions(code: Column) -> Column:
-    names = F.regexp_extract_all(code, F.lit(fv.GENERIC_FUNCTION_PATTERN), F.lit(2))
-    return F.filter(names, lambda n: ~n.isin(*fv.GENERIC_NOT_FUNCTIONS))
+    return F.filter(F.regexp_extract_all(code, F.lit(_CALLABLE), F.lit(1)), lambda n: ~n.isin(*fv.GENERIC_NOT_FUNCTIONS))
 
 
 def tag_lines(files: DataFrame) -> DataFrame:
@@ -387,7 +424,7 @@ def tag_lines(files: DataFrame) -> DataFrame:
             ("go", "type"): F.when(get(code, GO_TYPE, 2) == "interface", "interface").otherwise("struct"),
             ("go", "function"): F.lit("function"),
             ("js", "type"): F.when(like(code, JS_CLASS), "class").otherwise("interface"),
-            ("generic", "type"): get(code, fv.GENERIC_TYPE_PATTERN, 1),
+            ("generic", "type"): get(code, _KIND, 1),
         }).alias("kind"),
         F.when(family == "generic", _generic_functions(code)).alias("fn_names"),
         of({
@@ -428,7 +465,7 @@ def tag_lines(files: DataFrame) -> DataFrame:
             ("go", "field"): get(code, GO_FIELD, 1),
             ("js", "type"): F.when(like(code, JS_CLASS), get(code, JS_CLASS, 1)).otherwise(get(code, JS_INTERFACE, 1)),
             ("js", "function"): get(sig, JS_FUNCTION, 2), ("js", "method"): get(sig, JS_METHOD, 3),
-            ("generic", "type"): get(code, fv.GENERIC_TYPE_PATTERN, 2),
+            ("generic", "type"): get(code, _KIND, 2),
         }).alias("name"),
         of({("go", "method"): F.ltrim(F.regexp_replace(F.element_at(receiver_words, -1), r"\[.*$", ""), F.lit("*"))}).alias("receiver"),
         F.when(tag.isNotNull() & (tag != "package"), parts).alias("d"),

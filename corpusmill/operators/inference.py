@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from decimal import Decimal
 from string import Formatter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill import fixed_values as fv
@@ -57,7 +57,7 @@ def misses(keyed: DataFrame, store: DataFrame) -> DataFrame:
 
 def cache_stats(looked_up: DataFrame) -> DataFrame:
     hits, total = F.count_if("is_hit"), F.count("*")
-    rate = F.round(100 * hits / F.greatest(total, F.lit(1))).cast("int")
+    rate = F.bround(100 * hits / F.greatest(total, F.lit(1))).cast("int")
     return looked_up.agg(
         hits.alias("hits"), (total - hits).alias("misses"), F.concat(rate.cast("string"), F.lit("%")).alias("hit_rate")
     )
@@ -98,7 +98,7 @@ def render_requests(chunks: DataFrame, template: Template = Template()) -> DataF
         "language": F.col("language"),
         "files": F.array_join("source_files", ", "),
         "classes": listed(F.col("class_names")),
-        "functions": listed(F.slice("function_names", 1, fv.HEADER_FUNCTIONS)),
+        "functions": listed(F.col("function_names")),
         "code": F.col("content"),
     }
     return chunks.withColumn("system", _filled(template.system, values)).withColumn("user", _filled(template.user, values))
@@ -150,7 +150,9 @@ def usage_report(results: DataFrame, o: Options | None = None) -> DataFrame:
 def infer(requests: DataFrame, fn: Callable[[str, str], str], keep: list[str]) -> DataFrame:
     """Call ``fn(system, user)`` per row: columns ``keep`` plus ``raw`` and ``error``.
 
-    A failing row gets its error text and the others go on. Concurrency is the number of partitions.
+    A failing row gets its error text and the others go on. Concurrency is the number of partitions. A task that is
+    run again, after a lost executor or as a speculative copy, calls again for all its rows: keep partitions small
+    where calls are dear.
     """
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,41 +173,19 @@ def infer(requests: DataFrame, fn: Callable[[str, str], str], keep: list[str]) -
     return requests.select(*keep, "system", "user").mapInPandas(call, schema)
 
 
-BRANCH_PATTERN = r"\b(?:if|elif|for|while|case|catch|except|switch)\b|&&|\|\|"
-NAME_PATTERN = r"\b[A-Z]\w*"
-
-
-def lexical_payload(chunk_path: Column, content: Column, class_names: Column, function_names: Column) -> Column:
-    """An analysis read off the text itself, so that a job runs without a model: the score grows by one
-    per three branch words, from 1 to 10; capitalised words that are not declared here are dependencies."""
-    branches = F.regexp_count(content, F.lit(BRANCH_PATTERN))
-    score = F.least(F.lit(10), 1 + F.floor(branches / 3)).cast("int")
-    names = F.array_sort(F.array_distinct(F.regexp_extract_all(content, F.lit(NAME_PATTERN), F.lit(0))))
-    methods = F.transform(
-        function_names,
-        lambda n: F.struct(n.alias("name"), n.alias("signature"), F.lit("").alias("description"), score.alias("complexity")),
-    )
-    return F.to_json(
-        F.struct(
-            chunk_path.alias("file_path"),
-            F.lit("").alias("summary"),
-            F.lit("").alias("purpose"),
-            methods.alias("key_methods"),
-            F.array_except(names, class_names).alias("dependencies"),
-            score.alias("complexity_score"),
-            F.concat(branches.cast("string"), F.lit(" branches")).alias("complexity_notes"),
-        )
-    )
-
-
-def lexical_scores(chunks: DataFrame) -> DataFrame:
-    payload = lexical_payload(F.col("source_files")[0], F.col("content"), F.col("class_names"), F.col("function_names"))
-    return chunks.withColumn("raw", payload).withColumn("error", F.lit(None).cast("string"))
+def given(requests: DataFrame, answers: DataFrame) -> DataFrame:
+    """Requests with their answers from a table (cache_key, raw, error); one without a row has no answer."""
+    found = requests.join(answers.select("cache_key", "raw", "error"), "cache_key", "left")
+    return found.withColumn("error", F.coalesce("error", F.when(F.col("raw").isNull(), F.lit("no answer"))))
 
 
 # --- results ------------------------------------------------------------------------------------
 
-RESULT_COLUMNS = [*KEY, "chunk_id", "cache_key", "status", "payload", "error", "est_tokens", "out_tokens"]
+RESULT_TYPES = {
+    "relative_path": "string", "ordinal": "long", "chunk_id": "string", "cache_key": "string", "status": "string",
+    "payload": "string", "error": "string", "est_tokens": "long", "out_tokens": "long",
+}
+RESULT_COLUMNS = list(RESULT_TYPES)
 
 
 def parsed(called: DataFrame, o: Options | None = None) -> DataFrame:
@@ -221,49 +201,60 @@ def parsed(called: DataFrame, o: Options | None = None) -> DataFrame:
     )
 
 
-def assemble(cached: DataFrame, fresh: DataFrame, refused: DataFrame) -> DataFrame:
-    """One row per chunk: hits, called rows and rows refused for cost. Order by (relative_path, ordinal)."""
+def assemble(cached: DataFrame, fresh: DataFrame, rest: DataFrame) -> DataFrame:
+    """One row per chunk: hits, called rows and the rest (refused for cost, or not asked). Order by (relative_path, ordinal)."""
     none = F.lit(None)
     hits = cached.select(
         *KEY, "chunk_id", "cache_key", F.lit("cached").alias("status"), "payload", none.cast("string").alias("error"),
         none.cast("long").alias("est_tokens"), none.cast("long").alias("out_tokens"),
     )
-    over = refused.select(
-        *KEY, "chunk_id", "cache_key", F.lit("error").alias("status"), none.cast("string").alias("payload"),
-        F.lit("budget exceeded").alias("error"), "est_tokens", none.cast("long").alias("out_tokens"),
+    left = rest.select(
+        *KEY, "chunk_id", "cache_key", "status", none.cast("string").alias("payload"), "error", "est_tokens",
+        none.cast("long").alias("out_tokens"),
     )
-    return hits.unionByName(fresh.select(*RESULT_COLUMNS)).unionByName(over)
+    return hits.unionByName(fresh.select(*RESULT_COLUMNS)).unionByName(left)
 
 
 def analyse(
     chunks: DataFrame, store_path: str, fn: Callable[[str, str], str] | None = None, o: Options | None = None,
-    template: Template = Template(),
+    template: Template = Template(), version: Sequence[str] = (), answers: DataFrame | None = None,
 ) -> DataFrame:
-    """Look up, admit, call, repair, store, assemble. Without ``fn`` the lexical scorer answers.
+    """Look up, admit, call, repair, store, assemble; with neither ``fn`` nor ``answers`` nothing is asked and misses
+    say ``missing``. ``answers`` (cache_key, raw, error) are those of a service that takes its requests as a table.
 
-    What was called is written before it is used twice (for the store and for the result), so a
-    lost executor never repeats a paid call that had finished.
+    ``version`` is what else an answer depends on (a model's name, a prompt's version): with another one, old
+    entries aren't found. Token estimates and admissions are written once, without texts; texts are joined to them
+    only where a ceiling refuses some. Answers are written before they are used for the store and for the result.
     """
     o = o or Options()
     spark = chunks.sparkSession
-    keyed = with_cache_key(chunks)
+    keyed = with_cache_key(chunks, *[F.lit(v) for v in version])
     # This run's entries, read once, before the run appends to the store.
     store = cut_lineage(read_store(spark, store_path, keyed.select("cache_key")))
+    hits = lookup(keyed, store).filter("is_hit")
     missing = misses(keyed, store)
     asked = estimate(render_requests(missing, template), o)
-    decided = admit(asked, call_cost(F.col("est_tokens"), F.lit(0), o), o.max_cost, KEY, o.blocks)
-    wanted = decided.filter("admitted")
+    slim = asked.select(*KEY, "chunk_id", "cache_key", "est_tokens")
+    if fn is None and answers is None:
+        rest = slim.withColumn("status", F.lit("missing")).withColumn("error", F.lit(None).cast("string"))
+        return assemble(hits, slim.limit(0).select(*[F.lit(None).cast(t).alias(c) for c, t in RESULT_TYPES.items()]), rest)
     keep = [*KEY, "chunk_id", "cache_key", "est_tokens"]
-    called = (
-        lexical_scores(wanted).select(*keep, "raw", "error") if fn is None else infer(wanted, fn, keep)
-    )
+    if o.max_cost is None:
+        wanted, refused = asked, slim.limit(0)
+    else:
+        path = scratch_path(spark, "admitted")
+        admit(slim, call_cost(F.col("est_tokens"), F.lit(0), o), o.max_cost, KEY, o.blocks).write.parquet(path)
+        decided = spark.read.parquet(path)
+        wanted = asked.join(decided.filter("admitted").select(*KEY), KEY, "left_semi")
+        refused = decided.filter("not admitted")
     results_path = scratch_path(spark, "called")
+    called = given(wanted.select(*keep), answers) if fn is None else infer(wanted, fn, keep)
     answered = parsed(called, o).select(*RESULT_COLUMNS)
     answered.write.parquet(results_path)
     fresh = spark.read.schema(answered.schema).parquet(results_path)
     append_store(fresh.filter("status = 'fresh'"), store_path)
-    hits = lookup(keyed, store).filter("is_hit")
-    return assemble(hits, fresh, decided.filter("not admitted"))
+    rest = refused.withColumn("status", F.lit("error")).withColumn("error", F.lit("budget exceeded"))
+    return assemble(hits, fresh, rest)
 
 
 def typed_analyses(results: DataFrame) -> DataFrame:
@@ -274,12 +265,11 @@ def typed_analyses(results: DataFrame) -> DataFrame:
     )
 
 
-def cut_to_chars(df: DataFrame, text: str, limit: int, order: list[str]) -> DataFrame:
-    """The longest prefix (in ``order``) of whole texts that fits in ``limit`` characters, one more per
-    text for a separator. At most ``limit`` texts can fit, which bounds what is ordered."""
-    sized = df.select(*order, (F.length(text) + 1).cast("long").alias("_chars")).orderBy(*order).limit(limit)
-    running = F.sum("_chars").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    fitting = sized.withColumn("_sum", running).filter(F.col("_sum") <= limit).select(*order)
-    return df.join(fitting, order, "left_semi")
-
-
+def context_numbers(df: DataFrame, text: str, limit: int, order: list[str], blocks: int | None = None) -> DataFrame:
+    """``df`` with the first and last context its text falls in, when all texts, each with one more character for a
+    separator, are laid end to end in ``order`` and cut into contexts of ``limit`` characters."""
+    slim = df.select(*order, (F.length(text) + 1).cast("long").alias("_chars"))
+    summed = prefix_sum(slim, F.col("_chars"), order, "_end", blocks)
+    first, last = F.floor((F.col("_end") - F.col("_chars")) / limit), F.floor((F.col("_end") - 1) / limit)
+    numbers = summed.select(*order, first.cast("long").alias("first_context"), last.cast("long").alias("last_context"))
+    return df.join(numbers, order)

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions import texts
 from corpusmill.operators.routing import CONFIG, SKIPPED, SOURCE
 
 
@@ -45,11 +46,13 @@ def language_counts(files: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(files: DataFrame) -> DataFrame:
-    """Hashes held by more than one file, with their first path; no list of members is built."""
+    """Texts held by more than one file, by their whole hash; shown are its first characters, the number of files
+    and the first path. No list of members is built."""
     return (
-        files.groupBy("content_hash")
-        .agg(F.count("*").alias("copies"), F.min("relative_path").alias("first_path"))
+        files.groupBy(F.sha2("content", 256).alias("sha"))
+        .agg(F.first("content_hash").alias("content_hash"), F.count("*").alias("copies"), F.min("relative_path").alias("first_path"))
         .filter("copies > 1")
+        .drop("sha")
     )
 
 
@@ -111,19 +114,56 @@ def key_methods(analyses: DataFrame, k: int) -> DataFrame:
     return top_k(rows, "complexity", ["file_path", "name", "signature"], k)
 
 
-def complexity_metrics(files: DataFrame, types: DataFrame, functions: DataFrame, analyses: DataFrame) -> DataFrame:
-    """One row of totals and means over the four tables."""
+def branch_scores(files: DataFrame) -> DataFrame:
+    """Branches of each file and the score they give; every file has a row."""
+    branches = texts.branch_count(F.col("content"))
+    return files.select("relative_path", branches.alias("branches"), texts.branch_score(branches).alias("score"))
+
+
+def branches_within(files: DataFrame, spans: DataFrame) -> DataFrame:
+    """``spans`` (relative_path, start_line, end_line, ...) with the branches of their lines; one join by path."""
+    lines = files.select("relative_path", texts.lines_of(F.col("content")).alias("_lines"))
+    own = F.array_join(F.slice("_lines", F.col("start_line"), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0))), "\n")
+    return spans.join(lines, "relative_path").withColumn("branches", texts.branch_count(own)).drop("_lines")
+
+
+def complex_types(files: DataFrame, types: DataFrame, k: int) -> DataFrame:
+    """The ``k`` types with most branches between their first and last line."""
+    counted = branches_within(files, types.select("relative_path", "type_no", "name", "start_line", "end_line"))
+    return top_k(counted.select("relative_path", "type_no", "name", "branches"), "branches", ["relative_path", "type_no"], k)
+
+
+def complex_functions(files: DataFrame, functions: DataFrame, k: int) -> DataFrame:
+    """The ``k`` functions with most branches."""
+    counted = branches_within(files, functions.select("relative_path", "owner", "name", "start_line", "end_line"))
+    return top_k(counted.select("relative_path", "owner", "name", "start_line", "branches"), "branches", ["relative_path", "start_line", "name"], k)
+
+
+def import_degree(imports: DataFrame) -> DataFrame:
+    """What files import, with the number of files that do."""
+    return imports.groupBy(F.col("import_text").alias("dependency")).agg(F.countDistinct("relative_path").alias("files"))
+
+
+def complexity_metrics(files: DataFrame, types: DataFrame, functions: DataFrame, scores: DataFrame) -> DataFrame:
+    """One row of totals and means over the tables; ``scores`` has a row for each file."""
     f = files.agg(F.count("*").alias("total_files"), F.coalesce(F.sum("line_count"), F.lit(0)).alias("total_lines"))
     t = types.agg(F.count("*").alias("total_classes"))
     m = functions.agg(F.count("*").alias("total_functions"))
-    a = analyses.agg(F.coalesce(F.avg("complexity_score"), F.lit(0.0)).alias("avg_complexity_score"))
+    a = scores.agg(F.count("*").alias("scored_files"), F.coalesce(F.avg("score"), F.lit(0.0)).alias("avg_complexity_score"))
     return side_by_side(f, t, m, a).withColumn(
         "avg_methods_per_class", F.col("total_functions") / F.greatest(F.col("total_classes"), F.lit(1))
     )
 
 
-def run_summary(routed: DataFrame, chunks: DataFrame, usage: DataFrame, hits: DataFrame) -> DataFrame:
-    """One row: discovered, kept and skipped files, lines, chunks, calls, hit rate and cost."""
+def _as_map(counts: DataFrame, key: str, name: str) -> DataFrame:
+    """Counts by a key of few values (a language, a reason) as one row with a map, in the order of the key."""
+    entries = F.sort_array(F.collect_list(F.struct(key, "files")))
+    return counts.agg(F.map_from_entries(entries).alias(name))
+
+
+def run_summary(routed: DataFrame, chunks: DataFrame, batches: DataFrame, usage: DataFrame, hits: DataFrame) -> DataFrame:
+    """One row: discovered, kept and skipped files by language and reason, lines, chunks before and after packing,
+    calls, tokens a call, hit rate and cost."""
     r = routed.agg(
         F.count("*").alias("total_discovered"),
         F.count_if(F.col("category") == SOURCE).alias("source_files"),
@@ -131,8 +171,13 @@ def run_summary(routed: DataFrame, chunks: DataFrame, usage: DataFrame, hits: Da
         F.count_if(F.col("category") == SKIPPED).alias("skipped"),
         F.coalesce(F.sum(F.when(F.col("category") == SOURCE, F.col("line_count"))), F.lit(0)).alias("total_lines"),
     )
-    c = chunks.agg(F.count("*").alias("chunks"))
-    return side_by_side(r, c, usage, hits)
+    c = chunks.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("chunk_tokens"))
+    b = batches.agg(F.count("*").alias("batches"))
+    languages = _as_map(language_counts(routed.filter(F.col("category") == SOURCE)), "language", "languages")
+    reasons = _as_map(skip_reasons(routed), "skip_reason", "skip_reasons")
+    whole = side_by_side(r, c, b, usage, hits, languages, reasons)
+    per_call = F.floor(F.col("input_tokens") / F.greatest(F.col("calls"), F.lit(1))).cast("long")
+    return whole.withColumn("tokens_per_call", per_call)
 
 
 # --- types, their roles and endpoints -----------------------------------------------------------

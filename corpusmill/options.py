@@ -14,7 +14,8 @@ class Options:
     discovered_suffixes: tuple[str, ...] = fv.DISCOVERED_SUFFIXES
     skip_dirs: tuple[str, ...] = fv.SKIP_DIRS
     min_file_bytes: int = 1
-    max_file_bytes: int = fv.MAX_FILE_BYTES
+    # None: no file is too large.
+    max_file_bytes: int | None = None
 
     source_extensions: tuple[str, ...] = fv.SOURCE_EXTENSIONS
     source_languages: tuple[str, ...] = fv.SOURCE_LANGUAGES
@@ -36,5 +37,6 @@ class Options:
 
     input_cost_per_1k: Decimal = Decimal(fv.INPUT_COST_PER_1K)
     output_cost_per_1k: Decimal = Decimal(fv.OUTPUT_COST_PER_1K)
-    max_cost: Decimal = Decimal(fv.MAX_COST)
+    # None: every request is admitted.
+    max_cost: Decimal | None = None
     context_chars: int = fv.CONTEXT_CHARS

@@ -141,8 +141,8 @@ SELECT count(*) AS chunks, (sum(t) // count(*))::BIGINT AS avg_tokens, max(t)::B
 FROM (SELECT {tokens('text')} AS t FROM documents)""",
     "token_counts": f"SELECT doc_id, ({tokens('text')})::INT AS tokens FROM documents",
     "duplicate_groups": f"""
-WITH {DOCS} SELECT {sha16('content')} AS content_hash, count(*) AS copies, min(relative_path) AS first_path
-FROM docs GROUP BY 1 HAVING count(*) > 1""",
+WITH {DOCS} SELECT {sha16('any_value(content)')} AS content_hash, count(*) AS copies, min(relative_path) AS first_path
+FROM docs GROUP BY sha256(content) HAVING count(*) > 1""",
     "largest_files": f"""
 WITH {DOCS} SELECT relative_path, {lines('content')} AS line_count FROM docs ORDER BY 2 DESC, 1 LIMIT 20""",
     "guess_package": f"""
@@ -156,7 +156,7 @@ WITH {CODE}, named AS (SELECT relative_path, CASE lang
   ELSE 'Order' || k END AS names FROM code)
 SELECT relative_path, names, len(string_split(names, ','))::INT AS n FROM named""",
     "display_names": f"""
-WITH {DOCS} SELECT relative_path, 'doc_' || doc_id || '.txt' AS name, '.txt' AS ext, md5(substr(content, 1, 80)) AS head_md5 FROM docs""",
+WITH {DOCS} SELECT relative_path, 'doc_' || doc_id || '.txt' AS name, '.txt' AS ext, md5(substr(content, 1, 80)) AS head_md5, md5(substr(content, 81)) AS rest_md5 FROM docs""",
 }
 
 
@@ -242,11 +242,12 @@ ch AS (SELECT doc_id, source, lang, n_chars, text AS content, source || '/doc_'
 HIT = "(doc_id % 3 = 0 AND doc_id % 30 <> 0 AND doc_id % 21 <> 0)"
 USER = """('Files: ' || path || chr(10) || 'Language: ' || lang || chr(10)
   || 'Classes: ' || CASE WHEN doc_id % 2 = 0 THEN 'A, B' ELSE 'N/A' END || chr(10)
-  || 'Functions: ' || array_to_string(list_transform(range(least(doc_id % 20 + 1, 15)), lambda i: 'f' || i), ', ')
+  || 'Functions: ' || array_to_string(list_transform(range(doc_id % 20 + 1), lambda i: 'f' || i), ', ')
   || chr(10) || chr(10) || content || chr(10) || chr(10)
   || 'Describe this code as JSON with the keys file_path, summary, purpose, key_methods (name, signature, description, complexity),'
   || ' dependencies, complexity_score (1 to 10) and complexity_notes.')"""
 SYSTEM = "('You read ' || lang || ' source code and answer with one JSON object and nothing else.')"
+NO_ANSWER, NO_OBJECT = "doc_id % 11 = 0", "doc_id % 8 >= 6"
 RUN = f"""
 {CHUNKED},
 missing AS (SELECT *, {tokens("(" + SYSTEM + " || " + USER + ")")} AS est FROM ch WHERE NOT {HIT}),
@@ -254,12 +255,10 @@ decided AS (SELECT *, sum(est * 0.00000015::DECIMAL(18,10)) OVER (ORDER BY path,
 results AS (
   SELECT chunk_id, doc_id, 'cached' AS status, NULL AS error, (doc_id % 10 + 1)::VARCHAR AS score FROM ch WHERE {HIT}
   UNION ALL
-  SELECT chunk_id, doc_id,
-    CASE WHEN NOT admitted OR doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'error' ELSE 'fresh' END,
-    CASE WHEN NOT admitted THEN 'budget exceeded' WHEN doc_id % 11 = 0 THEN 'no answer for ' || doc_id
-         WHEN doc_id % 13 = 0 THEN 'parse failed' END,
-    CASE WHEN admitted AND doc_id % 11 <> 0 AND doc_id % 13 <> 0 THEN (doc_id % 10 + 1)::VARCHAR END
-  FROM decided)"""
+  SELECT chunk_id, doc_id, CASE WHEN NOT admitted OR {NO_ANSWER} OR {NO_OBJECT} THEN 'error' ELSE 'fresh' END,
+    CASE WHEN NOT admitted THEN 'budget exceeded' WHEN {NO_ANSWER} THEN 'no answer' WHEN {NO_OBJECT} THEN 'parse failed' END,
+    CASE WHEN admitted AND NOT ({NO_ANSWER}) AND NOT ({NO_OBJECT}) THEN json_extract_string(props, '$.k') END
+  FROM decided LEFT JOIN events ON event_id = doc_id)"""
 SECOND = f"""
 {RUN},
 left_ AS (SELECT m.* FROM missing m JOIN results r USING (chunk_id) WHERE r.status = 'error'),
@@ -267,9 +266,8 @@ again AS (SELECT *, sum(est * 0.00000015::DECIMAL(18,10)) OVER (ORDER BY path, d
 second_ AS (
   SELECT 'cached' AS status, NULL AS error FROM results WHERE status <> 'error'
   UNION ALL
-  SELECT CASE WHEN NOT ok OR doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'error' ELSE 'fresh' END,
-    CASE WHEN NOT ok THEN 'budget exceeded' WHEN doc_id % 11 = 0 THEN 'no answer for ' || doc_id
-         WHEN doc_id % 13 = 0 THEN 'parse failed' END
+  SELECT CASE WHEN NOT ok OR {NO_ANSWER} OR {NO_OBJECT} THEN 'error' ELSE 'fresh' END,
+    CASE WHEN NOT ok THEN 'budget exceeded' WHEN {NO_ANSWER} THEN 'no answer' WHEN {NO_OBJECT} THEN 'parse failed' END
   FROM again)"""
 TYPED = """
 typed AS (
@@ -289,13 +287,13 @@ WITH {CHUNKED} SELECT chunk_id, {sha16("content")} AS chunk_hash,
     "cache_misses": f"WITH {CHUNKED} SELECT chunk_id FROM ch WHERE NOT {HIT}",
     "cache_stats": f"""
 SELECT sum({HIT}::INT) AS hits, sum((NOT {HIT})::INT) AS misses,
-  round(100.0 * sum({HIT}::INT) / count(*))::INT || '%' AS hit_rate FROM documents""",
+  round_even(100.0 * sum({HIT}::INT) / count(*), 0)::INT || '%' AS hit_rate FROM documents""",
     "request_texts": f"""
 WITH {CHUNKED} SELECT chunk_id, {tokens("(" + SYSTEM + " || " + USER + ")")} AS est_tokens, sha256({SYSTEM} || {USER}) AS sha FROM ch""",
     "prompt_texts": f"""
 WITH {CHUNKED} SELECT chunk_id, sha256('### File: ' || path || chr(10) || '### Language: ' || lang || chr(10)
   || CASE WHEN doc_id % 2 = 0 THEN '### Classes: A, B' || chr(10) ELSE '' END
-  || '### Functions: ' || array_to_string(list_transform(range(least(doc_id % 20 + 1, 15)), lambda i: 'f' || i), ', ') || chr(10)
+  || '### Functions: ' || array_to_string(list_transform(range(doc_id % 20 + 1), lambda i: 'f' || i), ', ') || chr(10)
   || '---' || chr(10) || content) AS sha FROM ch""",
     "budget_admission": f"""
 WITH {CHUNKED} SELECT source, doc_id,
@@ -304,21 +302,26 @@ WITH {CHUNKED} SELECT source, doc_id,
 WITH {CHUNKED} SELECT sum(tokens) AS input_tokens, sum(n_chars % 100) AS output_tokens, count(*) AS calls,
   round(sum(tokens * 0.00000015::DECIMAL(18,10) + (n_chars % 100) * 0.0000006::DECIMAL(18,10)), 6) AS cost_usd
 FROM ch WHERE doc_id % 7 <> 0""",
-    "inference_results": """
-SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'no answer for ' || doc_id END AS error,
-  CASE WHEN doc_id % 11 <> 0 AND doc_id % 13 <> 0 THEN (doc_id % 10 + 1)::VARCHAR END AS score FROM documents""",
+    "inference_results": f"""
+SELECT doc_id, CASE WHEN {NO_ANSWER} OR {NO_OBJECT} THEN 'error' ELSE 'fresh' END AS status,
+  CASE WHEN {NO_ANSWER} THEN 'no answer' WHEN {NO_OBJECT} THEN 'parse failed' END AS error,
+  CASE WHEN NOT ({NO_ANSWER}) AND NOT ({NO_OBJECT}) THEN json_extract_string(props, '$.k') END AS k
+FROM documents LEFT JOIN events ON event_id = doc_id""",
+    "prompt_version_miss": """
+SELECT 'v1' AS version, count(*) FILTER (doc_id % 3 = 0) AS hits, count(*) AS chunks FROM documents
+UNION ALL SELECT 'v2', 0, count(*) FROM documents""",
     "analysis_results": f"WITH {RUN} SELECT chunk_id, status, error, score FROM results",
     "analysis_second_run": f"WITH {SECOND} SELECT status, error, count(*) AS chunks FROM second_ GROUP BY ALL",
     "json_repair": """
 SELECT event_id, CASE WHEN event_id % 8 < 6 THEN json_extract_string(props, '$.k') END AS k FROM events""",
     "typed_analysis": f"""
 WITH {TYPED} SELECT doc_id, file_path, summary, purpose, methods, first_complexity, dependencies, complexity_score, _corrupt FROM typed""",
-    "context_cut": f"""
-SELECT source, doc_id, n_chars FROM (
-  SELECT *, sum(n_chars + 1) OVER (ORDER BY source, doc_id) AS s FROM documents) WHERE s <= 80000""",
-    "lexical_scores": f"""
+    "context_numbers": """
+SELECT source, doc_id, ((s - n_chars - 1) // 80000)::BIGINT AS first_context, ((s - 1) // 80000)::BIGINT AS last_context FROM (
+  SELECT *, sum(n_chars + 1) OVER (ORDER BY source, doc_id) AS s FROM documents)""",
+    "branch_scores": f"""
 WITH {CODE}, b AS (SELECT relative_path, CASE lang WHEN 'javascript' THEN 2 * n ELSE n END AS branches FROM code)
-SELECT relative_path, least(10, 1 + branches // 3) AS complexity_score, branches || ' branches' AS complexity_notes FROM b""",
+SELECT relative_path, branches, 1 + branches // 3 AS score FROM b""",
     "dependency_degree": f"""
 WITH {TYPED} SELECT dependency, count(DISTINCT file_path) AS files FROM (
   SELECT file_path, source AS dependency FROM typed UNION ALL SELECT file_path, lang FROM typed) GROUP BY 1""",
@@ -371,9 +374,14 @@ fns_ AS (
 def _script_cte() -> str:
     langs = ", ".join(quoted(x) for x in derived.SCRIPT_PATHS)
     paths = " ".join(f"WHEN '{x}' THEN {_filled(p)}" for x, p in derived.SCRIPT_PATHS.items())
+    content = " ".join(
+        f"WHEN '{x}' THEN {_filled(head)} || array_to_string(list_transform(range(n), lambda i:"
+        f" replace(replace({quoted(method)}, '{{i}}', i::VARCHAR), '{{k}}', k::VARCHAR)), '') || {_filled(tail)}"
+        for x, (head, method, tail) in derived.SCRIPT_TEMPLATES.items()
+    )
     return (
-        f"scripts AS (SELECT k, n, lang, CASE lang {paths} END AS relative_path FROM (SELECT p_partkey AS k,"
-        f" (p_size % 5 + 1)::INT AS n, [{langs}][(p_partkey % 4 + 1)::INT] AS lang FROM part))"
+        f"scripts AS (SELECT k, n, lang, CASE lang {paths} END AS relative_path, CASE lang {content} END AS content"
+        f" FROM (SELECT p_partkey AS k, (p_size % 5 + 1)::INT AS n, [{langs}][(p_partkey % 4 + 1)::INT] AS lang FROM part))"
     )
 
 
@@ -390,7 +398,7 @@ tt AS MATERIALIZED (SELECT *, {tokens("body")} AS t FROM (
 ff AS MATERIALIZED (SELECT *, {tokens("body")} AS t,
     row_number() OVER (PARTITION BY relative_path, type_no ORDER BY fn) AS pos FROM (
   SELECT f.*, tt.ls, array_to_string(tt.ls[f.s:f.e], chr(10)) AS body FROM fns_ f JOIN tt USING (relative_path, type_no) WHERE tt.t > {limit})),
-heads AS (SELECT tt.relative_path, tt.name, array_to_string(tt.ls[tt.s:coalesce(f.s, tt.e) - 1], chr(10)) AS body
+heads AS (SELECT tt.relative_path, tt.name, tt.s, coalesce(f.s, tt.e) - 1 AS e, array_to_string(tt.ls[tt.s:coalesce(f.s, tt.e) - 1], chr(10)) AS body
   FROM tt LEFT JOIN ff f ON f.relative_path = tt.relative_path AND f.type_no = tt.type_no AND f.pos = 1 WHERE tt.t > {limit}),
 fw AS (
   SELECT relative_path, type_no, pos, t AS w, t > {limit} AS alone, 0 AS g FROM ff WHERE pos = 1
@@ -410,13 +418,24 @@ lw AS (
   FROM lw w JOIN fl n ON n.relative_path = w.relative_path AND n.name = w.name AND n.j = w.j + 1),
 parts AS (SELECT relative_path, name, b, any_value(owner) AS owner, sum(c)::BIGINT AS t, string_agg(line, chr(10) ORDER BY j) AS body
   FROM lw JOIN fl USING (relative_path, name, j) GROUP BY ALL),
+taken AS (SELECT DISTINCT relative_path, unnest(range(s, e + 1)) AS l FROM (
+  SELECT relative_path, s, e FROM tt WHERE t <= {limit}
+  UNION ALL SELECT relative_path, s, e FROM heads WHERE {tokens("body")} > 50
+  UNION ALL SELECT relative_path, s, e FROM ff WHERE t > {limit}
+  UNION ALL SELECT relative_path, min(ff.s), max(ff.e) FROM fw JOIN ff USING (relative_path, type_no, pos) WHERE NOT alone GROUP BY relative_path, type_no, g)),
+free_ AS (SELECT relative_path, l, line, l - row_number() OVER (PARTITION BY relative_path ORDER BY l) AS island FROM (
+  SELECT relative_path, generate_subscripts(ls, 1) AS l, unnest(ls) AS line FROM big) ANTI JOIN taken USING (relative_path, l)),
+rests AS MATERIALIZED (SELECT relative_path || ':rest' || min(l) AS relative_path, string_agg(line, chr(10) ORDER BY l) AS content
+  FROM free_ GROUP BY free_.relative_path, island HAVING bool_or(regexp_matches(line, '\\S'))),
+{_line_walk(limit, "rests")},
 levels AS (
   SELECT relative_path || ':' || name AS chunk_id, 'type' AS level, t AS token_count, sha256(body) AS sha, name AS class_names,
     coalesce((SELECT string_agg(f.name, ',' ORDER BY fn) FROM fns_ f WHERE f.relative_path = tt.relative_path AND f.type_no = tt.type_no), '') AS function_names
   FROM tt WHERE t <= {limit}
   UNION ALL SELECT relative_path || ':' || name || ':header', 'header', {tokens("body")}, sha256(body), name, '' FROM heads WHERE {tokens("body")} > 50
   UNION ALL SELECT relative_path || ':' || owner || ':' || first_name || '-' || last_name, 'functions', {tokens("body")}, sha256(body), owner, names FROM gg
-  UNION ALL SELECT relative_path || ':' || owner || ':' || name || ':f' || b, 'function_part', t, sha256(body), owner, name FROM parts)"""
+  UNION ALL SELECT relative_path || ':' || owner || ':' || name || ':f' || b, 'function_part', t, sha256(body), owner, name FROM parts
+  UNION ALL SELECT relative_path || '-' || bin, 'rest', token_count, sha256(content), '', '' FROM line_chunks)"""
 
 
 def _level(limit: int, level: str) -> str:
@@ -449,6 +468,9 @@ WITH {CODE} SELECT relative_path, line_no, import_text FROM code JOIN (VALUES
 WITH {CODE} SELECT relative_path, CASE lang WHEN 'java' THEN 'Order' || k || 'Controller' ELSE 'Order' || k END AS owner, name, type, line_no
 FROM code JOIN (VALUES ('java', 'total', 'int', 13), ('java', 'names', 'List<String>', 14), ('go', 'ID', 'int', 10), ('go', 'Names', '[]string', 11))
   v(lang, name, type, line_no) USING (lang)""",
+    "regex_literals": """
+SELECT 'lib/scan' || p_partkey || '.js' AS relative_path, owner || p_partkey AS owner, name, s AS start_line, e AS end_line
+FROM part, (VALUES ('Scan', '', 1, 8), ('Next', '', 9, 10), ('Scan', 'quotes', 2, 2), ('Scan', 'braces', 3, 6), ('Scan', 'last', 7, 7)) v(owner, name, s, e)""",
     "module_and_generic_types": f"""
 WITH {SCRIPTS} SELECT relative_path, CASE lang WHEN 'ruby' THEN 'User' || k WHEN 'javascript' THEN 'tools' ELSE 'module' END AS name,
   CASE lang WHEN 'ruby' THEN 'class' ELSE 'module' END AS kind, CASE lang WHEN 'javascript' THEN 'tools' ELSE '' END AS package,
@@ -464,6 +486,10 @@ UNION ALL SELECT relative_path, 'User' || k, 'ready', s + 1, s + 1 FROM placed W
     "header_chunks": _level(110, "header"),
     "function_groups": _level(110, "functions"),
     "split_functions": _level(40, "function_part"),
+    "rest_chunks": _level(110, "rest"),
+    "chunk_coverage": f"""
+WITH {CODE}, l AS (SELECT relative_path, unnest(string_split(content, chr(10))) AS line FROM code)
+SELECT relative_path, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM l WHERE regexp_matches(line, '\\S') GROUP BY 1""",
     "chunk_pipeline": f"""
 WITH RECURSIVE {_typed_walk(200)}
 SELECT c.lang AS language, level, count(*) AS chunks, sum(token_count)::BIGINT AS tokens
@@ -471,15 +497,93 @@ FROM levels l JOIN code c ON starts_with(l.chunk_id, c.relative_path) GROUP BY A
 UNION ALL SELECT lang, 'file', count(*), sum({tokens("content")})::BIGINT FROM code WHERE {tokens("content")} <= 200 GROUP BY ALL""",
 }
 
-# Lines of the routed corpus and of the scripts as the whole job counts them: source rows after cleaning.
-# Neither holds blank runs or trailing blanks, so cleaning leaves the line counts as they are.
+WORDS = "'if', 'elif', 'for', 'while', 'case', 'catch', 'except', 'switch'"
+
+
+def branches(t: str) -> str:
+    return (
+        f"(len(list_filter(regexp_extract_all({t}, '[\\p{{L}}\\p{{N}}_]+'), lambda w: w IN ({WORDS})))"
+        f" + (length({t}) - length(replace({t}, '&&', ''))) // 2 + (length({t}) - length(replace({t}, '||', ''))) // 2)"
+    )
+
+
+# All files of the whole job. None holds blank runs or trailing blanks, so cleaning changes nothing that is compared.
 WHOLE = f"""
 {SCRIPTS}, {ROUTED},
-all_files AS (
-  SELECT category, line_count FROM categorised
+all_files AS MATERIALIZED (
+  SELECT relative_path, content, language, category, skip_reason, line_count FROM categorised WHERE doc_id % 17 <> 0
   UNION ALL
-  SELECT CASE WHEN lang IN ('python', 'javascript') THEN 'source' ELSE 'config' END,
-    CASE lang WHEN 'python' THEN 4 * n + 1 WHEN 'ruby' THEN 3 * n + 3 ELSE 3 * n END FROM scripts)"""
+  SELECT relative_path, content, CASE WHEN lang IN ('python', 'javascript') THEN lang ELSE 'unknown' END,
+    CASE WHEN lang IN ('python', 'javascript') THEN 'source' ELSE 'config' END, NULL, {lines('content')} FROM scripts)"""
+
+
+def _whole_chunks(limit: int, files: str) -> str:
+    """Chunks of the source files, of which those above the limit have no declarations."""
+    return f"""
+docs AS MATERIALIZED (SELECT relative_path, content, {tokens("content")} AS t FROM {files} WHERE category = 'source'),
+long_ AS (SELECT * FROM docs WHERE t > {limit}), {_line_walk(limit, "long_")},
+chunks AS MATERIALIZED (
+  SELECT relative_path, 0 AS ordinal, relative_path || ':full' AS chunk_id, t AS token_count FROM docs WHERE t <= {limit}
+  UNION ALL SELECT relative_path, bin, relative_path || ':lc' || bin, token_count FROM line_chunks)"""
+
+
+def _summary(files: str) -> str:
+    """Numbers of a run that asks nothing."""
+    return f"""
+  (SELECT count(*) FROM {files}) AS total_discovered, (SELECT count(*) FROM {files} WHERE category = 'source') AS source_files,
+  (SELECT count(*) FROM {files} WHERE category = 'config') AS config_files, (SELECT count(*) FROM {files} WHERE category = 'skipped') AS skipped,
+  (SELECT sum(line_count) FROM {files} WHERE category = 'source')::BIGINT AS total_lines,
+  (SELECT count(*) FROM chunks) AS chunks, (SELECT sum(token_count) FROM chunks)::BIGINT AS chunk_tokens,
+  0 AS input_tokens, 0 AS output_tokens, 0 AS calls, 0 AS cost_usd, 0 AS hits, '0%' AS hit_rate, 0 AS tokens_per_call,
+  (SELECT string_agg(language || ':' || n, ',' ORDER BY language) FROM (
+    SELECT language, count(*) AS n FROM {files} WHERE category = 'source' GROUP BY 1)) AS languages,
+  (SELECT coalesce(string_agg(skip_reason || ':' || n, ',' ORDER BY skip_reason), '') FROM (
+    SELECT skip_reason, count(*) AS n FROM {files} WHERE skip_reason IS NOT NULL GROUP BY 1)) AS skip_reasons"""
+
+
+def _metrics(files: str) -> str:
+    return f"""
+  (SELECT count(*) FROM {files} WHERE category = 'source') AS total_files, (SELECT count(*) FROM {files} WHERE category = 'source') AS scored_files,
+  (SELECT count(*) FROM types_) + (SELECT count(*) FROM scripts WHERE lang IN ('python', 'javascript')) AS total_classes,
+  (SELECT count(*) FROM fns_) + (SELECT sum(n) FROM scripts WHERE lang IN ('python', 'javascript'))::BIGINT AS total_functions,
+  (SELECT avg(1 + {branches('content')} // 3) FROM {files} WHERE category = 'source') AS avg_complexity_score"""
+
+
+EVERY = f"""
+{SPANS}, {WHOLE},
+every_file AS MATERIALIZED (
+  SELECT relative_path, content, language, category, skip_reason, line_count FROM all_files
+  UNION ALL SELECT relative_path, content, lang, 'source', NULL, {lines('content')} FROM code)"""
+REPORT = f"""
+{SPANS}, {SCRIPTS},
+f AS MATERIALIZED (
+  SELECT relative_path, content, lang, string_split(content, chr(10)) AS ls, {lines('content')} AS line_count FROM code
+  UNION ALL SELECT relative_path, content, CASE WHEN lang IN ('python', 'javascript') THEN lang END, string_split(content, chr(10)), {lines('content')} FROM scripts),
+ty AS MATERIALIZED (
+  SELECT relative_path, type_no, name, package, lang, s, e FROM types_
+  UNION ALL SELECT relative_path, 0, CASE lang WHEN 'javascript' THEN 'tools' ELSE 'module' END, CASE lang WHEN 'javascript' THEN 'tools' ELSE '' END, 'script', 1,
+    CASE lang WHEN 'python' THEN 4 * n + 2 ELSE 3 * n + 1 END FROM scripts WHERE lang IN ('python', 'javascript')),
+fu AS MATERIALIZED (
+  SELECT relative_path, type_no, fn, owner, name, s, e FROM fns_
+  UNION ALL SELECT relative_path, 0, i, CASE lang WHEN 'javascript' THEN 'tools' ELSE 'module' END, 'f' || i,
+    CASE lang WHEN 'python' THEN 4 * i + 1 ELSE 3 * i + 1 END, CASE lang WHEN 'python' THEN 4 * i + 2 ELSE 3 * i + 3 END
+  FROM scripts {_I} WHERE lang IN ('python', 'javascript')),
+eps AS (SELECT '/orders' || k || '/lines/' || i AS path, 'Order' || k || 'Controller.line' || i AS handler, 'o' || k % 20 AS service_name FROM code {_I} WHERE lang = 'java'),
+key_classes AS (SELECT relative_path, ty.name AS name, count(fn) AS n, type_no FROM ty LEFT JOIN fu USING (relative_path, type_no) GROUP BY relative_path, type_no, ty.name ORDER BY n DESC, relative_path, type_no LIMIT 20),
+key_methods AS (SELECT relative_path, name, s, {branches("array_to_string(ls[s:e], chr(10))")} AS n FROM fu JOIN f USING (relative_path) ORDER BY n DESC, relative_path, s, name LIMIT 20),
+complex_files AS (SELECT relative_path, 1 + {branches('content')} // 3 AS n FROM f WHERE lang IS NOT NULL ORDER BY n DESC, relative_path LIMIT 20),
+complex_classes AS (SELECT relative_path, type_no, name, {branches("array_to_string(ls[s:e], chr(10))")} AS n FROM ty JOIN f USING (relative_path) ORDER BY n DESC, relative_path, type_no LIMIT 20),
+largest AS (SELECT relative_path, line_count AS n FROM f ORDER BY n DESC, relative_path LIMIT 20),
+sv AS (SELECT service_name, classes, coalesce(endpoints, 0) AS endpoints FROM (
+  SELECT string_split(package, '.')[-1] AS service_name, count(*) AS classes FROM ty GROUP BY 1) LEFT JOIN (SELECT service_name, count(*) AS endpoints FROM eps GROUP BY 1) USING (service_name)
+  ORDER BY classes DESC, service_name LIMIT 20),
+ep AS (SELECT path, handler FROM eps ORDER BY path, handler LIMIT 20),
+dep AS (SELECT dependency, files FROM (SELECT lang, count(*) AS files FROM code GROUP BY 1) JOIN (VALUES
+  ('java', 'java.util.List'), ('java', 'static java.lang.Math.max'), ('python', 'import os'),
+  ('python', 'from typing import (' || chr(10) || '    List,' || chr(10) || '    Dict,' || chr(10) || ')'),
+  ('go', 'fmt'), ('go', 'log "std/log'), ('javascript', 'import {{ a,' || chr(10) || '  b }} from ''shop'';'),
+  ('javascript', 'import c from "cart";'), ('typescript', 'import {{ a }} from ''shop'';')) v(lang, dependency) USING (lang) ORDER BY files DESC, dependency LIMIT 20),
+ro AS (SELECT CASE WHEN lang = 'java' THEN 'controller' ELSE '' END AS role, count(*) AS n FROM ty GROUP BY 1)"""
 
 ORACLES |= {
     "type_roles": f"""
@@ -496,18 +600,42 @@ WITH {SPANS}, m AS (SELECT relative_path, type_no, count(*) AS n_methods, string
 SELECT relative_path, name, CASE WHEN lang = 'java' THEN 'controller' ELSE '' END AS role, n_methods, methods
 FROM types_ JOIN m USING (relative_path, type_no) ORDER BY n_methods DESC, relative_path, type_no LIMIT 8""",
     "complexity_metrics": f"""
-WITH {SPANS}, b AS (SELECT least(10, 1 + (CASE lang WHEN 'javascript' THEN 2 * n ELSE n END) // 3) AS score FROM code),
+WITH {SPANS}, b AS (SELECT 1 + (CASE lang WHEN 'javascript' THEN 2 * n ELSE n END) // 3 AS score FROM code),
 c AS (SELECT (SELECT count(*) FROM code) AS total_files, (SELECT sum({lines("content")}) FROM code) AS total_lines,
-  (SELECT count(*) FROM types_) AS total_classes, (SELECT count(*) FROM fns_) AS total_functions, (SELECT avg(score) FROM b) AS avg_complexity_score)
+  (SELECT count(*) FROM types_) AS total_classes, (SELECT count(*) FROM fns_) AS total_functions,
+  (SELECT count(*) FROM b) AS scored_files, (SELECT avg(score) FROM b) AS avg_complexity_score)
 SELECT *, total_functions / total_classes AS avg_methods_per_class FROM c""",
+    "complex_types": f"""
+WITH {SPANS} SELECT relative_path, name, {branches("array_to_string(string_split(content, chr(10))[s:e], chr(10))")} AS branches
+FROM types_ JOIN code USING (relative_path) ORDER BY branches DESC, relative_path, type_no LIMIT 25""",
+    "complex_functions": f"""
+WITH {SPANS} SELECT relative_path, owner, name, s AS start_line, {branches("array_to_string(string_split(content, chr(10))[s:e], chr(10))")} AS branches
+FROM fns_ JOIN code USING (relative_path) ORDER BY branches DESC, relative_path, s, name LIMIT 25""",
+    "repeated_paths": f"""
+WITH {DOCS}, both_ AS (SELECT relative_path, content FROM docs UNION ALL SELECT relative_path, 'again ' || content FROM docs),
+one AS (SELECT relative_path, min_by(content, sha256(content)) AS content FROM both_ GROUP BY 1)
+SELECT relative_path, true AS once, sha256(content) AS sha FROM one WHERE {tokens("content")} <= 1000""",
     "scan_directory": f"""
 SELECT 'lang=' || lang AS top, sum(length(text) - length(replace(text, chr(10), '')) + 1) AS lines, sum(strlen(text) + 1) AS bytes
 FROM documents GROUP BY 1""",
     "run_summary": f"""
-WITH {WHOLE} SELECT count(*) AS total_discovered, count(*) FILTER (category = 'source') AS source_files,
-  count(*) FILTER (category = 'config') AS config_files, count(*) FILTER (category = 'skipped') AS skipped,
-  sum(line_count) FILTER (category = 'source') AS total_lines, 0 AS hits, '0%' AS hit_rate FROM all_files""",
+WITH RECURSIVE {WHOLE}, {_whole_chunks(1000, "all_files")}, {_pack_walk(1000, "0")}
+SELECT {_summary("all_files")}, (SELECT count(DISTINCT p) FROM packed) AS batches, (SELECT count(DISTINCT p) FROM packed) AS misses""",
+    "corpus_analysis": f"""
+WITH RECURSIVE {EVERY}, {_whole_chunks(4000, "every_file")},
+c AS (SELECT {_summary("every_file")}, {_metrics("every_file")})
+SELECT *, total_functions / total_classes AS avg_methods_per_class FROM c""",
     "report_document": f"""
-WITH {WHOLE} SELECT count(*) AS total_discovered, count(*) FILTER (category = 'source') AS total_files,
-  max(line_count) AS largest_lines, 'lexical' AS mode FROM all_files""",
+WITH {REPORT}
+SELECT (SELECT count(*) FROM f) AS total_discovered, (SELECT count(*) FROM f WHERE lang = 'java') AS java_files,
+  (SELECT count(*) FROM f WHERE lang IS NOT NULL) AS total_files, (SELECT count(*) FROM f WHERE lang IS NOT NULL) AS scored_files, 'measured' AS mode,
+  (SELECT string_agg(relative_path || '|' || name || '|' || n, ';' ORDER BY n DESC, relative_path, type_no) FROM key_classes) AS key_classes,
+  (SELECT string_agg(relative_path || '|' || name || '|' || n, ';' ORDER BY n DESC, relative_path, s, name) FROM key_methods) AS key_methods,
+  (SELECT string_agg(relative_path || '|' || n, ';' ORDER BY n DESC, relative_path) FROM complex_files) AS complex_files,
+  (SELECT string_agg(relative_path || '|' || name || '|' || n, ';' ORDER BY n DESC, relative_path, type_no) FROM complex_classes) AS complex_classes,
+  (SELECT string_agg(relative_path || '|' || n, ';' ORDER BY n DESC, relative_path) FROM largest) AS largest_files,
+  (SELECT string_agg(service_name || '|' || classes || '|' || endpoints, ';' ORDER BY classes DESC, service_name) FROM sv) AS services,
+  (SELECT string_agg(path || '|' || handler, ';' ORDER BY path, handler) FROM ep) AS endpoints,
+  (SELECT string_agg(dependency || '|' || files, ';' ORDER BY files DESC, dependency) FROM dep) AS dependencies,
+  (SELECT string_agg(role || '|' || n, ';' ORDER BY n DESC, role) FROM ro) AS roles""",
 }

@@ -160,6 +160,7 @@ def display_names(spark, sf):
         "relative_path", texts.basename(F.col("relative_path")).alias("name"),
         texts.extension(F.col("relative_path")).alias("ext"),
         F.md5(texts.prefix(F.col("content"), 80)).alias("head_md5"),
+        F.md5(F.substr("content", F.lit(81))).alias("rest_md5"),
     )
 
 
@@ -288,41 +289,35 @@ def usage_report(spark, sf):
     return inference.usage_report(called)
 
 
-def _answer(system: str, user: str) -> str:
-    """A stand-in for a model: fails on some requests, answers others without an object."""
-    path = user.split("\n", 1)[0].removeprefix("Files: ")
-    number = int(path.rsplit("_", 1)[1].split(".")[0])
-    if number % 11 == 0:
-        raise RuntimeError(f"no answer for {number}")
-    if number % 13 == 0:
-        return "nothing to say"
-    return f'Sure:\n```json\n{{"file_path": "{path}", "complexity_score": {number % 10 + 1},}}\n```'
+def _answers(spark, sf, keyed):
+    """Answers for the chunks, by their key: the events' mangled JSON, none for every eleventh event."""
+    raw = derived.raw_responses(spark, sf).filter("event_id % 11 <> 0")
+    answered = keyed.join(raw, keyed["doc_id"] == raw["event_id"]).select("cache_key", "raw")
+    return answered.withColumn("error", F.lit(None).cast("string"))
 
 
 @query
 def inference_results(spark, sf):
-    requests = inference.render_requests(derived.document_chunks(spark, sf))
-    called = inference.infer(requests, _answer, ["doc_id"])
-    return called.withColumn("payload", repair_json(F.col("raw"))).select(
-        "doc_id", "error", F.get_json_object("payload", "$.complexity_score").alias("score")
-    )
+    keyed = _keyed(spark, sf)
+    called = inference.given(keyed.select("doc_id", "cache_key"), _answers(spark, sf, keyed))
+    return inference.parsed(called).select("doc_id", "status", "error", F.get_json_object("payload", "$.k").alias("k"))
 
 
 def _analysed(spark, sf, runs: int):
     chunks = derived.document_chunks(spark, sf)
     path = scratch_path(spark, "store")
     keyed = inference.with_cache_key(chunks)
-    derived.store_entries(keyed).write.parquet(path)
+    derived.store_entries(keyed).withColumn(st.PREFIX, st.prefix_of(F.col("cache_key"))).write.partitionBy(st.PREFIX).parquet(path)
     for _ in range(runs):
-        result = inference.analyse(chunks.drop("token_count"), path, _answer, Options(max_cost=Decimal("0.03")))
+        o = Options(max_cost=Decimal("0.03"))
+        result = inference.analyse(chunks.drop("token_count"), path, None, o, answers=_answers(spark, sf, keyed))
     return result
 
 
 @query
 def analysis_results(spark, sf):
-    return _analysed(spark, sf, 1).select(
-        "chunk_id", "status", "error", F.get_json_object("payload", "$.complexity_score").alias("score")
-    )
+    score = F.coalesce(F.get_json_object("payload", "$.complexity_score"), F.get_json_object("payload", "$.k"))
+    return _analysed(spark, sf, 1).select("chunk_id", "status", "error", score.alias("score"))
 
 
 @query
@@ -330,6 +325,20 @@ def analysis_second_run(spark, sf):
     return _analysed(spark, sf, 2).groupBy("status", "error").agg(F.count("*").alias("chunks"))
 
 
+@query
+def prompt_version_miss(spark, sf):
+    """A store filled under one prompt version, looked up under the same one and under another."""
+    chunks = derived.document_chunks(spark, sf)
+    path = scratch_path(spark, "store")
+    first = inference.with_cache_key(chunks, F.lit("v1"))
+    st.append_store(first.filter("doc_id % 3 = 0").select("cache_key", F.lit('{"k":1}').alias("payload")), path)
+    found = [
+        inference.lookup(keyed, st.read_store(spark, path, keyed.select("cache_key"))).select(F.lit(v).alias("version"), "is_hit")
+        for v, keyed in (("v1", first), ("v2", inference.with_cache_key(chunks, F.lit("v2"))))
+    ]
+    return found[0].unionByName(found[1]).groupBy("version").agg(F.count_if("is_hit").alias("hits"), F.count("*").alias("chunks"))
+
+
 @query
 def json_repair(spark, sf):
     raw = derived.raw_responses(spark, sf)
@@ -347,18 +356,14 @@ def typed_analysis(spark, sf):
 
 
 @query
-def context_cut(spark, sf):
-    chunks = derived.document_chunks(spark, sf)
-    return inference.cut_to_chars(chunks, "content", 80_000, ["source", "doc_id"]).select("source", "doc_id", "n_chars")
+def context_numbers(spark, sf):
+    chunks = derived.document_chunks(spark, sf).select("source", "doc_id", "content")
+    return inference.context_numbers(chunks, "content", 80_000, ["source", "doc_id"]).drop("content")
 
 
 @query
-def lexical_scores(spark, sf):
-    files = derived.code_files(spark, sf)
-    chunks = chunking.whole_file_chunks(files, Options(max_tokens=1_000_000))
-    scored = inference.parsed(inference.lexical_scores(chunks))
-    typed = scored.select("relative_path", parse_typed(F.col("payload")).alias("a"))
-    return typed.select("relative_path", "a.complexity_score", "a.complexity_notes")
+def branch_scores(spark, sf):
+    return rollups.branch_scores(derived.code_files(spark, sf))
 
 
 def _analyses(spark, sf):
@@ -447,6 +452,13 @@ def fields_table(spark, sf):
     return _declared(spark, sf).fields.select("relative_path", "owner", "name", "type", "line_no")
 
 
+@query
+def regex_literals(spark, sf):
+    d = declarations.declarations(derived.regex_files(spark, sf))
+    t = d.types.select("relative_path", F.col("name").alias("owner"), F.lit("").alias("name"), "start_line", "end_line")
+    return t.unionByName(d.functions.select("relative_path", "owner", "name", "start_line", "end_line"))
+
+
 @query
 def module_and_generic_types(spark, sf):
     t = declarations.declarations(derived.script_files(spark, sf)).types
@@ -495,6 +507,19 @@ def split_functions(spark, sf):
     return _typed_chunks(spark, sf, 40).filter("level = 'function_part'")
 
 
+@query
+def rest_chunks(spark, sf):
+    return _typed_chunks(spark, sf, 110).filter("level = 'rest'")
+
+
+@query
+def chunk_coverage(spark, sf):
+    """Lines of each file as its chunks hold them: every line that isn't blank is in one."""
+    chunks = chunking.chunk(_code_table(spark, sf), Options(max_tokens=60))
+    lines = chunks.select("relative_path", F.explode(texts.lines_of(F.col("content"))).alias("line")).filter(F.rlike("line", F.lit(r"\S")))
+    return lines.groupBy("relative_path").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
+
+
 @query
 def chunk_pipeline(spark, sf):
     o = Options(max_tokens=200)
@@ -534,10 +559,32 @@ def key_classes(spark, sf):
 def complexity_metrics(spark, sf):
     files = _code_table(spark, sf)
     d = pipeline.declared_tables(files)
-    chunks = chunking.whole_file_chunks(files, Options(max_tokens=1_000_000))
-    scored = inference.parsed(inference.lexical_scores(chunks)).select("relative_path", "ordinal", "chunk_id", "payload")
-    analyses = inference.typed_analyses(pipeline.written(scored, "scored"))
-    return rollups.complexity_metrics(files, d.types, d.functions, analyses)
+    return rollups.complexity_metrics(files, d.types, d.functions, rollups.branch_scores(files))
+
+
+@query
+def complex_types(spark, sf):
+    files = _code_table(spark, sf)
+    return rollups.complex_types(files, pipeline.declared_tables(files).types, 25).drop("type_no")
+
+
+@query
+def complex_functions(spark, sf):
+    files = _code_table(spark, sf)
+    return rollups.complex_functions(files, pipeline.declared_tables(files).functions, 25)
+
+
+@query
+def repeated_paths(spark, sf):
+    """Documents under paths that repeat with other texts: packs hold each path once, with one text."""
+    files = derived.document_files(spark, sf)
+    again = fs.scan_table(derived.table(spark, sf, "documents"), F.concat(F.lit("again "), "text"), "concat(source, '/', lang, '/doc_', doc_id, '.txt')")
+    o = Options(max_tokens=1000)
+    kept = pipeline.written(fs.usable(files.unionByName(again).unionByName(files), o), "kept")
+    small = chunking.whole_file_chunks(kept, o)
+    batches = chunking.batched(pipeline.written(small, "small"), None, o)
+    members = batches.select(F.explode("source_files").alias("relative_path"), "members", F.size("source_files").alias("paths"))
+    return members.join(kept, "relative_path").select("relative_path", (F.col("members") == F.col("paths")).alias("once"), F.sha2("content", 256).alias("sha"))
 
 
 @query
@@ -546,7 +593,7 @@ def scan_directory(spark, sf):
     root = scratch_path(spark, "tree")
     docs = derived.table(spark, sf, "documents")
     docs.select("lang", "text").write.partitionBy("lang").option("maxRecordsPerFile", 50).text(root)
-    files = fs.scan_files(spark, root, Options(max_file_bytes=2_000_000_000))
+    files = fs.scan_files(spark, root, Options())
     return files.groupBy(F.split_part("relative_path", F.lit("/"), F.lit(1)).alias("top")).agg(
         F.sum("line_count").alias("lines"), F.sum("size_bytes").alias("bytes")
     )
@@ -556,32 +603,61 @@ def _all_files(spark, sf):
     return derived.code_files(spark, sf).unionByName(derived.script_files(spark, sf)).unionByName(derived.routed_files(spark, sf))
 
 
+def _counted(column: str):
+    """A map of counts as text."""
+    return F.array_join(F.transform(F.map_entries(column), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",").alias(column)
+
+
 @query
 def run_summary(spark, sf):
     files = derived.script_files(spark, sf).unionByName(derived.routed_files(spark, sf))
     a = pipeline.analyse_corpus(files, scratch_path(spark, "store"), None, Options(max_tokens=1000))
-    return a.summary.select("total_discovered", "source_files", "config_files", "skipped", "total_lines", "hits", "hit_rate")
+    return a.summary.withColumns({c: _counted(c) for c in ("languages", "skip_reasons")})
 
 
 @query
 def corpus_analysis(spark, sf):
     """The flagship: the whole job over code, scripts and documents, as one row."""
     a = pipeline.analyse_corpus(_all_files(spark, sf), scratch_path(spark, "store"))
-    return rollups.side_by_side(a.metrics, a.summary.drop("total_lines"))
+    # How many packs the chunks make is compared in run_summary: a walk over all of them is beyond plain SQL here.
+    summary = a.summary.withColumns({c: _counted(c) for c in ("languages", "skip_reasons")})
+    return rollups.side_by_side(a.metrics, summary.drop("total_lines", "batches", "misses"))
+
+
+REPORT_LISTS = {
+    "key_classes": ("relative_path string, name string, n_methods long", lambda x: (x["relative_path"], x["name"], x["n_methods"])),
+    "key_methods": ("relative_path string, name string, branches long", lambda x: (x["relative_path"], x["name"], x["branches"])),
+    "complex_files": ("relative_path string, score long", lambda x: (x["relative_path"], x["score"])),
+    "complex_classes": ("relative_path string, name string, branches long", lambda x: (x["relative_path"], x["name"], x["branches"])),
+    "largest_files": ("relative_path string, line_count long", lambda x: (x["relative_path"], x["line_count"])),
+    "services": ("service_name string, classes long, endpoints long", lambda x: (x["service_name"], x["classes"], x["endpoints"])),
+    "endpoints": ("path string, handler string", lambda x: (x["path"], x["handler"])),
+    "dependencies": ("dependency string, files long", lambda x: (x["dependency"], x["files"])),
+    "roles": ("role string, types long", lambda x: (x["role"], x["types"])),
+}
 
 
 @query
 def report_document(spark, sf):
+    """The report as written, read back: its numbers and every list of it."""
     from corpusmill.sources import report as rp
 
-    files = derived.script_files(spark, sf).unionByName(derived.routed_files(spark, sf))
-    a = pipeline.analyse_corpus(files, scratch_path(spark, "store"), None, Options(max_tokens=1000))
+    files = derived.code_files(spark, sf).unionByName(derived.script_files(spark, sf))
+    a = pipeline.analyse_corpus(files, scratch_path(spark, "store"))
     path = scratch_path(spark, "report")
-    rp.write_report(pipeline.report(a, {"codebase": "corpus", "mode": "lexical"}), path, {"chunk_analyses": a.analyses})
+    rp.write_report(pipeline.report(a, {"codebase": "corpus", "mode": "measured"}), path, pipeline.report_tables(a))
     text = spark.read.text(f"{path}/report", wholetext=True).filter("length(value) > 0")
+
+    def listed(name: str):
+        schema, parts = REPORT_LISTS[name]
+        rows = F.from_json(F.get_json_object("value", f"$.{name}"), f"array<struct<{schema.replace(' ', ':')}>>".replace(",:", ","))
+        return F.array_join(F.transform(rows, lambda x: F.concat_ws("|", *parts(x))), ";").alias(name)
+
     return text.select(
         F.get_json_object("value", "$._metadata.total_discovered").cast("long").alias("total_discovered"),
+        F.get_json_object("value", "$._metadata.languages.java").cast("long").alias("java_files"),
         F.get_json_object("value", "$.complexity_metrics.total_files").cast("long").alias("total_files"),
-        F.get_json_object("value", "$.largest_files[0].line_count").cast("long").alias("largest_lines"),
+        F.get_json_object("value", "$.complexity_metrics.scored_files").cast("long").alias("scored_files"),
         F.get_json_object("value", "$._pipeline.mode").alias("mode"),
+        *[listed(name) for name in REPORT_LISTS],
     )

@@ -14,11 +14,8 @@ from corpusmill.sources.files import scan_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. One that Spark reads in fewer tasks than it has cores is spread over them;
-    a table of many splits is left as it is, so no shuffle is added at scale."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A given table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,6 +237,18 @@ SCRIPT_PATHS = {
 }
 
 
+REGEX_TEMPLATE = (
+    "class Scan{k} {\n  quotes(x) { return x.replace(/[\"'`{]/g, '{'); }\n  braces(x) {\n    const r = /\\/{{k}}`/;\n"
+    "    return r.test(x) ? 1 : x / 2 / {k};\n  }\n  last() { return /}/.source; }\n}\nclass Next{k} {\n}\n"
+)
+
+
+def regex_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One script per part whose regular expressions hold quotes, backticks, braces and slashes."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    return scan_table(rows, _filled(REGEX_TEMPLATE), F.concat(F.lit("lib/scan"), "k", F.lit(".js")))
+
+
 def script_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file per part: functions without a type, and languages without rules of their own."""
     langs = F.array(*[F.lit(x) for x in SCRIPT_TEMPLATES])

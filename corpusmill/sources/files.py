@@ -72,7 +72,9 @@ def valid_text(files: DataFrame) -> DataFrame:
 
 
 def distinct_paths(files: DataFrame) -> DataFrame:
-    return files.dropDuplicates(["relative_path"])
+    """One row for each path: of several the one with the smallest hash of its text, whatever order they come in."""
+    row, order = F.struct(*files.columns), F.struct(F.sha2("content", 256), F.struct(*[c for c in files.columns if c != "content"]))
+    return files.groupBy("relative_path").agg(F.min_by(row, order).alias("_row")).select("_row.*")
 
 
 def ordered(files: DataFrame) -> DataFrame:
@@ -104,8 +106,18 @@ def scan_files(spark: SparkSession, root: str, o: Options | None = None) -> Data
 
 
 def eligible(listed: DataFrame, root: str, o: Options) -> DataFrame:
-    sized = size_between(listed, o.min_file_bytes, o.max_file_bytes, "length")
-    return exclude_dirs(with_relpath(sized, root), o.skip_dirs)
+    return exclude_dirs(with_relpath(fitting(listed, o, "length"), root), o.skip_dirs)
+
+
+def fitting(files: DataFrame, o: Options, column: str = "size_bytes") -> DataFrame:
+    """Files that aren't too small, nor too large if the options say what that is."""
+    big_enough = files.filter(F.col(column) >= o.min_file_bytes)
+    return big_enough if o.max_file_bytes is None else big_enough.filter(F.col(column) <= o.max_file_bytes)
+
+
+def usable(files: DataFrame, o: Options) -> DataFrame:
+    """What a directory scan keeps, of a table of files: outside the excluded directories, fitting, one row a path."""
+    return distinct_paths(fitting(exclude_dirs(files, o.skip_dirs), o))
 
 
 def _hidden_listing(spark: SparkSession, root: str, o: Options) -> DataFrame:

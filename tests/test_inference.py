@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions.jsonfix import parse_typed, repair_json
-from corpusmill.operators import chunking, inference
+from corpusmill.operators import chunking, inference, rollups
 from corpusmill.options import Options
 from corpusmill.sources import store as st
 
@@ -19,6 +19,10 @@ REPAIRS = [
     ('{"u": "http://x/y"}', {"u": "http://x/y"}),
     ("", None), ("nothing", None), (None, None), ("[1, 2]", None), ("7", None), ("null", None),
     ('{"a": 1} {"b": 2}', None), ("{}", {}),
+    ('{"u": "http://x/y", "v": "a,]", }', {"u": "http://x/y", "v": "a,]"}),
+    ('so: {"a": "x // y", // note, with } and ]\n "b": [1, /* two */ 2,],}', {"a": "x // y", "b": [1, 2]}),
+    ('{"a": "say \\"hi, }\\"", "b": ["open', {"a": 'say "hi, }"', "b": ["open"]}),
+    ('use {x} here: {"a": 2}!', {"a": 2}),
 ]
 
 
@@ -96,13 +100,30 @@ def test_empty_payload_is_a_miss(spark):
     assert {r.cache_key for r in inference.misses(keyed, store).collect()} == {"e", "m"}
 
 
-def test_context_cut_keeps_whole_texts(spark):
-    df = spark.createDataFrame([(i, "x" * 9) for i in range(20)], "i int, t string")
-    assert {r.i for r in inference.cut_to_chars(df, "t", 55, ["i"]).collect()} == set(range(5))
+def test_every_text_has_its_contexts(spark):
+    df = spark.createDataFrame([(i, "x" * (i % 5 * 9)) for i in range(20)], "i int, t string")
+    got = {r.i: (r.first_context, r.last_context) for r in inference.context_numbers(df, "t", 20, ["i"], blocks=3).collect()}
+    at = 0
+    for i in range(20):
+        n = i % 5 * 9 + 1
+        assert got[i] == (at // 20, (at + n - 1) // 20)
+        at += n
 
 
-def test_lexical_scores(files):
-    code = "class A {\n" + "if (Foo.x() && y) { }\n" * 6 + "}"
-    row = inference.lexical_scores(chunking.whole_file_chunks(files(("A.java", code)))).first()
-    got = json.loads(row.raw)
-    assert got["complexity_score"] == 5 and got["dependencies"] == ["Foo"] and row.error is None
+def test_without_a_function_misses_are_missing(spark, chunks, tmp_path):
+    got = inference.analyse(chunks, str(tmp_path / "none"))
+    assert statuses(got) == {p: ("missing", None) for p in ("a.py", "b.py", "c.py", "d.py")}
+    assert all(r.est_tokens > 0 for r in got.collect())
+
+
+def test_another_version_finds_nothing(spark, chunks, answer, tmp_path):
+    path = str(tmp_path / "store")
+    inference.analyse(chunks, path, answer, version=("m1",)).collect()
+    assert statuses(inference.analyse(chunks, path, version=("m1",)))["a.py"][0] == "cached"
+    assert statuses(inference.analyse(chunks, path, version=("m2",)))["a.py"][0] == "missing"
+
+
+def test_branch_scores(files):
+    code = "class A {\n" + "if (Foo.x() && y) { }\n" * 20 + "iff = elseif; } // été_if \u00e9for"
+    row = rollups.branch_scores(files(("A.java", code))).first()
+    assert (row.branches, row.score) == (40, 14)
