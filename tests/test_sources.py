@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from corpusmill.options import Options
 from corpusmill.plans import pipeline
 from corpusmill.sources import files as fs
@@ -36,7 +38,7 @@ def test_scan_files(spark, tmp_path):
 def test_scan_pushes_the_size_filter(spark, tmp_path):
     write(tmp_path, "a.py", "x")
     shown = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "length", "content")
-    plan = fs.eligible(shown, str(tmp_path), Options())._jdf.queryExecution().executedPlan().toString()
+    plan = fs.eligible(shown, str(tmp_path), Options(max_file_bytes=500_000))._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(length,1)" in plan and "LessThanOrEqual(length,500000)" in plan
 
 
@@ -53,14 +55,21 @@ def test_whole_job_and_report(spark, files, tmp_path):
     )
     a = pipeline.analyse_corpus(df, str(tmp_path / "store"))
     s = a.summary.first()
-    assert (s.total_discovered, s.source_files, s.config_files, s.skipped, s.total_lines, s.chunks, s.calls) == (4, 2, 1, 1, 6, 1, 1)
+    assert (s.total_discovered, s.source_files, s.config_files, s.skipped, s.total_lines, s.chunks, s.batches, s.calls) == (4, 2, 1, 1, 6, 2, 1, 0)
+    assert (s.languages, s.skip_reasons) == ({"java": 1, "python": 1}, {"skip_extension": 1})
     m = a.metrics.first()
     assert (m.total_files, m.total_classes, m.total_functions) == (2, 2, 2)
-    rp.write_report(pipeline.report(a, {"codebase": "t"}), str(tmp_path / "out"), {"chunk_analyses": a.analyses})
+    rp.write_report(pipeline.report(a, {"codebase": "t"}), str(tmp_path / "out"), pipeline.report_tables(a))
     (part,) = (p for p in (tmp_path / "out" / "report").glob("part-*") if p.stat().st_size)
     text = part.read_text()
     doc = json.loads(text)
     assert text.isascii() and text.count("\n") > 10
     assert doc["_metadata"]["source_files"] == 2 and doc["_pipeline"] == {"codebase": "t"}
     assert doc["key_classes"][0]["name"] == "AController" and doc["key_classes"][0]["methods"][0]["name"] == "m"
-    assert spark.read.json(str(tmp_path / "out" / "chunk_analyses")).count() == 1
+    assert spark.read.json(str(tmp_path / "out" / "file_scores")).count() == 2
+
+
+def test_paths_that_repeat_are_one_file(spark, files):
+    df = files(("a.py", "x = 1"), ("a.py", "y = 2"), ("a.py", "x = 1"), ("b.py", "z = 3"))
+    kept = [sorted((r.relative_path, r.content) for r in fs.usable(d, Options()).collect()) for d in (df, df.repartition(4), df.orderBy(F.desc("content")))]
+    assert len(kept[0]) == 2 and kept[0] == kept[1] == kept[2]
