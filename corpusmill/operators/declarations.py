@@ -511,13 +511,11 @@ def resolve(tagged: DataFrame) -> DataFrame:
             ),
         }
     )
-    go_type = F.when((family == "go") & F.col("is_type"), F.struct("name", "type_no"))
     df = df.withColumns(
         {
             "has_types": F.max("is_type").over(by_file),
             "last_line": F.max("line_no").over(by_file),
             "package": F.coalesce(F.max(F.when(tag == "package", name)).over(by_file), "guessed"),
-            "go_types": F.collect_list(go_type).over(by_file),
         }
     )
     df = attach_receivers(df)
@@ -586,10 +584,15 @@ def resolve(tagged: DataFrame) -> DataFrame:
 
 
 def attach_receivers(df: DataFrame) -> DataFrame:
-    """Go methods to the type their receiver names in the same file, null if there is none: an equi-join
-    that stays within the rows of a file, whose types ``go_types`` lists."""
-    named = F.filter("go_types", lambda t: t["name"] == F.col("receiver"))
-    return df.withColumn("receiver_type", F.when(F.col("receiver").isNotNull(), F.get(named, F.lit(0)))).drop("go_types")
+    """Go methods to the first type their receiver names in the same file, null if there is none: types and methods
+    meet under the name, within the file's own partition."""
+    is_type = (F.col("family") == "go") & F.col("is_type")
+    under = F.when(is_type, F.col("name")).otherwise(F.col("receiver"))
+    first = F.min(F.when(is_type, F.struct("type_no", "name"))).over(Window.partitionBy("relative_path", "_under"))
+    found = df.withColumn("_under", under).withColumn("_type", first)
+    receiver_type = F.when(F.col("receiver").isNotNull(), F.struct("_type.name", "_type.type_no"))
+    named = F.col("_type").isNotNull()
+    return found.withColumn("receiver_type", F.when(named, receiver_type)).drop("_under", "_type")
 
 
 # --- the four tables ----------------------------------------------------------------------------

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import texts
 from corpusmill.options import Options
-from corpusmill.session import cut_lineage
 
 FILE_COLUMNS = ("path", "relative_path", "language", "content", "content_hash", "size_bytes", "line_count")
 
@@ -84,8 +83,8 @@ def ordered(files: DataFrame) -> DataFrame:
 def scan_files(spark: SparkSession, root: str, o: Options | None = None) -> DataFrame:
     """Files under ``root`` with a known suffix and a fitting size, outside the excluded directories.
 
-    Spark's own listing leaves out names that begin with ``_`` or ``.``, so ``__init__.py`` and
-    files below ``.github`` come from a second, distributed listing.
+    Spark lists and reads them; it leaves out names that begin with ``_`` or ``.``, and what is below such a
+    directory. Where these matter, name them in an inventory and use ``scan_inventory``.
     """
     o = o or Options()
     glob = "*.{" + ",".join(o.discovered_suffixes) + "}"
@@ -96,13 +95,19 @@ def scan_files(spark: SparkSession, root: str, o: Options | None = None) -> Data
         .load(root)
         .select("path", "length", "content")
     )
-    shown = eligible(shown, root, o)
-    hidden = eligible(_hidden_listing(spark, root, o), root, o)
-    hidden = hidden.repartition("path").mapInPandas(
-        _read_files, "path string, length long, relative_path string, content binary"
-    )
-    both = shown.unionByName(hidden).withColumnRenamed("length", "size_bytes")
-    return with_measures(valid_text(both))
+    return with_measures(valid_text(eligible(shown, root, o).withColumnRenamed("length", "size_bytes")))
+
+
+def scan_inventory(inventory: DataFrame, root: str, o: Options | None = None, task_bytes: int = 128 << 20) -> DataFrame:
+    """The files that a table (path, length) names, whatever their names: known suffixes, fitting sizes, outside the
+    excluded directories. Paths are dealt to tasks of about ``task_bytes``, which read one file after the other."""
+    o = o or Options()
+    known = F.lower(F.substring_index("path", ".", -1)).isin(*o.discovered_suffixes)
+    wanted = eligible(inventory.filter(known).select("path", "length"), root, o)
+    total = wanted.agg(F.sum("length")).first()[0] or 0
+    dealt = wanted.repartition(max(1, -(-total // task_bytes)), F.xxhash64("path"))
+    read = dealt.mapInPandas(_read_files, "path string, length long, relative_path string, content binary")
+    return with_measures(valid_text(read.withColumnRenamed("length", "size_bytes")))
 
 
 def eligible(listed: DataFrame, root: str, o: Options) -> DataFrame:
@@ -120,54 +125,6 @@ def usable(files: DataFrame, o: Options) -> DataFrame:
     return distinct_paths(fitting(exclude_dirs(files, o.skip_dirs), o))
 
 
-def _hidden_listing(spark: SparkSession, root: str, o: Options) -> DataFrame:
-    """(path, length) of files with a hidden name on their way, found level by level in tasks."""
-    suffixes, skipped = tuple(o.discovered_suffixes), frozenset(o.skip_dirs)
-
-    def list_dirs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        for batch in batches:
-            for path, hidden in zip(batch["path"], batch["hidden"]):
-                system, inner = _file_system(path)
-                head = path[: len(path) - len(inner)] if path.endswith(inner) else ""
-                rows = []
-                for info in system.get_file_info(fs.FileSelector(inner, recursive=False)):
-                    is_dir = info.type == fs.FileType.Directory
-                    below = bool(hidden) or _is_hidden(info.base_name)
-                    wanted = (
-                        info.base_name not in skipped
-                        if is_dir
-                        else info.type == fs.FileType.File and below and info.base_name.endswith(
-                            tuple("." + s for s in suffixes)
-                        )
-                    )
-                    if wanted:
-                        rows.append((head + info.path, is_dir, below, info.size))
-                yield pd.DataFrame(rows, columns=["path", "is_dir", "hidden", "length"])
-
-    start = root if "://" in root else "file://" + root.removeprefix("file:")
-    level = spark.createDataFrame(
-        [(start.rstrip("/"), True, False, 0)], "path string, is_dir boolean, hidden boolean, length long"
-    )
-    found = None
-    while True:
-        level = cut_lineage(
-            level.filter("is_dir").repartition("path").mapInPandas(
-                list_dirs, "path string, is_dir boolean, hidden boolean, length long"
-            )
-        )
-        files = level.filter("not is_dir").select("path", "length")
-        found = files if found is None else found.unionByName(files)
-        if level.filter("is_dir").isEmpty():
-            return found
-
-
-def _is_hidden(name: str) -> bool:
-    """Names that Spark's file listing leaves out."""
-    return name.startswith(".") or (name.startswith("_") and "=" not in name)
-
-
 def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for row in batch.itertuples(index=False):

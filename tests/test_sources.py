@@ -27,8 +27,12 @@ def test_scan_files(spark, tmp_path):
         "empty.py": "", "big.py": "x" * 600, "bad.py": b"\xff\xfe\xfa", "_bad.py": b"\xc3\x28", "photo.png": "p", "UPPER.PY": "u",
     }.items():
         write(root, p, t)
-    rows = {r.relative_path: r for r in fs.scan_files(spark, str(root), Options(max_file_bytes=500)).collect()}
-    assert set(rows) == set(kept)
+    o = Options(max_file_bytes=500)
+    shown = {r.relative_path for r in fs.scan_files(spark, str(root), o).collect()}
+    assert shown == {p for p in kept if not any(x.startswith(("_", ".")) for x in p.split("/"))}
+    listed = [(f"file://{p}", p.stat().st_size) for p in root.rglob("*") if p.is_file()]
+    rows = {r.relative_path: r for r in fs.scan_inventory(spark.createDataFrame(listed, "path string, length long"), str(root), o, 100).collect()}
+    assert set(rows) - {"UPPER.PY"} == set(kept)
     assert rows["src/A.java"].content == "class A {}\nx\ny\n" and rows["src/A.java"].line_count == 3
     assert rows["src/A.java"].size_bytes == len(kept["src/A.java"])
     assert rows[".github/w.yml"].language == "unknown" and rows[".github/w.yml"].size_bytes == 5
