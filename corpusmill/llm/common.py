@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+import time
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,11 +23,27 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """``df`` written once below ``spark.checkpoint.dir``: every later read, also by a retried task, sees the same rows."""
+@contextmanager
+def batches_of(spark, rows: int):
+    """Jobs begun inside hand Python at most ``rows`` rows at a time; the session's own bound comes back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def written(df: DataFrame, name: str, codec: str = "zstd", batch: int = 2_000) -> DataFrame:
+    """``df`` written once below ``spark.checkpoint.dir``: every later read, also by a retried task, sees the same rows.
+
+    Python work in it gets ``batch`` rows at a time, texts of a few megabytes, so that workers stay small.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    with batches_of(spark, batch):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -69,8 +87,10 @@ def let(value: Column, body) -> Column:
 def released(spark) -> None:
     """Let go of shuffle files of passes whose results are written.
 
-    Spark deletes them once the driver's collector finds that nothing refers to them; passes over the whole corpus
-    leave files as large as the corpus, so ask for a collection between two of them.
+    Spark deletes them once the driver's collector has found that nothing refers to them, which takes two rounds:
+    the first frees what Python held. Passes over a whole corpus leave files as large as the corpus.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import written
+from corpusmill.llm.common import batches_of, written
 from corpusmill.session import scratch_path
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -30,6 +30,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 MARK = b"\nSEQEND\n"
 SEQUENCE = 2_048
 SHARD = 4_096
+#: Compression of the pieces on their way to the shards: ids of 100 sequences shrink to 55 %, at level 1 to 66 %.
+LEVEL = 9
+#: Sequences that a task sorts by shard and compresses at a time.
+DEALT = 5_000
 _M1, _M2, _M64 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, (1 << 64) - 1
 
 
@@ -140,11 +144,12 @@ def _dealer(n: int, key: int, shard: int, width: int, length: int):
             order = np.argsort(slots)
             edges = np.flatnonzero(np.diff(slots[order] // shard, prepend=-1, append=-1))
             tokens = b["tokens"].to_numpy()
+            codec = pa.Codec("zstd", compression_level=LEVEL)
             rows = []
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 at = order[lo:hi]
                 raw = slots[at].astype("<u8").tobytes() + b"".join(tokens[at])
-                rows.append((int(slots[at[0]] // shard), len(raw), pa.compress(raw, codec="zstd", asbytes=True)))
+                rows.append((int(slots[at[0]] // shard), len(raw), codec.compress(raw, asbytes=True)))
             yield pd.DataFrame(rows, columns=["shard", "size", "blob"])
 
     return run
@@ -209,7 +214,8 @@ def write_shards(
         dealt = placed.select("before", "idx", "tokens").mapInPandas(_dealer(n, key, shard, width, sequence), "shard int, size long, blob binary")
         files = -(-n // shard)
         records = dealt.repartitionById(files, F.col("shard")).mapInPandas(_assembler(width, sequence), "value binary")
-        records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", MARK.decode()).text(path)
+        with batches_of(spark, DEALT):
+            records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", MARK.decode()).text(path)
 
     @F.pandas_udf("long")
     def slot(index: pd.Series) -> pd.Series:
