@@ -42,7 +42,7 @@ def spread(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def blocks(docs: DataFrame, id_col: str, text: str, mark=None, size: int = BLOCK_BYTES) -> DataFrame:
+def blocks(docs: DataFrame, id_col: str, text: str, mark=None, size: int | None = None) -> DataFrame:
     """Written rows of SCHEMA: ids and ends of the texts, a byte ``mark`` for each, and the texts, compressed.
 
     The id must be a whole number; a null id is NO_ID, a null text an empty one. A text larger than ``size`` is a
@@ -58,7 +58,7 @@ def blocks(docs: DataFrame, id_col: str, text: str, mark=None, size: int = BLOCK
         def row() -> pd.DataFrame:
             raw = b"".join(texts)
             ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-            blob = pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+            blob = pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True) if raw else b""
             one = (f"{part}-{made}", np.array(ids, np.int64).tobytes(), np.array(marks, np.uint8).tobytes(), ends.tobytes(), len(raw), blob)
             return pd.DataFrame([one], columns=["block", "ids", "marks", "ends", "size", "texts"])
 
@@ -74,6 +74,7 @@ def blocks(docs: DataFrame, id_col: str, text: str, mark=None, size: int = BLOCK
         if texts:
             yield row()
 
+    size = size or BLOCK_BYTES
     mark = F.lit(0) if mark is None else mark
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), mark.cast("int").alias("mark"), as_bytes(text).alias("text"))
     return written(slim.mapInPandas(pack, SCHEMA), "blocks", "uncompressed")
@@ -92,6 +93,29 @@ def each(frame: pd.DataFrame):
     return frame.rename(columns={"size": "size_"}).itertuples(index=False)
 
 
-def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """The owner of each 64-bit hash: equal ranges, ascending with the hash."""
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+def bucket_of(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The owner of each 64-bit hash and the next 40 bits of its place there, both ascending with the hash.
+
+    Owners have equal ranges: the product of hash and ``buckets``, in 128 bits, has the owner above its 64th bit.
+    """
+    low = (hashes & np.uint64(0xFFFFFFFF)) * np.uint64(buckets)
+    product = (hashes >> np.uint64(32)) * np.uint64(buckets) + (low >> np.uint64(32))
+    place = ((product & np.uint64(0xFFFFFFFF)) << np.uint64(8)) | ((low >> np.uint64(24)) & np.uint64(0xFF))
+    return product >> np.uint64(32), place
+
+
+def slices(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, begin, end) of each run of an ascending array."""
+    if not len(bucket):
+        return []
+    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
+    return [(int(bucket[x]), x, y) for x, y in zip(edges, [*edges[1:], len(bucket)], strict=True)]
+
+
+def steps(ascending: np.ndarray) -> np.ndarray:
+    """Differences of ascending numbers; their bytes are fewer."""
+    return np.diff(ascending, prepend=ascending.dtype.type(0))
+
+
+def from_steps(differences: np.ndarray) -> np.ndarray:
+    return np.cumsum(differences, dtype=differences.dtype)
