@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.blocks import NO_ID, blocks, bucket_of, each, spread, squeezed, unpacked
+from corpusmill.llm.blocks import NO_ID, blocks, bucket_of, each, from_steps, slices, spread, squeezed, steps, unpacked
 from corpusmill.llm.common import released, written
 
 SWEEPS = 3
@@ -29,7 +29,6 @@ WORD_BYTES, PAIR_BYTES = 64 << 20, 16 << 20
 ROWS = "kind string, bucket int, block string, blob binary"
 _COLUMNS = ["kind", "bucket", "block", "blob"]
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
-_PAIR_BITS = np.uint64((1 << 40) - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -67,20 +66,25 @@ class _Counted:
         self.words, self.token = hashes[order], place[token]
         self.context = np.append(place[:1], self.token[:-1])[: len(token)]
         self.word_count = np.bincount(self.token, train, len(order)).astype(np.int64)
-        pairs, of = np.unique(self.context * len(order) + self.token, return_inverse=True)
-        u, w = pairs // len(order), pairs % len(order)
-        g = _mix(self.words[u] * np.uint64(0x9E3779B97F4A7C15) + _mix(self.words[w]))
-        order = np.argsort(g, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.pairs, self.u, self.w, self.pair = g[order], u[order], w[order], place[of]
+        g = _pair_hash(self.words[self.context], _mix(self.words)[self.token])
+        order = np.argsort(g)
+        g = g[order]
+        new = np.append(True, g[1:] != g[:-1])[: len(g)]
+        first = order[new]
+        self.pairs, self.u, self.w = g[new], self.context[first], self.token[first]
+        self.pair = np.empty(len(order), np.int64)
+        self.pair[order] = np.cumsum(new) - 1
         self.pair_count = np.bincount(self.pair, train, len(order)).astype(np.int64)
 
 
-def _slices(bucket: np.ndarray):
-    """(bucket, begin, end) of each run of an ascending array."""
-    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64)
-    return zip(bucket[edges].tolist(), edges.tolist(), np.append(edges[1:], len(bucket)).tolist(), strict=True)
+def _pair_hash(u: np.ndarray, mixed_w: np.ndarray) -> np.ndarray:
+    """Hash of a context and the word after it, from the one's hash and the other's mixed one."""
+    return _mix(u * np.uint64(0x9E3779B97F4A7C15) + mixed_w)
+
+
+def _words_to(owners: int, kind: str, block: str, words: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+    """Rows that carry words, ascending by hash, and their columns to the words' owners."""
+    return [(kind, b, block, squeezed(steps(words[x:y]), *[c[x:y] for c in columns])) for b, x, y in slices(bucket_of(words, owners)[0])]
 
 
 def _ask(words: int, pairs: int):
@@ -88,9 +92,10 @@ def _ask(words: int, pairs: int):
         for f in frames:
             for row in each(f):
                 c = _Counted(row)
-                out = [("word", b, row.block, squeezed(c.words[x:y], c.word_count[x:y])) for b, x, y in _slices(bucket_of(c.words, words))]
-                keys = c.pairs & _PAIR_BITS
-                out += [("pair", words + b, row.block, squeezed(keys[x:y], c.pair_count[x:y])) for b, x, y in _slices(bucket_of(c.pairs, pairs))]
+                out = _words_to(words, "word", row.block, c.words, c.word_count.astype("<u4"))
+                bucket, keys = bucket_of(c.pairs, pairs)
+                counts = c.pair_count.astype("<u4")
+                out += [("pair", words + b, row.block, squeezed(steps(keys[x:y]), counts[x:y])) for b, x, y in slices(bucket)]
                 yield pd.DataFrame(out, columns=_COLUMNS)
 
     return run
@@ -99,7 +104,8 @@ def _ask(words: int, pairs: int):
 def _count(frame: pd.DataFrame) -> pd.DataFrame:
     """Training counts of a range's words or pairs, to each block that has them; a pair's home is its first block."""
     frame = frame.sort_values("block")
-    parts = [spread(b, "<u8", "<i8") for b in frame["blob"]]
+    parts = [spread(b, "<u8", "<u4") for b in frame["blob"]]
+    parts = [(from_steps(k), n) for k, n in parts]
     keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     _, of = np.unique(keys, return_inverse=True)
     total = np.bincount(of, counts).astype(np.int64)
@@ -137,41 +143,66 @@ def _first_state(words: int):
             out += [("words", -1, row.block, squeezed(n_w >> 1)), ("pairs", -1, row.block, squeezed(n_p >> 1))]
             home = (n_p & 1) == 1
             dish, table = (np.bincount(x[home], minlength=len(c.words)).astype("<u4") for x in (c.w, c.u))
-            out += [("tally", b, row.block, squeezed(c.words[x:y], dish[x:y], table[x:y])) for b, x, y in _slices(bucket_of(c.words, words))]
+            out += _words_to(words, "tally", row.block, c.words, dish, table)
             often = np.flatnonzero(home & (n_p > 3))
+            often = often[np.lexsort((c.w[often], c.u[often]))]
             used, at = np.unique(np.concatenate([c.u[often], c.w[often]]), return_inverse=True)
-            moved = squeezed(c.pairs[often], at[: len(often)].astype("<u4"), at[len(often) :].astype("<u4"), (n_p[often] >> 1).astype("<u4"))
-            out += [("moved", -1, row.block, moved), ("used", -1, row.block, squeezed(c.words[used]))]
+            u, w = at[: len(often)].astype("<u4"), at[len(often) :].astype("<u4")
+            out.append(("moved", -1, row.block, squeezed(steps(u), w, (n_p[often] >> 1).astype("<u4"))))
+            out.append(("used", -1, row.block, squeezed(steps(c.words[used]))))
         return pd.DataFrame(out, columns=_COLUMNS)
 
     return run
 
 
+def _binomial(n: np.ndarray, p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Successes of n trials from two uniform numbers: by the distribution's sums for small means, else by the normal."""
+    mean = n * p
+    out = np.zeros(len(n))
+    many = np.flatnonzero(mean >= 6)
+    z = np.sqrt(-2 * np.log(y[many])) * np.cos(2 * np.pi * x[many])
+    out[many] = np.clip(np.rint(mean[many] + np.sqrt(mean[many] * (1 - p[many])) * z), 0, n[many])
+    few = np.flatnonzero(mean < 6)
+    chance = np.exp(n[few] * np.log1p(-p[few]))
+    left = x[few] > chance
+    few, chance, below, k = few[left], chance[left], chance[left], 0
+    while len(few):
+        k += 1
+        out[few] = k
+        chance = chance * (n[few] - k + 1) / k * p[few] / (1 - p[few])
+        below = below + chance
+        left = (x[few] > below) & (k < n[few])
+        few, chance, below = few[left], chance[left], below[left]
+    return out
+
+
 def seated(key: np.ndarray, sweep: int, customers: np.ndarray, rate: np.ndarray, discount: float) -> np.ndarray:
     """Tables of each dish after its customers sit down one by one.
 
     With i customers at t tables the next one opens a table with probability rate / (i - discount * t + rate). The
-    first 16 are seated singly; then a tenth of those seated come at a time, at the probability in their middle.
+    first 20 are seated singly; then a quarter of those seated come at a time, at the probability in their middle.
     """
-    tables = np.ones(len(customers))
-    active, i, step = np.flatnonzero(customers > 1), 1, 0
-    while len(active):
-        n = np.minimum(max(1, i // 10), customers[active] - i)
-        base = _mix(key[active] ^ _mix(np.array([sweep * 1_000_003 + step + 1], np.uint64)))
-        x = (base >> np.uint64(11)).astype(float) / (1 << 53)
-        p = rate[active] / (i + (n - 1) / 2 - discount * tables[active] + rate[active])
-        if i < 20:
-            new = (x < p).astype(float)
-        else:
-            y = ((_mix(base) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
-            z = np.sqrt(-2 * np.log(y)) * np.cos(2 * np.pi * x)
-            rounding = (_mix(base + np.uint64(1)) >> np.uint64(11)).astype(float) / (1 << 53)
-            new = np.clip(np.floor(n * p + np.sqrt(n * p * (1 - p)) * z + rounding), 0, n)
-        tables[active] += new
-        i += max(1, i // 10)
+    order = np.argsort(-customers)
+    c, r = customers[order], rate[order]
+    seed = _mix(key[order] ^ _mix(np.array([sweep + 1], np.uint64)))
+    t, i, step, m = np.ones(len(c)), 1, 0, int(np.searchsorted(-c, -1))
+    while m:  # the first m have customers left
         step += 1
-        active = active[customers[active] > i]
-    return tables
+        h = seed[:m] + np.uint64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        x = ((h ^ (h >> np.uint64(29))) >> np.uint64(11)) * 2.0**-53
+        at_once = 1 if i < 20 else i // 4
+        if at_once == 1:
+            t[:m] += x * (i - discount * t[:m] + r[:m]) < r[:m]
+        else:
+            n = np.minimum(at_once, c[:m] - i)
+            p = r[:m] / (i + (n - 1) / 2 - discount * t[:m] + r[:m])
+            t[:m] += _binomial(n, p, x, ((_mix(h) >> np.uint64(11)) + 0.5) * 2.0**-53)
+        i += at_once
+        m = int(np.searchsorted(-c[:m], -i))
+    out = np.empty(len(c))
+    out[order] = t
+    return out
 
 
 class _Model:
@@ -195,12 +226,13 @@ def _word_state(frame: pd.DataFrame) -> pd.DataFrame:
     """A range's words with their tallies at the start, and their answers to the blocks."""
     frame = frame.sort_values("block")
     parts = [spread(b, "<u8", "<u4", "<u4") for b in frame["blob"]]
+    parts = [(from_steps(p[0]), *p[1:]) for p in parts]
     words, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     dish, table = (np.bincount(of, np.concatenate([p[i] for p in parts])).astype("<u4") for i in (1, 2))
     own = (dish > 0).astype("<u4")
     bucket = frame["bucket"].iloc[0]
     facts = np.array([dish.sum(), own.sum(), np.count_nonzero(dish == 1), np.count_nonzero(dish == 2)], np.int64)
-    rows = [("state", bucket, "", squeezed(words, dish, own, table)), ("fact", bucket, "", squeezed(facts))]
+    rows = [("state", bucket, "", squeezed(steps(words), dish, own, table)), ("fact", bucket, "", squeezed(facts))]
     return pd.DataFrame(rows, columns=_COLUMNS)
 
 
@@ -211,8 +243,7 @@ def _asked_again(words: int):
         for f in frames:
             out = []
             for block, blob in zip(f["block"], f["blob"], strict=True):
-                used = spread(blob, "<u8")[0]
-                out += [("used", b, block, squeezed(used[x:y])) for b, x, y in _slices(bucket_of(used, words))]
+                out += _words_to(words, "used", block, from_steps(spread(blob, "<u8")[0]))
             yield pd.DataFrame(out, columns=_COLUMNS)
 
     return run
@@ -223,10 +254,11 @@ def _look_up(states: int):
 
     def run(known: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         held = [spread(b, "<u8", *_STATE) for b in known.sort_values("kind")["blob"]][-states:]
+        known_words = from_steps(held[0][0]) if held else np.empty(0, np.uint64)
         out = []
         for kind, bucket, block, blob in asked[_COLUMNS].itertuples(index=False):
-            words = spread(blob, "<u8", *(("<u4", "<u4") if kind == "tally" else ()))[0]
-            at = np.searchsorted(held[0][0], words)
+            words = from_steps(spread(blob, "<u8", *(("<u4", "<u4") if kind == "tally" else ()))[0])
+            at = np.searchsorted(known_words, words)
             out.append(("answer", bucket, block, squeezed(*[x[at] for h in held for x in h[1:]])))
         return pd.DataFrame(out, columns=_COLUMNS)
 
@@ -240,13 +272,13 @@ def _sweep(model: _Model, state: int, words: int):
         out = []
         for block in moved["block"].unique():
             mine = moved[moved["block"] == block]
-            pairs, u, w, n = _joined(mine, "moved", "<u8", "<u4", "<u4", "<u4")
-            used = _joined(mine, "used", "<u8")[0]
+            u, w, n = _joined(mine, "moved", "<u4", "<u4", "<u4")
+            u, used = from_steps(u), from_steps(_joined(mine, "used", "<u8")[0])
             customers, tables, as_context = _joined(answers, "answer", *_STATE)
             rate = (model.concentration + model.pair_discount * as_context[u]) * model.parent(state, customers, tables)[w]
-            more = seated(pairs, state, n.astype(np.int64), rate, model.pair_discount) - 1
+            more = seated(_pair_hash(used[u], _mix(used[w])), state, n.astype(np.int64), rate, model.pair_discount) - 1
             dish, table = (np.bincount(x, more, len(used)).astype("<u4") for x in (w, u))
-            out += [("more", b, block, squeezed(used[x:y], dish[x:y], table[x:y])) for b, x, y in _slices(bucket_of(used, words))]
+            out += _words_to(words, "more", block, used, dish, table)
         return pd.DataFrame(out, columns=_COLUMNS)
 
     return run
@@ -257,16 +289,17 @@ def _next_state(model: _Model, state: int):
 
     def run(known: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
         words, dish, _, table = spread(known[known["kind"] == "state"]["blob"].iloc[0], "<u8", *_STATE)
+        words = from_steps(words)
         dish, table = dish.astype(np.int64), table.astype(np.int64)
         for blob in more["blob"]:
             used, d, t = spread(blob, "<u8", "<u4", "<u4")
-            at = np.searchsorted(words, used)
+            at = np.searchsorted(words, from_steps(used))
             np.add.at(dish, at, d.astype(np.int64))
             np.add.at(table, at, t.astype(np.int64))
         base = (model.concentration + model.discount * model.totals[state][1]) / (model.vocabulary + 1)
         own = np.where(dish > 0, seated(words, state + 500, dish, np.full(len(words), base), model.discount), 0).astype("<u4")
         bucket = known["bucket"].iloc[0]
-        rows = [(f"state {state + 1}", bucket, "", squeezed(words, dish.astype("<u4"), own, table.astype("<u4")))]
+        rows = [(f"state {state + 1}", bucket, "", squeezed(steps(words), dish.astype("<u4"), own, table.astype("<u4")))]
         facts = np.array([dish.sum(), own.sum(), 0, 0], np.int64)
         return pd.DataFrame([*rows, ("fact", bucket, "", squeezed(facts))], columns=_COLUMNS)
 

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from corpusmill.llm import blocks, pitman_yor
-from corpusmill.llm.pitman_yor import _mix, pitman_yor_scores, seated
+from corpusmill.llm.pitman_yor import _mix, _pair_hash, pitman_yor_scores, seated
 
 END = None
 
@@ -18,8 +18,7 @@ def h(w):
 
 
 def key(u, w):
-    one = np.array([h(u)], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _mix(np.array([h(w)], np.uint64))
-    return _mix(one)
+    return _pair_hash(np.array([h(u)], np.uint64), _mix(np.array([h(w)], np.uint64)))
 
 
 def brute(docs, sweeps=3, samples=2, theta=0.5):
