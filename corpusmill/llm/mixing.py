@@ -120,7 +120,7 @@ def mix(docs: DataFrame, source: str = "source", id_col: str = "doc_id", size: C
         "_row", "_id", "_size", "_rank", "source_size", "goal", F.explode(F.expr("sequence(0, cast((goal - 1) div source_size as int))")).alias("pass")
     )
     shuffled = F.md5(F.concat_ws(":", F.lit(str(seed)), "pass", F.coalesce("_id", F.lit(""))).cast("binary"))
-    digits = max(1, math.ceil(math.log(max(1, sum(s["n_rows"] for s in few) / RANGE_ROWS), 16)))
+    digits = max(2, math.ceil(math.log(max(1, sum(s["n_rows"] for s in few) / RANGE_ROWS), 16)))
     placed = passes.withColumn("_key", shuffled).withColumn("_range", F.substring("_key", 1, digits))
     group = ["_rank", "pass"]
     inside = Window.partitionBy(*group, "_range").orderBy("_key", "_size", "_row").rowsBetween(Window.unboundedPreceding, 0)
