@@ -28,8 +28,8 @@ TARGET = 0.9999
 BLOCK = 512
 #: Distinct texts of small components that share a task.
 BIN = 1_000
-_CACHE = 400_000
-_COLUMNS = 8_192
+_CACHE = 100_000
+_COLUMNS = 2_048
 
 
 class _Hashes(dict):
