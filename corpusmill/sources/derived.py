@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Slim rows, by their key ``k``, to as many tasks as there are cores or shuffle partitions: each grows into a whole
+    file there. No text moves, and the number of input splits doesn't matter."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "k")
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as text files ``source/lang/doc_<id>.txt``."""
     docs = table(spark, sf_dir, "documents")
@@ -60,11 +67,11 @@ CODE_LANGUAGES = ("java", "python", "go", "javascript", "typescript")
 def code_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order: ``k`` the key, ``n`` the number of methods, ``lang`` by ``k % 5``."""
     orders = table(spark, sf_dir, "orders")
-    return orders.select(
+    return spread(orders.select(
         F.col("o_orderkey").alias("k"),
         (F.col("o_custkey") % METHODS_PER_FILE + 1).cast("int").alias("n"),
         F.element_at(F.array(*[F.lit(x) for x in CODE_LANGUAGES]), (F.col("o_orderkey") % 5 + 1).cast("int")).alias("lang"),
-    )
+    ))
 
 
 def _methods(template: str) -> Column:
@@ -245,17 +252,17 @@ REGEX_TEMPLATE = (
 
 def regex_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One script per part whose regular expressions hold quotes, backticks, braces and slashes."""
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    rows = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")))
     return scan_table(rows, _filled(REGEX_TEMPLATE), F.concat(F.lit("lib/scan"), "k", F.lit(".js")))
 
 
 def script_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file per part: functions without a type, and languages without rules of their own."""
     langs = F.array(*[F.lit(x) for x in SCRIPT_TEMPLATES])
-    rows = table(spark, sf_dir, "part").select(
+    rows = spread(table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("k"), (F.col("p_size") % 5 + 1).cast("int").alias("n"),
         F.element_at(langs, (F.col("p_partkey") % 4 + 1).cast("int")).alias("lang"),
-    )
+    ))
     content = choose(
         F.col("lang"),
         {x: F.concat(_filled(head), _methods(method), _filled(tail)) for x, (head, method, tail) in SCRIPT_TEMPLATES.items()},
