@@ -26,6 +26,8 @@ SAMPLES = 2
 CONCENTRATION = 0.5
 #: Bytes of text for which one range of words or of pairs is made.
 WORD_BYTES, PAIR_BYTES = 64 << 20, 16 << 20
+#: Counts of one block fit in 32 bits, those of the corpus may not; a total and whether the pair is at home.
+_COUNT = ("<u8", "u1")
 ROWS = "kind string, bucket int, block string, blob binary"
 _COLUMNS = ["kind", "bucket", "block", "blob"]
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -113,8 +115,8 @@ def _count(frame: pd.DataFrame) -> pd.DataFrame:
     trained = np.flatnonzero(counts)
     home[trained[np.unique(of[trained], return_index=True)[1]]] = True
     ends = np.cumsum([0, *[len(p[0]) for p in parts]])
-    answer = total[of] * 2 + home
-    blobs = [squeezed(answer[a:b].astype("<u4")) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    answer = total[of].astype("<u8")
+    blobs = [squeezed(answer[a:b], home[a:b].astype("u1")) for a, b in zip(ends[:-1], ends[1:], strict=True)]
     kind, bucket = frame["kind"].iloc[0], frame["bucket"].iloc[0]
     out = pd.DataFrame({"kind": kind, "bucket": bucket, "block": frame["block"], "blob": blobs})
     facts = np.array([total.sum(), np.count_nonzero(total), np.count_nonzero(total == 1), np.count_nonzero(total == 2)], np.int64)
@@ -139,16 +141,16 @@ def _first_state(words: int):
         out = []
         for row in each(block):
             c = _Counted(row)
-            n_w, n_p = _joined(answers, "word", "<u4")[0], _joined(answers, "pair", "<u4")[0]
-            out += [("words", -1, row.block, squeezed(n_w >> 1)), ("pairs", -1, row.block, squeezed(n_p >> 1))]
-            home = (n_p & 1) == 1
+            n_w, (n_p, at_home) = _joined(answers, "word", *_COUNT)[0], _joined(answers, "pair", *_COUNT)
+            out += [("words", -1, row.block, squeezed(n_w)), ("pairs", -1, row.block, squeezed(n_p))]
+            home = at_home == 1
             dish, table = (np.bincount(x[home], minlength=len(c.words)).astype("<u4") for x in (c.w, c.u))
             out += _words_to(words, "tally", row.block, c.words, dish, table)
-            often = np.flatnonzero(home & (n_p > 3))
+            often = np.flatnonzero(home & (n_p > 1))
             often = often[np.lexsort((c.w[often], c.u[often]))]
             used, at = np.unique(np.concatenate([c.u[often], c.w[often]]), return_inverse=True)
             u, w = at[: len(often)].astype("<u4"), at[len(often) :].astype("<u4")
-            out.append(("moved", -1, row.block, squeezed(steps(u), w, (n_p[often] >> 1).astype("<u4"))))
+            out.append(("moved", -1, row.block, squeezed(steps(u), w, n_p[often])))
             out.append(("used", -1, row.block, squeezed(steps(c.words[used]))))
         return pd.DataFrame(out, columns=_COLUMNS)
 
@@ -219,7 +221,7 @@ class _Model:
         return (customers - self.discount * tables + base) / (self.concentration + all_customers)
 
 
-_STATE = ("<u4", "<u4", "<u4")  # a word's customers and tables in the parent, and tables as a context
+_STATE = ("<u8", "<u8", "<u8")  # a word's customers and tables in the parent, and tables as a context
 
 
 def _word_state(frame: pd.DataFrame) -> pd.DataFrame:
@@ -228,8 +230,8 @@ def _word_state(frame: pd.DataFrame) -> pd.DataFrame:
     parts = [spread(b, "<u8", "<u4", "<u4") for b in frame["blob"]]
     parts = [(from_steps(p[0]), *p[1:]) for p in parts]
     words, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    dish, table = (np.bincount(of, np.concatenate([p[i] for p in parts])).astype("<u4") for i in (1, 2))
-    own = (dish > 0).astype("<u4")
+    dish, table = (np.bincount(of, np.concatenate([p[i] for p in parts])).astype("<u8") for i in (1, 2))
+    own = (dish > 0).astype("<u8")
     bucket = frame["bucket"].iloc[0]
     facts = np.array([dish.sum(), own.sum(), np.count_nonzero(dish == 1), np.count_nonzero(dish == 2)], np.int64)
     rows = [("state", bucket, "", squeezed(steps(words), dish, own, table)), ("fact", bucket, "", squeezed(facts))]
@@ -272,12 +274,12 @@ def _sweep(model: _Model, state: int, words: int):
         out = []
         for block in moved["block"].unique():
             mine = moved[moved["block"] == block]
-            u, w, n = _joined(mine, "moved", "<u4", "<u4", "<u4")
+            u, w, n = _joined(mine, "moved", "<u4", "<u4", "<u8")
             u, used = from_steps(u), from_steps(_joined(mine, "used", "<u8")[0])
             customers, tables, as_context = _joined(answers, "answer", *_STATE)
             rate = (model.concentration + model.pair_discount * as_context[u]) * model.parent(state, customers, tables)[w]
             more = seated(_pair_hash(used[u], _mix(used[w])), state, n.astype(np.int64), rate, model.pair_discount) - 1
-            dish, table = (np.bincount(x, more, len(used)).astype("<u4") for x in (w, u))
+            dish, table = (np.bincount(x, more, len(used)).astype("<u8") for x in (w, u))
             out += _words_to(words, "more", block, used, dish, table)
         return pd.DataFrame(out, columns=_COLUMNS)
 
@@ -292,14 +294,14 @@ def _next_state(model: _Model, state: int):
         words = from_steps(words)
         dish, table = dish.astype(np.int64), table.astype(np.int64)
         for blob in more["blob"]:
-            used, d, t = spread(blob, "<u8", "<u4", "<u4")
+            used, d, t = spread(blob, "<u8", "<u8", "<u8")
             at = np.searchsorted(words, from_steps(used))
             np.add.at(dish, at, d.astype(np.int64))
             np.add.at(table, at, t.astype(np.int64))
         base = (model.concentration + model.discount * model.totals[state][1]) / (model.vocabulary + 1)
-        own = np.where(dish > 0, seated(words, state + 500, dish, np.full(len(words), base), model.discount), 0).astype("<u4")
+        own = np.where(dish > 0, seated(words, state + 500, dish, np.full(len(words), base), model.discount), 0).astype("<u8")
         bucket = known["bucket"].iloc[0]
-        rows = [(f"state {state + 1}", bucket, "", squeezed(steps(words), dish.astype("<u4"), own, table.astype("<u4")))]
+        rows = [(f"state {state + 1}", bucket, "", squeezed(steps(words), dish.astype("<u8"), own, table.astype("<u8")))]
         facts = np.array([dish.sum(), own.sum(), 0, 0], np.int64)
         return pd.DataFrame([*rows, ("fact", bucket, "", squeezed(facts))], columns=_COLUMNS)
 
@@ -313,7 +315,7 @@ def _score(model: _Model, first: int, samples: int, train_tokens: int):
         out = []
         for row in each(block):
             c = _Counted(row)
-            n_w, n_p = _joined(answers, "words", "<u4")[0].astype(np.int64), _joined(answers, "pairs", "<u4")[0].astype(np.int64)
+            n_w, n_p = _joined(answers, "words", "<u8")[0].astype(np.int64), _joined(answers, "pairs", "<u8")[0].astype(np.int64)
             states = _joined(answers, "answer", *_STATE * (samples + 1))
             states = [[x.astype(float) for x in states[3 * k : 3 * k + 3]] for k in range(samples + 1)]
             mean = np.zeros(len(c.pairs))

@@ -3,11 +3,13 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from corpusmill.llm import blocks, pitman_yor
+from corpusmill.llm.blocks import spread, squeezed, steps
 from corpusmill.llm.pitman_yor import _mix, _pair_hash, pitman_yor_scores, seated
 
 END = None
@@ -121,3 +123,23 @@ def test_all_kinds_of_rows(hostile, nothing):
     unlearned = pitman_yor_scores(hostile, F.lit(True)).collect()
     assert all(x["score"] == 0 and x["train_tokens"] == 0 for x in unlearned)  # one unknown word has all the probability
     assert pitman_yor_scores(nothing, F.lit(False)).count() == 0
+
+
+def test_counts_of_a_corpus_beyond_32_bits():
+    """Totals, tallies and states of 2**31 and more arrive as they are."""
+    keys, many = np.array([3, 1 << 40], np.uint64), 3 << 30
+    tallies = pd.DataFrame([("tally", 0, b, squeezed(steps(keys), *np.array([[many, 1], [many, 2]], "<u4"))) for b in ("0-0", "0-1")], columns=pitman_yor._COLUMNS)
+    begin = pitman_yor._word_state(tallies)
+    assert [x.tolist() for x in spread(begin["blob"].iloc[0], "<u8", *pitman_yor._STATE)[1:]] == [[2 * many, 2], [1, 1], [2 * many, 4]]
+    more = pd.DataFrame([("more", 0, "0-0", squeezed(steps(keys), *np.array([[1 << 33, 0], [5, 1 << 34]], "<u8")))], columns=pitman_yor._COLUMNS)
+    model = pitman_yor._Model(2, 0.5, 0.5, 0.5)
+    model.totals.append((2 * many + 2, 2))
+    after = pitman_yor._next_state(model, 0)(begin[begin["kind"] == "state"], more)
+    _, dish, own, table = spread(after["blob"].iloc[0], "<u8", *pitman_yor._STATE)
+    assert (dish.tolist(), table.tolist()) == ([2 * many + (1 << 33), 2], [2 * many + 5, 4 + (1 << 34)])
+    assert spread(after["blob"].iloc[1], "<i8")[0].tolist()[:2] == [int(dish.sum()), int(own.sum())]
+    rows = [("pair", 0, b, squeezed(steps(keys), np.array([many, 2], "<u4"))) for b in ("0-0", "0-1")]
+    answers = pitman_yor._count(pd.DataFrame(rows, columns=pitman_yor._COLUMNS))
+    for block, home in (("0-0", [1, 1]), ("0-1", [0, 0])):
+        total, at_home = pitman_yor._joined(answers[answers["block"] == block], "pair", *pitman_yor._COUNT)
+        assert (total.tolist(), at_home.tolist()) == ([2 * many, 4], home)
