@@ -18,8 +18,8 @@ from corpusmill.llm.common import fresh, n_words, written
 
 #: Words of a block.
 BLOCK = 256
-#: Sources whose cumulative weights go into the plan.
-MAX_SOURCES = 10_000
+#: Parts of the unit interval at least; points and cumulative weights meet in them.
+PARTS = 4_096
 #: Rows of a range that is summed or ranked as a whole.
 RANGE_ROWS = 50_000
 _SPAN = 1 << 31
@@ -65,28 +65,38 @@ def _before(df: DataFrame, value: Column, group: list[str], range_col: str) -> D
     return sums.select(*group, range_col, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
 
 
-def _slots(sources: list, block: int, spark) -> DataFrame:
+def _points(sources: DataFrame, total: int, words: int, parts: int) -> DataFrame:
+    """(slot, _rank): the source in whose stretch of the cumulative weights each slot's point lies.
+
+    Stretches are cut at the borders of equal parts of the unit interval. In each part the stretches' beginnings and the
+    points are sorted together, and a point takes the last beginning before it, so no part has a product of the two.
+    """
+    reach = F.sum("goal").over(Window.orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0))
+    stretches = sources.where("goal > 0").select("_rank", ((reach - F.col("goal")) / F.lit(words)).alias("_begin"), (reach / F.lit(words)).alias("_end"))
+    last_part = F.least(F.ceil(F.col("_end") * parts) - 1, F.lit(parts - 1))
+    cut = stretches.select("_rank", "_begin", F.explode(F.sequence(F.floor(F.col("_begin") * parts), F.greatest(F.floor(F.col("_begin") * parts), last_part))).alias("_part"))
+    begins = cut.select("_part", F.greatest("_begin", F.col("_part") / F.lit(parts)).alias("_at"), F.lit(None).cast("long").alias("slot"), "_rank")
+    point = (F.col("id") % _SPAN * _GOLDEN % _SPAN + 0.5) / _SPAN
+    points = sources.sparkSession.range(total).select(F.floor(point * parts).alias("_part"), point.alias("_at"), F.col("id").alias("slot"), F.lit(None).cast("int").alias("_rank"))
+    order = Window.partitionBy("_part").orderBy("_at", F.col("slot").asc_nulls_first(), F.col("_rank").asc())
+    filled = begins.unionByName(points).withColumn("_rank", F.last("_rank", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return filled.where(F.col("slot").isNotNull()).select("slot", "_rank")
+
+
+def _slots(sources: DataFrame, block: int, total: int, words: int, n_sources: int) -> DataFrame:
     """(slot, _rank, block): the schedule, each source's slots ranked from 0."""
-    quotas = [-(-s["goal"] // block) for s in sources]
-    total, words = sum(quotas), max(1, sum(s["goal"] for s in sources))
-    ends, sum_so_far = [], 0
-    for s in sources:
-        sum_so_far += s["goal"]
-        ends.append(sum_so_far / words)
-    point = (F.col("slot") % _SPAN * _GOLDEN % _SPAN + 0.5) / _SPAN
-    places = F.array(*[F.lit(e) for e in ends]) if ends else F.array().cast("array<double>")
-    source = F.least(F.size(F.filter(places, lambda e: e <= point)), F.lit(max(0, len(ends) - 1)))
-    points = spark.range(total).select(F.col("id").alias("slot")).withColumn("_rank", source).withColumn("_range", F.expr(f"slot div {RANGE_ROWS}"))
+    quota = sources.select("_rank", F.expr(f"(goal + {block - 1}) div {block}").alias("_quota"))
+    parts = 1 << (max(PARTS, n_sources, total // RANGE_ROWS) - 1).bit_length()  # a power of two: borders are exact
+    points = _points(sources, total, max(1, words), parts).withColumn("_range", F.expr(f"slot div {RANGE_ROWS}"))
     within = F.row_number().over(Window.partitionBy("_rank", "_range").orderBy("slot"))
     ranked = points.withColumn("_n", within).join(_before(points, F.lit(1), ["_rank"], "_range"), ["_rank", "_range"])
     ranked = ranked.select("slot", "_rank", (F.col("_before") + F.col("_n") - 1).alias("block"))
-    quota = spark.createDataFrame([(i, int(q)) for i, q in enumerate(quotas)], "_rank int, _quota long")
     # The sequence gives a source a few slots more or less than its words need: the surplus goes, the rest comes last.
     got = points.groupBy("_rank").agg(F.count(F.lit(1)).alias("_got"))
     short = quota.join(got, "_rank", "left").withColumn("_got", F.coalesce("_got", F.lit(0))).where(F.col("_got") < F.col("_quota"))
     missing = short.select("_rank", F.explode(F.sequence("_got", F.col("_quota") - 1)).alias("block"))
     last = F.lit(total) + F.row_number().over(Window.orderBy("block", "_rank")) - 1
-    kept = ranked.join(F.broadcast(quota), "_rank").where(F.col("block") < F.col("_quota")).drop("_quota")
+    kept = ranked.join(quota, "_rank").where(F.col("block") < F.col("_quota")).drop("_quota")
     return kept.unionByName(missing.select(last.alias("slot"), "_rank", "block"))
 
 
@@ -101,7 +111,6 @@ def mix(docs: DataFrame, source: str = "source", id_col: str = "doc_id", size: C
 
     ``schedule``: slot, block, _rank (the source's), _row, pass, start and end (words of the document, half open).
     """
-    spark = docs.sparkSession
     sized = docs if keep else docs.select(id_col, source, *([text] if size is None else []))
     sized = sized.withColumn("_size", F.coalesce(size if size is not None else n_words(text), F.lit(0)).cast("long"))
     sized = sized if keep or size is not None else sized.drop(text)
@@ -111,16 +120,15 @@ def mix(docs: DataFrame, source: str = "source", id_col: str = "doc_id", size: C
     ranked = per_source.withColumn("_rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     weighed = targets(ranked.withColumn("weight", cycling_weight(F.col("_rank"))), most)
     sources = written(weighed.withColumn("goal", F.round("target").cast("long")), "mix-sources")
-    few = sources.orderBy("_rank").limit(MAX_SOURCES + 1).collect()
-    if len(few) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: group them first")
+    sums = [F.count(F.lit(1)), F.sum("n_rows"), F.sum("goal"), F.sum(F.expr(f"(goal + {block - 1}) div {block}"))]
+    n_sources, n_rows, words, total = (x or 0 for x in sources.agg(*[x.alias(f"s{i}") for i, x in enumerate(sums)]).first())
     slim = rows.select("_row", F.col(id_col).cast("string").alias("_id"), F.col(source).cast("string").alias("source"), "_size").where("_size > 0")
-    known = F.broadcast(sources.select(F.col("source").alias("_source"), "_rank", "source_size", "goal").where("goal > 0"))
+    known = sources.select(F.col("source").alias("_source"), "_rank", "source_size", "goal").where("goal > 0")
     passes = slim.join(known, F.col("source").eqNullSafe(F.col("_source"))).select(
         "_row", "_id", "_size", "_rank", "source_size", "goal", F.explode(F.expr("sequence(0, cast((goal - 1) div source_size as int))")).alias("pass")
     )
     shuffled = F.md5(F.concat_ws(":", F.lit(str(seed)), "pass", F.coalesce("_id", F.lit(""))).cast("binary"))
-    digits = max(2, math.ceil(math.log(max(1, sum(s["n_rows"] for s in few) / RANGE_ROWS), 16)))
+    digits = max(2, math.ceil(math.log(max(1, n_rows / RANGE_ROWS), 16)))
     placed = passes.withColumn("_key", shuffled).withColumn("_range", F.substring("_key", 1, digits))
     group = ["_rank", "pass"]
     inside = Window.partitionBy(*group, "_range").orderBy("_key", "_size", "_row").rowsBetween(Window.unboundedPreceding, 0)
@@ -135,7 +143,7 @@ def mix(docs: DataFrame, source: str = "source", id_col: str = "doc_id", size: C
     pieces = runs.select("_row", "_rank", "pass", "_start", "_stop", F.explode(F.expr(f"sequence(_start div {block}, (_stop - 1) div {block})")).alias("block"))
     start = F.greatest(F.col("block") * block, F.col("_start")) - F.col("_start")
     stop = F.least((F.col("block") + 1) * block, F.col("_stop")) - F.col("_start")
-    schedule = pieces.select("_row", "_rank", "pass", "block", start.alias("start"), stop.alias("end")).join(_slots(few, block, spark), ["_rank", "block"])
+    schedule = pieces.select("_row", "_rank", "pass", "block", start.alias("start"), stop.alias("end")).join(_slots(sources, block, total, words, n_sources), ["_rank", "block"])
     return Mix(rows, sources, schedule.select("slot", "block", "_rank", "_row", "pass", "start", "end"))
 
 

@@ -51,7 +51,7 @@ def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mix(table(spark, sf_dir, "documents"))
     taken = m.schedule.groupBy("_row").agg(F.sum(F.col("end") - F.col("start")).alias("taken"))
-    known = F.broadcast(m.sources.select(F.col("source").alias("_source"), "source_size", "target"))  # a row for each source, MAX_SOURCES at most
+    known = m.sources.select(F.col("source").alias("_source"), "source_size", "target")  # a row for each source
     rows = m.rows.join(known, F.col("source").eqNullSafe(F.col("_source"))).join(taken, "_row", "left")
     return rows.select("doc_id", F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 

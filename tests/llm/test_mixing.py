@@ -1,4 +1,6 @@
 import random
+from bisect import bisect_right
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,3 +77,19 @@ def test_all_kinds_of_rows(hostile, nothing):
     assert out.columns == hostile.columns
     assert mixed_documents(nothing).count() == 0
     assert mix(nothing).schedule.count() == 0
+
+
+def test_any_number_of_sources(spark):
+    """More sources than fit in a plan: each has its goal, and a slot's source is the one in whose stretch its point lies."""
+    docs = spark.range(10_500).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', int(1 + id % 7 + if(id = 5, 9000, 0)))").alias("text"), F.format_string("s%05d", "id").alias("source"))
+    m = mix(docs, block=4)
+    sources = sorted(m.sources.collect(), key=lambda s: s["_rank"])
+    assert len(sources) == 10_500
+    slots = {r["slot"]: r["_rank"] for r in m.schedule.select("slot", "_rank").distinct().collect()}
+    taken = {r["_rank"]: r["n"] for r in m.schedule.groupBy("_rank").agg(F.sum(F.col("end") - F.col("start")).alias("n")).collect()}
+    assert taken == {s["_rank"]: s["goal"] for s in sources if s["goal"]}
+    words, total = sum(s["goal"] for s in sources), sum(-(-s["goal"] // 4) for s in sources)
+    ends = [x / words for x in accumulate(s["goal"] for s in sources)]
+    for slot, rank in slots.items():
+        if slot < total:
+            assert rank == bisect_right(ends, (slot * mixing._GOLDEN % mixing._SPAN + 0.5) / mixing._SPAN)
