@@ -102,5 +102,33 @@ named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT d.doc_id AS doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN named USING (doc_id)
+""",
+    "op13_filter_audit": f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, doc_id, [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t),
+    regexp_matches(t, '[#$%&*|]'), doc_id > min(doc_id) OVER (PARTITION BY t)] AS fails
+  FROM d
+),
+cell AS (SELECT part, fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c, unnest([1, 2, 3, 4, 5]) AS i),
+grown AS (SELECT '' AS o UNION ALL SELECT o || c FROM grown, letter WHERE NOT contains(o, c)),
+spot AS (SELECT o, step, substring(o, step, 1) AS c, ord(substring(o, step, 1)) - 64 AS i FROM grown, (SELECT unnest([1, 2, 3, 4, 5]) AS step) WHERE length(o) = 5),
+judged AS (
+  SELECT part, o, step, c, n, good, toxic, fails[i] AS failed, len(list_filter(range(1, step), lambda k: fails[ord(substring(o, k, 1)) - 64])) > 0 AS gone,
+    len(list_filter(fails, lambda x: x)) = 1 AS alone
+  FROM cell, spot
+),
+r AS (
+  SELECT part, o AS filter_order, step, c, CAST(sum(CASE WHEN NOT gone AND NOT failed THEN n ELSE 0 END) AS BIGINT) AS kept,
+    CAST(sum(CASE WHEN failed AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS removed, CAST(sum(CASE WHEN failed AND gone THEN n ELSE 0 END) AS BIGINT) AS redundant,
+    CAST(sum(CASE WHEN failed AND alone THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN failed AND NOT gone THEN n * good ELSE 0 END) AS BIGINT) AS good_lost,
+    CAST(sum(CASE WHEN failed AND NOT gone THEN n * toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM judged GROUP BY part, o, step, c
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley
+FROM r
 """,
 }

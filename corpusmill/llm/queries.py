@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import held_out
 from corpusmill.llm.decontaminate import decontaminate
+from corpusmill.llm.filter_audit import audit, cells, failures, text_filters
 from corpusmill.llm.language import language, profiles
 from corpusmill.llm.line_align import without_aligned_lines
 from corpusmill.llm.mixing import mix
@@ -99,6 +100,12 @@ def op10_multiple_instance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "tox.score", predicted.alias("predicted"), "tox.sentences")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    failed = failures(docs, text_filters(), repeated="E")
+    return audit(cells(failed, table(spark, sf_dir, "labels")), "ABCDE")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
     "op2_jaccard_forest": op2_jaccard_forest,
@@ -110,4 +117,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_wu_manber": op8_wu_manber,
     "op9_rank_order": op9_rank_order,
     "op10_multiple_instance": op10_multiple_instance,
+    "op13_filter_audit": op13_filter_audit,
 }
