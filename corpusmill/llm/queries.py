@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import held_out
+from corpusmill.llm.bpe import decoded, encoded, vocabulary
+from corpusmill.llm.common import held_out, written
 from corpusmill.llm.decontaminate import decontaminate
 from corpusmill.llm.filter_audit import audit, cells, failures, text_filters
 from corpusmill.llm.language import language, profiles
@@ -100,6 +101,23 @@ def op10_multiple_instance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "tox.score", predicted.alias("predicted"), "tox.sentences")
 
 
+def op11_bpe_automaton(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    v = vocabulary(path)
+    done = decoded(encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), v), v)
+    as_text = F.array_join(F.col("ids").cast("array<string>"), " ")
+    digests = done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(as_text.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+    return written(digests, "bpe-digests", batch=500)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     failed = failures(docs, text_filters(), repeated="E")
@@ -117,5 +135,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_wu_manber": op8_wu_manber,
     "op9_rank_order": op9_rank_order,
     "op10_multiple_instance": op10_multiple_instance,
+    "op11_bpe_automaton": op11_bpe_automaton,
     "op13_filter_audit": op13_filter_audit,
 }
