@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.bpe import decoded, encoded, vocabulary
+from corpusmill.llm.collocations import collocations
 from corpusmill.llm.common import held_out, written
 from corpusmill.llm.decontaminate import decontaminate
 from corpusmill.llm.filter_audit import audit, cells, failures, text_filters
@@ -118,6 +119,10 @@ def op11_bpe_automaton(spark: SparkSession, sf_dir: str, path: str | None = None
     return written(digests, "bpe-digests", batch=500)
 
 
+def op12_rollup_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents").select("text", "lang")).withColumnRenamed("group", "lang")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     failed = failures(docs, text_filters(), repeated="E")
@@ -136,5 +141,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_rank_order": op9_rank_order,
     "op10_multiple_instance": op10_multiple_instance,
     "op11_bpe_automaton": op11_bpe_automaton,
+    "op12_rollup_phrases": op12_rollup_phrases,
     "op13_filter_audit": op13_filter_audit,
 }
