@@ -29,9 +29,10 @@ from corpusmill.llm.common import fresh
 
 #: Entries of a worker's tables, after which they are begun anew; what they hold can always be made again.
 STATES = 100_000
-WORDS = 200_000
+WORDS = 100_000
 #: Longer words are not kept in the table of words.
 LONG_WORD = 100
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 class Vocabulary(NamedTuple):
@@ -85,7 +86,7 @@ def vocabulary(path: str) -> Vocabulary:
 class Automaton:
     """The automaton over tokens that the merges make, and the table-driven one over symbols."""
 
-    START = -1
+    START = 1 << 31
 
     def __init__(self, symbols: list[int], merges) -> None:
         self.made = dict.fromkeys([self.START, *symbols], -1)  # the merge that made a token's arcs
@@ -138,11 +139,11 @@ class Automaton:
         self.ends[node] = token
 
     def _anew(self) -> None:
-        self.numbers: dict[tuple, int] = {}
-        self.open: list[tuple] = []
+        self.numbers: dict[tuple[int, ...], int] = {}
+        self.open: list[tuple[int, ...]] = []  # of each state, tokens read last and places in what they are followed by
         self.table: dict[int, tuple[int, int]] = {}
         self.follows: dict[tuple[int, int], bool] = {}
-        self._number(((self.START, 0),))
+        self._number((self.START << 32,))
 
     def _number(self, unfinished: tuple) -> int:
         n = self.numbers.setdefault(unfinished, len(self.open))
@@ -159,18 +160,19 @@ class Automaton:
     def _enter(self, state: int, symbol: int) -> tuple[int, int]:
         """Fills the table's entry for ``symbol`` in ``state``: the next state, and the token that ends there."""
         unfinished, ended, after = self.open[state], None, []
-        for token, node in unfinished:
-            at = self.child.get(node << 32 | symbol)
+        child, ends, inner = self.child, self.ends, self.inner
+        for pair in unfinished:
+            at = child.get((pair & 0xFFFFFFFF) << 32 | symbol)
             if at is None:
                 continue
-            if ended is None and self.ends[at] is not None and self._follows(token, self.ends[at]):
-                ended = self.ends[at]
-            if self.inner[at]:
-                after.append((token, at))
+            if ended is None and ends[at] is not None and self._follows(pair >> 32, ends[at]):
+                ended = ends[at]
+            if inner[at]:
+                after.append(pair & ~0xFFFFFFFF | at)
         if len(self.open) >= STATES:
             self._anew()
             state = self._number(unfinished)
-        entry = self._number((*after, (ended, 0))), ended
+        entry = self._number((*after, ended << 32)), ended
         self.table[state << 32 | symbol] = entry
         return entry
 
@@ -191,6 +193,27 @@ class Automaton:
         return out[::-1]
 
 
+class Recent(dict):
+    """The last WORDS entries that were made or used, and as many before them."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.before: dict = {}
+
+    def keep(self, key: str, value: tuple[int, ...]) -> None:
+        if len(self) >= WORDS:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+
+    def recalled(self, key: str) -> tuple[int, ...] | None:
+        """An entry of the table before, which is then a new one again."""
+        value = self.before.get(key)
+        if value is not None:
+            self.keep(key, value)
+        return value
+
+
 class Encoder:
     """A vocabulary's automaton with the tables of one worker."""
 
@@ -201,7 +224,8 @@ class Encoder:
         self.added = dict(v.added)
         names = sorted(self.added, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words, self.runs = Recent(), Recent()
+        self.spaces = regex.compile(r"\s+")
         self.assigned: set[str] = set()
         self.library = None
 
@@ -226,25 +250,37 @@ class Encoder:
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
 
     def word(self, word: str) -> tuple[int, ...]:
-        raw = word.encode()
-        symbols = [self.v.plain[b] for b in raw]
-        symbols[-1] = self.v.last[raw[-1]]
-        ids = tuple(self.automaton.tokens(symbols))
-        if len(word) <= LONG_WORD:
-            if len(self.words) >= WORDS:
-                self.words.clear()
-            self.words[word] = ids
+        ids = self.words.get(word) or self.words.recalled(word)
+        if ids is None:
+            raw = word.encode()
+            symbols = [self.v.plain[b] for b in raw]
+            symbols[-1] = self.v.last[raw[-1]]
+            ids = tuple(self.automaton.tokens(symbols))
+            if len(word) <= LONG_WORD:
+                self.words.keep(word, ids)
+        return ids
+
+    def run(self, run: str) -> tuple[int, ...]:
+        """Ids of a text without white space: no word and no composed character reaches over white space."""
+        ids = self.runs.recalled(run)
+        if ids is None:
+            words = self.words_of(run)
+            ids = self.word(words[0]) if len(words) == 1 else tuple(i for w in words for i in self.word(w))
+            if len(run) <= LONG_WORD:
+                self.runs.keep(run, ids)
         return ids
 
     def ids(self, text: str) -> list[int]:
         out: list[int] = []
-        known = self.words
+        known = self.runs
         for part in self.marks.split(text) if self.marks and any(a in text for a in self.added) else (text,):
             if part in self.added:
                 out.append(self.added[part])
                 continue
-            for w in self.words_of(part):
-                out.extend(known.get(w) or self.word(w))
+            # Python counts four separators as white space that the pattern doesn't.
+            for run in self.spaces.split(part) if any(c in part for c in SEPARATORS) else part.split():
+                ids = known.get(run)
+                out.extend(self.run(run) if ids is None else ids)
         return out
 
 
@@ -278,8 +314,8 @@ def decoded(df: DataFrame, v: Vocabulary, ids: str = "ids", into: str = "decoded
 
     @F.pandas_udf("string")
     def labels(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        of = v.labels
+        of, n = v.labels, len(v.labels)
         for rows in batches:
-            yield pd.Series([" ".join([of[i] for i in r if 0 <= i < len(of) and of[i]]) for r in rows])
+            yield pd.Series([" ".join([of[i] for i in r if 0 <= i < n and of[i]]) for r in (x.tolist() for x in rows)])
 
     return df.withColumn(fresh(df, into), labels(F.coalesce(F.col(ids), F.expr("cast(array() as array<int>)"))))

@@ -82,6 +82,7 @@ def sample_texts():
     letters = "abcdefghijklmnopqrstuvwxyz"
     texts = ["".join(r.choice(letters + "   '!?12éÀßİΣσ世界🙂\n\t́\x00") for _ in range(r.randrange(1, 200))) for _ in range(300)]
     texts += [" ".join("".join(r.choice(letters) for _ in range(r.randrange(1, 15))) for _ in range(400)) for _ in range(20)]
+    texts += ["a\x1cb \x1d\x1e c\x1f", " ́x \u2000̈y"]
     texts += ["he'll they've I'm Don'T 's 'd", "ΑΣ ΟΔΥΣΣΕΥΣ", "a<|endoftext|>b <|startoftext|>C<|endoftext|><|endoftext", "<|startoftext|>"]
     texts += ["xᲉy Ɤ ՘! \U00010d50 ￾", "​ \x85\xa0\x1c᠎.", "é Å 각", "", " ", "a" * 5_000, "ab" * 3_000 + "!" * 2_000]
     texts += ["".join(chr(c) for c in range(a, a + 4096) if not 0xD800 <= c < 0xE000) for a in range(0, 0x32000, 4096)]
