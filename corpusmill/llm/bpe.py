@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import fresh
 
 #: Entries of a worker's tables, after which they are begun anew; what they hold can always be made again.
-STATES = 100_000
-WORDS = 100_000
+STATES = 300_000
+WORDS = 200_000
 #: Longer words are not kept in the table of words.
 LONG_WORD = 100
 SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -87,12 +87,14 @@ class Automaton:
     """The automaton over tokens that the merges make, and the table-driven one over symbols."""
 
     START = 1 << 31
+    OPEN = -1
 
-    def __init__(self, symbols: list[int], merges) -> None:
-        self.made = dict.fromkeys([self.START, *symbols], -1)  # the merge that made a token's arcs
+    def __init__(self, symbols: dict[int, int], merges) -> None:
+        """``symbols`` gives the token of each symbol; ``merges`` are (left, right, merged) tokens in their order."""
+        self.made = dict.fromkeys([self.START, *symbols.values()], -1)  # the merge that made a token's arcs
         self.halves: dict[int, tuple[int, int]] = {}
         self.lost: dict[int, dict[int, int]] = {}  # by token: arc that a copy of its end lost, and at which merge
-        self.spelt = {s: (s,) for s in symbols}
+        self.spelt = {token: (s,) for s, token in symbols.items()}
         for k, (u, v, w) in enumerate(merges):
             if u not in self.spelt or v not in self.spelt or w in self.spelt:
                 raise ValueError(f"merge {k} of {u} and {v} to {w}: its parts must be there before it, and the whole must be new")
@@ -100,9 +102,9 @@ class Automaton:
             if u in self.made and v in self.made and self.arc(u, k, v):
                 self.lost.setdefault(u, {})[v] = k
                 self.made[w], self.halves[w] = k, (u, v)
-        self.child: dict[int, int] = {}
+        self.child: list[dict[int, int]] = [{}]
         self.ends: list[int | None] = [None]
-        self.inner = [False]
+        self.length = {t: len(x) for t, x in self.spelt.items()}
         for token in self.made:
             if token != self.START:
                 self._spell(token)
@@ -129,67 +131,65 @@ class Automaton:
     def _spell(self, token: int) -> None:
         node = 0
         for s in self.spelt[token]:
-            at = self.child.get(node << 32 | s)
+            at = self.child[node].get(s)
             if at is None:
-                at = self.child[node << 32 | s] = len(self.ends)
+                at = self.child[node][s] = len(self.ends)
                 self.ends.append(None)
-                self.inner.append(False)
-                self.inner[node] = True
+                self.child.append({})
             node = at
         self.ends[node] = token
 
     def _anew(self) -> None:
-        self.numbers: dict[tuple[int, ...], int] = {}
-        self.open: list[tuple[int, ...]] = []  # of each state, tokens read last and places in what they are followed by
-        self.table: dict[int, tuple[int, int]] = {}
-        self.follows: dict[tuple[int, int], bool] = {}
-        self._number((self.START << 32,))
-
-    def _number(self, unfinished: tuple) -> int:
-        n = self.numbers.setdefault(unfinished, len(self.open))
-        if n == len(self.open):
-            self.open.append(unfinished)
-        return n
+        # A state is what is unfinished in it: tokens read last, each with a place in what may follow. Its entries are a
+        # dictionary from symbols to the next state's entries and the token that ends there; OPEN leads back to the state.
+        self.states: dict[tuple[int, ...], dict] = {}
+        self.follows: dict[int, bool] = {}
+        self.start = self._state((self.START << 32,))
+
+    def _state(self, unfinished: tuple[int, ...]) -> dict:
+        entries = self.states.get(unfinished)
+        if entries is None:
+            entries = self.states[unfinished] = {self.OPEN: unfinished}
+        return entries
 
     def _follows(self, token: int, label: int) -> bool:
-        known = self.follows.get((token, label))
+        pair = token << 32 | label
+        known = self.follows.get(pair)
         if known is None:
-            known = self.follows[token, label] = self.arc(token, len(self.spelt), label)
+            known = self.follows[pair] = self.arc(token, len(self.spelt), label)
         return known
 
-    def _enter(self, state: int, symbol: int) -> tuple[int, int]:
-        """Fills the table's entry for ``symbol`` in ``state``: the next state, and the token that ends there."""
-        unfinished, ended, after = self.open[state], None, []
-        child, ends, inner = self.child, self.ends, self.inner
+    def _enter(self, entries: dict, symbol: int) -> tuple[dict, int]:
+        """Fills the entry for ``symbol``: the next state, and the token that ends there."""
+        unfinished, ended, after = entries[self.OPEN], None, []
+        child, ends = self.child, self.ends
         for pair in unfinished:
-            at = child.get((pair & 0xFFFFFFFF) << 32 | symbol)
+            at = child[pair & 0xFFFFFFFF].get(symbol)
             if at is None:
                 continue
             if ended is None and ends[at] is not None and self._follows(pair >> 32, ends[at]):
                 ended = ends[at]
-            if inner[at]:
+            if child[at]:
                 after.append(pair & ~0xFFFFFFFF | at)
-        if len(self.open) >= STATES:
+        if len(self.states) >= STATES:
             self._anew()
-            state = self._number(unfinished)
-        entry = self._number((*after, ended << 32)), ended
-        self.table[state << 32 | symbol] = entry
+            entries = self._state(unfinished)
+        after.append(ended << 32)
+        entry = entries[symbol] = self._state(tuple(after)), ended
         return entry
 
     def tokens(self, symbols) -> list[int]:
         """The tokens of one word."""
-        state, ended, table = 0, [], self.table
+        entries, ended = self.start, []
         for s in symbols:
-            entry = table.get(state << 32 | s)
-            if entry is None:
-                entry = self._enter(state, s)
-                table = self.table
-            state = entry[0]
+            entry = entries.get(s) or self._enter(entries, s)
+            entries = entry[0]
             ended.append(entry[1])
-        out, at = [], len(ended)
+        out, at, length = [], len(ended), self.length
         while at:
-            out.append(ended[at - 1])
-            at -= len(self.spelt[ended[at - 1]])
+            token = ended[at - 1]
+            out.append(token)
+            at -= length[token]
         return out[::-1]
 
 
@@ -219,8 +219,11 @@ class Encoder:
 
     def __init__(self, v: Vocabulary) -> None:
         self.v = v
-        self.automaton = Automaton([*v.plain, *v.last], np.frombuffer(v.merges, np.int32).reshape(-1, 3).tolist())
+        # Symbols are bytes; 256 more at the end of a word.
+        symbols = {b: i for b, i in enumerate((*v.plain, *v.last))}
+        self.automaton = Automaton(symbols, np.frombuffer(v.merges, np.int32).reshape(-1, 3).tolist())
         self.split = regex.compile(v.split)
+        self.letters = r"|[\p{L}]+|" in v.split  # letters alone are one word
         self.added = dict(v.added)
         names = sorted(self.added, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
@@ -240,7 +243,8 @@ class Encoder:
                 return self._by_library(text)
             self.assigned |= new
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final form of sigma
-        return self.split.findall(text.lower())
+        text = text.lower()
+        return [text] if self.letters and text.isalpha() else self.split.findall(text)
 
     def _by_library(self, text: str) -> list[str]:
         if self.library is None:
@@ -253,9 +257,7 @@ class Encoder:
         ids = self.words.get(word) or self.words.recalled(word)
         if ids is None:
             raw = word.encode()
-            symbols = [self.v.plain[b] for b in raw]
-            symbols[-1] = self.v.last[raw[-1]]
-            ids = tuple(self.automaton.tokens(symbols))
+            ids = tuple(self.automaton.tokens((*raw[:-1], raw[-1] + 256)))
             if len(word) <= LONG_WORD:
                 self.words.keep(word, ids)
         return ids

@@ -53,7 +53,7 @@ def test_the_automaton_against_the_merges(seed, monkeypatch):
     r = random.Random(seed)
     n = r.choice([1, 2, 3])
     merges = random_merges(r, n, r.choice([1, 3, 10, 25]))
-    a = bpe.Automaton(list(range(n)), merges)
+    a = bpe.Automaton({x: x for x in range(n)}, merges)
     for _ in range(150):
         word = [r.randrange(n) for _ in range(r.randrange(1, 30))]
         assert a.tokens(word) == merged(word, merges), (merges, word)
@@ -64,7 +64,7 @@ def test_the_paths_are_the_tokenisations():
     r = random.Random(1)
     for _ in range(10):
         merges = random_merges(r, 2, 6)
-        a = bpe.Automaton([0, 1], merges)
+        a = bpe.Automaton({0: 0, 1: 1}, merges)
         for x in a.made:
             for y in a.made:
                 if x != a.START and y != a.START:
@@ -74,7 +74,7 @@ def test_the_paths_are_the_tokenisations():
 
 def test_merges_out_of_order_are_refused():
     with pytest.raises(ValueError):
-        bpe.Automaton([0, 1], [(2, 0, 3), (0, 1, 2)])
+        bpe.Automaton({0: 0, 1: 1}, [(2, 0, 3), (0, 1, 2)])
 
 
 def sample_texts():
