@@ -2,198 +2,177 @@
 
 Each word of a text begins one window: itself and the next three words as lead columns, padded with nulls after the end
 of its piece. Only these windows are counted; ``ROLLUP`` over the columns then sums them to all shorter prefixes, and
-the prefix of length m of the windows are just the phrases of m words. No shorter phrase is ever listed.
+the prefixes of length m of the windows are just the phrases of m words. No shorter phrase is ever listed.
 
-A phrase that is frequent enough has only words and pairs of neighbours that are: a window is padded from the first
-word or pair on that certainly isn't. That is known from two tables of saturating counts by hash, of a size that
-doesn't grow with the corpus: what shares its entry with something frequent stays in and is counted exactly later.
+Most windows are rare, so they are padded from where they cannot count any more: a block of texts asks the owners of
+hash ranges which of its prefixes occur often enough in all blocks together, in packed arrays of a few bytes for each,
+and gets a bit for each. A prefix that shares its hash with another may stay in; it is counted exactly later.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import as_bytes, batches_of, written
+from corpusmill.llm.blocks import blocks, bucket_of, each, from_steps, slices, spread, squeezed, steps, unpacked
+from corpusmill.llm.common import fresh, written
 
 ORDER = 4
 COLUMNS = [f"w{k}" for k in range(1, ORDER + 1)]
-#: Entries of the tables of words and of pairs, powers of two; one bit of each goes to every task (2.5 MB in all).
-WORD_ENTRIES = 1 << 22
-PAIR_ENTRIES = 1 << 24
-#: Entries that are summed together.
-CHUNK = 1 << 14
+#: Bytes of text for which one range of hashes is made.
+RANGE_BYTES = 8 << 20
 #: Best phrases of a group are chosen among those of so many parts.
 PARTS = 64
 
 _BREAK = b"."
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _SMALL = bytes.maketrans(bytes(range(65, 91)) + _ENDS, bytes(range(97, 123)) + _BREAK * len(_ENDS))
-_WINDOWS = "`group` string, w1 string, w2 string, w3 string, w4 string, n long"
-
-
-class Marks(NamedTuple):
-    """Bits of the entries that may hold something frequent."""
-
-    words: bytes
-    pairs: bytes
+ROWS = "bucket int, block string, blob binary"
+WINDOWS = "group_key long, w1 string, w2 string, w3 string, w4 string, n long"
 
 
 # --- in tasks -----------------------------------------------------------------------------------
 
 
-def _bits(marks: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(marks, np.uint8)).view(bool)
-
-
-class _Words(NamedTuple):
-    """Words of one group's texts as numbers of their own small vocabulary; -1 ends a piece."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
-    group: str
-    vocabulary: list[bytes]
-    hashes: np.ndarray
-    ids: np.ndarray
 
+class _Prefixes:
+    """A block's words, those of each group by themselves, and the hashes of all prefixes of its windows."""
 
-def _words(frame: pd.DataFrame) -> Iterator[_Words]:
-    for group, texts in frame.groupby("group", sort=False)["text"]:
-        known: dict[bytes, int] = {_BREAK: -1}
+    def __init__(self, row) -> None:
+        keys, _, texts = unpacked(row)
+        self.words: list[bytes] = []
+        groups, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
         ids: list[int] = []
-        for t in texts:
-            tokens = (t.translate(_SMALL).replace(_BREAK, b" . ") + b" .").split()
-            for w in set(tokens) - known.keys():
-                known[w] = len(known) - 1
-            ids.extend(map(known.__getitem__, tokens))
-        vocabulary = list(known)[1:]
-        seed = xxhash.xxh32_intdigest(group.encode())
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in vocabulary), np.uint64, len(vocabulary))
-        yield _Words(group, vocabulary, hashes, np.array(ids, np.int64))
-
-
-def _pair_entries(w: _Words, size: int) -> np.ndarray:
-    """Entry of each place's word and the next one; -1 where one of them ends a piece."""
-    a, b = w.ids[:-1], w.ids[1:]
-    both = (a >= 0) & (b >= 0)
-    if not len(w.hashes):
-        return np.full(len(a), -1, np.int64)
-    mixed = (w.hashes[a] * np.uint64(0x9E3779B97F4A7C15)) ^ (w.hashes[b] >> np.uint64(7)) ^ (w.hashes[b] << np.uint64(31))
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.where(both, ((mixed >> np.uint64(32)) & np.uint64(size - 1)).astype(np.int64), -1)
-
-
-def _word_entries(w: _Words, size: int) -> np.ndarray:
-    return (w.hashes & np.uint64(size - 1)).astype(np.int64)
-
-
-def _add(table: np.ndarray, entries: np.ndarray, counts: np.ndarray, most: int) -> None:
-    """Adds ``counts`` to the ``entries``, each of which occurs once, up to ``most``."""
-    table[entries] = np.minimum(table[entries].astype(np.int64) + counts, most).astype(table.dtype)
-
-
-def _tallies(batches: Iterator[pd.DataFrame], most: int, sizes: tuple[int, int]) -> Iterator[pd.DataFrame]:
-    kind = np.uint8 if most < 256 else np.int64
-    tables = [np.zeros(s, kind) for s in sizes]
-    for b in batches:
-        for w in _words(b):
-            entries = _word_entries(w, sizes[0])
-            counts = np.bincount(w.ids[w.ids >= 0], minlength=len(entries))
-            distinct, at = np.unique(entries, return_inverse=True)
-            _add(tables[0], distinct, np.bincount(at, counts, len(distinct)).astype(np.int64), most)
-            pairs = _pair_entries(w, sizes[1])
-            _add(tables[1], *np.unique(pairs[pairs >= 0], return_counts=True), most)
-    for which, table in enumerate(tables):
-        step = min(CHUNK, len(table))
-        used = np.flatnonzero(table.reshape(-1, step).any(axis=1))
-        rows = [(which, int(c), pa.compress(table[c * step : (c + 1) * step].tobytes(), codec="zstd", asbytes=True)) for c in used]
-        yield pd.DataFrame(rows, columns=["which", "chunk", "counts"])
-
-
-def _summed(batches: Iterator[pd.DataFrame], most: int, sizes: tuple[int, int]) -> Iterator[pd.DataFrame]:
-    """Sums of the chunks of one partition, which come in any order, as bits."""
-    kind = np.uint8 if most < 256 else np.int64
-    sums: dict[tuple[int, int], np.ndarray] = {}
-    for b in batches:
-        for which, chunk, counts in b.itertuples(index=False):
-            step = min(CHUNK, sizes[which])
-            new = np.frombuffer(pa.decompress(counts, step * kind().itemsize, codec="zstd", asbytes=True), kind).astype(np.int64)
-            old = sums.get((which, chunk))
-            sums[which, chunk] = (new if old is None else np.minimum(old + new, most)).astype(kind)
-    rows = [(which, chunk, np.packbits(s >= most).tobytes()) for (which, chunk), s in sums.items()]
-    yield pd.DataFrame(rows, columns=["which", "chunk", "counts"])
-
-
-def _led(batches: Iterator[pd.DataFrame], marks: Marks) -> Iterator[pa.RecordBatch]:
-    """Windows of each batch with their numbers."""
-    words, pairs = _bits(marks.words), _bits(marks.pairs)
-    for b in batches:
-        for w in _words(b):
-            if not len(w.vocabulary):
-                continue
-            frequent = np.append(words[_word_entries(w, len(words))], False)  # -1 finds the last one
-            at = np.flatnonzero(w.ids >= 0)
-            entries = _pair_entries(w, len(pairs))
-            joined = np.append((entries >= 0) & pairs[entries] & frequent[w.ids[:-1]] & frequent[w.ids[1:]], False)
-            n = len(w.ids)
-            ok = frequent[w.ids[at]]
-            columns = [np.where(ok, w.ids[at], -1)]
-            for k in range(1, ORDER):
-                ok = ok & joined[np.minimum(at + k - 1, n - 1)]
-                columns.append(np.where(ok, w.ids[np.minimum(at + k, n - 1)], -1))
-            code = columns[0] + 1
-            for c in columns[1:]:  # numbers stay below windows x words of the batch
-                code = np.unique(code, return_inverse=True)[1] * (len(w.vocabulary) + 1) + c + 1
-            _, first, counts = np.unique(code, return_index=True, return_counts=True)
-            names = pa.array(w.vocabulary, pa.binary()).view(pa.string())
-            taken = [names.take(pa.array(c[first], mask=c[first] < 0)) for c in columns]
-            yield pa.RecordBatch.from_arrays([pa.array([w.group] * len(first)), *taken, pa.array(counts)], ["group", *COLUMNS, "n"])
+        for key in np.unique(keys):
+            known = {_BREAK: -1}
+            base = len(self.words)
+            for t in np.flatnonzero(keys == key):
+                tokens = (texts[t].translate(_SMALL).replace(_BREAK, b" . ") + b" .").split()
+                for w in set(tokens) - known.keys():
+                    known[w] = base + len(known) - 1
+                ids.extend(map(known.__getitem__, tokens))
+            words = list(known)[1:]
+            self.words += words
+            groups.append(np.full(len(words), key, np.int64))
+            seed = int(key) & (2**64 - 1)
+            hashes.append(np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words)))
+        self.group, word = np.concatenate(groups), np.concatenate(hashes)
+        self.ids = np.array(ids, np.int64)
+        self.at = np.flatnonzero(self.ids >= 0)
+        # ``whole``: places whose first k words stand in one piece, for each k; ``of`` finds the hash of each in ``hashes``.
+        mixed, whole, prefix = _mix(word), np.ones(len(self.at), bool), np.zeros(len(self.at), np.uint64)
+        self.whole, found = [], []
+        for k in range(ORDER):
+            w = self.ids[np.minimum(self.at + k, len(self.ids) - 1)]
+            whole = whole & (w >= 0)
+            prefix = _mix(prefix * np.uint64(0x9E3779B97F4A7C15) + (mixed[w] if len(mixed) else prefix))
+            self.whole.append(whole)
+            found.append(prefix[whole])
+        self.hashes, self.of, self.counts = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+
+    def depth(self, often: np.ndarray) -> np.ndarray:
+        """How many words of each place's window stay, if ``often`` tells it for each hash."""
+        depth, ok, begin = np.zeros(len(self.at), np.int64), np.ones(len(self.at), bool), 0
+        for whole in self.whole:
+            here = np.zeros(len(self.at), bool)
+            n = np.count_nonzero(whole)
+            here[whole] = often[self.of[begin : begin + n]]
+            begin += n
+            ok &= here
+            depth += ok
+        return depth
+
+
+def _ask(owners: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for row in each(f):
+                c = _Prefixes(row)
+                bucket, places = bucket_of(c.hashes, owners)
+                counts = c.counts.astype("<u8")
+                out = [(b, row.block, squeezed(steps(places[x:y]), counts[x:y])) for b, x, y in slices(bucket)]
+                yield pd.DataFrame(out, columns=["bucket", "block", "blob"])
+
+    return run
+
+
+def _tell(at_least: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        """A bit for each prefix that a range was asked about: whether all blocks together have it often enough."""
+        parts = [spread(b, "<u8", "<u8") for b in frame["blob"]]
+        places = np.concatenate([from_steps(p) for p, _ in parts])
+        _, of = np.unique(places, return_inverse=True)
+        often = np.bincount(of, np.concatenate([n for _, n in parts]))[of] >= at_least
+        ends = np.cumsum([0, *[len(p) for p, _ in parts]])
+        blobs = [squeezed(np.packbits(often[a:b])) + int(b - a).to_bytes(8, "little") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return pd.DataFrame({"bucket": frame["bucket"], "block": frame["block"], "blob": blobs})
+
+    return run
+
+
+def _told(answers: pd.DataFrame) -> np.ndarray:
+    bits = [np.unpackbits(spread(b[:-8], "u1")[0])[: int.from_bytes(b[-8:], "little")] for b in answers.sort_values("bucket")["blob"]]
+    return np.concatenate(bits).astype(bool) if bits else np.empty(0, bool)
+
+
+def _led(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    """Windows of a block with their numbers."""
+    out = []
+    for row in each(block):
+        c = _Prefixes(row)
+        if not len(c.at):
+            continue
+        depth = c.depth(_told(answers))
+        columns = [np.where(depth > k, c.ids[np.minimum(c.at + k, len(c.ids) - 1)], -1) for k in range(ORDER)]
+        group = c.group[c.ids[c.at]]
+        _, code = np.unique(group, return_inverse=True)
+        for w in columns:  # numbers stay below places x words of the block
+            code = np.unique(code, return_inverse=True)[1] * (len(c.words) + 1) + w + 1
+        _, first, counts = np.unique(code, return_index=True, return_counts=True)
+        names = np.array([w.decode("utf-8", "replace") for w in c.words] + [None], object)
+        out.append(pd.DataFrame({"group_key": group[first], **{name: names[w[first]] for name, w in zip(COLUMNS, columns, strict=True)}, "n": counts}))
+    return pd.concat(out) if out else pd.DataFrame(columns=["group_key", *COLUMNS, "n"])
 
 
 # --- on tables ----------------------------------------------------------------------------------
 
 
-def _texts(docs: DataFrame, text: str, group: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(group).cast("string"), F.lit("und")).alias("group"), as_bytes(text).alias("text"))
-
-
-def frequent_marks(docs: DataFrame, at_least: int, text: str = "text", group: str = "lang", sizes: tuple[int, int] = (WORD_ENTRIES, PAIR_ENTRIES)) -> Marks:
-    """Bits of words and neighbours that may occur ``at_least`` times in a group; never wrongly unset."""
-    schema = "which int, chunk int, counts binary"
-    counted = _texts(docs, text, group).mapInPandas(lambda batches: _tallies(batches, at_least, sizes), schema)
-    summed = counted.repartition("which", "chunk").mapInPandas(lambda batches: _summed(batches, at_least, sizes), schema)
-    bits = [np.zeros(s // 8, np.uint8) for s in sizes]
-    with batches_of(docs.sparkSession, 500):
-        rows = summed.collect()  # at most sizes / 8 bytes
-    for r in rows:
-        step = min(CHUNK, sizes[r["which"]]) // 8
-        bits[r["which"]][r["chunk"] * step : (r["chunk"] + 1) * step] = np.frombuffer(r["counts"], np.uint8)
-    return Marks(*[x.tobytes() for x in bits])
-
-
-def windows(docs: DataFrame, marks: Marks, text: str = "text", group: str = "lang") -> DataFrame:
-    """(group, w1..w4, n): windows that begin at a word of the texts, padded with nulls; equal ones of a batch are one row."""
+def grouped(docs: DataFrame, text: str, group: str) -> tuple[DataFrame, DataFrame]:
+    """The texts in blocks under a key of their group, and the groups' names by key."""
+    name, key = fresh(docs, "group_name"), fresh(docs, "group_key")
+    named = docs.select(F.coalesce(F.col(group).cast("string"), F.lit("und")).alias(name), F.col(text))
+    keyed = named.withColumn(key, F.xxhash64(name))
+    names = keyed.groupBy(F.col(key).alias("group_key"), F.col(name).alias("group")).agg(F.count(F.lit(1)).alias("texts")).drop("texts")
+    return blocks(keyed, key, text), names
 
-    def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _led((b.to_pandas() for b in batches), marks)
 
-    return _texts(docs, text, group).mapInArrow(led, _WINDOWS)
+def windows(held: DataFrame, at_least: int, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(group_key, w1..w4, n): windows that begin at a word of the blocks' texts, padded with nulls from where their first
+    words occur less than ``at_least`` times in the group; equal windows of a block are one row."""
+    total = held.agg(F.sum("size")).first()[0] or 0
+    asked = held.mapInPandas(_ask(max(1, -(-total // range_bytes))), ROWS)
+    told = asked.groupBy("bucket").applyInPandas(_tell(at_least), ROWS)
+    return held.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_led, WINDOWS)
 
 
 def phrase_counts(wins: DataFrame, at_least: int) -> DataFrame:
-    """(group, m, phrase, f) of all phrases of m words found ``at_least`` times; the row of m = 0 has all words of a group."""
-    sums = wins.rollup("group", *COLUMNS).agg(F.sum("n").alias("f"), F.grouping_id().alias("left"))
+    """(group_key, m, phrase, f) of phrases of m words found ``at_least`` times; the row of m = 0 has all words of a group."""
+    sums = wins.rollup("group_key", *COLUMNS).agg(F.sum("n").alias("f"), F.grouping_id().alias("left"))
     # The columns that a level summed over are the set low bits of ``left``.
     m = F.lit(ORDER) - F.length(F.regexp_replace(F.bin("left"), "0", ""))
     of_words = F.array_compact(F.array(*COLUMNS))
-    whole = (F.size("words") == F.col("m")) & ((F.col("m") == 0) | (F.col("f") >= at_least)) & F.col("group").isNotNull()
-    found = sums.select("group", m.cast("int").alias("m"), of_words.alias("words"), "f").where(whole)
-    return found.select("group", "m", F.array_join("words", " ").alias("phrase"), "f")
+    whole = (F.size("words") == F.col("m")) & ((F.col("m") == 0) | (F.col("f") >= at_least)) & F.col("group_key").isNotNull()
+    found = sums.select("group_key", m.cast("int").alias("m"), of_words.alias("words"), "f").where(whole)
+    return found.select("group_key", "m", F.array_join("words", " ").alias("phrase"), "f")
 
 
 def _part(words: Column, begin: int | Column, n: int | Column) -> Column:
@@ -206,30 +185,30 @@ def _times(n: int, c: str) -> Column:
 
 
 def scored(counts: DataFrame) -> DataFrame:
-    """(group, m, phrase, a, l, r, score) of each phrase of two words or more, with its lowest-scoring cut."""
-    phrases = counts.where("m >= 2").select("group", "m", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("words"))
-    cuts = phrases.select("group", "m", "phrase", "a", "words", F.explode(F.sequence(F.lit(1), F.col("m") - 1)).alias("k")).select(
-        "group", "m", "phrase", "a", "k", _part(F.col("words"), 1, F.col("k")).alias("head"), _part(F.col("words"), F.col("k") + 1, F.col("m")).alias("tail")
+    """(group_key, m, phrase, a, l, r, score) of each phrase of two words or more, with its lowest-scoring cut."""
+    phrases = counts.where("m >= 2").select("group_key", "m", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("words"))
+    cuts = phrases.select("group_key", "m", "phrase", "a", "words", F.explode(F.sequence(F.lit(1), F.col("m") - 1)).alias("k")).select(
+        "group_key", "m", "phrase", "a", "k", _part(F.col("words"), 1, F.col("k")).alias("head"), _part(F.col("words"), F.col("k") + 1, F.col("m")).alias("tail")
     )
     short = counts.where((F.col("m") >= 1) & (F.col("m") < ORDER))
-    heads = short.select("group", F.col("phrase").alias("head"), F.col("f").alias("l"))
-    tails = short.select("group", F.col("phrase").alias("tail"), F.col("f").alias("r"))
-    cut = cuts.join(heads, ["group", "head"]).join(tails, ["group", "tail"])
+    heads = short.select("group_key", F.col("phrase").alias("head"), F.col("f").alias("l"))
+    tails = short.select("group_key", F.col("phrase").alias("tail"), F.col("f").alias("r"))
+    cut = cuts.join(heads, ["group_key", "head"]).join(tails, ["group_key", "tail"])
     both = "(cast(l as decimal(20,0)) + cast(r as decimal(20,0)))"
     score = F.expr(f"cast((cast(2000000 as decimal(10,0)) * cast(a as decimal(20,0))) div {both} as bigint)")
     best = F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut")
-    return cut.groupBy("group", "m", "phrase", "a").agg(best).select("group", "m", "phrase", "a", "cut.l", "cut.r", "cut.score")
+    return cut.groupBy("group_key", "m", "phrase", "a").agg(best).select("group_key", "m", "phrase", "a", "cut.l", "cut.r", "cut.score")
 
 
 def not_inside(phrases: DataFrame, percent: int = 80) -> DataFrame:
     """``phrases`` without those that stand inside a longer one that is ``percent`` of 100 times as frequent, or more."""
-    longer = phrases.where("m > 2").select("group", "a", "m", F.split("phrase", " ").alias("words"))
+    longer = phrases.where("m > 2").select("group_key", "a", "m", F.split("phrase", " ").alias("words"))
     spans = F.flatten(
         F.transform(F.sequence(F.lit(2), F.col("m") - 1), lambda n: F.transform(F.sequence(F.lit(1), F.col("m") - n + 1), lambda i: _part(F.col("words"), i, n)))
     )
-    inside = longer.select("group", F.explode(spans).alias("phrase"), "a").groupBy("group", "phrase").agg(F.max("a").alias("around"))
+    inside = longer.select("group_key", F.explode(spans).alias("phrase"), "a").groupBy("group_key", "phrase").agg(F.max("a").alias("around"))
     kept = F.col("around").isNull() | (_times(100, "around") < _times(percent, "a"))
-    return phrases.join(inside, ["group", "phrase"], "left").where(kept).drop("around")
+    return phrases.join(inside, ["group_key", "phrase"], "left").where(kept).drop("around")
 
 
 def best_of(phrases: DataFrame, k: int) -> DataFrame:
@@ -237,20 +216,21 @@ def best_of(phrases: DataFrame, k: int) -> DataFrame:
     a group of any size is ranked from at most PARTS * k rows."""
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     parts = phrases.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
-    first = parts.withColumn("rank", F.row_number().over(Window.partitionBy("group", "part").orderBy(*order))).where(F.col("rank") <= k)
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy(*order))).where(F.col("rank") <= k).drop("part")
+    first = parts.withColumn("rank", F.row_number().over(Window.partitionBy("group_key", "part").orderBy(*order))).where(F.col("rank") <= k)
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("group_key").orderBy(*order))).where(F.col("rank") <= k).drop("part")
 
 
-def collocations(docs: DataFrame, at_least: int = 30, k: int = 2_000, text: str = "text", group: str = "lang", sizes: tuple[int, int] = (WORD_ENTRIES, PAIR_ENTRIES)) -> DataFrame:
+def collocations(docs: DataFrame, at_least: int = 30, k: int = 2_000, text: str = "text", group: str = "lang", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(group, rank, phrase, a, l, r, n, score): the first ``k`` phrases of each group.
 
     A-Z count as small letters; pieces end at ``.,;:!?`` and line ends, words at spaces and tabs. A phrase occurs at
     least ``at_least`` times (a); l and r are the frequencies of its parts at the cut that scores lowest, n all words of
     the group. Null texts are empty; a null group is ``und`` and one with a group of that name. A group without phrases
-    has no rows. The phrases' counts are written once.
+    has no rows. Groups are told apart by a 64-bit hash of their name. The texts and the phrases' counts are written once.
     """
-    marks = frequent_marks(docs, at_least, text, group, sizes)
-    counts = written(phrase_counts(windows(docs, marks, text, group), at_least), "phrase-counts", batch=500)
+    held, names = grouped(docs, text, group)
+    counts = written(phrase_counts(windows(held, at_least, range_bytes), at_least), "phrase-counts")
     best = best_of(not_inside(scored(counts)), k)
-    totals = counts.where("m = 0").select("group", F.col("f").alias("n"))
-    return best.join(totals, "group").select("group", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    totals = counts.where("m = 0").select("group_key", F.col("f").alias("n"))
+    rows = best.join(totals, "group_key").join(names, "group_key")
+    return rows.select("group", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -2,10 +2,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 
-from corpusmill.llm.collocations import best_of, collocations, frequent_marks, not_inside, phrase_counts, scored, windows
+from corpusmill.llm import blocks
+from corpusmill.llm.collocations import best_of, collocations, grouped, not_inside, phrase_counts, scored, windows
 
 
 def small(t):
@@ -61,39 +61,35 @@ def texts(seed, n):
     return [(one() if r.random() < 0.95 else None, r.choice(["en", "en", "en", "de", None, "und"])) for _ in range(n)]
 
 
-@pytest.mark.parametrize("sizes", [(1 << 22, 1 << 24), (8, 8)])
-def test_against_a_listing_of_all_phrases(table, sizes):
-    """Also with tables so small that nearly every entry is shared."""
+@pytest.mark.parametrize(("size", "ranges"), [(4 << 20, 8 << 20), (300, 200)])
+def test_against_a_listing_of_all_phrases(table, size, ranges, monkeypatch):
+    """In one block and one range, and in many of both."""
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", size)
     rows = texts(5, 250)
-    assert found(table(rows), at_least=5, k=2_000, sizes=sizes) == brute(rows, 5, 2_000)
-    assert found(table(rows), at_least=12, k=7, sizes=sizes) == brute(rows, 12, 7)
-
-
-def test_counts_beyond_a_byte(table):
-    rows = [("la la la land", "fr")] * 500 + [("la mer", "fr")] * 299
-    assert found(table(rows), at_least=300, k=10, sizes=(64, 64)) == brute(rows, 300, 10)
+    assert found(table(rows), at_least=5, k=2_000, range_bytes=ranges) == brute(rows, 5, 2_000)
+    assert found(table(rows), at_least=12, k=7, range_bytes=ranges) == brute(rows, 12, 7)
 
 
 def test_windows_are_padded_from_what_is_rare(table):
-    docs = table([("a b c d e", "en")] * 3 + [("a b x", "en")])
-    marks = frequent_marks(docs, 3)
-    assert sum(np.unpackbits(np.frombuffer(marks.words, np.uint8))) == 5 and sum(np.unpackbits(np.frombuffer(marks.pairs, np.uint8))) == 4
+    held, names = grouped(table([("a b c d e", "en")] * 3 + [("a b x", "en")]), "text", "lang")
+    wins = windows(held, 3)
     got = Counter()
-    for r in windows(docs, marks).collect():
+    for r in wins.collect():
         got[r["w1"], r["w2"], r["w3"], r["w4"]] += r["n"]
     assert got == {
         ("a", "b", "c", "d"): 3, ("b", "c", "d", "e"): 3, ("c", "d", "e", None): 3, ("d", "e", None, None): 3, ("e", None, None, None): 3,
         ("a", "b", None, None): 1, ("b", None, None, None): 1, (None, None, None, None): 1,
     }
-    counts = {(r["m"], r["phrase"]): r["f"] for r in phrase_counts(windows(docs, marks), 3).collect()}
+    counts = {(r["m"], r["phrase"]): r["f"] for r in phrase_counts(wins, 3).collect()}
     assert counts[0, ""] == 18 and counts[1, "a"] == 4 and counts[2, "a b"] == 4 and counts[4, "b c d e"] == 3 and (1, "x") not in counts
+    assert [r["group"] for r in names.collect()] == ["en"]
 
 
 def test_products_beyond_64_bits(spark):
     a = 9 * 10**18
     counts = spark.createDataFrame(
-        [("g", 1, "x", a + 3), ("g", 1, "y", a + 2), ("g", 2, "x y", a), ("g", 3, "x y z", a - 1), ("g", 1, "z", a), ("g", 2, "y z", a - 1)],
-        "`group` string, m int, phrase string, f long",
+        [(7, 1, "x", a + 3), (7, 1, "y", a + 2), (7, 2, "x y", a), (7, 3, "x y z", a - 1), (7, 1, "z", a), (7, 2, "y z", a - 1)],
+        "group_key long, m int, phrase string, f long",
     )
     got = {r["phrase"]: (r["l"], r["r"], r["score"]) for r in scored(counts).collect()}
     assert got["x y"] == (a + 3, a + 2, 2_000_000 * a // (2 * a + 5))
@@ -102,8 +98,8 @@ def test_products_beyond_64_bits(spark):
 
 
 def test_ties_take_the_bytes_order(spark):
-    rows = [("g", 2, p, 30, 30, 30, s) for p, s in (("b a", 5), ("a b", 5), ("é a", 5), ("z a", 5), ("\U0001f600 a", 5), ("￮ a", 5), ("top x", 9))]
-    df = spark.createDataFrame(rows, "`group` string, m int, phrase string, a long, l long, r long, score long")
+    rows = [(7, 2, p, 30, 30, 30, s) for p, s in (("b a", 5), ("a b", 5), ("é a", 5), ("z a", 5), ("\U0001f600 a", 5), ("￮ a", 5), ("top x", 9))]
+    df = spark.createDataFrame(rows, "group_key long, m int, phrase string, a long, l long, r long, score long")
     assert [r["phrase"] for r in best_of(df, 6).orderBy("rank").collect()] == ["top x", "a b", "b a", "z a", "é a", "￮ a"]
 
 
