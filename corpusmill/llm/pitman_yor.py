@@ -2,8 +2,8 @@
 
 Each word is a restaurant for the words after it; all share one parent restaurant, whose base is uniform over the
 vocabulary. A word's customers after a context sit at tables; each table is one customer of the parent. Gibbs sweeps
-take all customers of a word out of a context and seat them again, given the rest: the parent's probability and the
-context's number of tables. The probability of a token is averaged over the states after several sweeps.
+take all customers of a word out of a context and draw their number of tables anew from its conditional weights, given
+the rest: the parent's probability and the context's number of tables. The probability of a token is averaged over the states after several sweeps.
 
 Texts stay in blocks. A block asks the owners of hash ranges for counts and tables and gets them as packed arrays. A
 pair that was seen once always has one table, so sweeps only move the pairs seen more often, each of them from one
@@ -12,6 +12,8 @@ block, its home. Draws come from a hash of pair and sweep: any block seats a pai
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -24,6 +26,8 @@ from corpusmill.llm.common import released, written
 SWEEPS = 3
 SAMPLES = 2
 CONCENTRATION = 0.5
+#: Customers of one dish whose tables are drawn from their exact weights.
+EXACT = 512
 #: Bytes of text for which one range of words or of pairs is made.
 WORD_BYTES, PAIR_BYTES = 64 << 20, 16 << 20
 #: Counts of one block fit in 32 bits, those of the corpus may not; a total and whether the pair is at home.
@@ -157,56 +161,73 @@ def _first_state(words: int):
     return run
 
 
-def _binomial(n: np.ndarray, p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Successes of n trials from two uniform numbers: by the distribution's sums for small means, else by the normal."""
-    mean = n * p
-    out = np.zeros(len(n))
-    many = np.flatnonzero(mean >= 6)
-    z = np.sqrt(-2 * np.log(y[many])) * np.cos(2 * np.pi * x[many])
-    out[many] = np.clip(np.rint(mean[many] + np.sqrt(mean[many] * (1 - p[many])) * z), 0, n[many])
-    few = np.flatnonzero(mean < 6)
-    chance = np.exp(n[few] * np.log1p(-p[few]))
-    left = x[few] > chance
-    few, chance, below, k = few[left], chance[left], chance[left], 0
-    while len(few):
-        k += 1
-        out[few] = k
-        chance = chance * (n[few] - k + 1) / k * p[few] / (1 - p[few])
-        below = below + chance
-        left = (x[few] > below) & (k < n[few])
-        few, chance, below = few[left], chance[left], below[left]
+@lru_cache(maxsize=4)
+def _log_ways(discount: float) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers: the weight of n customers at t tables, for n up to EXACT."""
+    out = np.full((EXACT + 1, EXACT + 2), -np.inf)
+    out[1, 1] = 0.0
+    t = np.arange(1, EXACT + 1)
+    for n in range(1, EXACT):
+        with np.errstate(divide="ignore"):
+            joined = out[n, 1:-1] + np.log(np.maximum(n - discount * t, 0.0))
+        out[n + 1, 1:-1] = np.logaddexp(joined, out[n, :-2])
     return out
 
 
+def uniforms(key: np.ndarray, sweep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers in (0, 1) for each key in a sweep."""
+    x = _mix(key ^ _mix(np.array([sweep + 1], np.uint64)))
+    y = _mix(x + np.uint64(0x9E3779B97F4A7C15))
+    return tuple(((v >> np.uint64(11)) + 0.5) * 2.0**-53 for v in (x, y))
+
+
+def _expected(n: np.ndarray, rate: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and variance of the tables of many customers: tables come as by a Poisson law with a weight x for each
+    customer, chosen so that n customers are expected, and are then given that n came."""
+    low, high = np.zeros(len(n)), np.full(len(n), 60.0)  # -log(1 - x)
+    for _ in range(60):
+        middle = (low + high) / 2
+        more = rate * -np.expm1(-middle) * np.exp((1 - discount) * middle) < n
+        low, high = np.where(more, middle, low), np.where(more, high, middle)
+    x = -np.expm1(-low)
+    mean = rate / discount * -np.expm1(-discount * low)
+    spread_of = n + rate * x * x * (1 - discount) * np.exp((2 - discount) * low)
+    return mean, np.maximum(mean - n * (n / spread_of), 0.0)
+
+
 def seated(key: np.ndarray, sweep: int, customers: np.ndarray, rate: np.ndarray, discount: float) -> np.ndarray:
-    """Tables of each dish after its customers sit down one by one.
+    """Tables of each dish, drawn given everything else: t with a weight of ways(n, t) * rate**t.
 
-    With i customers at t tables the next one opens a table with probability rate / (i - discount * t + rate). The
-    first 20 are seated singly; then a quarter of those seated come at a time, at the probability in their middle.
+    Exact up to EXACT customers. Of more, EXACT are seated so, and the tables that the rest are expected to add come on
+    top, with the variance that they add.
     """
-    order = np.argsort(-customers)
-    c, r = customers[order], rate[order]
-    seed = _mix(key[order] ^ _mix(np.array([sweep + 1], np.uint64)))
-    t, i, step, m = np.ones(len(c)), 1, 0, int(np.searchsorted(-c, -1))
-    while m:  # the first m have customers left
-        step += 1
-        h = seed[:m] + np.uint64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-        x = ((h ^ (h >> np.uint64(29))) >> np.uint64(11)) * 2.0**-53
-        at_once = 1 if i < 20 else i // 4
-        if at_once == 1:
-            t[:m] += x * (i - discount * t[:m] + r[:m]) < r[:m]
-        else:
-            n = np.minimum(at_once, c[:m] - i)
-            p = r[:m] / (i + (n - 1) / 2 - discount * t[:m] + r[:m])
-            t[:m] += _binomial(n, p, x, ((_mix(h) >> np.uint64(11)) + 0.5) * 2.0**-53)
-        i += at_once
-        m = int(np.searchsorted(-c[:m], -i))
-    out = np.empty(len(c))
-    out[order] = t
+    out = np.ones(len(customers))
+    few = np.minimum(customers, EXACT)
+    x, y = uniforms(key, sweep)
+    ways, order = _log_ways(discount), np.argsort(few, kind="stable")
+    edges = np.searchsorted(few[order], np.arange(2, EXACT + 2))
+    for n in np.unique(few[few > 1]).tolist():
+        rows = order[edges[n - 2] : edges[n - 1]]
+        for part in np.array_split(rows, max(1, -(-len(rows) * n // (1 << 21)))):
+            weight = ways[n, 1 : n + 1] + np.log(rate[part])[:, None] * np.arange(1, n + 1)
+            weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+            out[part] = 1 + (weight < (x[part] * weight[:, -1])[:, None]).sum(axis=1)
+    many = np.flatnonzero(customers > EXACT)
+    if len(many):
+        n, r = customers[many].astype(float), rate[many]
+        mean, variance = _expected(n, r, discount)
+        begun, begun_variance = _expected(np.full(len(many), float(EXACT)), r, discount)
+        z = np.sqrt(-2 * np.log(y[many])) * np.cos(2 * np.pi * _again(y[many]))
+        more = mean - begun + np.sqrt(np.maximum(variance - begun_variance, 0.0)) * z
+        out[many] = np.clip(out[many] + np.rint(more), 1, n)
     return out
 
 
+def _again(y: np.ndarray) -> np.ndarray:
+    """Another number in (0, 1) from the low digits of one."""
+    return np.mod(y * 2.0**26, 1.0)
+
+
 class _Model:
     """Discounts, concentration, vocabulary, and per state the parent's customers and tables in all."""
 

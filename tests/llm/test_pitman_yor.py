@@ -1,6 +1,7 @@
 import math
 import random
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import blocks, pitman_yor
 from corpusmill.llm.blocks import spread, squeezed, steps
-from corpusmill.llm.pitman_yor import _mix, _pair_hash, pitman_yor_scores, seated
+from corpusmill.llm.pitman_yor import _mix, _pair_hash, pitman_yor_scores, seated, uniforms
 
 END = None
 
@@ -23,6 +24,25 @@ def key(u, w):
     return _pair_hash(np.array([h(u)], np.uint64), _mix(np.array([h(w)], np.uint64)))
 
 
+def ways(n, d):
+    """Generalised Stirling numbers of n customers by their recursion, exactly."""
+    d, row = Fraction(d), {1: Fraction(1)}
+    for i in range(1, n):
+        row = {t: row.get(t - 1, 0) + max(0, i - d * t) * row.get(t, 0) for t in range(1, i + 2)}
+    return row
+
+
+def drawn(k, sweep, n, rate, d):
+    """The number of tables where the sum of the weights passes the dish's number in (0, 1)."""
+    weights = [float(w) * rate**t for t, w in ways(n, d).items()]
+    x, total = uniforms(k, sweep)[0][0] * sum(weights), 0.0
+    for t, w in enumerate(weights, 1):
+        total += w
+        if total >= x:
+            return t
+    return n
+
+
 def brute(docs, sweeps=3, samples=2, theta=0.5):
     """The same model in dictionaries: probability of a word after a context, averaged over the last states."""
     train = [t for t, out in docs if not out]
@@ -55,10 +75,10 @@ def brute(docs, sweeps=3, samples=2, theta=0.5):
         s = states[-1]
         for (u, w), n in c2.items():
             rate = (theta + d2 * s[2][u]) * parent(s, w)
-            tables[u, w] = int(seated(key(u, w), k, np.array([n]), np.array([rate]), d2)[0])
+            tables[u, w] = drawn(key(u, w), k, n, rate, d2)
         dish, ctx = state()
         base = (theta + d1 * sum(s[1].values())) / (v + 1)
-        own = {w: int(seated(np.array([h(w)], np.uint64), k + 500, np.array([n]), np.array([base]), d1)[0]) for w, n in dish.items()}
+        own = {w: drawn(np.array([h(w)], np.uint64), k + 500, n, base, d1) for w, n in dish.items()}
         states.append((dish, own, ctx, dict(tables)))
 
     def p(u, w):
@@ -103,17 +123,33 @@ def test_scores_against_dictionaries(spark, corpus, monkeypatch, size):
         assert x["score"] == pytest.approx(sum(math.log10(p(u, w)) for u, w in zip([END, *t[:-1]], t, strict=True)))
 
 
-def test_seating_is_that_of_the_restaurant():
-    """The mean number of tables is the sum of the chances to open one."""
-    for n, rate, discount in ((3, 0.7, 0.5), (40, 2.0, 0.3), (3000, 5.0, 0.6)):
-        keys = _mix(np.arange(4000, dtype=np.uint64))
-        got = seated(keys, 1, np.full(4000, n), np.full(4000, rate), discount)
-        r = np.random.default_rng(1)
-        t = np.ones(4000)
-        for i in range(1, n):
-            t += r.random(4000) < rate / (i - discount * t + rate)
-        assert got.mean() == pytest.approx(t.mean(), rel=0.03)
-        assert (got <= n).all()
+@pytest.mark.parametrize(("n", "rate", "discount"), [(2, 0.3, 0.4), (3, 1.0, 0.5), (10, 1.0, 0.7), (20, 3.0, 0.8), (40, 0.02, 0.2), (300, 30.0, 0.6)])
+def test_tables_have_their_conditional_weights(n, rate, discount):
+    keys = _mix(np.arange(200_000, dtype=np.uint64))
+    got = seated(keys, 1, np.full(len(keys), n), np.full(len(keys), rate), discount)
+    weights = {t: w * Fraction(rate) ** t for t, w in ways(n, discount).items()}
+    share = {t: float(w / sum(weights.values())) for t, w in weights.items()}
+    assert got.mean() == pytest.approx(sum(t * p for t, p in share.items()), rel=0.01)
+    found = Counter(got.astype(int).tolist())
+    assert sum(abs(found[t] / len(keys) - p) for t, p in share.items()) < 0.03
+
+
+@pytest.mark.parametrize(("n", "rate", "discount"), [(700, 5.0, 0.6), (2_000, 0.05, 0.3), (2_000, 40.0, 0.5), (2_000, 400.0, 0.8)])
+def test_tables_of_many_customers(n, rate, discount):
+    """Beyond the exact weights the mean and the spread are theirs within a few hundredths."""
+    keys = _mix(np.arange(40_000, dtype=np.uint64))
+    got = seated(keys, 1, np.full(len(keys), n), np.full(len(keys), rate), discount)
+    row = np.array([0.0])
+    for i in range(1, n):  # logarithms, by the recursion
+        t = np.arange(1, len(row) + 1)
+        row = np.logaddexp(np.append(row + np.log(i - discount * t), -np.inf), np.append(-np.inf, row))
+    t = np.arange(1, n + 1)
+    p = np.exp(row + t * np.log(rate) - (row + t * np.log(rate)).max())
+    p /= p.sum()
+    mean = (t * p).sum()
+    assert got.mean() == pytest.approx(mean, rel=0.03)
+    assert got.std() == pytest.approx(math.sqrt((t * t * p).sum() - mean**2), rel=0.15, abs=0.05)
+    assert (got >= 1).all() and (got <= n).all()
 
 
 def test_all_kinds_of_rows(hostile, nothing):
