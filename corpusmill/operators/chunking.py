@@ -25,24 +25,37 @@ NO_SPANS = (
 )
 
 
-def bin_starts(items: Column, cost: str, unit: str, limit: int) -> Column:
-    """Next-fit inside an array: 0-based positions where a new bin begins.
+def bins_of(items: Column, cost: str, unit: str, limit: int) -> Column:
+    """Next-fit inside an array: where each bin begins and ends (0-based, the end is the next bin's begin), its number
+    within its unit, and what its items cost together.
 
-    A bin also ends where ``unit`` changes. The fold copies its position list only when a bin
-    opens, so it stays linear in the items.
+    A bin also ends where ``unit`` changes. The fold copies its list only when a bin opens, so it stays linear in the
+    items.
     """
 
     def step(s: Column, x: Column) -> Column:
-        opens = s["unit"].isNull() | (s["unit"] != x[unit]) | (s["sum"] + x[cost] > limit)
+        other = s["unit"].isNull() | (s["unit"] != x[unit])
+        opens = other | (s["sum"] + x[cost] > limit)
+        nth = F.when(other, 0).when(opens, s["nth"] + 1).otherwise(s["nth"])
+        closed = F.when(s["unit"].isNull(), s["bins"]).otherwise(F.concat(s["bins"], F.array(_bin(s))))
         return F.struct(
             (s["at"] + 1).alias("at"),
             F.when(opens, x[cost]).otherwise(s["sum"] + x[cost]).cast("long").alias("sum"),
             x[unit].cast("int").alias("unit"),
-            F.when(opens, F.concat(s["starts"], F.array(s["at"]))).otherwise(s["starts"]).alias("starts"),
+            F.when(opens, s["at"]).otherwise(s["first"]).alias("first"),
+            nth.alias("nth"),
+            F.when(opens, closed).otherwise(s["bins"]).alias("bins"),
         )
 
-    zero = F.expr("named_struct('at', 0, 'sum', 0L, 'unit', cast(null as int), 'starts', cast(array() as array<int>))")
-    return F.aggregate(items, zero, step, lambda s: s["starts"])
+    zero = F.expr(
+        "named_struct('at', 0, 'sum', 0L, 'unit', cast(null as int), 'first', 0, 'nth', 0, "
+        "'bins', cast(array() as array<struct<first:int,stop:int,unit:int,nth:int,cost:bigint>>))"
+    )
+    return F.aggregate(items, zero, step, lambda s: F.when(s["unit"].isNull(), s["bins"]).otherwise(F.concat(s["bins"], F.array(_bin(s)))))
+
+
+def _bin(s: Column) -> Column:
+    return F.struct(s["first"].alias("first"), s["at"].alias("stop"), s["unit"].alias("unit"), s["nth"].alias("nth"), s["sum"].alias("cost"))
 
 
 def _joined(lines: Column, first: Column, last: Column) -> Column:
@@ -50,8 +63,9 @@ def _joined(lines: Column, first: Column, last: Column) -> Column:
     return F.array_join(F.slice(lines, first, F.greatest(last - first + 1, F.lit(0))), "\n")
 
 
-def _with_tokens(files: DataFrame, o: Options) -> DataFrame:
-    return files.withColumn("tokens", o.measure.of_text(F.col("content")))
+def _tokens(files: DataFrame, o: Options) -> Column:
+    """The files' token counts, if they have them already."""
+    return F.col("tokens") if "tokens" in files.columns else o.measure.of_text(F.col("content"))
 
 
 def whole_file_chunks(files: DataFrame, o: Options | None = None) -> DataFrame:
@@ -62,7 +76,7 @@ def whole_file_chunks(files: DataFrame, o: Options | None = None) -> DataFrame:
     """
     o = o or Options()
     fitting = let(
-        o.measure.of_text(F.col("content")),
+        _tokens(files, o),
         lambda t: F.when(t <= o.max_tokens, F.array(F.struct(F.lit(0).cast("long").alias("ordinal"), t.cast("long").alias("token_count")))),
     )
     small = files.select("relative_path", "language", "content", F.inline_outer(fitting)).filter(F.col("ordinal").isNotNull())
@@ -85,7 +99,7 @@ def oversize(files: DataFrame, o: Options | None = None) -> DataFrame:
     length rules most files out before any token is counted."""
     o = o or Options()
     longer = files.filter(F.octet_length("content") > o.max_tokens)
-    return _with_tokens(longer, o).filter(F.col("tokens") > o.max_tokens)
+    return longer.withColumn("tokens", _tokens(files, o)).filter(F.col("tokens") > o.max_tokens)
 
 
 def line_chunks(files: DataFrame, o: Options | None = None) -> DataFrame:
@@ -94,15 +108,14 @@ def line_chunks(files: DataFrame, o: Options | None = None) -> DataFrame:
     df = files.withColumn("lines", texts.lines_of(F.col("content")))
     df = df.withColumn("costs", o.measure.of_each(F.transform("lines", lambda x: F.concat(x, F.lit("\n")))))
     priced = F.transform("costs", lambda c: F.struct(F.lit(0).alias("unit"), c.alias("cost")))
-    df = df.withColumn("cuts", bin_starts(priced, "cost", "unit", o.max_tokens))
+    df = df.withColumn("cuts", bins_of(priced, "cost", "unit", o.max_tokens))
 
-    def piece(start: Column, j: Column) -> Column:
-        n = F.when(j + 1 < F.size("cuts"), F.get(F.col("cuts"), j + 1)).otherwise(F.size("lines")) - start
+    def piece(b: Column, j: Column) -> Column:
         return F.struct(
             j.cast("long").alias("ordinal"),
             F.concat("relative_path", F.lit(":lc"), j.cast("string")).alias("chunk_id"),
-            F.array_join(F.slice("lines", start + 1, n), "\n").alias("content"),
-            F.aggregate(F.slice("costs", start + 1, n), F.lit(0).cast("long"), lambda a, x: a + x).alias("token_count"),
+            F.array_join(F.slice("lines", b["first"] + 1, b["stop"] - b["first"]), "\n").alias("content"),
+            b["cost"].alias("token_count"),
         )
 
     df = df.withColumn("pieces", F.transform("cuts", piece))
@@ -148,13 +161,9 @@ def cut(files_with_spans: DataFrame, o: Options) -> DataFrame:
     df = df.withColumn("fn_texts", F.transform("fns", lambda f: _joined(F.col("lines"), f["start"], f["end"])))
     df = df.withColumn("fn_tokens", each(F.col("fn_texts")))
     df = df.withColumn("priced", F.transform("fns", lambda f, i: F.struct(f["unit"].alias("unit"), F.col("fn_tokens")[i].alias("cost"))))
-    df = df.withColumn("starts", bin_starts(F.col("priced"), "cost", "unit", m))
-
-    def bin_of(start: Column, j: Column) -> Column:
-        stop = F.when(j + 1 < F.size("starts"), F.get(F.col("starts"), j + 1)).otherwise(F.size("fns"))
-        return F.struct(start.alias("first"), (stop - 1).alias("last"))
-
-    df = df.withColumn("bins", F.transform("starts", bin_of))
+    df = df.withColumn(
+        "bins", F.transform(bins_of(F.col("priced"), "cost", "unit", m), lambda b: F.struct(b["first"].alias("first"), (b["stop"] - 1).alias("last")))
+    )
     is_big = lambda b: F.col("fn_tokens")[b["first"]] > m
     df = df.withColumn("groups", F.filter("bins", lambda b: ~is_big(b)))
     df = df.withColumn("big", F.filter("bins", is_big))
@@ -204,7 +213,7 @@ def cut(files_with_spans: DataFrame, o: Options) -> DataFrame:
     df = df.withColumn("cuttable", F.when(F.col("gives"), parted).otherwise(whole))
     df = df.withColumn("line_costs", each(F.transform("cuttable", lambda x: F.concat(x["line"], F.lit("\n")))))
     df = df.withColumn("priced", F.transform("cuttable", lambda x, i: F.struct(x["unit"].alias("unit"), F.col("line_costs")[i].alias("cost"))))
-    df = df.withColumn("cuts", bin_starts(F.col("priced"), "cost", "unit", m))
+    df = df.withColumn("cuts", bins_of(F.col("priced"), "cost", "unit", m))
 
     path = F.col("relative_path")
 
@@ -240,13 +249,10 @@ def cut(files_with_spans: DataFrame, o: Options) -> DataFrame:
             F.col("group_texts")[i], F.col("group_tokens")[i], F.array(first["type_name"]), names,
         )
 
-    def line_piece(start: Column, j: Column) -> Column:
-        stop = F.when(j + 1 < F.size("cuts"), F.get(F.col("cuts"), j + 1)).otherwise(F.size("cuttable"))
-        unit = F.col("cuttable")[start]["unit"]
-        content = F.array_join(F.transform(F.slice("cuttable", start + 1, stop - start), lambda x: x["line"]), "\n")
-        tokens = F.aggregate(F.slice("line_costs", start + 1, stop - start), F.lit(0).cast("long"), lambda a, x: a + x)
-        # Pieces are numbered within their function, or within the file.
-        before = F.size(F.filter("cuts", lambda c: (c < start) & (F.col("cuttable")[c]["unit"] == unit)))
+    def line_piece(b: Column, j: Column) -> Column:
+        unit, tokens = b["unit"], b["cost"]
+        content = F.array_join(F.transform(F.slice("cuttable", b["first"] + 1, b["stop"] - b["first"]), lambda x: x["line"]), "\n")
+        before = b["nth"]  # pieces are numbered within their function, or within the file
         fn, hole = F.get(F.col("fns"), unit), F.get(F.col("gaps"), -2 - unit)
         return F.when(
             unit == -1, piece("lines", F.lit(1), j, F.concat(F.lit("lc"), j.cast("string")), content, tokens, none, none)
@@ -280,10 +286,14 @@ def typed_chunks(files: DataFrame, spans: DataFrame, o: Options | None = None) -
     return cut(joined.withColumn("spans", F.coalesce("spans", F.expr(NO_SPANS))), o)
 
 
-def chunk(files: DataFrame, o: Options | None = None) -> DataFrame:
-    """Source files to chunks: whole where they fit, else along declarations, else by lines."""
+def chunk(files: DataFrame, o: Options | None = None, resolved: DataFrame | None = None) -> DataFrame:
+    """Source files to chunks: whole where they fit, else along declarations, else by lines.
+
+    ``resolved`` are the files' declarations if they are known already; a column ``tokens`` of ``files`` is taken as
+    their counts.
+    """
     o = o or Options()
-    spans = declarations.file_spans(oversize(files, o))
+    spans = declarations.file_spans(oversize(files, o)) if resolved is None else declarations.spans(resolved)
     return whole_file_chunks(files, o).unionByName(typed_chunks(files, spans, o))
 
 

@@ -1,58 +1,38 @@
-"""Declarations of a whole corpus: types, functions, fields and imports, read line by line.
+"""Declarations of a whole corpus: types, functions, fields and imports.
 
-Strings and comments are blanked inside each file's row; what looks at neighbouring lines of one
-declaration (decorators and comments above it, a signature over several lines) also happens
-there. Only lines that declare something or move the nesting depth leave the row, as slim rows
-that are shuffled once by file. Depth, owners and block ends are windows over that one
-partitioning; a file is bounded by the size filter, so no window partition can grow with the corpus.
+A file is cut into statements that know the statement around them (``statements``). What stands in a type or in no block
+at all may declare something; only these statements leave the file's row, one by one, and are read by expressions. No
+line is looked for outside a statement: annotations, comments and arguments are part of it, however long they are.
+Nothing is shuffled.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill import fixed_values as fv
 from corpusmill.functions import texts
 from corpusmill.functions.texts import choose
+from corpusmill.operators import statements as st
 
-FAMILY = {
-    "java": "java", "python": "python", "go": "go",
-    "javascript": "js", "jsx": "js", "typescript": "js", "tsx": "js",
-}
+# --- patterns, on text whose strings and comments are blanked -----------------------------------
+# Possessive groups keep matching iterative, so long texts cannot exhaust the stack.
 
-# Lines that are looked at above a declaration for what belongs to it.
-REACH = 1_000
-# Lines of a head that isn't closed on its own line: as many as it takes, by steps, so that a head's cost is that of
-# its own lines and not of the file below it.
-HEAD_LINES = (8, 64, 2_048)
 
-# --- patterns -----------------------------------------------------------------------------------
-# Possessive groups keep matching iterative, so long texts cannot exhaust the stack.
+def _inside(openers: str, closers: str, deep: int = st.NESTED) -> str:
+    """What may stand between brackets: their own brackets match, ``deep`` deep."""
+    text = rf"[^{openers}{closers}]*+"
+    for _ in range(deep - 1):
+        text = rf"(?:[^{openers}{closers}]++|[{openers}]{text}[{closers}])*+"
+    return text
 
-_DOUBLE = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"?'
-_SINGLE = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'?"
-_TRIPLE = r'"""(?:[^"\\]++|\\.|"(?!""))*+(?:""")?'
-_TRIPLE_SINGLE = r"'''(?:[^'\\]++|\\.|'(?!''))*+(?:''')?"
-_BACKTICK = r"`[^`\\]*+(?:\\.[^`\\]*+)*+`?"
-_COMMENTS = r"//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/)?"
-# A slash begins a regular expression after an operator, an opening bracket, a comma or one of these words, or on its own line.
-_REGEX = (
-    r"(?<=[=(,\[!&|?:;{+\-*%~^]\s{0,40}|\b(?:return|typeof|case|else|do|in|of|void|delete|throw|await|yield)\s{1,40}|^\s{0,40}|\n\s{0,40})"
-    r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[A-Za-z]*+"
-)
-LEXEMES = {
-    "java": rf"(?s){_TRIPLE}|{_DOUBLE}|{_SINGLE}|{_COMMENTS}|[^\"'/]++|/",
-    "go": rf"(?s){_DOUBLE}|{_SINGLE}|`[^`]*+`?|{_COMMENTS}|[^\"'`/]++|/",
-    "js": rf"(?s){_DOUBLE}|{_SINGLE}|{_BACKTICK}|{_COMMENTS}|{_REGEX}|[^\"'`/]++|/",
-    "python": rf"(?s){_TRIPLE}|{_TRIPLE_SINGLE}|{_DOUBLE}|{_SINGLE}|#[^\n]*+|[^\"'#]++",
-}
-STRING_END = "\x01"  # closes a blanked string that spans lines
 
-_ARGS = r"(?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+"
-_NOTES = r"(?:@[\w.]++(?:\((?:[^()]++|\([^()]*+\))*+\))?\s*+)*+"
+_ARGS = _inside("(", ")")
+_NOTE = rf"@(?!interface\b)[\w.]++(?:\s*+\({_ARGS}\))?+"
+_NOTES = rf"(?:{_NOTE}\s*+)*+"
 _JAVA_MODS = (
     r"((?:(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp|transient|volatile|sealed|non-sealed)\s++)*+)"
 )
@@ -63,7 +43,8 @@ JAVA_FUNCTION = (
     rf"^(\s*+{_NOTES}{_JAVA_WORDS}{_JAVA_MODS}(?:<[^()=;]*>\s*)?(?:{_JAVA_TYPE}\s+)?{_JAVA_WORDS}([\w$]+)\s*\()({_ARGS})\)"
     r"\s*(?:throws\s[^{;]*)?(?:default\s[^;]*)?([{;]|\z|\n)"
 )
-JAVA_FIELD = rf"^\s*+{_NOTES}{_JAVA_WORDS}{_JAVA_MODS}{_JAVA_TYPE}\s+([\w$]+)\s*(?:=|;|,|\[|$)"
+JAVA_FIELD_TYPE = rf"^\s*+{_NOTES}{_JAVA_WORDS}{_JAVA_MODS}{_JAVA_TYPE}\s+"
+JAVA_FIELD = JAVA_FIELD_TYPE + r"([\w$]+)\s*(?:=|;|,|\[|$)"
 JAVA_IMPORT = r"^\s*import\s+([^;]+?)\s*(?:;|$)"
 JAVA_PACKAGE = r"^\s*package\s+([\w.]+)"
 
@@ -74,9 +55,7 @@ PYTHON_IMPORT = r"(?s)^(?:import\s[^\n]*|from\s[^\n(]*\([^)]*\)|from\s[^\n]*)"
 GO_TYPE = r"^type\s+(\w+)(?:\[[^\]]*\])?\s+(struct|interface)?"
 GO_METHOD = rf"^(func\s*\(([^()]*)\)\s*(\w+)\s*\()({_ARGS})\)"
 GO_FUNCTION = rf"^(func\s+(\w+)\s*(?:\[[^\]]*\])?\()({_ARGS})\)"
-GO_IMPORT = r'^\s*import\b|^\s*(?:[\w.]+\s+)?"[^"]*"\s*$'
-GO_PACKAGE = r"^package\s+(\w+)"
-GO_FIELD = r"^\s+(\w+)(?:\s*,\s*\w+)*\s+([\w.*\[\]{}<\-]+(?:\s*\{\s*\})?)"
+GO_FIELD = r"^(\w+(?:\s*,\s*\w+)*+)\s+([\w.*\[\]{}<\-]+(?:\s*\{\s*\})?)"
 
 _JS_EXPORT = r"\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?"
 JS_CLASS = rf"^{_JS_EXPORT}(?:abstract\s+)?class\s+([\w$]+)([^{{]*)"
@@ -89,14 +68,21 @@ JS_METHOD = (
 )
 JS_IMPORT = r"(?s)^import\b[^'\";]*['\"][^'\"\n]*['\"];?"
 
-# A line that may begin a declaration; only these lines look at their neighbours.
-HINT = {
-    "java": rf"\b(?:class|interface|enum|record)\s|^\s*+{_NOTES}{_JAVA_WORDS}[\w$.<>\[\],?& ]++\(",
-    "python": r"^\s*(?:class|def|async\s+def)\s|^from\s",
-    "go": r"^(?:func|type)\b",
-    "js": r"\b(?:class|interface|function)\b|^import\b|^\s*+(?:@.*\s)?(?!(?:if|for|while|switch|catch|return|new)\b)[\w$*<> ]++\(",
+#: A type in a Go group; a name and what may begin a type.
+GO_SPEC = r"^(\w+)(?:\[[^\]]*\])?\s+=?\s*+(?:(struct|interface)\b|[\w*\[(<])"
+GO_GROUP = r"^(?:type|import)\s*+\($"
+# A language without rules of its own: a type is a kind's word and the word after it; a function is a word between
+# another word, or the end of its type, and an opening bracket.
+_KIND = rf"\b({'|'.join(fv.GENERIC_TYPE_KINDS)})\s+(\w+)"
+_CALLABLE = r"(?<=[\w>\]])\s+(\w+)\s*\("
+
+NO_TEXTS = "cast(array() as array<string>)"
+_NOTE_RAW = {
+    "java": rf"(?s){st.COMMENT}|@(?!interface\b)[\w.]++(?:\s*+{st.LISTS['java']})?+",
+    "js": rf"(?s){st.COMMENT}|@[\w.]++(?:{st.LISTS['js']})?+",
+    "python": rf"(?s)#[^\n]*+|@{st.PYTHON_LINE}",
 }
-HEADED = r"\b(?:class|interface|enum|record)\s"
+_JAVA_NOTED = rf"(?s)^(?:\s++|{st.COMMENT}|@(?!interface\b)[\w.]++(?:\s*+{st.LISTS['java']})?+)*+"
 
 
 class Declared(NamedTuple):
@@ -106,105 +92,18 @@ class Declared(NamedTuple):
     imports: DataFrame
 
 
-# --- inside one file's row ----------------------------------------------------------------------
-
-
-def masked(content: Column, family: str) -> Column:
-    """The text with comments as blanks and string contents as quotes: same lines, same lengths."""
-
-    def blank(t: Column) -> Column:
-        return F.regexp_replace(t, r"[^\n]", " ")
-
-    def quoted(t: Column) -> Column:
-        one_line = F.regexp_replace(t, ".", '"')
-        n = F.length(t)
-        spanning = F.concat(F.lit('"'), blank(F.substr(t, F.lit(2), n - 2)), F.lit(STRING_END))
-        return F.when(F.contains(t, F.lit("\n")), spanning).otherwise(one_line)
-
-    comment_starts = ("#",) if family == "python" else ("//", "/*")
-
-    def masked_lexeme(t: Column) -> Column:
-        is_comment = F.lit(False)
-        for c in comment_starts:
-            is_comment = is_comment | F.startswith(t, F.lit(c))
-        literal = F.substring(t, 1, 1).isin('"', "'", "`")
-        if family == "js":
-            literal = literal | (F.startswith(t, F.lit("/")) & (F.length(t) > 1))
-        return F.when(is_comment, blank(t)).when(literal, quoted(t)).otherwise(t)
-
-    return F.array_join(F.transform(F.regexp_extract_all(content, F.lit(LEXEMES[family]), F.lit(0)), masked_lexeme), "")
-
-
-def _excess(line: Column, opener: str, closer: str) -> Column:
-    return F.octet_length(F.replace(line, F.lit(closer), F.lit(""))) - F.octet_length(F.replace(line, F.lit(opener), F.lit("")))
-
-
-def _above(lines: Column, before: Column, reach: int) -> Column:
-    """Up to ``reach`` lines above the 0-based position ``before``, nearest first."""
-    n = F.least(before, F.lit(reach))
-    return F.reverse(F.slice(lines, before - n + 1, n))
-
-
-def _decorators_above(lines: Column, i: Column) -> Column:
-    """``@`` lines above a declaration, blank lines allowed, ended by other code; ``reach`` is how
-    many lines up the topmost one is."""
-
-    def step(s: Column, line: Column) -> Column:
-        t = F.trim(line)
-        at = s["at"] + 1
-        return (
-            F.when(s["over"], s)
-            .when(F.startswith(t, F.lit("@")), F.struct(s["over"].alias("over"), at.alias("at"), at.alias("reach"), F.concat(F.array(t), s["found"]).alias("found")))
-            .otherwise(F.struct((t != "").alias("over"), at.alias("at"), s["reach"].alias("reach"), s["found"].alias("found")))
-        )
-
-    zero = F.expr("named_struct('over', false, 'at', 0, 'reach', 0, 'found', cast(array() as array<string>))")
-    return F.aggregate(_above(lines, i, REACH), zero, step)
-
-
-def _comment_above(lines: Column, i: Column) -> Column:
-    """Text of the comment that ends right above position ``i``, without its markers."""
-
-    def step(s: Column, line: Column) -> Column:
-        t = F.trim(line)
-
-        def state(over: Column, inside: Column, text: Column) -> Column:
-            return F.struct(over.alias("over"), inside.alias("inside"), F.concat(F.array(text), s["found"]).alias("found"))
-
-        no, yes = F.lit(False), F.lit(True)
-        return (
-            F.when(s["over"], s)
-            .when(s["inside"] | F.endswith(t, F.lit("*/")), state(F.startswith(t, F.lit("/*")), yes, t))
-            .when(F.startswith(t, F.lit("#")) | F.startswith(t, F.lit("//")), state(no, no, F.ltrim(t, F.lit("#/ "))))
-            .otherwise(F.struct(yes.alias("over"), no.alias("inside"), s["found"].alias("found")))
-        )
-
-    zero = F.expr("named_struct('over', false, 'inside', false, 'found', cast(array() as array<string>))")
-    found = F.aggregate(_above(lines, i, REACH), zero, step, lambda s: s["found"])
-    text = F.replace(F.replace(F.array_join(found, "\n"), F.lit("/**"), F.lit("")), F.lit("*/"), F.lit(""))
-    bare = F.regexp_replace(F.regexp_replace(text, r"/\*", ""), r"(?m)^\*+ ?", "")
-    return F.btrim(bare, F.lit(" \t\n"))
-
-
-def _docstring_below(lines: Column, i: Column) -> Column:
-    """The string that is the first statement below a Python class line."""
-    pattern = r"(?s)\A\s*[rRuUbB]{0,2}(\"\"\"|'''|\"|')(.*?)\1"
+def like(c: Column, p: str) -> Column:
+    return F.rlike(c, F.lit(p))
 
-    def below(n: int) -> Column:
-        return F.array_join(F.slice(lines, i + 2, n), "\n")
 
-    begun = F.rlike(below(HEAD_LINES[0]), F.lit(r"\A\s*[rRuUbB]{0,2}[\"']"))
-    closed = F.rlike(below(HEAD_LINES[0]), F.lit(pattern))
-    rest = F.when(~begun, "").when(closed, below(HEAD_LINES[0])).otherwise(below(HEAD_LINES[-1]))
-    text = F.regexp_extract(rest, pattern, 2)
-    return F.btrim(text, F.lit(" \t\n"))
+def get(c: Column, p: str, g: int) -> Column:
+    return F.regexp_extract(c, p, g)
 
 
 def _blanked(files: DataFrame) -> DataFrame:
     """Per file: ``raw_lines`` and ``code_lines`` (strings and comments blanked)."""
-    family = F.coalesce(choose(F.col("language"), {k: F.lit(v) for k, v in FAMILY.items()}), F.lit("generic"))
-    df = files.select("relative_path", "language", "content", family.alias("family"))
-    code = choose(F.col("family"), {f: masked(F.col("content"), f) for f in LEXEMES}, F.col("content"))
+    df = files.select("relative_path", "language", "content", st.family_of(F.col("language")).alias("family"))
+    code = choose(F.col("family"), {f: st.masked(F.col("content"), f) for f in st.LEXEMES}, F.col("content"))
     return df.withColumn("raw_lines", texts.lines_of(F.col("content"))).withColumn("code_lines", texts.lines_of(code))
 
 
@@ -216,161 +115,163 @@ def explode_lines(files: DataFrame) -> DataFrame:
     return lines.select("relative_path", "language", F.inline_outer("lines"))
 
 
-def _hinted(line: Column) -> Column:
-    return choose(F.col("family"), {f: F.rlike(line, F.lit(p)) for f, p in HINT.items()}, F.lit(False))
+# --- statements that may declare something -------------------------------------------------------
 
 
-def _may_matter(line: Column) -> Column:
-    """A cheap test that every line passes which declares something or moves the depth."""
-    blank = F.btrim(line, F.lit(BLANKS)) == ""
-    braces = F.contains(line, F.lit("{")) | F.contains(line, F.lit("}"))
-    return choose(
-        F.col("family"),
-        {
-            "java": braces | F.rlike(line, F.lit(r"[;=,(]|\b(?:class|interface|enum|record|package|import)\s")),
-            "go": braces | ~blank,
-            "js": braces | F.rlike(line, F.lit(r"\(|^import\b|\b(?:class|interface|function)\b")),
-        },
-        ~blank,
-    )
+def _js_type(code: Column) -> Column:
+    return like(code, JS_CLASS) | (F.col("language").isin("typescript", "tsx") & like(code, JS_INTERFACE))
 
 
-def _closed(text: Column) -> Column:
-    """Whether a head ends in these lines: its argument list, or its name and what follows, and then a body or an end."""
-    listed = F.rlike(text, F.lit(rf"^[^(]*+\({_ARGS}\)[^{{;:\n]*+(?:[{{;:\n]|\n\s*+[^\s])"))
-    return F.when(F.startswith(text, F.lit("import")) | F.startswith(text, F.lit("from")), F.rlike(text, F.lit(r"[;)]|['\"]\s*+\n"))).when(
-        F.rlike(text, F.lit(r"\A[^(\n]*" + HEADED)), F.contains(text, F.lit("{"))
-    ).otherwise(listed)
+#: Whether a head, which begins with its first word, declares a type; by family.
+IS_TYPE = {
+    "java": lambda c: like(c, r"\b(?:class|interface|enum|record)\s") & like(c, JAVA_TYPE) & F.endswith(c, F.lit("{")),
+    "python": lambda c: F.startswith(c, F.lit("class")) & like(c, PYTHON_TYPE),
+    "go": lambda c: F.startswith(c, F.lit("type")) & like(c, GO_TYPE),
+    "js": _js_type,
+    "generic": lambda c: like(c, _KIND),
+}
 
 
-def declaring_lines(files: DataFrame) -> DataFrame:
-    """Lines that declare something or move the depth, with their ``tag`` and, where they may begin a
-    declaration, its whole head (``sig``, ``raw_sig``: as many lines as it takes if the head is
-    not closed on its own), the decorators above it and its comment."""
-    df = _blanked(files).withColumn("guessed", texts.guess_package(F.col("relative_path")))
-    raw, coded = F.col("raw_lines"), F.col("code_lines")
-    is_headed = F.col("family").isin("java", "js")
+def _receiver(code: Column) -> Column:
+    words = F.split(F.btrim(get(code, GO_METHOD, 2), F.lit(" ")), r"\s+")
+    return F.ltrim(F.regexp_replace(F.element_at(words, -1), r"\[.*$", ""), F.lit("*"))
 
-    def mark(line: Column, i: Column) -> Column:
-        return F.when(_may_matter(line), F.struct(i.alias("i"), line.alias("code"), _hinted(line).alias("hinted")))
 
-    df = df.withColumn("marks", F.filter(F.transform("code_lines", mark), lambda m: m.isNotNull()))
+def _go_key(code: Column) -> Column:
+    """The name under which a Go type and its methods meet."""
+    named = F.coalesce(F.nullif(get(code, GO_TYPE, 1), F.lit("")), F.nullif(get(code, GO_SPEC, 1), F.lit("")))
+    return F.when(F.startswith(code, F.lit("func")), F.when(like(code, GO_METHOD), _receiver(code))).when(like(code, r"^type\s"), get(code, GO_TYPE, 1)).otherwise(named)
 
-    def head(m: Column) -> Column:
-        line, i = m["code"], m["i"]
-        open_head = (
-            (_excess(line, "(", ")") > 0)
-            | (is_headed & ~F.contains(line, F.lit("{")) & F.rlike(line, F.lit(HEADED)))
-            | (F.startswith(line, F.lit("import")) & (_excess(line, "{", "}") > 0))
-        )
-        whole = m["hinted"] & open_head
-        first, second, most = HEAD_LINES
-        within = lambda n: _closed(F.array_join(F.slice(coded, i + 1, n), "\n"))
-        span = F.when(within(first), first).when(within(second), second).otherwise(most)
-        near = F.array_join(F.slice(raw, F.greatest(i - 8, F.lit(1)), F.least(i, F.lit(9))), "\n")
-        above = F.when(m["hinted"] & F.contains(near, F.lit("@")), _decorators_above(raw, i))
-        commented = m["hinted"] & F.rlike(line, F.lit(HEADED + r"|^type\s"))
-        comment = (
-            F.when(F.col("family").isin("java", "go") & commented, _comment_above(raw, i - F.coalesce(above["reach"], F.lit(0))))
-            .when((F.col("family") == "python") & F.startswith(line, F.lit("class ")), _docstring_below(raw, i))
-        )
-        return F.struct(
-            (i + 1).alias("line_no"), line.alias("code"), F.get(raw, i).alias("raw"), m["hinted"].alias("hinted"),
-            F.when(whole, F.array_join(F.slice(coded, i + 1, span), "\n")).otherwise(line).alias("sig"),
-            F.when(whole, F.array_join(F.slice(raw, i + 1, span), "\n")).otherwise(F.get(raw, i)).alias("raw_sig"),
-            above.alias("above"), comment.alias("docstring"),
+
+def _generic_functions(code: Column) -> Column:
+    return F.filter(F.regexp_extract_all(code, F.lit(_CALLABLE), F.lit(1)), lambda n: ~n.isin(*fv.GENERIC_NOT_FUNCTIONS))
+
+
+#: Whether a head declares a function; by family.
+IS_FUNCTION = {
+    "java": lambda c: F.contains(c, F.lit("(")) & like(c, JAVA_FUNCTION),
+    "python": lambda c: like(c, PYTHON_FUNCTION),
+    "go": lambda c: F.startswith(c, F.lit("func")) & (like(c, GO_METHOD) | like(c, GO_FUNCTION)),
+    "js": lambda c: F.contains(c, F.lit("(")) & like(c, JS_FUNCTION),
+    "generic": lambda c: F.size(_generic_functions(c)) > 0,
+}
+
+
+def declaring(files: DataFrame) -> DataFrame:
+    """One row for each statement of the file's own or of a type's: its head, as it is and blanked, what stands before it,
+    its numbers, and the head of the type around it."""
+    kinds = {"go": {st.GROUP: lambda c: like(c, GO_GROUP), st.OWN: lambda c: F.startswith(c, F.lit("func")) & like(c, GO_FUNCTION), st.SPEC: lambda c: like(c, GO_SPEC)}}
+    df = st.statements(files, IS_TYPE, kinds, {"go": _go_key}).withColumn("guessed", texts.guess_package(F.col("relative_path")))
+    family = F.col("family")
+    packages = F.filter("heads", lambda h: F.startswith(h, F.lit("package ")))
+    package = F.when(family.isin("java", "go"), F.nullif(get(F.get(packages, F.lit(0)), JAVA_PACKAGE, 1), F.lit("")))
+
+    def first_free(f: str) -> Column:
+        """Place of the first function outside all blocks."""
+        free = lambda h, i: F.when(((st.number(i, st.PARENT) == st.TOP) | F.lit(f == "generic")) & IS_FUNCTION[f](h), i)
+        return F.array_min(F.transform("heads", free))
+
+    free = {f: first_free(f) for f in ("python", "js", "generic")}
+    df = df.withColumns(
+        {"package": F.coalesce(package, "guessed"), "n_types": st.count_of_types(), "first_free": F.when(st.count_of_types() == 0, choose(family, free))}
+    )
+
+    def row(h: Column, i: Column) -> Column:
+        around = st.number(i, st.PARENT)
+        group = F.when(around < st.INSIDE, F.get("heads", st.FIRST_GROUP - around))
+        worth = (around != st.INSIDE) & ~like(h, r"^[\s{};)]*+$")
+        return F.when(
+            worth,
+            F.struct(
+                i.alias("i"), h.alias("code"), F.get("raw_heads", i).alias("raw"), F.get("before", i).alias("before"),
+                st.number(i, st.LINE).alias("line_no"), st.number(i, st.END).alias("end_line"), st.number(i, st.NUMBER).alias("number"),
+                F.when(around >= 0, F.get("heads", around)).alias("around"), group.alias("group"),
+                F.when((family == "python") & F.startswith(h, F.lit("class")), F.get("raw_heads", i + 1)).alias("below"),
+            ),
         )
 
-    df = df.withColumn("heads", F.transform("marks", head))
+    df = df.withColumn("rows", F.filter(F.transform("heads", row), lambda r: r.isNotNull()))
+    # The outer form keeps Spark from computing the rows twice for an inferred size filter; a file's arrays stay behind.
+    slim = ("relative_path", "language", "family", "package", "n_lines", "n_types", "first_free")
+    return df.select(*slim, F.inline_outer("rows")).filter(F.col("i").isNotNull())
+
 
-    def tagged(h: Column) -> Column:
-        return F.struct(*[h[c].alias(c) for c in HEAD_FIELDS], _tag(h).alias("tag"))
+def _comment(before: Column, whole: Column) -> Column:
+    """Text of the comment that ends right above a head, without its markers; ``whole`` if nothing stands above."""
+    lines = F.when(whole, F.concat(F.lit("\n"), before)).otherwise(before)
+    pattern = r"(?s)\n([ \t]*+(?:/\*(?:[^*]++|\*(?!/))*+\*/[ \t\r]*+\n)?+(?:[ \t]*+(?://|#)[^\n]*+\n)*+)[ \t]*+\z"
+    one = lambda x: F.when(like(x, "^(?://|#)"), F.ltrim(x, F.lit("#/ "))).otherwise(x)
+    found = F.transform(F.split(F.btrim(get(lines, pattern, 1), F.lit("\r\n")), "\n"), lambda x: one(F.btrim(x, F.lit(" \t\r"))))
+    text = F.replace(F.replace(F.array_join(found, "\n"), F.lit("/**"), F.lit("")), F.lit("*/"), F.lit(""))
+    bare = F.regexp_replace(F.regexp_replace(text, r"/\*", ""), r"(?m)^\*+ ?", "")
+    return F.btrim(bare, F.lit(" \t\n"))
 
-    def matters(t: Column) -> Column:
-        depth = F.contains(t["code"], F.lit("{")) | F.contains(t["code"], F.lit("}"))
-        return t["tag"].isNotNull() | F.when(F.col("family") == "python", True).when(F.col("family") == "generic", False).otherwise(depth)
 
-    df = df.withColumn("rows", F.filter(F.transform("heads", tagged), matters))
-    # The outer form keeps Spark from computing the rows twice for an inferred size filter.
-    return df.select(
-        "relative_path", "language", "family", "guessed", F.size("raw_lines").alias("n_lines"), F.inline_outer("rows")
-    ).filter(F.col("line_no").isNotNull())
+def _docstring(below: Column) -> Column:
+    """The string that a Python class body begins with."""
+    long = "|".join(rf"{q * 3}((?:[^{q}\\]++|\\.|{q}(?!{q}{q}))*+){q * 3}" for q in "\"'")
+    short = "|".join(rf"{q}([^{q}\\\n]*+(?:\\.[^{q}\\\n]*+)*+){q}" for q in "\"'")
+    pattern = rf"(?s)\A\s*+[rRuUbB]{{0,2}}(?:{long}|{short})"
+    text = F.coalesce(below, F.lit(""))
+    return F.btrim(F.concat(*[get(text, pattern, g) for g in range(1, 5)]), F.lit(" \t\n"))
 
 
-# --- one line -> what it declares ---------------------------------------------------------------
+# --- one statement -> what it declares -----------------------------------------------------------
 
 
 def _split_list(text: Column, pattern: str) -> Column:
     return F.filter(F.transform(F.split(text, pattern, -1), lambda p: F.btrim(p, F.lit(" \t\n"))), lambda p: p != "")
 
 
-def _like(c: Column, p: str) -> Column:
-    return F.rlike(c, F.lit(p))
+def _names_of(code: Column, begin: Column) -> Column:
+    """Names of a Java field's declarators; ``begin`` is the text up to the first one."""
+    rest = F.substr(code, F.length(begin) + 1)
+    for pair in (r"\([^()]*+\)", r"\([^()]*+\)", r"<[^<>()=;]*+>", r"<[^<>()=;]*+>", r"\[[^\[\]]*+\]"):
+        rest = F.regexp_replace(rest, pair, "")
+    return F.filter(F.transform(F.split(rest, ","), lambda x: get(x, r"^\s*+([\w$]+)", 1)), lambda x: x != "")
 
 
-def _tag(h: Column) -> Column:
-    """What a line declares, if anything; ``h`` has its code, its head and whether it was hinted."""
-    code, sig, raw, hinted = h["code"], h["sig"], h["raw"], h["hinted"]
-    called = hinted & F.contains(sig, F.lit("("))
-    typescript = F.col("language").isin("typescript", "tsx")
-    bare = F.ltrim(code)
+def _tag() -> Column:
+    """What a statement declares, if anything."""
+    code, raw, family = F.col("code"), F.col("raw"), F.col("family")
+    types = {f: test(code) for f, test in IS_TYPE.items()}
+    functions = {f: test(code) for f, test in IS_FUNCTION.items()}
+    outside, grouped = F.col("around").isNull() & F.col("group").isNull(), F.col("group").isNotNull()
     java = (
-        F.when(hinted & _like(code, HEADED) & _like(sig, JAVA_TYPE), "type")
-        .when(called & _like(sig, JAVA_FUNCTION), "function")
-        .when(F.startswith(bare, F.lit("import ")), "import")
-        .when(F.startswith(bare, F.lit("package ")), "package")
-        .when(~hinted & _like(code, JAVA_FIELD), "field")
-    )
-    python = (
-        F.when(hinted & _like(sig, PYTHON_TYPE), "type")
-        .when(hinted & _like(sig, PYTHON_FUNCTION), "function")
-        .when(_like(code, r"^(?:import|from)\s"), "import")
+        F.when(types["java"], "type")
+        .when(~outside & functions["java"], "function")
+        .when(outside & like(code, r"^import\s"), "import")
+        .when(~outside & like(code, JAVA_FIELD), "field")
     )
+    python = F.when(types["python"], "type").when(functions["python"], "function").when(outside & like(code, r"^(?:import|from)\s"), "import")
     go = (
-        F.when(hinted & _like(code, GO_TYPE), "type")
-        .when(hinted & _like(sig, GO_METHOD), "method")
-        .when(hinted & _like(sig, GO_FUNCTION), "function")
-        .when(F.startswith(code, F.lit("package ")), "package")
-        .when(F.contains(raw, F.lit('"')) & _like(raw, GO_IMPORT) & ~_like(code, r"[{}=:,]"), "import")
-        .when(_like(code, GO_FIELD), "field")
+        F.when(outside & types["go"], "type")
+        .when(grouped & F.startswith(F.col("group"), F.lit("type")) & like(code, GO_SPEC), "type")
+        .when(outside & like(code, GO_METHOD), "method")
+        .when(outside & like(code, GO_FUNCTION), "function")
+        .when((outside & like(code, r"^import\s*+[^\s(]")) | (grouped & F.startswith(F.col("group"), F.lit("import")) & F.contains(raw, F.lit('"'))), "import")
+        .when(~outside & ~grouped & like(code, GO_FIELD), "field")
     )
     js = (
-        F.when(hinted & _like(code, JS_CLASS), "type")
-        .when(hinted & typescript & _like(code, JS_INTERFACE), "type")
-        .when(called & _like(sig, JS_FUNCTION), "function")
-        .when(called & _like(sig, JS_METHOD), "method")
-        .when(_like(code, r"^import\b(?!\s*\()"), "import")
+        F.when(outside & types["js"], "type")
+        .when(outside & functions["js"], "function")
+        .when(~outside & F.contains(code, F.lit("(")) & like(code, JS_METHOD), "method")
+        .when(outside & like(code, r"^import\b(?!\s*\()"), "import")
     )
-    generic = F.when(_like(code, _KIND), "type").when(F.size(_generic_functions(code)) > 0, "function")
-    return choose(F.col("family"), {"java": java, "python": python, "go": go, "js": js}, generic)
-
-
-# A language without rules of its own: a type is a kind's word and the word after it; a function is a word between
-# another word, or the end of its type, and an opening bracket.
-_KIND = rf"\b({'|'.join(fv.GENERIC_TYPE_KINDS)})\s+(\w+)"
-_CALLABLE = r"(?<=[\w>\]])\s+(\w+)\s*\("
+    generic = F.when(types["generic"], "type").when(functions["generic"], "function")
+    return choose(family, {"java": java, "python": python, "go": go, "js": js}, generic)
 
 
-def _generic_functions(code: Column) -> Column:
-    return F.filter(F.regexp_extract_all(code, F.lit(_CALLABLE), F.lit(1)), lambda n: ~n.isin(*fv.GENERIC_NOT_FUNCTIONS))
-
-
-def tag_lines(files: DataFrame) -> DataFrame:
-    """The declaring lines as slim rows: depth changes for all, the parts of a declaration (``d``) for tagged ones."""
-    df = declaring_lines(files)
-    family, sig, raw_sig, code, raw, tag = (F.col(c) for c in ("family", "sig", "raw_sig", "code", "raw", "tag"))
+def _type_name(family: Column, code: Column) -> Column:
+    go = F.coalesce(F.nullif(get(code, GO_TYPE, 1), F.lit("")), get(code, GO_SPEC, 1))
+    js = F.when(like(code, JS_CLASS), get(code, JS_CLASS, 1)).otherwise(get(code, JS_INTERFACE, 1))
+    return choose(family, {"java": get(code, JAVA_TYPE, 3), "python": get(code, PYTHON_TYPE, 1), "go": go, "js": js}, get(code, _KIND, 2))
 
-    def like(c: Column, p: str) -> Column:
-        return _like(c, p)
 
-    def get(c: Column, p: str, g: int) -> Column:
-        return F.regexp_extract(c, p, g)
-
-    def without(chars: str) -> Column:
-        return F.octet_length(code) - F.octet_length(F.translate(code, chars, ""))
-
-    opens = F.when(family == "python", without("([{")).when(family == "generic", 0).otherwise(without("{"))
-    closes = F.when(family == "python", without(")]}")).when(family == "generic", 0).otherwise(without("}"))
+def resolve(rows: DataFrame) -> DataFrame:
+    """The declaring statements as slim rows: what each declares, its lines, and the type that it belongs to."""
+    df = rows.withColumn("tag", _tag()).filter(F.col("tag").isNotNull())
+    family, sig, raw, code, tag = (F.col(c) for c in ("family", "code", "raw", "code", "tag"))
 
     def of(cases: dict[tuple[str, str], Column]) -> Column:
         case = F
@@ -378,9 +279,9 @@ def tag_lines(files: DataFrame) -> DataFrame:
             case = case.when((family == fam) & (tag == t), column)
         return case
 
-    # The argument text is cut from the raw head at the place and length found in the blanked one.
+    # The argument text is cut from the head as it is, at the place and length found in the blanked one.
     def arguments(p: str, group: int) -> Column:
-        return F.substr(raw_sig, F.length(get(sig, p, 1)) + 1, F.length(get(sig, p, group)))
+        return F.substr(raw, F.length(get(sig, p, 1)) + 1, F.length(get(sig, p, group)))
 
     args = of({
         ("java", "function"): arguments(JAVA_FUNCTION, 5), ("python", "function"): arguments(PYTHON_FUNCTION, 4),
@@ -413,20 +314,22 @@ def tag_lines(files: DataFrame) -> DataFrame:
         ("go", "method"): F.when(like(get(sig, GO_METHOD, 3), r"^\p{Lu}"), "public").otherwise("private"),
         ("go", "function"): F.when(like(get(sig, GO_FUNCTION, 2), r"^\p{Lu}"), "public").otherwise("private"),
     })
-    inline_notes = F.when(
-        family.isin("java", "js") & like(code, r"^\s*@"), F.regexp_extract_all(get(raw, rf"^\s*{_NOTES}", 0), F.lit(r"@[\w.]+(?:\([^)]*\))?"), F.lit(0))
-    ).otherwise(no_text)
-    receiver_words = F.split(F.btrim(get(sig, GO_METHOD, 2), F.lit(" ")), r"\s+")
-    whole_head = F.when(family == "java", get(sig, JAVA_FUNCTION, 0)).otherwise("")
+    noted = {"java": F.when(F.startswith(code, F.lit("@")), get(raw, _JAVA_NOTED, 0)), "js": F.col("before"), "python": F.col("before")}
+
+    def notes(fam: str) -> Column:
+        found = F.regexp_extract_all(noted[fam], F.lit(_NOTE_RAW[fam]), F.lit(0))
+        return F.transform(F.filter(found, lambda x: F.startswith(x, F.lit("@"))), lambda x: F.btrim(x, F.lit(st.WHITE)))
+
+    decorators = F.when(F.contains(F.concat("before", F.substring("raw", 1, 1)), F.lit("@")), choose(family, {f: notes(f) for f in noted}))
+    go_named = F.concat(get(code, GO_TYPE, 2), F.when(F.col("group").isNotNull(), get(code, GO_SPEC, 2)).otherwise(""))
     parts = F.struct(
         of({
             ("java", "type"): F.when(java_kind == "@interface", "interface").otherwise(java_kind), ("python", "type"): F.lit("class"),
-            ("go", "type"): F.when(get(code, GO_TYPE, 2) == "interface", "interface").otherwise("struct"),
+            ("go", "type"): F.when(go_named == "interface", "interface").otherwise("struct"),
             ("go", "function"): F.lit("function"),
             ("js", "type"): F.when(like(code, JS_CLASS), "class").otherwise("interface"),
             ("generic", "type"): get(code, _KIND, 1),
         }).alias("kind"),
-        F.when(family == "generic", _generic_functions(code)).alias("fn_names"),
         of({
             ("java", "function"): get(sig, JAVA_FUNCTION, 3), ("java", "field"): get(code, JAVA_FIELD, 2),
             ("python", "function"): get(sig, PYTHON_FUNCTION, 5), ("go", "field"): get(code, GO_FIELD, 2),
@@ -434,176 +337,68 @@ def tag_lines(files: DataFrame) -> DataFrame:
         }).alias("type_text"),
         F.coalesce(_split_list(args, r",(?![^<(]*[>)])"), no_text).alias("parameters"),
         F.filter(F.split(F.btrim(F.coalesce(modifiers, F.lit("")), F.lit(" \t\n")), r"\s+"), lambda m: m != "").alias("modifiers"),
-        F.concat(F.coalesce("above.found", no_text), inline_notes).alias("decorators"),
-        F.coalesce("above.reach", F.lit(0)).alias("reach"),
-        F.coalesce("docstring", F.lit("")).alias("docstring"),
+        F.coalesce(decorators, no_text).alias("decorators"),
+        F.coalesce(
+            F.when(tag == "type", choose(family, {"java": _comment(F.col("before"), F.col("i") == 0), "go": _comment(F.col("before"), F.col("i") == 0), "python": _docstring(F.col("below"))})),
+            F.lit(""),
+        ).alias("docstring"),
         F.coalesce(superclass, F.lit("")).alias("superclass"),
         F.coalesce(interfaces, no_text).alias("interfaces"),
         of({
             ("java", "import"): F.array(get(raw, JAVA_IMPORT, 1)),
-            ("python", "import"): F.array(get(raw_sig, PYTHON_IMPORT, 0)),
-            ("js", "import"): F.array(F.btrim(get(raw_sig, JS_IMPORT, 0))),
-            ("go", "import"): F.when(like(code, r"^\s*import\b"), F.regexp_extract_all(raw, F.lit(r'(?:[\w.]+\s+)?"[^"]*"'), F.lit(0)))
-            .otherwise(F.array(F.btrim(raw, F.lit(" \t")))),
+            ("python", "import"): F.array(get(raw, PYTHON_IMPORT, 0)),
+            ("js", "import"): F.array(F.btrim(get(raw, JS_IMPORT, 0))),
+            ("go", "import"): F.regexp_extract_all(raw, F.lit(r'(?:(?!import\b)[\w.]+\s+)?"[^"]*"'), F.lit(0)),
         }).alias("import_texts"),
-        # What ends a head (a body, a semicolon, or neither on its last line) and how many lines it takes.
-        of({("java", "function"): get(sig, JAVA_FUNCTION, 6)}).alias("terminator"),
-        texts.newline_count(F.btrim(whole_head, F.lit("\n"))).alias("head_lines"),
-    )
-    return df.select(
-        "relative_path", "language", "family", "guessed", "n_lines", "line_no", "tag",
-        F.when(family == "python", F.length(get(code, r"^[ \t]*", 0))).otherwise(0).alias("indent"),
-        opens.cast("int").alias("opens"),
-        closes.cast("int").alias("closes"),
-        F.startswith(F.ltrim(code), F.lit(STRING_END)).alias("in_string"),
-        of({
-            ("java", "type"): get(sig, JAVA_TYPE, 3), ("java", "function"): get(sig, JAVA_FUNCTION, 4),
-            ("java", "field"): get(code, JAVA_FIELD, 3), ("java", "package"): get(code, JAVA_PACKAGE, 1),
-            ("python", "type"): get(sig, PYTHON_TYPE, 1), ("python", "function"): get(sig, PYTHON_FUNCTION, 3),
-            ("go", "type"): get(code, GO_TYPE, 1), ("go", "method"): get(sig, GO_METHOD, 3),
-            ("go", "function"): get(sig, GO_FUNCTION, 2), ("go", "package"): get(code, GO_PACKAGE, 1),
-            ("go", "field"): get(code, GO_FIELD, 1),
-            ("js", "type"): F.when(like(code, JS_CLASS), get(code, JS_CLASS, 1)).otherwise(get(code, JS_INTERFACE, 1)),
-            ("js", "function"): get(sig, JS_FUNCTION, 2), ("js", "method"): get(sig, JS_METHOD, 3),
-            ("generic", "type"): get(code, _KIND, 2),
-        }).alias("name"),
-        of({("go", "method"): F.ltrim(F.regexp_replace(F.element_at(receiver_words, -1), r"\[.*$", ""), F.lit("*"))}).alias("receiver"),
-        F.when(tag.isNotNull() & (tag != "package"), parts).alias("d"),
-    )
-
-
-HEAD_FIELDS = ("line_no", "code", "raw", "sig", "raw_sig", "above", "docstring")
-NO_TEXTS = "cast(array() as array<string>)"
-BLANKS = " \t\x0b\x0c\r"
-
-
-# --- windows over the lines of a file -----------------------------------------------------------
-
-
-def resolve(tagged: DataFrame) -> DataFrame:
-    """Depth, owner, block end and type number of every tagged line.
-
-    One shuffle by file and three sorts within it: by line, by (level, line), by line again.
-    """
-    by_file = Window.partitionBy("relative_path")
-    down = by_file.orderBy("line_no")
-    so_far = down.rowsBetween(Window.unboundedPreceding, 0)
-    family, tag, name = F.col("family"), F.col("tag"), F.col("name")
-    opens, closes, kind = F.col("opens"), F.col("closes"), F.col("d.kind")
-    python, generic = family == "python", family == "generic"
-
-    # Window columns of one ordering are added together: each group is one pass over the sorted rows.
-    df = tagged.withColumns(
-        {"depth_after": F.sum(opens - closes).over(so_far), "prev_line": F.lag("line_no").over(down)}
-    )
-    depth = F.col("depth_after") - opens + closes
-    # In Python a line inside brackets or a string has no indentation of its own.
-    inner = python & ((depth > 0) | F.col("in_string"))
-    top = F.when(python, (F.col("indent") == 0) & ~inner).when(generic, F.lit(True)).otherwise(depth == 0)
-    df = df.withColumns(
-        {"depth": depth, "inner": inner, "top": top, "is_type": F.coalesce((tag == "type") & top, F.lit(False))}
-    )
-    df = df.withColumns(
-        {
-            "type_no": (F.sum(F.col("is_type").cast("int")).over(so_far) - 1).cast("int"),
-            "body_indent": F.expr(
-                "lead(if(inner, null, indent)) ignore nulls over (partition by relative_path order by line_no)"
-            ),
-        }
-    )
-    df = df.withColumns(
-        {
-            "has_types": F.max("is_type").over(by_file),
-            "last_line": F.max("line_no").over(by_file),
-            "package": F.coalesce(F.max(F.when(tag == "package", name)).over(by_file), "guessed"),
-        }
-    )
-    df = attach_receivers(df)
-
-    # Lines that open are filed under the depth before them, others under the depth after, Python lines
-    # under their indentation: the next line in the same file ends what this one began.
-    df = df.withColumn(
-        "level",
-        F.when(python, F.when(F.col("inner"), -1).otherwise(F.col("indent"))).when(opens > closes, F.col("depth")).otherwise(F.col("depth_after")),
-    )
-    beside = Window.partitionBy("relative_path", "level").orderBy("line_no")
-    line = F.struct("line_no", "prev_line", "opens", "closes")
-    df = df.withColumns({"next1": F.lead(line, 1).over(beside), "next2": F.lead(line, 2).over(beside)})
-    one_line = (opens == closes) & (opens > 0)
-    later = F.when(F.col("next1.opens") == F.col("next1.closes"), F.col("next1.line_no")).otherwise(F.col("next2.line_no"))
-    bodiless = (F.col("d.terminator") == ";") | ((family == "go") & (tag == "type") & (kind != "interface") & (opens == 0))
-    brace_end = (
-        F.when(one_line, F.col("line_no"))
-        .when(opens > closes, F.col("next1.line_no"))
-        .when(F.coalesce(bodiless, F.lit(False)), F.col("line_no") + F.col("d.head_lines"))
-        .otherwise(later)
-    )
-    df = df.withColumn(
-        "end_line",
-        F.when(generic, F.col("line_no"))
-        .when(python, F.coalesce("next1.prev_line", "last_line"))
-        .otherwise(F.coalesce(brace_end, F.col("n_lines"))),
-    ).drop("next1", "next2", "level")
-
-    # The owner is the last type above; in Python any other top-level line ends it.
-    scope = F.struct(
-        F.col("is_type").alias("valid"), "name", kind.alias("kind"), "type_no", "line_no", "end_line",
-        F.when(python, F.col("body_indent")).otherwise(0).alias("body_indent"),
     )
-    df = df.withColumn("scope", F.last(F.when(F.col("is_type") | (python & F.col("top")), scope), ignorenulls=True).over(so_far))
-    open_scope = F.col("scope.valid") & (generic | python | (F.col("line_no") <= F.col("scope.end_line")))
-    df = df.withColumn("scope", F.when(open_scope, F.col("scope")))
-    df = df.withColumn(
-        "end_line", F.when(python & ~F.col("top"), F.least("end_line", "scope.end_line")).otherwise(F.col("end_line"))
-    )
-
-    # Where the line stands: a member of its type, on the module level, or neither.
-    member = F.col("scope").isNotNull() & (
-        F.when(python, ~F.col("inner") & ~F.col("top") & (F.col("indent") == F.col("scope.body_indent")))
-        .when(generic, F.lit(True))
-        .otherwise((F.col("depth") == 1) & (F.col("line_no") > F.col("scope.line_no")))
+    names = of({
+        ("java", "function"): F.array(get(sig, JAVA_FUNCTION, 4)), ("java", "field"): _names_of(code, get(code, JAVA_FIELD_TYPE, 0)),
+        ("python", "function"): F.array(get(sig, PYTHON_FUNCTION, 3)),
+        ("go", "method"): F.array(get(sig, GO_METHOD, 3)), ("go", "function"): F.array(get(sig, GO_FUNCTION, 2)),
+        ("go", "field"): F.split(get(code, GO_FIELD, 1), r"\s*,\s*"),
+        ("js", "function"): F.array(get(sig, JS_FUNCTION, 2)), ("js", "method"): F.array(get(sig, JS_METHOD, 3)),
+        ("generic", "function"): _generic_functions(code), ("generic", "type"): _generic_functions(code),
+    })
+    around = F.col("around")
+    owner = F.when(around.isNotNull(), _type_name(family, around)).when((family == "go") & (tag == "method"), _receiver(sig))
+    owner_kind = choose(family, {"js": F.when(like(around, JS_CLASS), "class"), "go": F.when(like(around, r"\bstruct\b"), "struct")}, F.lit("type"))
+    slim = ("relative_path", "language", "family", "package", "n_lines", "line_no", "end_line", "number", "tag")
+    df = df.select(
+        *slim, (F.col("i") == F.col("first_free")).alias("is_first_free"), (F.col("n_types") > 0).alias("has_types"),
+        around.isNull().alias("outside"), owner.alias("owner"), F.when(around.isNotNull(), owner_kind).alias("owner_kind"),
+        F.when(tag == "type", _type_name(family, code)).alias("name"), names.alias("names"), parts.alias("d"),
     )
-    df = df.withColumn("member", F.coalesce(member, F.lit(False)))
     # A bare ``name(...)`` is a constructor only under its type's name.
-    of_type = F.col("member") & (
-        ((family == "java") & (tag == "function") & ((F.col("d.type_text") != "") | (name == F.col("scope.name"))))
-        | (python & (tag == "function"))
-        | ((family == "js") & (tag == "method") & (F.col("scope.kind") == "class"))
-        | (generic & (F.size("d.fn_names") > 0))
+    outside, first_name = F.col("outside"), F.get("names", F.lit(0))
+    member = ~outside & (
+        ((family == "java") & (tag == "function") & ((F.col("d.type_text") != "") | (first_name == F.col("owner"))))
+        | ((family == "python") & (tag == "function"))
+        | ((family == "js") & (tag == "method") & (F.col("owner_kind") == "class"))
+        | ((family == "generic") & (F.size("names") > 0))
     )
-    free = F.col("top") & (tag == "function") & ~F.col("has_types") & family.isin("python", "js", "generic")
-    df = df.withColumn(
-        "role",
-        F.when(F.coalesce(of_type, F.lit(False)), "member")
-        .when(F.coalesce((tag == "method") & F.col("receiver_type").isNotNull(), F.lit(False)), "received")
-        .when(F.coalesce((family == "go") & (tag == "function") & F.col("top"), F.lit(False)), "own")
-        .when(F.coalesce(free, F.lit(False)), "module"),
+    role = (
+        F.when(member, "member")
+        .when((family == "go") & (tag == "method") & (F.col("number") >= 0), "received")
+        .when((family == "go") & (tag == "function"), "own")
+        .when(outside & (tag == "function") & ~F.col("has_types") & family.isin("python", "js", "generic"), "module")
     )
-    first_module = F.min(F.when(F.col("role") == "module", F.col("line_no"))).over(by_file)
-    return df.withColumn("opens_module", F.coalesce((F.col("role") == "module") & (F.col("line_no") == first_module), F.lit(False)))
+    return df.withColumn("role", role).withColumn("opens_module", F.coalesce((F.col("role") == "module") & F.col("is_first_free"), F.lit(False)))
 
 
-def attach_receivers(df: DataFrame) -> DataFrame:
-    """Go methods to the first type their receiver names in the same file, null if there is none: types and methods
-    meet under the name, within the file's own partition."""
-    is_type = (F.col("family") == "go") & F.col("is_type")
-    under = F.when(is_type, F.col("name")).otherwise(F.col("receiver"))
-    first = F.min(F.when(is_type, F.struct("type_no", "name"))).over(Window.partitionBy("relative_path", "_under"))
-    found = df.withColumn("_under", under).withColumn("_type", first)
-    receiver_type = F.when(F.col("receiver").isNotNull(), F.struct("_type.name", "_type.type_no"))
-    named = F.col("_type").isNotNull()
-    return found.withColumn("receiver_type", F.when(named, receiver_type)).drop("_under", "_type")
+# --- the four tables ----------------------------------------------------------------------------
 
 
-# --- the four tables ----------------------------------------------------------------------------
+def resolved(files: DataFrame) -> DataFrame:
+    """The declaring statements of all files, from which ``tables`` and ``spans`` are read."""
+    return resolve(declaring(files))
 
 
 def declarations(files: DataFrame) -> Declared:
     """Types, functions, fields and imports of all files, whatever their language.
 
-    The four tables share one plan; ``persist`` the files' resolved lines if several are needed.
+    The four tables share one plan; write the files' resolved statements if several are needed.
     """
-    return tables(resolve(tag_lines(files)))
+    return tables(resolved(files))
 
 
 def module_name() -> Column:
@@ -611,51 +406,31 @@ def module_name() -> Column:
     return F.coalesce(F.nullif(last_part, F.lit("")), F.lit("module"))
 
 
-FIRST_OWN = 1 << 20  # functions that stand as types of their own are numbered after the types
-
-
 def _is_own() -> Column:
     return F.coalesce(F.col("role") == "own", F.lit(False))
 
 
-def _own_no() -> Column:
-    return (F.col("line_no") + FIRST_OWN).cast("int")
-
-
-def _start() -> Column:
-    """In Java a declaration begins at its first annotation."""
-    java = F.col("family") == "java"
-    return F.when(java, F.col("line_no") - F.coalesce("d.reach", F.lit(0))).otherwise(F.col("line_no")).cast("int")
+def _type_row() -> Column:
+    return (F.col("tag") == "type") | F.col("opens_module") | _is_own()
 
 
 def _type_columns() -> dict[str, Column]:
-    opens_module, own = F.col("opens_module"), _is_own()
+    opens_module = F.col("opens_module")
     return {
-        "type_no": F.when(opens_module, 0).when(own, _own_no()).otherwise(F.col("type_no")).cast("int"),
-        "name": F.when(opens_module, module_name()).otherwise(F.col("name")),
-        "start_line": F.when(opens_module, 1).otherwise(_start()).cast("int"),
-        "end_line": F.when(opens_module, F.col("n_lines")).otherwise(F.col("end_line")).cast("int"),
+        "type_no": F.when(opens_module, 0).otherwise(F.col("number")),
+        "name": F.when(opens_module, module_name()).when(_is_own(), F.get("names", F.lit(0))).otherwise(F.col("name")),
+        "start_line": F.when(opens_module, 1).otherwise(F.col("line_no")),
+        "end_line": F.when(opens_module, F.col("n_lines")).otherwise(F.col("end_line")),
     }
 
 
-def _type_row() -> Column:
-    return F.col("is_type") | F.col("opens_module") | _is_own()
-
-
 def _owner_no() -> Column:
-    role = F.col("role")
-    return (
-        F.when(role == "member", F.col("scope.type_no")).when(role == "received", F.col("receiver_type.type_no"))
-        .when(_is_own(), _own_no()).otherwise(0).cast("int")
-    )
-
-
-def _function_names() -> Column:
-    return F.when(F.col("family") == "generic", F.col("d.fn_names")).otherwise(F.array("name"))
+    return F.when(F.col("role") == "module", 0).otherwise(F.col("number"))
 
 
 def tables(resolved: DataFrame) -> Declared:
-    opens_module, role = F.col("opens_module"), F.col("role")
+    """Types (``outer`` names the type around one, '' for none), functions, fields and imports."""
+    opens_module, role, family = F.col("opens_module"), F.col("role"), F.col("family")
     t = _type_columns()
     types = resolved.filter(_type_row()).select(
         "relative_path", "language", t["type_no"].alias("type_no"), "package", t["name"].alias("name"),
@@ -664,28 +439,24 @@ def tables(resolved: DataFrame) -> Declared:
         F.when(opens_module, F.expr(NO_TEXTS)).otherwise(F.col("d.interfaces")).alias("interfaces"),
         F.when(opens_module, F.expr(NO_TEXTS)).otherwise(F.col("d.decorators")).alias("decorators"),
         F.when(opens_module, "").otherwise(F.col("d.docstring")).alias("docstring"),
+        F.coalesce(F.when(family != "generic", F.col("owner")), F.lit("")).alias("outer"),
         t["start_line"].alias("start_line"), t["end_line"].alias("end_line"),
     ).withColumn("fqn", texts.fqn(F.col("package"), F.col("name")))
 
     functions = resolved.filter(role.isNotNull()).select(
         "relative_path", "language", _owner_no().alias("type_no"),
-        F.when(role == "member", F.col("scope.name")).when(role == "received", F.col("receiver_type.name"))
-        .when(_is_own(), F.col("name")).otherwise(module_name()).alias("owner"),
-        F.when(F.col("family") == "generic", "").when(F.col("family") == "java", F.coalesce(F.nullif("d.type_text", F.lit("")), F.lit("void")))
+        F.when(role.isin("member", "received"), F.col("owner")).when(_is_own(), F.get("names", F.lit(0))).otherwise(module_name()).alias("owner"),
+        F.when(family == "generic", "").when(family == "java", F.coalesce(F.nullif("d.type_text", F.lit("")), F.lit("void")))
         .otherwise(F.coalesce("d.type_text", F.lit(""))).alias("return_type"),
-        "d.parameters", "d.decorators", "d.modifiers",
-        _start().alias("start_line"),
-        F.col("end_line").cast("int").alias("end_line"),
-        F.posexplode_outer(_function_names()).alias("place", "name"),
+        "d.parameters", "d.decorators", "d.modifiers", F.col("line_no").alias("start_line"), "end_line",
+        F.posexplode_outer("names").alias("place", "name"),
     ).withColumn("is_public", texts.is_public(F.col("modifiers"), F.col("name")))
 
-    field_owner = (F.col("family") == "java") | ((F.col("family") == "go") & (F.col("scope.kind") == "struct"))
-    fields = resolved.filter((F.col("tag") == "field") & F.col("member") & field_owner).select(
-        "relative_path", F.col("scope.type_no").alias("type_no"), F.col("scope.name").alias("owner"), "name",
-        F.col("d.type_text").alias("type"), "line_no",
-    )
-    imported = resolved.filter((F.col("tag") == "import") & (F.col("top") | (F.col("family") == "go")))
-    imports = imported.select(
+    field_owner = (family == "java") | ((family == "go") & (F.col("owner_kind") == "struct"))
+    fields = resolved.filter((F.col("tag") == "field") & field_owner).select(
+        "relative_path", F.col("number").alias("type_no"), "owner", F.col("d.type_text").alias("type"), "line_no", F.explode_outer("names").alias("name")
+    ).select("relative_path", "type_no", "owner", "name", "type", "line_no")
+    imports = resolved.filter(F.col("tag") == "import").select(
         "relative_path", "line_no", "family", F.posexplode_outer("d.import_texts").alias("place", "text")
     ).select(
         "relative_path", "line_no", "place",
@@ -695,33 +466,21 @@ def tables(resolved: DataFrame) -> Declared:
 
 
 def spans(resolved: DataFrame) -> DataFrame:
-    """Per file, its types in order with the lines of their functions: one pass over the resolved lines,
-    whose partitioning by file also serves this grouping. Bounded by the size of a file."""
-    t = _type_columns()
-    rows = resolved.filter(_type_row() | F.col("role").isNotNull()).select(
-        "relative_path",
-        F.when(_type_row(), F.struct(t["type_no"].alias("type_no"), t["name"].alias("name"), t["start_line"].alias("start"), t["end_line"].alias("end"))).alias("t"),
-        F.when(
-            F.col("role").isNotNull(),
-            F.transform(
-                _function_names(),
-                lambda n: F.struct(_owner_no().alias("type_no"), _start().alias("start"), F.col("end_line").cast("int").alias("end"), n.alias("name")),
-            ),
-        ).alias("f"),
-    )
-    by_file = rows.groupBy("relative_path").agg(
-        F.array_sort(F.collect_list("t")).alias("types"), F.array_sort(F.flatten(F.collect_list("f"))).alias("fns")
+    """Per file, its outermost types in order with the lines of their functions. One shuffle, by file: a type's functions
+    are gathered first, a file's types after."""
+    t, role = _type_columns(), F.col("role")
+    number = F.when(role == "module", 0).otherwise(F.col("number"))
+    is_type = _type_row() & (F.col("outside") | (F.col("family") == "generic"))
+    of_type = F.struct(t["name"].alias("name"), t["start_line"].alias("start"), t["end_line"].alias("end"))
+    line, end = F.col("line_no"), F.col("end_line")
+    of_functions = F.transform("names", lambda n: F.struct(line.alias("start"), end.alias("end"), n.alias("name")))
+    rows = resolved.filter(_type_row() | role.isNotNull()).select(
+        "relative_path", number.alias("type_no"), F.when(is_type, of_type).alias("t"), F.when(role.isNotNull(), of_functions).alias("f")
     )
-
-    def with_functions(x: Column) -> Column:
-        own = F.transform(
-            F.filter("fns", lambda f: f["type_no"] == x["type_no"]),
-            lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), f["name"].alias("name")),
-        )
-        return F.struct(*[x[c].alias(c) for c in ("type_no", "name", "start", "end")], own.alias("functions"))
-
-    return by_file.select("relative_path", F.transform("types", with_functions).alias("spans"))
+    by_type = rows.repartition("relative_path").groupBy("relative_path", "type_no").agg(F.max("t").alias("t"), F.array_sort(F.flatten(F.collect_list("f"))).alias("functions"))
+    span = F.struct("type_no", "t.name", "t.start", "t.end", "functions")
+    return by_type.filter(F.col("t").isNotNull()).groupBy("relative_path").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
 def file_spans(files: DataFrame) -> DataFrame:
-    return spans(resolve(tag_lines(files)))
+    return spans(resolved(files))

@@ -98,6 +98,18 @@ clean AS (
   SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text
   FROM ranked WHERE line <> '' OR blank_no <= 2 GROUP BY doc_id)"""
 
+# The files of types in types.
+NESTED = """
+nested AS (
+  SELECT *, CASE lang WHEN 'java' THEN 'src/main/java/com/shop/n' || m || '/Part' || k || '.java' WHEN 'python' THEN 'app' || m || '/python/shop/parts/part' || k || '.py'
+    WHEN 'go' THEN 'pkg/parts' || m || '/part' || k || '.go' ELSE 'web/lib/n' || m || '/part' || k || '.ts' END AS relative_path
+  FROM (SELECT p_partkey AS k, p_partkey % 20 AS m, p_size % 5 + 1 AS n, ['java', 'python', 'go', 'typescript'][p_partkey % 4 + 1] AS lang FROM part))"""
+_n = "' || chr(10) || '"
+_java_notes = f"""'@Service|@RequestMapping({_n}    value = "/parts#",{_n}    produces = {{"text/plain", "a;b"}}{_n})'"""
+_python_notes = f"""'@register({_n}    "part#",{_n}    kinds=["a", "b"],{_n})'"""
+_ts_notes = f"""'@Component({{{_n}  selector: ''part'', items: [''a;'', ''}}''],{_n}}})'"""
+
+
 ORACLES: dict[str, str] = {
     "file_inventory": f"""
 WITH {CODE}, {DOCS}, both_ AS (
@@ -482,6 +494,44 @@ SELECT relative_path, CASE lang WHEN 'ruby' THEN 'User' || k WHEN 'javascript' T
   CASE lang WHEN 'ruby' THEN 'm' WHEN 'rust' THEN 'calc' ELSE 'f' END || i AS name, s AS start_line,
   s + CASE lang WHEN 'python' THEN 1 WHEN 'javascript' THEN 2 ELSE 0 END AS end_line FROM placed
 UNION ALL SELECT relative_path, 'User' || k, 'ready', s + 1, s + 1 FROM placed WHERE lang = 'ruby'""",
+    "nested_types": f"""
+WITH {NESTED} SELECT relative_path, replace(name, '#', k::VARCHAR) AS name, kind, CASE WHEN inner_ THEN 'Part' || k ELSE '' END AS outer,
+  CASE lang WHEN 'java' THEN 'com.shop.n' || m || '.' WHEN 'python' THEN 'shop.parts.' WHEN 'go' THEN 'parts' || m || '.' ELSE 'n' || m || '.' END
+    || replace(name, '#', k::VARCHAR) AS fqn,
+  docstring, replace(decorators, '#', k::VARCHAR) AS decorators, CASE WHEN lang = 'java' AND NOT inner_ THEN 'service' ELSE '' END AS role, s + sn * n AS start_line, e + en * n AS end_line
+FROM nested JOIN (VALUES
+  ('java', 'Part#', 'class', false, 'Lots of one part.', {_java_notes}, 6, 0, 17, 4), ('java', 'Lot', 'class', true, '', '', 13, 0, 13, 0),
+  ('java', 'State', 'enum', true, '', '', 15, 0, 15, 0), ('python', 'Part#', 'class', false, 'Lots of one part.', {_python_notes}, 5, 0, 11, 5),
+  ('python', 'Lot', 'class', true, '', '', 7, 0, 11, 0), ('go', 'Part#', 'struct', false, 'Part is one of them.', '', 6, 0, 9, 0),
+  ('go', 'Lister#', 'interface', false, '', '', 10, 0, 10, 0), ('go', 'Count#', 'struct', false, '', '', 11, 0, 11, 0),
+  ('go', 'free#', 'function', false, '', '', 14, 1, 14, 1), ('typescript', 'Part#', 'class', false, '', {_ts_notes}, 4, 0, 7, 2)
+) v(lang, name, kind, inner_, docstring, decorators, s, sn, e, en) USING (lang)""",
+    "nested_functions": f"""
+WITH {NESTED}, fixed AS (
+  SELECT relative_path, replace(owner, '#', k::VARCHAR) AS owner, replace(name, '#', k::VARCHAR) AS name, ret AS return_type, params AS parameters, '' AS decorators,
+    s + sn * n AS start_line, s + el + sn * n AS end_line
+  FROM nested JOIN (VALUES ('java', 'Part#', 'reset', 'void', '', 11, 0, 0), ('java', 'Lot', 'id', 'long', '', 13, 0, 0), ('java', 'State', 'open', 'boolean', '', 15, 0, 0),
+    ('python', 'Lot', 'size', '', 'self', 8, 0, 0), ('python', 'Lot', 'name', '', 'self', 10, 0, 1), ('go', 'free#', 'free#', '', '', 14, 1, 0),
+    ('typescript', 'Part#', 'size', '', '', 4, 0, 0), ('typescript', 'Part#', 'constructor', '', 'private n: number', 5, 0, 0)
+  ) v(lang, owner, name, ret, params, s, sn, el) USING (lang))
+SELECT * FROM fixed UNION ALL
+SELECT relative_path, 'Part' || k, CASE lang WHEN 'go' THEN 'Lot' ELSE 'lot' END || i, CASE lang WHEN 'java' THEN 'String' WHEN 'typescript' THEN 'string' ELSE '' END,
+  CASE lang WHEN 'java' THEN '@Param("q") String q' WHEN 'python' THEN 'self|q=(1, 2)' WHEN 'typescript' THEN 'q: string' ELSE '' END,
+  CASE lang WHEN 'java' THEN '@GetMapping(' || chr(10) || '        path = "/lots/' || i || '",' || chr(10) || '        params = {{"x", "y"}})'
+    WHEN 'python' THEN '@cached(' || chr(10) || '        ttl=' || i || ',' || chr(10) || '    )' WHEN 'typescript' THEN '@Input()' ELSE '' END,
+  CASE lang WHEN 'java' THEN 17 + 4 * i WHEN 'python' THEN 16 + 5 * i WHEN 'go' THEN 14 + i ELSE 8 + 2 * i END,
+  CASE lang WHEN 'java' THEN 20 + 4 * i WHEN 'python' THEN 16 + 5 * i WHEN 'go' THEN 14 + i ELSE 8 + 2 * i END
+FROM nested {_I}""",
+    "nested_fields": f"""
+WITH {NESTED} SELECT relative_path, replace(owner, '#', k::VARCHAR) AS owner, name, type, line_no FROM nested JOIN (VALUES
+  ('java', 'Part#', 'low', 'int', 11), ('java', 'Part#', 'high', 'int', 11), ('java', 'Part#', 'top', 'int', 11), ('java', 'Lot', 'id', 'long', 13),
+  ('go', 'Part#', 'ID', 'int', 7), ('go', 'Part#', 'Size', 'int', 7), ('go', 'Part#', 'Names', '[]string', 8)) v(lang, owner, name, type, line_no) USING (lang)""",
+    "nested_endpoints": f"""
+WITH {NESTED} SELECT relative_path, 'com.shop.n' || m AS package, 'GET' AS method, '/parts' || k || '/lots/' || i AS path, 'Part' || k || '.lot' || i AS handler
+FROM nested {_I} WHERE lang = 'java'""",
+    "long_docstrings": """
+SELECT 'app/python/supplier' || s_suppkey || '.py' AS relative_path, 'Supplier' || s_suppkey AS name, 2500 AS lines,
+  sha256('First.' || repeat(chr(10) || '    A line of it.', 2499)) AS sha, '@known' AS decorators, 14 AS start_line, 2516 AS end_line FROM supplier""",
     "type_chunks": _level(110, "type"),
     "header_chunks": _level(110, "header"),
     "function_groups": _level(110, "functions"),

@@ -39,7 +39,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def declared_tables(files: DataFrame) -> declarations.Declared:
     """The declarations for jobs that use several of the tables: the resolved lines they share are
     slim, the texts are gone by then, so they are written once."""
-    return declarations.tables(written(declarations.resolve(declarations.tag_lines(files)), "declared"))
+    return declarations.tables(written(declarations.resolved(files), "declared"))
 
 
 def analyse_corpus(
@@ -51,12 +51,15 @@ def analyse_corpus(
     o = o or Options()
     # Written once: a filter on a derived column is pushed below it and computes it again, so every
     # later filter on category, text or size would repeat the routing and cleaning of all texts.
-    routed = written(routing.cleaned(routing.route(fs.usable(files, o), o)), "routed")
-    source = routed.filter(F.col("category") == routing.SOURCE).drop("category", "skip_reason")
-    resolved = written(declarations.resolve(declarations.tag_lines(source)), "declared")
+    cleaned = routing.cleaned(routing.route(fs.usable(files, o), o))
+    tokens = F.when(F.col("category") == routing.SOURCE, o.measure.of_text(F.col("content"))).cast("long")
+    counted = written(cleaned.withColumn("tokens", tokens), "routed")
+    routed = counted.drop("tokens")
+    source = counted.filter(F.col("category") == routing.SOURCE).drop("category", "skip_reason")
+    resolved = written(declarations.resolved(source), "declared")
     declared = declarations.tables(resolved)
     # Packing reads the chunks twice, once for their sizes and once for their texts.
-    chunks = written(chunking.chunk(source, o), "chunks")
+    chunks = written(chunking.chunk(source, o, resolved), "chunks")
     batches = written(chunking.batched(chunks, group_key, o), "batches")
     results = inference.analyse(batches, store_path, fn, o, version=version)
     analyses = inference.typed_analyses(results)

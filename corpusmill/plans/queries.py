@@ -471,6 +471,46 @@ def module_and_generic_functions(spark, sf):
     return f.select("relative_path", "owner", "name", "start_line", "end_line")
 
 
+def _nested(spark, sf):
+    return declarations.declarations(derived.nested_files(spark, sf))
+
+
+@query
+def nested_types(spark, sf):
+    t = _nested(spark, sf).types
+    return t.select(
+        "relative_path", "name", "kind", "outer", "fqn", "docstring", F.array_join("decorators", "|").alias("decorators"),
+        rollups.role_of(F.col("name"), F.col("decorators")).alias("role"), "start_line", "end_line",
+    )
+
+
+@query
+def nested_functions(spark, sf):
+    f = _nested(spark, sf).functions
+    return f.select(
+        "relative_path", "owner", "name", "return_type", F.array_join("parameters", "|").alias("parameters"),
+        F.array_join("decorators", "|").alias("decorators"), "start_line", "end_line",
+    )
+
+
+@query
+def nested_fields(spark, sf):
+    return _nested(spark, sf).fields.select("relative_path", "owner", "name", "type", "line_no")
+
+
+@query
+def nested_endpoints(spark, sf):
+    d = pipeline.declared_tables(derived.nested_files(spark, sf))
+    return rollups.endpoints(d.types, d.functions).select("relative_path", "package", "method", "path", "handler")
+
+
+@query
+def long_docstrings(spark, sf):
+    t = declarations.declarations(derived.long_docstring_files(spark, sf)).types
+    lines = F.size(F.split("docstring", "\n")).cast("long").alias("lines")
+    return t.select("relative_path", "name", lines, F.sha2("docstring", 256).alias("sha"), F.array_join("decorators", "|").alias("decorators"), "start_line", "end_line")
+
+
 # --- chunks along declarations ------------------------------------------------------------------
 
 

@@ -173,6 +173,69 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_table(rows, content, path)
 
 
+# Types in types, bodies on one line, groups, and annotations over several lines.
+NESTED_TEMPLATES = {
+    "java": (
+        "package com.shop.n{m};\n\n/**\n * Lots of one part.\n */\n@Service\n@RequestMapping(\n    value = \"/parts{k}\",\n"
+        "    produces = {\"text/plain\", \"a;b\"}\n)\n"
+        "public class Part{k} { int low, high = max(1, 2), top; void reset() { low = 0; }\n\n"
+        "    public static class Lot { long id; long id() { return id; } }\n\n"
+        "    enum State { NEW, SOLD; boolean open() { return this == NEW; } }\n\n",
+        "    @GetMapping(\n        path = \"/lots/{i}\",\n        params = {\"x\", \"y\"})\n"
+        "    public String lot{i}(@Param(\"q\") String q) { if (q != null) { return q; } return \"}\"; }\n",
+        "}\n",
+    ),
+    "python": (
+        "@register(\n    \"part{k}\",\n    kinds=[\"a\", \"b\"],\n)\nclass Part{k}(Base):\n    \"\"\"Lots of one part.\"\"\"\n"
+        "    class Lot:\n        def size(self): return 1\n\n        def name(self):\n            return \"x\"\n\n",
+        "    @cached(\n        ttl={i},\n    )\n    def lot{i}(self, q=(1, 2)): return q\n\n",
+        "",
+    ),
+    "go": (
+        "package parts{m}\n\n// Kinds of parts.\ntype (\n\t// Part is one of them.\n\tPart{k} struct {\n\t\tID, Size int\n\t\tNames []string\n\t}\n"
+        "\tLister{k} interface { List() []string }\n\tCount{k} int\n)\n\n",
+        "func (p *Part{k}) Lot{i}() int { return p.ID }\n",
+        "func free{k}() { }\n",
+    ),
+    "typescript": (
+        "@Component({\n  selector: 'part', items: ['a;', '}'],\n})\nexport class Part{k} { size() { return 1; }\n"
+        "  constructor(private n: number) { this.n = n; }\n\n",
+        "  @Input()\n  lot{i}(q: string): string { if (q) { return q; } return '}'; }\n",
+        "}\n",
+    ),
+}
+NESTED_PATHS = {
+    "java": "src/main/java/com/shop/n{m}/Part{k}.java", "python": "app{m}/python/shop/parts/part{k}.py",
+    "go": "pkg/parts{m}/part{k}.go", "typescript": "web/lib/n{m}/part{k}.ts",
+}
+
+
+def nested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One source file per part, in four languages, with ``n`` numbered methods each."""
+    langs = F.array(*[F.lit(x) for x in NESTED_TEMPLATES])
+    rows = spread(table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("k"), (F.col("p_size") % 5 + 1).cast("int").alias("n"),
+        F.element_at(langs, (F.col("p_partkey") % 4 + 1).cast("int")).alias("lang"),
+    ))
+    content = choose(
+        F.col("lang"),
+        {x: F.concat(_filled(head), _methods(method), _filled(tail)) for x, (head, method, tail) in NESTED_TEMPLATES.items()},
+    )
+    path = choose(F.col("lang"), {x: _filled(p) for x, p in NESTED_PATHS.items()})
+    return scan_table(rows, content, path)
+
+
+LONG_DOCSTRING = 2_500
+
+
+def long_docstring_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One Python file per supplier whose class has a docstring of LONG_DOCSTRING lines, below a decorator far above it."""
+    rows = spread(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")))
+    body = F.repeat(F.lit("    A line of it.\n"), LONG_DOCSTRING - 1)
+    head, tail = "@known\n\n\n\n\n\n\n\n\n\n\n\n\nclass Supplier{k}:\n    \"\"\"First.\n", "    \"\"\"\n    def go(self): return {k}\n"
+    return scan_table(rows, F.concat(_filled(head), body, _filled(tail)), F.concat(F.lit("app/python/supplier"), "k", F.lit(".py")))
+
+
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chunk per document, priced at a quarter token per character."""
     docs = table(spark, sf_dir, "documents")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import texts
 from corpusmill.options import Options
+from corpusmill.session import cut_lineage
 
 FILE_COLUMNS = ("path", "relative_path", "language", "content", "content_hash", "size_bytes", "line_count")
 
@@ -70,10 +71,26 @@ def valid_text(files: DataFrame) -> DataFrame:
     )
 
 
+#: Repeated paths are sent to every task up to so many, and joined by a shuffle beyond.
+BROADCAST_PATHS = 100_000
+
+
 def distinct_paths(files: DataFrame) -> DataFrame:
-    """One row for each path: of several the one with the smallest hash of its text, whatever order they come in."""
+    """One row for each path: of several the one with the smallest hash of its text, whatever order they come in.
+
+    The paths alone tell which of them repeat; that is counted here, once. Only the rows of those are shuffled with their
+    texts, the others pass by.
+    """
     row, order = F.struct(*files.columns), F.struct(F.sha2("content", 256), F.struct(*[c for c in files.columns if c != "content"]))
-    return files.groupBy("relative_path").agg(F.min_by(row, order).alias("_row")).select("_row.*")
+    repeated = cut_lineage(files.groupBy("relative_path").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("relative_path"))
+    some = repeated.limit(BROADCAST_PATHS + 1).count()
+    if some == 0:
+        return files
+    named = repeated.withColumnRenamed("relative_path", "_repeated")
+    known = F.broadcast(named) if some <= BROADCAST_PATHS else named
+    same = F.col("relative_path").eqNullSafe(F.col("_repeated"))
+    once, many = files.join(known, same, "left_anti"), files.join(known, same, "left_semi")
+    return once.unionByName(many.groupBy("relative_path").agg(F.min_by(row, order).alias("_row")).select("_row.*"))
 
 
 def ordered(files: DataFrame) -> DataFrame:

@@ -121,7 +121,8 @@ def of(rows, path, **where):
 
 
 def test_java_type(declared):
-    (t,) = of(declared["types"], "src/Ledger.java")
+    t, side = of(declared["types"], "src/Ledger.java")
+    assert (side["name"], side["kind"], side["outer"], side["start_line"], side["end_line"]) == ("Side", "enum", "Ledger", 26, 26)
     assert (t["name"], t["kind"], t["package"], t["fqn"], t["superclass"]) == ("Ledger", "class", "org.mill.ledger", "org.mill.ledger.Ledger", "Book")
     assert t["decorators"] == ["@Deprecated", '@Table(name = "ledger")']
     assert (t["start_line"], t["end_line"]) == (6, 27)
@@ -136,7 +137,8 @@ def test_java_methods(declared):
 
 
 def test_java_fields_and_imports(declared):
-    assert [(f["name"], f["type"]) for f in of(declared["fields"], "src/Ledger.java")] == [("balance", "long"), ("owner", "String")]
+    assert [(f["name"], f["type"]) for f in of(declared["fields"], "src/Ledger.java")] == [
+        ("balance", "long"), ("owner", "String"), ("witness", "String")]
     assert [i["import_text"] for i in of(declared["imports"], "src/Ledger.java")] == ["java.time.Instant", "java.util.*"]
 
 
@@ -160,11 +162,12 @@ def test_heads_over_several_lines(declared):
 
 
 def test_python(declared):
-    (t,) = of(declared["types"], "app/tides.py")
+    t, moon = of(declared["types"], "app/tides.py")
+    assert (moon["name"], moon["outer"], moon["start_line"], moon["end_line"]) == ("Moon", "Tide", 20, 21)
     assert (t["name"], t["docstring"], t["start_line"], t["end_line"]) == ("Tide", "High and low water.", 7, 21)
     fns = of(declared["functions"], "app/tides.py")
     assert [(f["name"], f["start_line"], f["end_line"], f["is_public"]) for f in fns] == [
-        ("__init__", 9, 10, False), ("of", 13, 18, True), ("_level", 19, 19, False)]
+        ("__init__", 9, 10, False), ("of", 13, 18, True), ("_level", 19, 19, False), ("phase", 21, 21, True)]
     assert fns[1]["decorators"] == ["@staticmethod", "@cache"] and fns[1]["parameters"] == ["place: str"]
 
 
