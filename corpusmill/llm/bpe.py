@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import fresh
 
 #: Entries of a worker's tables, after which they are begun anew; what they hold can always be made again.
-STATES = 300_000
-WORDS = 200_000
+STATES = 150_000
+WORDS = 100_000
 #: Longer words are not kept in the table of words.
 LONG_WORD = 100
 SEPARATORS = "\x1c\x1d\x1e\x1f"
