@@ -38,7 +38,7 @@ m AS (
 j AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR n_symbols > 0.1 * n_words OR word_chars < 2.5 * n_words OR word_chars > 12 * n_words OR 2 * n_dup_lines > n_lines
-    OR letters < 0.7 * word_chars OR 2 * upper_letters > letters OR stops > 0.5 * n_words OR n_distinct < 0.1 * greatest(n_words, 1) OR n_same > 0.3 * n_words) AS kept
+    OR letters < 0.7 * word_chars OR 2 * upper_letters > letters OR stops > 0.5 * n_words OR (10 * n_distinct < n_words AND n_distinct * n_distinct < 10 * n_words) OR n_same > 0.3 * n_words) AS kept
 FROM j
 """,
     "op4_golden_mix": f"""

@@ -83,10 +83,9 @@ def default_rules(m: str, text: str = "text") -> list[Rule]:
     letters = F.length(F.regexp_replace(t, r"\P{L}+", ""))
     upper = F.length(F.regexp_replace(t, r"\P{Lu}+", ""))
     stops = F.length(t) - F.length(F.regexp_replace(t, r"[.!?。！？]", ""))
-    common = let(
-        F.transform(words(text), F.lower),
-        lambda ws: F.size(F.array_distinct(ws)) / F.greatest(F.size(ws), F.lit(1)),
-    )
+    distinct = let(F.transform(words(text), F.lower), lambda ws: F.size(F.array_distinct(ws))).cast("long")
+    # A text's vocabulary grows with the root of its length, a tenth of its words up to 1,000 of them.
+    few = let(distinct, lambda d: (10 * d < c["n_words"]) & (d * d < 10 * c["n_words"]))
     stutter = let(words(text), lambda ws: F.size(F.filter(F.transform(ws, lambda w, i: w == F.get(ws, i - 1)), lambda same: same)))
     return [
         Rule("stutter", stutter > 0.3 * c["n_words"]),
@@ -96,7 +95,7 @@ def default_rules(m: str, text: str = "text") -> list[Rule]:
         Rule("letters", letters < 0.7 * c["word_chars"]),
         Rule("capitals", 2 * upper > letters),
         Rule("sentences", stops > 0.5 * c["n_words"]),
-        Rule("few_distinct", common < 0.1),
+        Rule("few_distinct", few),
     ]
 
 
@@ -115,15 +114,27 @@ def ordered(sample: DataFrame, rules: Sequence[Rule]) -> list[tuple[Rule, float,
     return sorted(found, key=lambda x: (-x[1] / x[2], x[0].name))
 
 
-def cascade(df: DataFrame, rules: Sequence[Rule], first: Rule | None = None, into: str = "rejected_by", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def sampled(df: DataFrame, rows: int, id_col: str | None) -> DataFrame:
+    """Up to ``rows`` rows: those with the least hashes of their id, or without an id column the first ones."""
+    if id_col is None or id_col not in df.columns:
+        return df.limit(rows)
+    order = F.xxhash64(F.col(id_col).cast("string"))
+    chosen = df.select(F.col(id_col).alias("_chosen")).where(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(F.col("_chosen").cast("string")), "_chosen").limit(rows)
+    return df.join(F.broadcast(chosen), F.col(id_col) == F.col("_chosen"), "left_semi").orderBy(order, id_col).limit(rows)
+
+
+def cascade(
+    df: DataFrame, rules: Sequence[Rule], first: Rule | None = None, into: str = "rejected_by", sample_rows: int = SAMPLE_ROWS, id_col: str | None = "doc_id"
+) -> DataFrame:
     """``df`` with ``into``: the first rule in the estimated order that rejects the row, null for a row that is kept.
 
     Every row stays, once, with its columns; ``into`` gets an underscore while a column has that name. A rule that is
     null for a row doesn't reject it. ``first`` comes before all others whatever it costs. The sample is at most
-    ``sample_rows`` rows of the table, whole; an empty table leaves the rules in the order of their names.
+    ``sample_rows`` rows of the table, whole, those with the least hashes of ``id_col``; an empty table leaves the rules
+    in the order of their names.
     """
     into = fresh(df, into)
-    sample = df.limit(sample_rows)
+    sample = sampled(df, sample_rows, id_col)
     if first is not None:
         sample = sample.where(~F.coalesce(first.rejects, F.lit(False)))
     chain = [*([first] if first else []), *[r for r, _, _ in ordered(written(sample, "quality-sample"), rules)]]

@@ -1,9 +1,10 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm.quality import Rule, base_failed, cascade, default_rules, measures, ordered
+from corpusmill.llm.quality import Rule, base_failed, cascade, default_rules, measures, ordered, sampled
 
 
 def brute(text):
@@ -49,6 +50,25 @@ def test_cheap_and_selective_rules_come_first(documents):
     assert order[0] == "cheap" and order[-1] == "never"
 
 
+@pytest.mark.parametrize("n", [1_000, 20_000, 100_000, 500_000])
+def test_clean_texts_of_any_length_are_kept(documents, n):
+    """Prose from one vocabulary keeps, however long; a few words over and over don't."""
+    r = random.Random(n)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9))) for _ in range(6_000)]
+    prose = " ".join(r.choice(vocabulary) + ("." if k % 12 == 11 else "") for k in range(n))
+    poor = " ".join(r.choice(vocabulary[:40]) + ("." if k % 12 == 11 else "") for k in range(max(n, 20_000)))
+    df = documents([(1, prose), (2, poor)], 1).withColumn("m", measures())
+    out = {x["doc_id"]: x["rejected_by"] for x in cascade(df, default_rules("m"), first=Rule("base", base_failed("m"))).collect()}
+    assert out == {1: None, 2: "few_distinct"}
+
+
+def test_the_sample_is_by_hash(documents):
+    df = documents(((i, f"text {i}") for i in range(500)), 5)
+    got = [{x["doc_id"] for x in sampled(d, 40, "doc_id").collect()} for d in (df, df.orderBy("doc_id"))]
+    assert got[0] == got[1] and len(got[0]) == 40
+    assert sampled(df.drop("doc_id"), 7, "doc_id").count() == 7
+
+
 def test_all_kinds_of_rows(hostile, nothing):
     df = hostile.withColumn("m", measures())
     out = cascade(df, default_rules("m"), first=Rule("base", base_failed("m")))
