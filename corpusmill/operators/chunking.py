@@ -33,18 +33,17 @@ def bins_of(items: Column, cost: str, unit: str, limit: int) -> Column:
     items.
     """
 
+    def state(s: Column, total: Column, unit: Column, first: Column, nth: Column, bins: Column) -> Column:
+        named = {"at": s["at"] + 1, "sum": total.cast("long"), "unit": unit.cast("int"), "first": first, "nth": nth, "bins": bins}
+        return F.struct(*[c.alias(k) for k, c in named.items()])
+
     def step(s: Column, x: Column) -> Column:
-        other = s["unit"].isNull() | (s["unit"] != x[unit])
-        opens = other | (s["sum"] + x[cost] > limit)
-        nth = F.when(other, 0).when(opens, s["nth"] + 1).otherwise(s["nth"])
-        closed = F.when(s["unit"].isNull(), s["bins"]).otherwise(F.concat(s["bins"], F.array(_bin(s))))
-        return F.struct(
-            (s["at"] + 1).alias("at"),
-            F.when(opens, x[cost]).otherwise(s["sum"] + x[cost]).cast("long").alias("sum"),
-            x[unit].cast("int").alias("unit"),
-            F.when(opens, s["at"]).otherwise(s["first"]).alias("first"),
-            nth.alias("nth"),
-            F.when(opens, closed).otherwise(s["bins"]).alias("bins"),
+        grown = s["sum"] + x[cost]
+        closed = F.concat(s["bins"], F.array(_bin(s)))
+        return (
+            F.when((s["unit"] == x[unit]) & (grown <= limit), state(s, grown, s["unit"], s["first"], s["nth"], s["bins"]))
+            .when(s["unit"].isNull(), state(s, x[cost], x[unit], s["at"], F.lit(0), s["bins"]))
+            .otherwise(state(s, x[cost], x[unit], s["at"], F.when(s["unit"] == x[unit], s["nth"] + 1).otherwise(0), closed))
         )
 
     zero = F.expr(
