@@ -186,6 +186,7 @@ def declaring(files: DataFrame) -> DataFrame:
                 i.alias("i"), h.alias("code"), F.get("raw_heads", i).alias("raw"), F.get("before", i).alias("before"),
                 st.number(i, st.LINE).alias("line_no"), st.number(i, st.END).alias("end_line"), st.number(i, st.NUMBER).alias("number"),
                 F.when(around >= 0, F.get("heads", around)).alias("around"), group.alias("group"),
+                ((i == 0) | F.endswith(F.get("raw_heads", i - 1), F.lit("\n"))).alias("on_new_line"),
                 F.when((family == "python") & F.startswith(h, F.lit("class")), F.get("raw_heads", i + 1)).alias("below"),
             ),
         )
@@ -196,9 +197,10 @@ def declaring(files: DataFrame) -> DataFrame:
     return df.select(*slim, F.inline_outer("rows")).filter(F.col("i").isNotNull())
 
 
-def _comment(before: Column, whole: Column) -> Column:
-    """Text of the comment that ends right above a head, without its markers; ``whole`` if nothing stands above."""
-    lines = F.when(whole, F.concat(F.lit("\n"), before)).otherwise(before)
+def _comment() -> Column:
+    """Text of the comment that ends right above a head, without its markers; it begins on a line of its own."""
+    before = F.col("before")
+    lines = F.when(F.col("on_new_line"), F.concat(F.lit("\n"), before)).otherwise(before)
     pattern = r"(?s)\n([ \t]*+(?:/\*(?:[^*]++|\*(?!/))*+\*/[ \t\r]*+\n)?+(?:[ \t]*+(?://|#)[^\n]*+\n)*+)[ \t]*+\z"
     one = lambda x: F.when(like(x, "^(?://|#)"), F.ltrim(x, F.lit("#/ "))).otherwise(x)
     found = F.transform(F.split(F.btrim(get(lines, pattern, 1), F.lit("\r\n")), "\n"), lambda x: one(F.btrim(x, F.lit(" \t\r"))))
@@ -339,7 +341,7 @@ def resolve(rows: DataFrame) -> DataFrame:
         F.filter(F.split(F.btrim(F.coalesce(modifiers, F.lit("")), F.lit(" \t\n")), r"\s+"), lambda m: m != "").alias("modifiers"),
         F.coalesce(decorators, no_text).alias("decorators"),
         F.coalesce(
-            F.when(tag == "type", choose(family, {"java": _comment(F.col("before"), F.col("i") == 0), "go": _comment(F.col("before"), F.col("i") == 0), "python": _docstring(F.col("below"))})),
+            F.when(tag == "type", choose(family, {"java": _comment(), "go": _comment(), "python": _docstring(F.col("below"))})),
             F.lit(""),
         ).alias("docstring"),
         F.coalesce(superclass, F.lit("")).alias("superclass"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from decimal import Decimal
@@ -17,6 +18,7 @@ from corpusmill.functions.jsonfix import parse_typed, repair_json
 from corpusmill.operators.blocks import prefix_sum
 from corpusmill.options import Options
 from corpusmill.session import cut_lineage, scratch_path
+from corpusmill.sources.files import file_system
 from corpusmill.sources.store import append_store, read_store
 
 COST_TYPE = "decimal(24,10)"
@@ -120,15 +122,21 @@ def call_cost(input_tokens: Column, output_tokens: Column, o: Options | None = N
     ).cast(COST_TYPE)
 
 
-def admit(df: DataFrame, cost: Column, ceiling: Decimal, order: list[str] = KEY, blocks: int | None = None) -> DataFrame:
+def admit(
+    df: DataFrame, cost: Column, ceiling: Decimal | Column, order: list[str] = KEY, blocks: int | None = None, group_key: str | None = None
+) -> DataFrame:
     """Add ``admitted``: the costs of all earlier rows plus this one's stay below the ceiling.
 
     ``order`` must be unique. Costs cannot be negative, so what is admitted is a prefix of the order
-    and does not depend on which call would finish first.
+    and does not depend on which call would finish first. With ``group_key`` each of its values has sums of its own;
+    ``ceiling`` may then be a column, and a null one refuses nothing.
     """
-    slim = df.select(*order, cost.cast(COST_TYPE).alias("_cost"))
-    summed = prefix_sum(slim, F.col("_cost"), order, "_so_far", blocks)
-    flags = summed.select(*order, (F.col("_so_far") < F.lit(ceiling)).alias("admitted"))
+    group = [] if group_key is None else [group_key]
+    limit = ceiling if isinstance(ceiling, Column) else F.lit(ceiling)
+    keys = [*order, *[c for c in group if c not in order]]
+    slim = df.select(*keys, cost.cast(COST_TYPE).alias("_cost"), limit.cast(COST_TYPE).alias("_ceiling"))
+    summed = prefix_sum(slim, F.col("_cost"), order, "_so_far", blocks, group)
+    flags = summed.select(*order, F.coalesce(F.col("_so_far") < F.col("_ceiling"), F.col("_ceiling").isNull()).alias("admitted"))
     return df.join(flags, order)
 
 
@@ -147,30 +155,80 @@ def usage_report(results: DataFrame, o: Options | None = None) -> DataFrame:
 # --- the user's function ------------------------------------------------------------------------
 
 
-def infer(requests: DataFrame, fn: Callable[[str, str], str], keep: list[str]) -> DataFrame:
+#: Answers that a task holds before it logs them.
+LOGGED = 16
+
+
+def infer(requests: DataFrame, fn: Callable[[str, str], str], keep: list[str], log: str | None = None) -> DataFrame:
     """Call ``fn(system, user)`` per row: columns ``keep`` plus ``raw`` and ``error``.
 
-    A failing row gets its error text and the others go on. Concurrency is the number of partitions. A task that is
-    run again, after a lost executor or as a speculative copy, calls again for all its rows: keep partitions small
-    where calls are dear.
+    A failing row gets its error text and the others go on. Concurrency is the number of partitions. With ``log``, a
+    folder that every executor can reach, a task writes its answers there as they come, LOGGED at a time under their
+    ``cache_key``; when it is run again, after a lost executor or as a speculative copy, it takes those it finds and
+    calls for the rest. The folder belongs to one run.
     """
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        answers = CallLog(log)
         for batch in batches:
             raws: list[str | None] = []
             errors: list[str | None] = []
-            for system, user in zip(batch["system"], batch["user"]):
+            keys = batch["cache_key"] if log else [None] * len(batch)
+            for key, system, user in zip(keys, batch["system"], batch["user"]):
                 try:
-                    raws.append(fn(system, user))
+                    raw = answers.known.get(key)
+                    if raw is None:
+                        raw = fn(system, user)
+                        answers.add(key, raw)
+                    raws.append(raw)
                     errors.append(None)
                 except Exception as e:  # the row reports it
                     raws.append(None)
                     errors.append(str(e) or type(e).__name__)
+            answers.flush()
             yield batch[keep].assign(raw=pd.Series(raws, dtype="object", index=batch.index),
                                      error=pd.Series(errors, dtype="object", index=batch.index))
 
     schema = requests.select(*keep).schema.add("raw", "string").add("error", "string")
-    return requests.select(*keep, "system", "user").mapInPandas(call, schema)
+    columns = [*keep, "system", "user", *(["cache_key"] if log and "cache_key" not in keep else [])]
+    return requests.select(*columns).mapInPandas(call, schema)
+
+
+class CallLog:
+    """Answers of a task, kept in files below the folder of its partition; without a folder nothing is kept."""
+
+    def __init__(self, folder: str | None) -> None:
+        self.known: dict[str, str] = {}
+        self.new: list[tuple[str, str]] = []
+        self.folder, self.written = None, 0
+        if folder is None:
+            return
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        self.system, self.folder = file_system(f"{folder}/part-{task.partitionId()}")
+        self.attempt = task.taskAttemptId()
+        for found in self.system.get_file_info(fs.FileSelector(self.folder, allow_not_found=True)):
+            with self.system.open_input_stream(found.path) as stream:
+                lines = stream.read().decode().split("\n")
+            for line in lines[:-1]:  # a line without its end was cut off
+                key, raw = json.loads(line)
+                self.known[key] = raw
+
+    def add(self, key: str | None, raw: str) -> None:
+        if self.folder is not None and isinstance(raw, str):
+            self.new.append((key, raw))
+            if len(self.new) >= LOGGED:
+                self.flush()
+
+    def flush(self) -> None:
+        if not self.new:
+            return
+        self.system.create_dir(self.folder)
+        with self.system.open_output_stream(f"{self.folder}/{self.attempt}-{self.written}.jsonl") as stream:
+            stream.write("".join(json.dumps(pair) + "\n" for pair in self.new).encode())
+        self.new, self.written = [], self.written + 1
 
 
 def given(requests: DataFrame, answers: DataFrame) -> DataFrame:
@@ -248,7 +306,7 @@ def analyse(
         wanted = asked.join(decided.filter("admitted").select(*KEY), KEY, "left_semi")
         refused = decided.filter("not admitted")
     results_path = scratch_path(spark, "called")
-    called = given(wanted.select(*keep), answers) if fn is None else infer(wanted, fn, keep)
+    called = given(wanted.select(*keep), answers) if fn is None else infer(wanted, fn, keep, scratch_path(spark, "calls"))
     answered = parsed(called, o).select(*RESULT_COLUMNS)
     answered.write.parquet(results_path)
     fresh = spark.read.schema(answered.schema).parquet(results_path)

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import texts
+from corpusmill.operators.blocks import numbered
 from corpusmill.operators.routing import CONFIG, SKIPPED, SOURCE
 
 
@@ -120,11 +123,31 @@ def branch_scores(files: DataFrame) -> DataFrame:
     return files.select("relative_path", branches.alias("branches"), texts.branch_score(branches).alias("score"))
 
 
+def _running():
+    @F.pandas_udf("array<long>")
+    def running(counts: pd.Series) -> pd.Series:
+        return counts.map(lambda c: np.concatenate(([0], np.cumsum(c))))
+
+    return running
+
+
 def branches_within(files: DataFrame, spans: DataFrame) -> DataFrame:
-    """``spans`` (relative_path, start_line, end_line, ...) with the branches of their lines; one join by path."""
-    lines = files.select("relative_path", texts.lines_of(F.col("content")).alias("_lines"))
-    own = F.array_join(F.slice("_lines", F.col("start_line"), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0))), "\n")
-    return spans.join(lines, "relative_path").withColumn("branches", texts.branch_count(own)).drop("_lines")
+    """``spans`` (relative_path, start_line, end_line, ...) with the branches of their lines; one join by path.
+
+    A file's spans meet it as one list, and its branches are counted once, running from line to line: a span costs two
+    look-ups and carries no text.
+    """
+    columns = [c for c in spans.columns if c != "relative_path"]
+    by_file = spans.groupBy("relative_path").agg(F.collect_list(F.struct(*columns)).alias("_spans"))
+    counts = F.transform(texts.lines_of(F.col("content")), texts.branch_count)
+    met = files.select("relative_path", counts.alias("_counts")).join(by_file, "relative_path").withColumn("_running", _running()("_counts"))
+
+    def counted(s: Column) -> Column:
+        upto = lambda line: F.get("_running", F.greatest(F.lit(0), F.least(line, F.size("_running") - 1)))
+        first = upto(s["start_line"] - 1)
+        return F.struct(*[s[c].alias(c) for c in columns], F.greatest(upto(s["end_line"]) - first, F.lit(0)).cast("long").alias("branches"))
+
+    return met.select("relative_path", F.inline(F.transform("_spans", counted)))
 
 
 def complex_types(files: DataFrame, types: DataFrame, k: int) -> DataFrame:
@@ -242,6 +265,27 @@ def services(types: DataFrame, endpoint_rows: DataFrame) -> DataFrame:
     return t.join(e, "service_name", "left").fillna(0, ["endpoints"])
 
 
+#: Members that one page of a service holds at most.
+PAGE = 1_000
+
+
+def service_members(types: DataFrame, endpoint_rows: DataFrame, page_size: int = PAGE, blocks: int | None = None) -> DataFrame:
+    """(service_name, page, members): the types and endpoints of each service, complete, in numbered pages.
+
+    Members are numbered within their service over range blocks, so that a service of any size spreads over tasks and no
+    list is longer than ``page_size``.
+    """
+    t = types.select(
+        service_of(F.col("package")).alias("service_name"), F.lit("type").alias("member"), "relative_path", F.col("fqn").alias("item"),
+    )
+    called = F.concat_ws(" ", F.nullif("method", F.lit("")), "path", "handler")
+    e = endpoint_rows.select(service_of(F.col("package")).alias("service_name"), F.lit("endpoint").alias("member"), "relative_path", called.alias("item"))
+    placed = numbered(t.unionByName(e), ["member", "relative_path", "item"], "place", blocks, ["service_name"])
+    page = F.floor(F.col("place") / page_size).cast("long").alias("page")
+    listed = placed.groupBy("service_name", page).agg(F.sort_array(F.collect_list(F.struct("place", "member", "relative_path", "item"))).alias("members"))
+    return listed.select("service_name", "page", F.transform("members", lambda m: F.struct(m["member"], m["relative_path"], m["item"])).alias("members"))
+
+
 def key_classes(types: DataFrame, functions: DataFrame, k: int) -> DataFrame:
     """The ``k`` types with most functions, each with its function list (bounded by its file)."""
     key = ["relative_path", "type_no"]

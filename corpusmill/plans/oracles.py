@@ -310,6 +310,9 @@ WITH {CHUNKED} SELECT chunk_id, sha256('### File: ' || path || chr(10) || '### L
     "budget_admission": f"""
 WITH {CHUNKED} SELECT source, doc_id,
   sum(tokens * 0.00000015::DECIMAL(18,10)) OVER (ORDER BY source, doc_id) < 0.04 AS admitted FROM ch""",
+    "budget_by_source": f"""
+WITH {CHUNKED}, c AS (SELECT *, CASE source WHEN 'src0' THEN 0.01 WHEN 'src1' THEN NULL ELSE 0.002 END AS ceiling FROM ch)
+SELECT source, doc_id, ceiling IS NULL OR sum(tokens * 0.00000015::DECIMAL(18,10)) OVER (PARTITION BY source ORDER BY doc_id) < ceiling AS admitted FROM c""",
     "usage_report": f"""
 WITH {CHUNKED} SELECT sum(tokens) AS input_tokens, sum(n_chars % 100) AS output_tokens, count(*) AS calls,
   round(sum(tokens * 0.00000015::DECIMAL(18,10) + (n_chars % 100) * 0.0000006::DECIMAL(18,10)), 6) AS cost_usd
@@ -529,6 +532,17 @@ WITH {NESTED} SELECT relative_path, replace(owner, '#', k::VARCHAR) AS owner, na
     "nested_endpoints": f"""
 WITH {NESTED} SELECT relative_path, 'com.shop.n' || m AS package, 'GET' AS method, '/parts' || k || '/lots/' || i AS path, 'Part' || k || '.lot' || i AS handler
 FROM nested {_I} WHERE lang = 'java'""",
+    "service_pages": f"""
+WITH {NESTED}, t AS (
+  SELECT relative_path, CASE lang WHEN 'java' THEN 'com.shop.n' || m WHEN 'python' THEN 'shop.parts' WHEN 'go' THEN 'parts' || m ELSE 'n' || m END AS package,
+    replace(name, '#', k::VARCHAR) AS name
+  FROM nested JOIN (VALUES ('java', 'Part#'), ('java', 'Lot'), ('java', 'State'), ('python', 'Part#'), ('python', 'Lot'), ('go', 'Part#'), ('go', 'Lister#'),
+    ('go', 'Count#'), ('go', 'free#'), ('typescript', 'Part#')) v(lang, name) USING (lang)),
+members AS (
+  SELECT string_split(package, '.')[-1] AS service_name, 'type' AS member, relative_path, package || '.' || name AS item FROM t
+  UNION ALL SELECT 'n' || m, 'endpoint', relative_path, 'GET /parts' || k || '/lots/' || i || ' Part' || k || '.lot' || i FROM nested {_I} WHERE lang = 'java')
+SELECT service_name, CAST((row_number() OVER (PARTITION BY service_name ORDER BY member, relative_path, item) - 1) // 25 AS BIGINT) AS page, member, relative_path, item
+FROM members""",
     "long_docstrings": """
 SELECT 'app/python/supplier' || s_suppkey || '.py' AS relative_path, 'Supplier' || s_suppkey AS name, 2500 AS lines,
   sha256('First.' || repeat(chr(10) || '    A line of it.', 2499)) AS sha, '@known' AS decorators, 14 AS start_line, 2516 AS end_line FROM supplier""",

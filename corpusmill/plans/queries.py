@@ -280,6 +280,16 @@ def budget_admission(spark, sf):
     return decided.select("source", "doc_id", "admitted")
 
 
+@query
+def budget_by_source(spark, sf):
+    """A ceiling for each source, and none for one of them."""
+    chunks = derived.document_chunks(spark, sf).withColumnRenamed("token_count", "est_tokens")
+    cost = inference.call_cost(F.col("est_tokens"), F.lit(0))
+    ceiling = F.when(F.col("source") == "src0", F.lit(Decimal("0.01"))).when(F.col("source") != "src1", F.lit(Decimal("0.002")))
+    decided = inference.admit(chunks.select("source", "doc_id", "est_tokens"), cost, ceiling, ["doc_id"], group_key="source")
+    return decided.select("source", "doc_id", "admitted")
+
+
 @query
 def usage_report(spark, sf):
     called = derived.document_chunks(spark, sf).select(
@@ -504,6 +514,13 @@ def nested_endpoints(spark, sf):
     return rollups.endpoints(d.types, d.functions).select("relative_path", "package", "method", "path", "handler")
 
 
+@query
+def service_pages(spark, sf):
+    d = pipeline.declared_tables(derived.nested_files(spark, sf))
+    pages = rollups.service_members(d.types, rollups.endpoints(d.types, d.functions), 25)
+    return pages.select("service_name", "page", F.inline("members")).select("service_name", "page", "member", "relative_path", "item")
+
+
 @query
 def long_docstrings(spark, sf):
     t = declarations.declarations(derived.long_docstring_files(spark, sf)).types

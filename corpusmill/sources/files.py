@@ -145,7 +145,7 @@ def usable(files: DataFrame, o: Options) -> DataFrame:
 def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for row in batch.itertuples(index=False):
-            system, inner = _file_system(row.path)
+            system, inner = file_system(row.path)
             with system.open_input_stream(inner) as stream:
                 yield pd.DataFrame(
                     [(row.path, row.length, row.relative_path, stream.read())],
@@ -153,12 +153,12 @@ def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 )
 
 
-def _file_system(path: str):
+def file_system(path: str):
     """The file system of a path and the path within it."""
     from urllib.parse import quote
 
     from pyarrow import fs
 
-    if path.startswith("file:"):
+    if path.startswith("file:") or path.startswith("/"):
         return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(quote(path, safe=":/@"))

@@ -203,3 +203,81 @@ def test_empty_and_broken(declared):
     for path in ("e/empty.py", "e/Empty.java", "e/empty.go", "e/empty.rb"):
         assert not of(declared["types"], path) and not of(declared["functions"], path)
     assert [t["name"] for t in of(declared["types"], "src/Torn.java")] == ["Torn"]
+
+
+NEST = '''package org.mill;
+
+/* Not this one. */
+
+/** Keeps
+ * pots. */
+@Shelf(
+    value = "a{b", /* why */
+    sizes = {1, 2}
+)
+@Fired class Kiln { int a, b = f(1, 2), c; void heat() { if (a > 0) { b++; } } int cool(int[] x, Map<String, List<Integer>> y) { return x[0]; }
+    static class Brick { Brick() {} enum Kind { SOFT, HARD(2) { void no() {} }; Kind next() { return this; } } }
+    Runnable r = new Runnable() { public void run() { class Local { void lost() {} } } };
+    @Get("/x;{")
+    @Deep(@In(@In(@In("(")))) public
+    String late() { return "}"; }
+}
+@interface Mark { int value() default 1; }
+'''
+
+
+@pytest.fixture(scope="module")
+def nested(spark, files):
+    deep = "@" + "known(\n" + "  1,\n" * 30 + ")"
+    go = "package p\ntype (\n\tA struct{}\n\t// B it is.\n\tB interface { Go() }\n\tC map[string]int\n)\ntype D struct { X, Y int; z *A }\nvar (\n\tq struct { w int }\n)\nfunc (a *A) One() {}; func (c C) Two() { }\n"
+    script = "export default class One { a() { return 1 } static async *b(x = {y: 1}) { } }\n@Dec({ a: [1] })\n@Two class T { constructor() {} }\nconst f = { no() {} };\n"
+    body = "# lead\n" + deep + "\n\n\n\nclass Far(Base):\n    '''Doc \\''' more.'''\n    class In:\n        x = [\n1,\n]\n        def go(self): pass\n    def out(self, a=(1,\n      2)): return a\n    if 1:\n        def hidden(self): pass\ndef free(): pass\n"
+    d = declarations(files(("a/Kiln.java", NEST), ("p/a.go", go), ("w/one.ts", script), ("a/far.py", body)))
+    return {k: [r.asDict(recursive=True) for r in getattr(d, k).collect()] for k in d._fields}
+
+
+def test_types_in_types_and_bodies_on_one_line(nested):
+    types = of(nested["types"], "a/Kiln.java")
+    assert [(t["name"], t["kind"], t["outer"], t["start_line"], t["end_line"]) for t in types] == [
+        ("Kiln", "class", "", 7, 17), ("Brick", "class", "Kiln", 12, 12), ("Kind", "enum", "Brick", 12, 12), ("Mark", "interface", "", 18, 18)]
+    assert types[0]["docstring"] == "Keeps\\npots.".replace("\\n", "\n")
+    assert types[0]["decorators"] == ['@Shelf(\n    value = "a{b", /* why */\n    sizes = {1, 2}\n)', "@Fired"]
+    fns = of(nested["functions"], "a/Kiln.java")
+    assert sorted((f["owner"], f["name"]) for f in fns) == [
+        ("Brick", "Brick"), ("Kiln", "cool"), ("Kiln", "heat"), ("Kiln", "late"), ("Kind", "next"), ("Mark", "value")]
+    (late,) = [f for f in fns if f["name"] == "late"]
+    assert (late["start_line"], late["end_line"], late["decorators"]) == (14, 16, ['@Get("/x;{")', '@Deep(@In(@In(@In("("))))'])
+    assert [(f["owner"], f["name"], f["type"]) for f in of(nested["fields"], "a/Kiln.java")] == [
+        ("Kiln", "a", "int"), ("Kiln", "b", "int"), ("Kiln", "c", "int"), ("Kiln", "r", "Runnable")]
+
+
+def test_go_groups(nested):
+    types = of(nested["types"], "p/a.go")
+    assert [(t["name"], t["kind"], t["docstring"], t["start_line"], t["end_line"]) for t in types] == [
+        ("A", "struct", "", 3, 3), ("B", "interface", "B it is.", 5, 5), ("C", "struct", "", 6, 6), ("D", "struct", "", 8, 8)]
+    assert sorted((f["owner"], f["name"]) for f in of(nested["functions"], "p/a.go")) == [("A", "One"), ("C", "Two")]
+    assert [(f["owner"], f["name"]) for f in of(nested["fields"], "p/a.go")] == [("D", "X"), ("D", "Y"), ("D", "z")]
+
+
+def test_scripts_on_one_line(nested):
+    types = of(nested["types"], "w/one.ts")
+    assert [(t["name"], t["decorators"], t["start_line"], t["end_line"]) for t in types] == [("One", [], 1, 1), ("T", ["@Dec({ a: [1] })", "@Two"], 3, 3)]
+    assert sorted((f["owner"], f["name"]) for f in of(nested["functions"], "w/one.ts")) == [("One", "a"), ("One", "b"), ("T", "constructor")]
+
+
+def test_decorators_and_lists_over_many_lines(nested):
+    types = of(nested["types"], "a/far.py")
+    assert [(t["name"], t["outer"], t["start_line"], t["end_line"]) for t in types] == [("Far", "", 37, 47), ("In", "Far", 39, 43)]
+    assert types[0]["decorators"] == ["@known(\n" + "  1,\n" * 30 + ")"] and types[0]["docstring"] == "Doc \\''' more."
+    assert [(f["owner"], f["name"], f["start_line"], f["end_line"]) for f in of(nested["functions"], "a/far.py")] == [("In", "go", 43, 43), ("Far", "out", 44, 45)]
+
+
+def test_one_very_large_file(spark, files):
+    """A file's cost is that of its length: 40,000 lines with 5,000 methods."""
+    method = "    public int m{i}(int x) {{\n        if (x > 0) {{\n            return {i};\n        }}\n        return x;\n    }}\n\n\n"
+    text = "public class Vast {\n" + "".join(method.format(i=i) for i in range(5_000)) + "}\n"
+    d = declarations(files(("src/Vast.java", text)))
+    rows = d.functions.selectExpr("count(*) as n", "max(end_line) as last", "sum(end_line - start_line) as long").collect()
+    assert [tuple(r) for r in rows] == [(5_000, 39_999, 25_000)]
+    (t,) = d.types.collect()
+    assert (t["name"], t["start_line"], t["end_line"]) == ("Vast", 1, 40_002)

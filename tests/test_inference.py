@@ -1,11 +1,15 @@
 import json
+import subprocess
+import sys
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions.jsonfix import parse_typed, repair_json
 from corpusmill.operators import chunking, inference, rollups
+from corpusmill.operators.inference import admit
 from corpusmill.options import Options
 from corpusmill.sources import store as st
 
@@ -127,3 +131,65 @@ def test_branch_scores(files):
     code = "class A {\n" + "if (Foo.x() && y) { }\n" * 20 + "iff = elseif; } // été_if \u00e9for"
     row = rollups.branch_scores(files(("A.java", code))).first()
     assert (row.branches, row.score) == (40, 14)
+
+
+def test_a_store_of_many_runs(spark, tmp_path):
+    """Its files are bounded, its newest entries stay, and a compaction that is lost on the way changes nothing."""
+    path = str(tmp_path / "store")
+    schema = "cache_key string, payload string"
+    content = lambda: {r.cache_key: r.payload for r in st.read_store(spark, path).collect()}
+    most = 0
+    for run in range(14):
+        st.append_store(spark.createDataFrame([(f"a{run % 3}", f'{{"v":{run}}}'), (f"b{run}", "{}"), ("zz", "{cut")], schema).coalesce(1), path, runs=4)
+        most = max(most, len(list((tmp_path / "store").rglob("*.parquet"))))
+    assert content() == {"a0": '{"v":12}', "a1": '{"v":13}', "a2": '{"v":11}'} and most < 40
+    before = st.manifest(spark, path)
+    other = st.next_slot(before.slot)
+    st._write(spark.createDataFrame([("a0", "{}")], schema).withColumn("written_at", F.current_timestamp()), st.folder(path, other), "overwrite")
+    assert st.manifest(spark, path) == before and content()["a0"] == '{"v":12}'
+    st.compact_store(spark, path)
+    assert st.manifest(spark, path).slot == other and content() == {"a0": '{"v":12}', "a1": '{"v":13}', "a2": '{"v":11}'}
+
+
+KILLED = """
+import os, sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from corpusmill.operators.inference import infer
+spark = (SparkSession.builder.master("local[2,4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2")
+         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000").getOrCreate())
+folder = {folder!r}
+
+def fn(system, user):
+    with open(folder + "/calls", "a") as f:
+        f.write(user + "\\n")
+    if user == "u40" and not os.path.exists(folder + "/died"):
+        open(folder + "/died", "w").close()
+        os._exit(1)
+    return "answer to " + user
+
+rows = spark.range(60).selectExpr("concat('k', id) as cache_key", "'s' as system", "concat('u', id) as user").coalesce(1)
+got = {{r.cache_key: r.raw for r in infer(rows, fn, ["cache_key"], folder + "/log").collect()}}
+assert got == {{f"k{{i}}": f"answer to u{{i}}" for i in range(60)}}, got
+"""
+
+
+def test_a_task_that_dies_doesn_t_ask_again(tmp_path):
+    """The worker dies at the 41st call: the task that is run again asks only for what it hadn't logged."""
+    root = str(Path(__file__).resolve().parent.parent)
+    subprocess.run([sys.executable, "-c", KILLED.format(root=root, folder=str(tmp_path))], check=True, timeout=300, capture_output=True)
+    calls = (tmp_path / "calls").read_text().split()
+    assert (tmp_path / "died").exists() and 61 <= len(calls) <= 60 + 16
+
+
+def test_ceilings_of_groups(spark):
+    """Sums begin anew in each group, also where a group spreads over many blocks."""
+    rows = [(f"g{0 if i % 3 else i % 7}", i, 1) for i in range(400)] + [(None, i, 1) for i in range(400, 420)]
+    df = spark.createDataFrame(rows, "g string, i int, cost int").repartition(4)
+    ceiling = F.when(F.col("g") == "g0", F.lit(50)).when(F.col("g").isNotNull(), F.lit(3)).when(F.col("i") < 410, F.lit(5))
+    got = {(r.g, r.i): r.admitted for r in admit(df, F.col("cost"), ceiling, ["i"], blocks=6, group_key="g").collect()}
+    so_far = {}
+    for g, i, _ in sorted(rows, key=lambda r: r[1]):
+        so_far[g] = so_far.get(g, 0) + 1
+        limit = 50 if g == "g0" else 3 if g else 5 if i < 410 else None
+        assert got[g, i] == (limit is None or so_far[g] < limit)
