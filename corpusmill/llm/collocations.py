@@ -44,6 +44,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class _Numbers(dict):
+    """Words by number, in the order in which they come; -1 ends a piece."""
+
+    def __init__(self, before: int) -> None:
+        super().__init__({_BREAK: -1})
+        self.before = before
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = self.before + len(self)
+        return n
+
+
 class _Prefixes:
     """A block's words, those of each group by themselves, and the hashes of all prefixes of its windows."""
 
@@ -53,12 +65,9 @@ class _Prefixes:
         groups, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
         ids: list[int] = []
         for key in np.unique(keys):
-            known = {_BREAK: -1}
-            base = len(self.words)
+            known = _Numbers(len(self.words) - 1)
             for t in np.flatnonzero(keys == key):
                 tokens = (texts[t].translate(_SMALL).replace(_BREAK, b" . ") + b" .").split()
-                for w in set(tokens) - known.keys():
-                    known[w] = base + len(known) - 1
                 ids.extend(map(known.__getitem__, tokens))
             words = list(known)[1:]
             self.words += words
@@ -98,7 +107,7 @@ def _ask(owners: int):
             for row in each(f):
                 c = _Prefixes(row)
                 bucket, places = bucket_of(c.hashes, owners)
-                counts = c.counts.astype("<u8")
+                counts = c.counts.astype("<u4")
                 out = [(b, row.block, squeezed(steps(places[x:y]), counts[x:y])) for b, x, y in slices(bucket)]
                 yield pd.DataFrame(out, columns=["bucket", "block", "blob"])
 
@@ -108,7 +117,7 @@ def _ask(owners: int):
 def _tell(at_least: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         """A bit for each prefix that a range was asked about: whether all blocks together have it often enough."""
-        parts = [spread(b, "<u8", "<u8") for b in frame["blob"]]
+        parts = [spread(b, "<u8", "<u4") for b in frame["blob"]]
         places = np.concatenate([from_steps(p) for p, _ in parts])
         _, of = np.unique(places, return_inverse=True)
         often = np.bincount(of, np.concatenate([n for _, n in parts]))[of] >= at_least
@@ -166,7 +175,9 @@ def windows(held: DataFrame, at_least: int, range_bytes: int = RANGE_BYTES) -> D
 
 def phrase_counts(wins: DataFrame, at_least: int) -> DataFrame:
     """(group_key, m, phrase, f) of phrases of m words found ``at_least`` times; the row of m = 0 has all words of a group."""
-    sums = wins.rollup("group_key", *COLUMNS).agg(F.sum("n").alias("f"), F.grouping_id().alias("left"))
+    # Each window of the corpus once, so that the levels are made of distinct ones.
+    distinct = wins.groupBy("group_key", *COLUMNS).agg(F.sum("n").alias("n"))
+    sums = distinct.rollup("group_key", *COLUMNS).agg(F.sum("n").alias("f"), F.grouping_id().alias("left"))
     # The columns that a level summed over are the set low bits of ``left``.
     m = F.lit(ORDER) - F.length(F.regexp_replace(F.bin("left"), "0", ""))
     of_words = F.array_compact(F.array(*COLUMNS))
@@ -184,10 +195,14 @@ def _times(n: int, c: str) -> Column:
     return F.lit(n).cast("decimal(10,0)") * F.col(c).cast("decimal(20,0)")
 
 
-def scored(counts: DataFrame) -> DataFrame:
-    """(group_key, m, phrase, a, l, r, score) of each phrase of two words or more, with its lowest-scoring cut."""
-    phrases = counts.where("m >= 2").select("group_key", "m", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("words"))
-    cuts = phrases.select("group_key", "m", "phrase", "a", "words", F.explode(F.sequence(F.lit(1), F.col("m") - 1)).alias("k")).select(
+def candidates(counts: DataFrame) -> DataFrame:
+    """(group_key, m, phrase, a) of the phrases of two words or more."""
+    return counts.where("m >= 2").select("group_key", "m", "phrase", F.col("f").alias("a"))
+
+
+def scored(phrases: DataFrame, counts: DataFrame) -> DataFrame:
+    """(group_key, m, phrase, a, l, r, score) of each phrase, with its lowest-scoring cut."""
+    cuts = phrases.withColumn("words", F.split("phrase", " ")).select("group_key", "m", "phrase", "a", "words", F.explode(F.sequence(F.lit(1), F.col("m") - 1)).alias("k")).select(
         "group_key", "m", "phrase", "a", "k", _part(F.col("words"), 1, F.col("k")).alias("head"), _part(F.col("words"), F.col("k") + 1, F.col("m")).alias("tail")
     )
     short = counts.where((F.col("m") >= 1) & (F.col("m") < ORDER))
@@ -230,7 +245,7 @@ def collocations(docs: DataFrame, at_least: int = 30, k: int = 2_000, text: str
     """
     held, names = grouped(docs, text, group)
     counts = written(phrase_counts(windows(held, at_least, range_bytes), at_least), "phrase-counts")
-    best = best_of(not_inside(scored(counts)), k)
+    best = best_of(scored(not_inside(candidates(counts)), counts), k)
     totals = counts.where("m = 0").select("group_key", F.col("f").alias("n"))
     rows = best.join(totals, "group_key").join(names, "group_key")
     return rows.select("group", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

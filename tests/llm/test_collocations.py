@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from corpusmill.llm import blocks
-from corpusmill.llm.collocations import best_of, collocations, grouped, not_inside, phrase_counts, scored, windows
+from corpusmill.llm.collocations import best_of, candidates, collocations, grouped, not_inside, phrase_counts, scored, windows
 
 
 def small(t):
@@ -91,10 +91,10 @@ def test_products_beyond_64_bits(spark):
         [(7, 1, "x", a + 3), (7, 1, "y", a + 2), (7, 2, "x y", a), (7, 3, "x y z", a - 1), (7, 1, "z", a), (7, 2, "y z", a - 1)],
         "group_key long, m int, phrase string, f long",
     )
-    got = {r["phrase"]: (r["l"], r["r"], r["score"]) for r in scored(counts).collect()}
+    got = {r["phrase"]: (r["l"], r["r"], r["score"]) for r in scored(candidates(counts), counts).collect()}
     assert got["x y"] == (a + 3, a + 2, 2_000_000 * a // (2 * a + 5))
     assert got["x y z"] == (a + 3, a - 1, 2_000_000 * (a - 1) // (2 * a + 2))
-    assert {r["phrase"] for r in not_inside(scored(counts)).collect()} == {"x y z"}
+    assert {r["phrase"] for r in not_inside(candidates(counts)).collect()} == {"x y z"}
 
 
 def test_ties_take_the_bytes_order(spark):
