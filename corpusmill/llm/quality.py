@@ -119,8 +119,9 @@ def sampled(df: DataFrame, rows: int, id_col: str | None) -> DataFrame:
     if id_col is None or id_col not in df.columns:
         return df.limit(rows)
     order = F.xxhash64(F.col(id_col).cast("string"))
-    chosen = df.select(F.col(id_col).alias("_chosen")).where(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(F.col("_chosen").cast("string")), "_chosen").limit(rows)
-    return df.join(F.broadcast(chosen), F.col(id_col) == F.col("_chosen"), "left_semi").orderBy(order, id_col).limit(rows)
+    ids = df.select(id_col).where(F.col(id_col).isNotNull()).distinct().orderBy(order, id_col).limit(rows).collect()
+    # As values, so that the filter comes before whatever the columns are computed from.
+    return df.where(F.col(id_col).isin([r[0] for r in ids])).limit(rows)
 
 
 def cascade(
