@@ -1,9 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by trees of MinHash prefixes of one length.
 
-Each tree of the forest orders the documents by a signature of several MinHash values; documents that share a prefix
-of it are neighbours in that order. The prefix is shortened, from the whole signature on, until two documents at the
-threshold meet in some tree with the target recall. Documents that meet are gathered in components; inside these,
-every pair is compared exactly, in blocks, and only counts and one link per document leave a task.
+Each tree has a signature of several MinHash values for every document; documents that share a prefix of it meet. How
+far the prefix may be shortened is computed once, from the threshold and the target recall, not tree by tree from the
+rows: that is a forest cut at one depth, so the prefixes are grouped by equality and no trie is kept. Documents that
+meet are gathered in components; inside these, every pair is compared exactly, in blocks, and only counts and one link
+per document leave a task.
 """
 
 from __future__ import annotations

@@ -1,8 +1,9 @@
-"""Removal of repeated passages by longest-previous-factor arrays.
+"""Removal of repeated passages by previous factors in suffix order.
 
 A byte goes if a string of ``length`` bytes over it also starts in a document with a smaller id. In suffix order
 such a string's earlier copies are among the neighbours with which it has ``length`` bytes in common: the previous
-or the next one of a smaller document, if there is any, is its longest previous factor.
+or the next one of a smaller document, if there is any, is its longest previous factor. Only whether that factor reaches
+``length`` is asked, which the least document of a run of neighbours tells; the arrays of lengths are not kept.
 
 The suffixes of a whole corpus can't be sorted in one place, so the texts are cut around anchors: of the k-grams in
 each window of ``length`` bytes the one with the least hash. Two documents that share such a window share its
