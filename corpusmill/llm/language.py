@@ -22,6 +22,7 @@ PROFILE = 400
 #: Languages that one broadcast may hold: ranks of 400 n-grams each.
 MAX_LANGUAGES = 2_000
 _BITS = 21  # a code point
+_BLANK = 32
 
 
 _LETTERS: list[np.ndarray] = []
@@ -35,15 +36,16 @@ def _letters() -> np.ndarray:
 
 
 def grams(text: str) -> np.ndarray:
-    """All n-grams of the lower-cased text's words as packed code points; a blank is 0 and only at a gram's ends."""
+    """All n-grams of the lower-cased text's words as packed code points; a blank stands only at a gram's ends, and is a
+    code point of its own, so that a word's beginning differs from its inside."""
     chars = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    chars = np.concatenate(([0], np.where(_letters()[chars], chars, 0), [0])).astype(np.int64)
-    chars = chars[(chars > 0) | np.append(True, chars[:-1] > 0)]  # one blank between words
+    chars = np.concatenate(([_BLANK], np.where(_letters()[chars], chars, _BLANK), [_BLANK])).astype(np.int64)
+    chars = chars[(chars != _BLANK) | np.append(True, chars[:-1] != _BLANK)]  # one blank between words
     if len(chars) < 3:
         return np.empty(0, np.int64)
-    one = chars[chars > 0]
+    one = chars[chars != _BLANK]
     two = (chars[:-1] << _BITS) | chars[1:]
-    three = ((chars[:-2] << _BITS | chars[1:-1]) << _BITS | chars[2:])[chars[1:-1] > 0]
+    three = ((chars[:-2] << _BITS | chars[1:-1]) << _BITS | chars[2:])[chars[1:-1] != _BLANK]
     return np.concatenate((one, two, three))
 
 

@@ -1,10 +1,13 @@
+import math
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.llm.queries import op10_multiple_instance, table
-from corpusmill.llm.toxicity import score_text, toxicity, train, with_labels
+from corpusmill.llm.toxicity import fit, score_text, toxicity, train, with_labels
 
 SF = "/root/testdata/sf0.1"
 
@@ -42,6 +45,45 @@ def test_noisy_or_of_sentences():
     assert score_text("", model) == (pytest.approx(0.1), [])
 
 
+def likelihood(x, docs, y, silent):
+    """Mean log-likelihood of documents under the noisy-or, document by document; x: weights, bias, leak's log odds."""
+    leak = 1 / (1 + math.exp(-x[-1]))
+    total = silent[0] * math.log(1 - leak) + silent[1] * math.log(leak)
+    for bags, label in zip(docs, y, strict=True):
+        clean = 1 - leak
+        for bag in bags:
+            clean *= 1 - 1 / (1 + math.exp(-(x[-2] + sum(x[w] for w in bag))))
+        total += math.log(1 - clean) if label else math.log(clean)
+    return total / (len(docs) + sum(silent))
+
+
+def test_the_fit_is_the_likelihoods_maximum():
+    """Nothing near the fitted numbers is likelier, by a plain count of the documents."""
+    r = random.Random(2)
+    docs = [[sorted(r.sample(range(4), r.randrange(1, 4))) for _ in range(r.randrange(1, 5))] for _ in range(150)]
+    y = [int(any((0 in bag) or (r.random() < 0.15) for bag in bags) and r.random() < 0.9) for bags in docs]
+    silent = [40, 3]
+    model = fit(docs, np.array(y, float), silent, list("abcd"), steps=3000, decay=0.0)
+    x = [*(model["weights"][w] for w in "abcd"), model["bias"], math.log(model["leak"] / (1 - model["leak"]))]
+    best = likelihood(x, docs, y, silent)
+    for k in range(len(x)):
+        for step in (0.2, -0.2):
+            assert likelihood([v + step * (i == k) for i, v in enumerate(x)], docs, y, silent) < best + 1e-5
+
+
+def test_scores_of_a_whole_table_against_plain_python(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.001", t) for t in ("documents", "labels"))
+    model = train(with_labels(docs, labels, F.expr("true")))
+    for r in toxicity(docs.select("doc_id", "text"), model).collect():
+        clean = 1 - model["leak"]
+        for piece in re.split(r"[.!?\n。！？]+", r["text"] or ""):
+            words = set(re.findall(r"\w+", piece.lower()))
+            known = [w for w in words | {w[:5] + "-" for w in words if len(w) > 5} if w in model["weights"]]
+            if known:
+                clean *= 1 - 1 / (1 + math.exp(-(model["bias"] + sum(model["weights"][w] for w in known))))
+        assert r["tox"]["score"] == pytest.approx(1 - clean, abs=1e-9)
+
+
 def test_held_out_accuracy(spark):
     found = op10_multiple_instance(spark, SF).join(table(spark, SF, "labels").select("doc_id", "toxic"), "doc_id").where("held_out")
     n, right, caught, toxic = found.agg(
