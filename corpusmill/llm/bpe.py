@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import fresh
 
 #: Entries of a worker's tables, after which they are begun anew; what they hold can always be made again.
-STATES = 150_000
-WORDS = 100_000
+STATES = 180_000
+WORDS = 120_000
 #: Longer words are not kept in the table of words.
 LONG_WORD = 100
 SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -256,18 +256,22 @@ class Encoder:
     def word(self, word: str) -> tuple[int, ...]:
         ids = self.words.get(word) or self.words.recalled(word)
         if ids is None:
-            raw = word.encode()
-            ids = tuple(self.automaton.tokens((*raw[:-1], raw[-1] + 256)))
+            ids = self._read(word)
             if len(word) <= LONG_WORD:
                 self.words.keep(word, ids)
         return ids
 
+    def _read(self, word: str) -> tuple[int, ...]:
+        raw = word.encode()
+        return tuple(self.automaton.tokens((*raw[:-1], raw[-1] + 256)))
+
     def run(self, run: str) -> tuple[int, ...]:
         """Ids of a text without white space: no word and no composed character reaches over white space."""
         ids = self.runs.recalled(run)
         if ids is None:
             words = self.words_of(run)
-            ids = self.word(words[0]) if len(words) == 1 else tuple(i for w in words for i in self.word(w))
+            # A run that is a word is kept once, as a run.
+            ids = self._read(run) if words == [run] else tuple(i for w in words for i in self.word(w))
             if len(run) <= LONG_WORD:
                 self.runs.keep(run, ids)
         return ids
