@@ -281,3 +281,20 @@ def test_one_very_large_file(spark, files):
     assert [tuple(r) for r in rows] == [(5_000, 39_999, 25_000)]
     (t,) = d.types.collect()
     assert (t["name"], t["start_line"], t["end_line"]) == ("Vast", 1, 40_002)
+
+
+def test_no_statement_is_read_again_for_a_filter(files):
+    from corpusmill.operators import declarations as D
+
+    for table in D.declarations(files(("a/A.java", "class A { int n; void f() { } }"))):
+        # Java and Go tell fields, each at one place.
+        assert table._jdf.queryExecution().optimizedPlan().toString().count("THEN field") <= 2
+
+
+def test_heads_that_open_nothing_are_not_blanked_for_the_stack(files):
+    from corpusmill.operators import declarations as D, statements as st
+
+    code = "package a;\nclass A {\n  void f() { g('}'); /* class */ }\n}\n"
+    kinds = {"go": {}}
+    heads = st.statements(files(("a/A.java", code)), D.IS_TYPE, kinds, {"go": D._go_key}).first()["heads"]
+    assert [h for h in heads if h is not None] == ["package a;", "class A {"]
