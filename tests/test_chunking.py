@@ -133,3 +133,23 @@ def test_numbering_and_prefix_sums(spark):
     for i in range(500):
         total += i % 5
         assert sums[f"k{i:04}"] == total
+
+
+def test_lines_are_counted_once_for_all_pieces(files):
+    from corpusmill.functions.tokens import WORD_SYMBOL_PATTERN
+    from corpusmill.operators import chunking, declarations
+    from corpusmill.options import Options
+
+    table = files(("a/A.java", "class A {\n  void f() {\n    go(1, 2);\n  }\n\n  void g() { }\n}\n \n"))
+    o = Options(max_tokens=6)
+    spans = declarations.file_spans(table)
+    chunks = chunking.cut(table.join(spans, "relative_path"), o)
+    assert chunks._jdf.queryExecution().optimizedPlan().toString().count(WORD_SYMBOL_PATTERN) == 1
+    for c in chunks.collect():
+        assert c["token_count"] == sum(max(1, n) for n in _counts(c)) or c["token_count"] == sum(_counts(c))
+
+
+def _counts(chunk):
+    import re
+
+    return [len(re.findall(r"[^\W\d_]+|\d+|[^\s\w]|_", x)) for x in chunk["content"].split("\n")]
