@@ -106,3 +106,12 @@ def test_line_count_names_and_visibility(spark):
     assert names.select(texts.class_names(F.col("t"), F.col("l"))).first()[0] == ["A", "B", "D", "E"]
     vis = spark.createDataFrame([(["private"], "a", False), (["public"], "_a", True), ([], "_a", False), ([], "a", True)], "m array<string>, n string, e boolean")
     assert all(r[0] == r[1] for r in vis.select("e", texts.is_public(F.col("m"), F.col("n"))).collect())
+
+
+def test_cleaning_trims_a_text_once(spark):
+    """The branches of clean_text share the trimmed text; the whole job spent most of its routing on making it again."""
+    df = spark.createDataFrame([("a \nb\n\n\n\n\nc \n",), ("\n\n\n",), ("",), (None,)], "t string")
+    cleaned = df.select(texts.clean_text(F.col("t")).alias("t"))
+    plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(?=\n|\z)") == 1
+    assert [r.t for r in cleaned.collect()] == ["a\nb\n\n\nc\n", "\n", "", None]
