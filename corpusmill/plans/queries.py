@@ -641,7 +641,9 @@ def repeated_paths(spark, sf):
     small = chunking.whole_file_chunks(kept, o)
     batches = chunking.batched(pipeline.written(small, "small"), None, o)
     members = batches.select(F.explode("source_files").alias("relative_path"), "members", F.size("source_files").alias("paths"))
-    return members.join(kept, "relative_path").select("relative_path", (F.col("members") == F.col("paths")).alias("once"), F.sha2("content", 256).alias("sha"))
+    # Hashed before the join, so that no text is sorted for it.
+    hashed = kept.select("relative_path", F.sha2("content", 256).alias("sha"))
+    return members.join(hashed, "relative_path").select("relative_path", (F.col("members") == F.col("paths")).alias("once"), "sha")
 
 
 @query

@@ -73,24 +73,39 @@ def valid_text(files: DataFrame) -> DataFrame:
 
 #: Repeated paths are sent to every task up to so many, and joined by a shuffle beyond.
 BROADCAST_PATHS = 100_000
+#: Bytes of texts under repeated paths for which one task is made.
+TASK_BYTES = 32 << 20
 
 
 def distinct_paths(files: DataFrame) -> DataFrame:
     """One row for each path: of several the one with the smallest hash of its text, whatever order they come in.
 
     The paths alone tell which of them repeat; that is counted here, once. Only the rows of those are shuffled with their
-    texts, the others pass by.
+    texts, the others pass by. Their bytes tell to how many tasks they are dealt, so that a task sorts about TASK_BYTES
+    however many there are; a path with more than that is first reduced where its rows are read.
     """
     row, order = F.struct(*files.columns), F.struct(F.sha2("content", 256), F.struct(*[c for c in files.columns if c != "content"]))
-    repeated = cut_lineage(files.groupBy("relative_path").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("relative_path"))
-    some = repeated.limit(BROADCAST_PATHS + 1).count()
+    size = F.col("size_bytes") if "size_bytes" in files.columns else F.octet_length("content")
+    counted = files.groupBy("relative_path").agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum(size), F.lit(0)).alias("_bytes"))
+    repeated = cut_lineage(counted.filter("_n > 1").select("relative_path", (F.col("_bytes") > TASK_BYTES).alias("_heavy"), "_bytes"))
+    some, total, heavy = repeated.agg(F.count(F.lit(1)), F.sum("_bytes"), F.count_if("_heavy")).first()
     if some == 0:
         return files
-    named = repeated.withColumnRenamed("relative_path", "_repeated")
+    named = repeated.select(F.col("relative_path").alias("_repeated"), "_heavy")
     known = F.broadcast(named) if some <= BROADCAST_PATHS else named
     same = F.col("relative_path").eqNullSafe(F.col("_repeated"))
-    once, many = files.join(known, same, "left_anti"), files.join(known, same, "left_semi")
-    return once.unionByName(many.groupBy("relative_path").agg(F.min_by(row, order).alias("_row")).select("_row.*"))
+    spark = files.sparkSession
+    tasks = -(-total // TASK_BYTES)
+
+    def reduced(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("relative_path").agg(F.min_by(row, order).alias("_row")).select("_row.*")
+
+    once = files.join(known, same, "left_anti")
+    many = files.join(known, same).select(*files.columns, "_heavy")
+    light = many.filter(~F.col("_heavy")).select(*files.columns)
+    more = tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = once.unionByName(reduced(light.repartition(tasks, "relative_path") if more else light))
+    return out.unionByName(reduced(many.filter("_heavy").select(*files.columns))) if heavy else out
 
 
 def ordered(files: DataFrame) -> DataFrame:

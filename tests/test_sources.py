@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -77,3 +78,19 @@ def test_paths_that_repeat_are_one_file(spark, files):
     df = files(("a.py", "x = 1"), ("a.py", "y = 2"), ("a.py", "x = 1"), ("b.py", "z = 3"))
     kept = [sorted((r.relative_path, r.content) for r in fs.usable(d, Options()).collect()) for d in (df, df.repartition(4), df.orderBy(F.desc("content")))]
     assert len(kept[0]) == 2 and kept[0] == kept[1] == kept[2]
+
+
+def test_repeated_paths_are_dealt_to_tasks_by_their_bytes(spark, monkeypatch):
+    """More bytes under repeated paths make more tasks, and a path with more than a task's bytes is right as well."""
+    monkeypatch.setattr(fs, "TASK_BYTES", 400)
+    rows = [(f"p{k % 60}", f"text {k // 60} of {k % 60} " + "x" * 20) for k in range(180)]
+    rows += [("heavy", f"heavy {k} " + "y" * 50) for k in range(40)] + [(None, "a"), (None, "b"), ("single", "s"), ("equal", "e"), ("equal", "e")]
+    df = spark.createDataFrame(rows, "relative_path string, content string").withColumn("size_bytes", F.octet_length("content"))
+    out = fs.distinct_paths(df)
+    best = {}
+    for p, t in rows:
+        key = hashlib.sha256(t.encode()).hexdigest()
+        best[p] = min(best.get(p, (key, t)), (key, t))
+    assert sorted((r.relative_path or "", r.content) for r in out.collect()) == sorted((p or "", t) for p, (_, t) in best.items())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [relative_path#" in plan
