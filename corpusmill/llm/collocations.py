@@ -6,7 +6,8 @@ the prefixes of length m of the windows are just the phrases of m words. No shor
 
 Most windows are rare, so they are padded from where they cannot count any more: a block of texts asks the owners of
 hash ranges which of its prefixes occur often enough in all blocks together, in packed arrays of a few bytes for each,
-and gets a bit for each. A prefix that shares its hash with another may stay in; it is counted exactly later.
+and gets a bit for each. A prefix that shares its hash with another may stay in; it is counted exactly later. Windows
+move in the same way: packed texts of a block, each to the one owner that sums it.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +28,9 @@ ORDER = 4
 COLUMNS = [f"w{k}" for k in range(1, ORDER + 1)]
 #: Bytes of text for which one range of hashes is made.
 RANGE_BYTES = 8 << 20
+#: Bits of a prefix's place in its range. A range of RANGE_BYTES has some 3 million prefixes, so that few share a place;
+#: more bits would only move more bytes.
+PLACE_BITS = 24
 #: Best phrases of a group are chosen among those of so many parts.
 PARTS = 64
 
@@ -33,6 +38,7 @@ _BREAK = b"."
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _SMALL = bytes.maketrans(bytes(range(65, 91)) + _ENDS, bytes(range(97, 123)) + _BREAK * len(_ENDS))
 ROWS = "bucket int, block string, blob binary"
+PACKED = "bucket int, counts binary, lines binary"
 WINDOWS = "group_key long, w1 string, w2 string, w3 string, w4 string, n long"
 
 
@@ -101,12 +107,13 @@ class _Prefixes:
         return depth
 
 
-def _ask(owners: int):
+def _ask(owners: int, bits: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for row in each(f):
                 c = _Prefixes(row)
                 bucket, places = bucket_of(c.hashes, owners)
+                places = (places >> np.uint64(40 - bits)).astype("<u4")
                 counts = c.counts.astype("<u4")
                 out = [(b, row.block, squeezed(steps(places[x:y]), counts[x:y])) for b, x, y in slices(bucket)]
                 yield pd.DataFrame(out, columns=["bucket", "block", "blob"])
@@ -117,7 +124,7 @@ def _ask(owners: int):
 def _tell(at_least: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         """A bit for each prefix that a range was asked about: whether all blocks together have it often enough."""
-        parts = [spread(b, "<u8", "<u4") for b in frame["blob"]]
+        parts = [spread(b, "<u4", "<u4") for b in frame["blob"]]
         places = np.concatenate([from_steps(p) for p, _ in parts])
         _, of = np.unique(places, return_inverse=True)
         often = np.bincount(of, np.concatenate([n for _, n in parts]))[of] >= at_least
@@ -133,23 +140,53 @@ def _told(answers: pd.DataFrame) -> np.ndarray:
     return np.concatenate(bits).astype(bool) if bits else np.empty(0, bool)
 
 
-def _led(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-    """Windows of a block with their numbers."""
-    out = []
-    for row in each(block):
-        c = _Prefixes(row)
-        if not len(c.at):
-            continue
-        depth = c.depth(_told(answers))
-        columns = [np.where(depth > k, c.ids[np.minimum(c.at + k, len(c.ids) - 1)], -1) for k in range(ORDER)]
-        group = c.group[c.ids[c.at]]
-        _, code = np.unique(group, return_inverse=True)
-        for w in columns:  # numbers stay below places x words of the block
-            code = np.unique(code, return_inverse=True)[1] * (len(c.words) + 1) + w + 1
-        _, first, counts = np.unique(code, return_index=True, return_counts=True)
-        names = np.array([w.decode("utf-8", "replace") for w in c.words] + [None], object)
-        out.append(pd.DataFrame({"group_key": group[first], **{name: names[w[first]] for name, w in zip(COLUMNS, columns, strict=True)}, "n": counts}))
-    return pd.concat(out) if out else pd.DataFrame(columns=["group_key", *COLUMNS, "n"])
+def _led(owners: int):
+    def run(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        """Windows of a block with their numbers, packed by owner: one line for each, its words parted by a blank."""
+        out = []
+        for row in each(block):
+            c = _Prefixes(row)
+            if not len(c.at):
+                continue
+            depth = c.depth(_told(answers))
+            columns = [np.where(depth > k, c.ids[np.minimum(c.at + k, len(c.ids) - 1)], -1) for k in range(ORDER)]
+            group = c.group[c.ids[c.at]]
+            _, code = np.unique(group, return_inverse=True)
+            for w in columns:  # numbers stay below places x words of the block
+                code = np.unique(code, return_inverse=True)[1] * (len(c.words) + 1) + w + 1
+            _, first, counts = np.unique(code, return_index=True, return_counts=True)
+            keys, depth = group[first], depth[first].tolist()
+            words = zip(*(w[first].tolist() for w in columns), strict=True)
+            lines = [b" ".join([c.words[i] for i in ids[:d]]) for ids, d in zip(words, depth, strict=True)]
+            seeds = keys.view(np.uint64).tolist()
+            bucket = np.array([xxhash.xxh3_64_intdigest(x, seed) % owners for x, seed in zip(lines, seeds, strict=True)], np.int64)
+            order = np.argsort(bucket, kind="stable")
+            for b, x, y in slices(bucket[order]):
+                of = order[x:y]
+                out.append((b, squeezed(keys[of], counts[of].astype("<u4")), _pressed(b"\n".join([lines[i] for i in of.tolist()]))))
+        return pd.DataFrame(out, columns=["bucket", "counts", "lines"])
+
+    return run
+
+
+def _pressed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _summed(frame: pd.DataFrame) -> pd.DataFrame:
+    """Each window that an owner was sent, once, with its number in all blocks."""
+    total: dict[tuple[int, bytes], int] = {}
+    for blob, pressed in zip(frame["counts"], frame["lines"], strict=True):
+        keys, counts = spread(blob, "<i8", "<u4")
+        raw = pa.decompress(pressed[8:], decompressed_size=int.from_bytes(pressed[:8], "little"), codec="zstd", asbytes=True)
+        for window, n in zip(zip(keys.tolist(), raw.split(b"\n"), strict=True), counts.tolist(), strict=True):
+            total[window] = total.get(window, 0) + n
+    none = [None] * ORDER
+    words = [[*x.decode("utf-8", "replace").split(" "), *none][:ORDER] if x else none for _, x in total]
+    out = pd.DataFrame(words, columns=COLUMNS, dtype=object)
+    out.insert(0, "group_key", np.fromiter((key for key, _ in total), np.int64, len(total)))
+    out["n"] = np.fromiter(total.values(), np.int64, len(total))
+    return out
 
 
 # --- on tables ----------------------------------------------------------------------------------
@@ -166,18 +203,18 @@ def grouped(docs: DataFrame, text: str, group: str) -> tuple[DataFrame, DataFram
 
 def windows(held: DataFrame, at_least: int, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(group_key, w1..w4, n): windows that begin at a word of the blocks' texts, padded with nulls from where their first
-    words occur less than ``at_least`` times in the group; equal windows of a block are one row."""
+    words occur less than ``at_least`` times in the group; equal windows are one row."""
     total = held.agg(F.sum("size")).first()[0] or 0
-    asked = held.mapInPandas(_ask(max(1, -(-total // range_bytes))), ROWS)
+    owners = max(1, -(-total // range_bytes))
+    asked = held.mapInPandas(_ask(owners, PLACE_BITS), ROWS)
     told = asked.groupBy("bucket").applyInPandas(_tell(at_least), ROWS)
-    return held.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_led, WINDOWS)
+    packed = held.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_led(owners), PACKED)
+    return packed.groupBy("bucket").applyInPandas(_summed, WINDOWS)
 
 
 def phrase_counts(wins: DataFrame, at_least: int) -> DataFrame:
     """(group_key, m, phrase, f) of phrases of m words found ``at_least`` times; the row of m = 0 has all words of a group."""
-    # Each window of the corpus once, so that the levels are made of distinct ones.
-    distinct = wins.groupBy("group_key", *COLUMNS).agg(F.sum("n").alias("n"))
-    sums = distinct.rollup("group_key", *COLUMNS).agg(F.sum("n").alias("f"), F.grouping_id().alias("left"))
+    sums = wins.rollup("group_key", *COLUMNS).agg(F.sum("n").alias("f"), F.grouping_id().alias("left"))
     # The columns that a level summed over are the set low bits of ``left``.
     m = F.lit(ORDER) - F.length(F.regexp_replace(F.bin("left"), "0", ""))
     of_words = F.array_compact(F.array(*COLUMNS))

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from corpusmill.llm import blocks
+from corpusmill.llm import collocations as collocations_module
 from corpusmill.llm.collocations import best_of, candidates, collocations, grouped, not_inside, phrase_counts, scored, windows
 
 
@@ -85,6 +86,28 @@ def test_windows_are_padded_from_what_is_rare(table):
     assert [r["group"] for r in names.collect()] == ["en"]
 
 
+@pytest.mark.parametrize("bits", [24, 3])
+def test_windows_of_many_blocks_are_one_row_each(table, bits, monkeypatch):
+    """Also where most prefixes share their places: what stays in too long is counted exactly."""
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(collocations_module, "PLACE_BITS", bits)
+    rows = texts(7, 200)
+    held, _ = grouped(table(rows), "text", "lang")
+    wins = windows(held, 5, range_bytes=500).collect()
+    assert held.count() > 3 and len({r[:5] for r in wins}) == len(wins)
+    f, n = brute_counts(rows)
+    assert sum(r["n"] for r in wins) == sum(n.values())
+    assert found(table(rows), at_least=5, k=2_000, range_bytes=500) == brute(rows, 5, 2_000)
+
+
+def test_a_prefix_moves_as_two_bytes(table):
+    """A place has PLACE_BITS bits, so that a block's questions are a fraction of its text."""
+    r = random.Random(3)
+    held, _ = grouped(table([(" ".join(f"w{r.randrange(10**6)}" for _ in range(100_000)), "en")]), "text", "lang")
+    asked = held.mapInPandas(collocations_module._ask(1, collocations_module.PLACE_BITS), collocations_module.ROWS).collect()
+    assert sum(len(x["blob"]) for x in asked) < 2 * 400_000
+
+
 def test_products_beyond_64_bits(spark):
     a = 9 * 10**18
     counts = spark.createDataFrame(
