@@ -1,10 +1,10 @@
 """Line deduplication by pairwise alignment.
 
 Documents meet by hashes of runs of lines: the shortest runs with words enough to go, which are far rarer than single
-lines. A document is aligned with the earliest holder of each of its runs, by patience diff: lines that are unique in
+lines. A document is aligned with the earlier holders of its runs, by patience diff: lines that are unique in
 both and lie in the same order anchor the alignment, runs of equal lines grow from them, and the gaps between are aligned
-in the same way. Aligned runs go from the later document. The rule is the same however many documents hold a run, and
-the pairs are at most as many as the runs.
+in the same way. Aligned runs go from the later document. What goes is what goes beside any earlier holder, however many
+there are; the earliest comes first, and others only for runs of which a line stays.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import as_bytes, fresh, written
@@ -85,17 +85,21 @@ def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _runs(min_words: int):
     """Each text's shortest runs with ``min_words`` words, from each line on and up to each line, by hash, each once.
 
-    Every longer run is covered by those within it.
+    Every longer run is covered by those within it. Of texts with lines that are ``gone``, only runs of which a line stays.
     """
     least = max(1, min_words)
 
-    def of_text(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    def of_text(hashes: np.ndarray, words: np.ndarray, gone: np.ndarray | None = None) -> np.ndarray:
         n = len(words)
         sums = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
         lo = np.append(np.arange(n), np.searchsorted(sums, sums[1:] - least, "right") - 1)
         hi = np.append(np.searchsorted(sums, sums[:-1] + least) - 1, np.arange(n))
         inside = (lo >= 0) & (hi < n)
         lo, hi = lo[inside], hi[inside]
+        if gone is not None:
+            left = np.concatenate(([0], np.cumsum(~gone)))
+            stays = left[hi + 1] > left[lo]
+            lo, hi = lo[stays], hi[stays]
         line, h, k = hashes.astype(np.int64).view(np.uint64), np.zeros(len(lo), np.uint64), 0
         left = np.arange(len(lo))
         while len(left):
@@ -108,7 +112,11 @@ def _runs(min_words: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [of_text(h, w) for h, w in zip(b["hashes"], b["words"], strict=True)]
+            of = zip(b["hashes"], b["words"], strict=True)
+            if "gone" in b:
+                found = [of_text(h, w, np.isin(at, g)) for (h, w), at, g in zip(of, b["at"], b["gone"], strict=True)]
+            else:
+                found = [of_text(h, w) for h, w in of]
             places = np.repeat(b["place"].to_numpy(), [len(f) for f in found])
             yield pd.DataFrame({"place": places, "hash": np.concatenate(found) if found else np.empty(0, np.int64)})
 
@@ -134,6 +142,65 @@ def _aligned(min_words: int):
     return run
 
 
+def _removals(texts: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
+    """(place, gone): lines of each later text that are aligned with the earlier one, for each pair that has some."""
+    mine = texts.select(F.col("place").alias("later"), "at", "hashes", "words")
+    others = texts.select(F.col("place").alias("earlier"), F.col("hashes").alias("others"))
+    aligned = pairs.join(others, "earlier").join(mine, "later").select("later", "at", "hashes", "words", "others")
+    return aligned.mapInPandas(_aligned(min_words), "place long, gone array<int>")
+
+
+def _open_runs(texts: DataFrame, runs: DataFrame, places: DataFrame, gone: DataFrame, min_words: int) -> DataFrame:
+    """(later, hash) of the runs in texts of ``places`` that an earlier text has and of which a line stays."""
+    lost = gone.groupBy("place").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    partly = texts.join(places, "place").join(lost, "place", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    staying = partly.select("place", "at", "hashes", "words", "gone").mapInPandas(_runs(min_words), "place long, hash long")
+    first = runs.groupBy("hash").agg(F.min("place").alias("first"))
+    return staying.join(first, "hash").where(F.col("first") < F.col("place")).select(F.col("place").alias("later"), "hash")
+
+
+def _partners(texts: DataFrame, holders: DataFrame) -> DataFrame:
+    """(hash, shared, earlier): the holders of each run, one for all that other texts align with alike, and their number
+    of shared lines.
+
+    They are told apart by the lines that a second holder has too, in order, and by where others stand between: no text
+    can align with anything else of theirs. The first of them stands for all.
+    """
+    lines = texts.join(holders.select("place").distinct(), "place").select("place", F.size("hashes").alias("n"), F.posexplode("hashes").alias("i", "line"))
+    both = lines.groupBy("line").agg(F.min("place").alias("_a"), F.max("place").alias("_b")).where("_a < _b").select("line")
+    of_text = lines.join(both, "line").groupBy("place").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "line"))).alias("s"))
+    before = lambda k: F.when(k > 0, F.get("s", k - 1)["i"]).otherwise(-1)
+    marks = F.transform("s", lambda x, k: F.concat(F.when(x["i"] > before(k) + 1, "~").otherwise(""), x["line"].cast("string")))
+    end = F.when(F.element_at("s", -1)["i"] < F.col("n") - 1, "~").otherwise("")
+    kinds = of_text.select("place", F.size("s").alias("shared"), F.md5(F.concat(F.array_join(marks, ","), end)).alias("kind"))
+    first = kinds.groupBy("kind").agg(F.min("place").alias("earlier"))
+    return holders.join(kinds.join(first, "kind"), "place").select("hash", "shared", "earlier").distinct()
+
+
+def _simplest(open_runs: DataFrame, partners: DataFrame) -> DataFrame:
+    """(later, earlier): for each open run the earlier holder with fewest shared lines, which cross least."""
+    asks = open_runs.select("hash", F.col("later").alias("place"), F.lit(None).cast("struct<shared:int,earlier:bigint>").alias("p"))
+    rows = asks.unionByName(partners.select("hash", F.col("earlier").alias("place"), F.struct("shared", "earlier").alias("p")))
+    before = Window.partitionBy("hash").orderBy("place").rangeBetween(Window.unboundedPreceding, -1)
+    best = rows.withColumn("best", F.min("p").over(before)).where("p is null and best is not null")
+    return best.select(F.col("place").alias("later"), F.col("best.earlier").alias("earlier")).distinct()
+
+
+def _settled(texts: DataFrame, runs: DataFrame, pairs: DataFrame, gone: DataFrame, min_words: int) -> DataFrame:
+    """``gone`` of ``pairs``, and of the further pairs that settle each run of which a line stays: with the simplest
+    partner of each first, then with all partners of what still stays."""
+    tried = pairs.select(F.col("later").alias("place")).distinct()
+    open_runs = written(_open_runs(texts, runs, tried, gone, min_words), "line-open-runs")
+    holders = runs.join(open_runs.select("hash").distinct(), "hash").select("place", "hash")
+    partners = written(_partners(texts, written(holders, "line-holders")), "line-partners")
+    second = written(_simplest(open_runs, partners).join(pairs, ["later", "earlier"], "left_anti"), "line-second-pairs")
+    gone = written(gone.unionByName(_removals(texts, second, min_words)), "line-gone-second")
+    left = written(_open_runs(texts, runs, open_runs.select(F.col("later").alias("place")).distinct(), gone, min_words), "line-left-runs")
+    met = left.join(partners, "hash").where(F.col("earlier") < F.col("later")).select("later", "earlier").distinct()
+    third = written(met.join(pairs.unionByName(second), ["later", "earlier"], "left_anti"), "line-third-pairs")
+    return gone.unionByName(_removals(texts, third, min_words))
+
+
 def _without(texts: pd.Series, removed: pd.Series) -> pd.Series:
     """Texts without the lines of these numbers."""
     gone = [set(r.tolist()) for r in removed]
@@ -153,8 +220,8 @@ def without_aligned_lines(
     ``into`` gets an underscore while a column has that name.
 
     Exact copies need no alignment: all lines of a later copy are aligned with the first one's, and only the first
-    takes part, with its weight of one text. Of a group of texts that share a run, each later one is aligned with the
-    earliest, whatever their number; a run that stands in another order than there stays, as patience keeps it.
+    takes part, with its weight of one text. Of a group of texts that share a run, each later one loses what is aligned
+    with any earlier one, whatever their number; a run that patience leaves out beside each of them stays.
     """
     into = fresh(docs, into)
     at = fresh(docs, "_at")
@@ -174,10 +241,8 @@ def without_aligned_lines(
     firsts_of = runs.groupBy("hash").agg(F.min("place").alias("earlier"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     met = runs.join(firsts_of, "hash").where(F.col("earlier") < F.col("place"))
     pairs = written(met.select(F.col("place").alias("later"), "earlier").distinct(), "line-pairs")
-    mine = texts.select(F.col("place").alias("later"), "at", "hashes", "words")
-    others = texts.select(F.col("place").alias("earlier"), F.col("hashes").alias("others"))
-    aligned = pairs.join(others, "earlier").join(mine, "later").select("later", "at", "hashes", "words", "others")
-    gone = aligned.mapInPandas(_aligned(min_words), "place long, gone array<int>").select("place", F.explode("gone").alias("line"))
+    gone = written(_removals(texts, pairs, min_words), "line-gone")
+    gone = _settled(texts, runs, pairs, gone, min_words).select("place", F.explode("gone").alias("line"))
     found = gone.groupBy("place").agg(F.array_sort(F.collect_set("line")).alias("removed")).join(texts.select("place", "key"), "place").select("key", "removed")
 
     # A later copy loses every line that has a word, if they have words enough.

@@ -33,8 +33,8 @@ def runs_of(lines, min_words):
     return out
 
 
-def brute(rows, min_words, all_pairs=False):
-    """Removed lines of each (id, text), every text beside the earliest holder of each of its runs, or beside all earlier ones."""
+def brute(rows, min_words, all_pairs=True):
+    """Removed lines of each (id, text), every text beside all earlier ones that have a run of it, or beside the earliest holder of each run."""
     order = lambda i, t: (i is None, i if i is not None else 0, md5(t.encode()).hexdigest())
     lines = {}
     for i, t in rows:
@@ -118,6 +118,29 @@ def test_the_number_of_holders_changes_nothing(documents, more):
     assert [gone for i, gone, _ in got if i == 2] in ([(0,)], [(1,)])
 
 
+def test_holders_after_the_earliest_take_part(documents):
+    """Two lines cross in the earliest holder; each stands alone in a later one."""
+    x, y = "one two three four five", "six seven eight nine ten"
+    rows = [(1, f"{x}\nmid\n{y}"), (2, f"{x}\nown 2"), (3, f"own 3\n{y}"), (4, f"{y}\nown 4\n{x}")]
+    got = found(documents(rows, 2))
+    assert [gone for i, gone, _ in got if i == 4] == [(0, 2)]
+    assert got == brute(rows, 5) != brute(rows, 5, all_pairs=False)
+
+
+@pytest.mark.parametrize("seed", [2, 4])
+def test_repeated_and_crossing_lines_meet_all_holders(documents, seed):
+    r = random.Random(seed)
+    pool = [" ".join(f"l{k}w{j}" for j in range(r.randrange(3, 8))) for k in range(6)]
+    rows = []
+    for i in range(80):
+        lines = r.choices(pool, k=r.randrange(1, 5))
+        for k in range(r.randrange(3)):
+            lines.insert(r.randrange(len(lines) + 1), f"own {i} {k}")
+        rows.append((i, "\n".join(lines)))
+    got = found(documents(rows, 3))
+    assert got == brute(rows, 5) != brute(rows, 5, all_pairs=False)
+
+
 def test_a_text_of_many_lines(documents):
     shared = [f"shared line number {k} of the two" for k in range(60_000)]
     rows = [(1, "\n".join(shared)), (2, "\n".join(["a head of its own here", *shared, "a tail of its own here"]))]
