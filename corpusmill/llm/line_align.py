@@ -16,13 +16,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import as_bytes, fresh, written
 
 #: Words of a run that is removed at least: shorter common lines are no copy.
 MIN_WORDS = 5
+#: Lines without a partner, in what one text shows of another: no pair needs to know how many or which.
+_GAP = "~"
+#: Texts of a run see its holders by lines that one pair in so many shares.
+_WIDE = 16
 
 
 def _rising(values: list[int]) -> list[int]:
@@ -128,7 +132,8 @@ def _aligned(min_words: int):
         for b in batches:
             out = []
             for key, at, a, words, other in zip(b["later"], b["at"], b["hashes"], b["words"], b["others"], strict=True):
-                pairs, runs = patience(a.tolist(), other.tolist()), []
+                other = [None if x == _GAP else int(x) for x in other.split(",")] if isinstance(other, str) else other.tolist()
+                pairs, runs = patience(a.tolist(), other), []
                 for i, j in pairs:
                     if runs and runs[-1][-1] == (i - 1, j - 1):
                         runs[-1].append((i, j))
@@ -159,6 +164,14 @@ def _open_runs(texts: DataFrame, runs: DataFrame, places: DataFrame, gone: DataF
     return staying.join(first, "hash").where(F.col("first") < F.col("place")).select(F.col("place").alias("later"), "hash")
 
 
+def _shown() -> Column:
+    """The lines ``s`` (i, line) of a text of ``n`` lines, in order, and where others stand between."""
+    before = lambda k: F.when(k > 0, F.get("s", k - 1)["i"]).otherwise(-1)
+    marks = F.transform("s", lambda x, k: F.concat(F.when(x["i"] > before(k) + 1, f"{_GAP},").otherwise(""), x["line"].cast("string")))
+    end = F.when(F.element_at("s", -1)["i"] < F.col("n") - 1, f",{_GAP}").otherwise("")
+    return F.concat(F.array_join(marks, ","), end)
+
+
 def _partners(texts: DataFrame, holders: DataFrame) -> DataFrame:
     """(hash, shared, earlier): the holders of each run, one for all that other texts align with alike, and their number
     of shared lines.
@@ -169,10 +182,7 @@ def _partners(texts: DataFrame, holders: DataFrame) -> DataFrame:
     lines = texts.join(holders.select("place").distinct(), "place").select("place", F.size("hashes").alias("n"), F.posexplode("hashes").alias("i", "line"))
     both = lines.groupBy("line").agg(F.min("place").alias("_a"), F.max("place").alias("_b")).where("_a < _b").select("line")
     of_text = lines.join(both, "line").groupBy("place").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "line"))).alias("s"))
-    before = lambda k: F.when(k > 0, F.get("s", k - 1)["i"]).otherwise(-1)
-    marks = F.transform("s", lambda x, k: F.concat(F.when(x["i"] > before(k) + 1, "~").otherwise(""), x["line"].cast("string")))
-    end = F.when(F.element_at("s", -1)["i"] < F.col("n") - 1, "~").otherwise("")
-    kinds = of_text.select("place", F.size("s").alias("shared"), F.md5(F.concat(F.array_join(marks, ","), end)).alias("kind"))
+    kinds = of_text.select("place", F.size("s").alias("shared"), F.md5(_shown()).alias("kind"))
     first = kinds.groupBy("kind").agg(F.min("place").alias("earlier"))
     return holders.join(kinds.join(first, "kind"), "place").select("hash", "shared", "earlier").distinct()
 
@@ -186,9 +196,52 @@ def _simplest(open_runs: DataFrame, partners: DataFrame) -> DataFrame:
     return best.select(F.col("place").alias("later"), F.col("best.earlier").alias("earlier")).distinct()
 
 
+def _views(texts: DataFrame, left: DataFrame, holders: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """What settles the runs that are ``left`` (later, hash) with their ``holders`` (hash, earlier): (later, view), each
+    what some earlier holders show of themselves to a text, once however many they are; and (hash, later, earlier), the
+    pairs that no view stands for.
+
+    A run's wide lines are those that most pairs of its texts and holders share, its own among them. Of its wide lines
+    a text has some; what a holder shows of these, and where other lines stand between, is all that the text can align
+    with, unless the two share a narrow line. Pairs with a narrow line meet by it. A view counts for a text if more
+    earlier holders show it than those that share a narrow line with the text.
+    """
+    of_texts = texts.join(left.select(F.col("later").alias("place")).distinct(), "place").select(F.col("place").alias("later"), F.explode(F.array_distinct("hashes")).alias("line"))
+    mine = written(left.join(of_texts, "later").select("hash", "later", "line"), "line-asking")
+    lines = texts.join(holders.select(F.col("earlier").alias("place")).distinct(), "place").select(
+        F.col("place").alias("earlier"), F.size("hashes").alias("n"), F.posexplode("hashes").alias("i", "line")
+    )
+    spots = lines.join(mine.select("line").distinct(), "line").groupBy("earlier", "line").agg(F.max("n").alias("n"), F.collect_list("i").alias("spots"))
+    theirs = written(holders.join(spots, "earlier").select("hash", "earlier", "line", "n", "spots"), "line-answering")
+
+    by_line = mine.groupBy("hash", "line").agg(F.count(F.lit(1)).alias("t")).join(theirs.groupBy("hash", "line").agg(F.count(F.lit(1)).alias("e")), ["hash", "line"])
+    of_run = left.groupBy("hash").agg(F.count(F.lit(1)).alias("all_t")).join(holders.groupBy("hash").agg(F.count(F.lit(1)).alias("all_e")), "hash")
+    often = by_line.join(of_run, "hash").where(F.col("t") * F.col("e") * _WIDE >= F.col("all_t") * F.col("all_e"))
+    most = often.groupBy("hash").agg(F.sort_array(F.collect_list(F.struct((F.col("t") * F.col("e")).alias("pairs"), "line")), asc=False).alias("lines"))
+    # A shortest run has min_words lines at most.
+    wide = written(most.select("hash", F.explode(F.slice("lines", 1, max(1, min_words) + 3)).alias("x")).select("hash", "x.line"), "line-wide")
+    narrow = mine.join(wide, ["hash", "line"], "left_anti").join(theirs.join(wide, ["hash", "line"], "left_anti").drop("n", "spots"), ["hash", "line"])
+    further = written(narrow.where(F.col("earlier") < F.col("later")).select("hash", "later", "earlier").distinct(), "line-further-pairs")
+
+    asking = written(mine.join(wide, ["hash", "line"]).groupBy("hash", "later").agg(F.array_sort(F.collect_list("line")).alias("by")), "line-wide-of-texts")
+    sets = asking.select("hash", "by").distinct().select("hash", "by", F.explode("by").alias("line"))
+    shows = sets.join(theirs, ["hash", "line"]).groupBy("hash", "by", "earlier").agg(
+        F.max("n").alias("n"), F.array_sort(F.flatten(F.collect_list(F.transform("spots", lambda i: F.struct(i.alias("i"), F.col("line").alias("line")))))).alias("s")
+    )
+    shows = written(shows.select("hash", "by", "earlier", _shown().alias("view")), "line-shows")
+    # How many earlier holders show a view is a running count; the texts that ask stand among them by their places.
+    asks = asking.join(shows.select("hash", "by", "view").distinct(), ["hash", "by"]).select("hash", "by", "view", F.col("later").alias("place"), F.lit(0).alias("one"))
+    rows = asks.unionByName(shows.select("hash", "by", "view", F.col("earlier").alias("place"), F.lit(1).alias("one")))
+    before = Window.partitionBy("hash", "by", "view").orderBy("place").rangeBetween(Window.unboundedPreceding, -1)
+    counted = rows.withColumn("before", F.sum("one").over(before)).where("one = 0 and before > 0").select("hash", F.col("place").alias("later"), "view", "before")
+    met = further.join(asking, ["hash", "later"]).join(shows, ["hash", "by", "earlier"]).groupBy("hash", "later", "view").agg(F.count(F.lit(1)).alias("met"))
+    sure = counted.join(met, ["hash", "later", "view"], "left").where(F.col("before") > F.coalesce("met", F.lit(0)))
+    return sure.select("later", "view").distinct(), further
+
+
 def _settled(texts: DataFrame, runs: DataFrame, pairs: DataFrame, gone: DataFrame, min_words: int) -> DataFrame:
     """``gone`` of ``pairs``, and of the further pairs that settle each run of which a line stays: with the simplest
-    partner of each first, then with all partners of what still stays."""
+    partner of each first, then with all partners of what still stays: by what these show, and beside each that shows more."""
     tried = pairs.select(F.col("later").alias("place")).distinct()
     open_runs = written(_open_runs(texts, runs, tried, gone, min_words), "line-open-runs")
     holders = runs.join(open_runs.select("hash").distinct(), "hash").select("place", "hash")
@@ -196,7 +249,12 @@ def _settled(texts: DataFrame, runs: DataFrame, pairs: DataFrame, gone: DataFram
     second = written(_simplest(open_runs, partners).join(pairs, ["later", "earlier"], "left_anti"), "line-second-pairs")
     gone = written(gone.unionByName(_removals(texts, second, min_words)), "line-gone-second")
     left = written(_open_runs(texts, runs, open_runs.select(F.col("later").alias("place")).distinct(), gone, min_words), "line-left-runs")
-    met = left.join(partners, "hash").where(F.col("earlier") < F.col("later")).select("later", "earlier").distinct()
+    views, further = _views(texts, left, partners.join(left.select("hash").distinct(), "hash").select("hash", "earlier"), min_words)
+    mine = texts.select(F.col("place").alias("later"), "at", "hashes", "words")
+    aligned = views.join(mine, "later").select("later", "at", "hashes", "words", F.col("view").alias("others"))
+    gone = written(gone.unionByName(aligned.mapInPandas(_aligned(min_words), "place long, gone array<int>")), "line-gone-views")
+    still = _open_runs(texts, runs, left.select(F.col("later").alias("place")).distinct(), gone, min_words)
+    met = further.join(still, ["later", "hash"]).select("later", "earlier").distinct()
     third = written(met.join(pairs.unionByName(second), ["later", "earlier"], "left_anti"), "line-third-pairs")
     return gone.unionByName(_removals(texts, third, min_words))
 

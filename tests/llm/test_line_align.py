@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from corpusmill.llm import line_align
 from corpusmill.llm.line_align import patience, without_aligned_lines
 
 
@@ -164,3 +165,31 @@ def test_what_goes_is_in_an_earlier_text(documents):
                 if len(" ".join(lines[a:b]).split()) >= 5 and any("\n" + "\n".join(lines[a:b]) + "\n" in t for t in earlier):
                     seen |= set(range(a, b))
         assert gone[i] <= seen
+
+
+@pytest.mark.parametrize("wide", [1, 16])
+def test_views_and_pairs_settle_what_all_holders_would(documents, monkeypatch, wide):
+    """Lines that few pairs share part them from the views of others."""
+    monkeypatch.setattr(line_align, "_WIDE", wide)
+    r = random.Random(8)
+    pool = [" ".join(f"l{k}w{j}" for j in range(r.randrange(2, 8))) for k in range(9)]
+    rows = []
+    for i in range(90):
+        lines = r.choices(pool, weights=[9, 6, 3, 1, 1, 1, 1, 1, 1], k=r.randrange(1, 6))
+        for k in range(r.randrange(4)):
+            lines.insert(r.randrange(len(lines) + 1), f"own {i} {k}")
+        rows.append((i, "\n".join(lines)))
+    assert found(documents(rows, 3)) == brute(rows, 5)
+
+
+def test_pairs_do_not_grow_with_the_square_of_a_group(documents, monkeypatch):
+    """A line stands twice in half the texts that hold it, where no earlier one settles it; other lines tell all holders apart."""
+    counts = []
+    removals = line_align._removals
+    monkeypatch.setattr(line_align, "_removals", lambda texts, pairs, *more: counts.append(pairs.count()) or removals(texts, pairs, *more))
+    x = "one two three four five"
+    rows = [(k, f"own {k}\n{x}\nby {k}") for k in range(40)]
+    rows += [(40 + k, f"by {k}\n{x}\nmid {k}\n{x}\nend {k}") for k in range(40)]
+    got = found(documents(rows, 2))
+    assert got == brute(rows, 5)
+    assert sum(counts) < 4 * len(rows)
