@@ -67,3 +67,36 @@ def test_rows_leave_in_pieces(spark, files, monkeypatch):
 def test_a_file_without_text_declares_nothing(spark):
     df = spark.createDataFrame([("a.py", "python", None), ("b.py", None, "class B\n"), ("c.py", "python", "class C: pass\n")], "relative_path string, language string, content string")
     assert sorted(r.name for r in D.declarations(df).types.collect()) == ["B", "C"]
+
+
+@pytest.mark.parametrize("limit", [6, 25, 60])
+def test_cut_by_running_sums_as_by_pieces(files, limit):
+    """The Arrow function beside expressions that measure every piece as a text."""
+    from corpusmill.functions.tokens import TokenMeasure, word_symbol_measure
+    from corpusmill.operators import chunking
+    from corpusmill.options import Options
+
+    by_line = word_symbol_measure()
+    df = files(*odd_files(80, 7), ("t/twice.py", "class A:\n    def f(self): pass\n" * 9), ("t/twice.py", "class A:\n    def g(self): pass\n" * 9))
+    spans = D.file_spans(df)
+    joined = df.join(spans, "relative_path", "left").withColumn("spans", chunking.F.coalesce("spans", chunking.F.expr(chunking.NO_SPANS)))
+    by_sums, by_pieces = (
+        chunking.cut(joined, Options(max_tokens=limit, header_min_tokens=4, measure=m)).select(*chunking.CHUNK_COLUMNS)
+        for m in (by_line, TokenMeasure(by_line.of_text, by_line.of_each))
+    )
+    assert sorted(map(repr, by_sums.collect())) == sorted(map(repr, by_pieces.collect()))
+    assert "MapInArrow" in by_sums._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_packages_are_guessed_as_by_expressions(spark):
+    from corpusmill.functions import texts
+
+    paths = ["a/b.py", "src/x.py", "src/a/x.py", "java/x", "a/java/src/b/c.go", "src/java/x.js", "src/src/a/b", "", "/", "lib//a/b", "x/lib/", "internal/a/pkg/b/c", None]
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select("p", texts.guess_package(D.F.col("p")).alias("g")).collect()
+    assert [(r.p, reading.guess_package(r.p)) for r in got] == [(r.p, r.g) for r in got]
+
+
+def test_spans_as_from_resolved_statements(files):
+    df = files(*odd_files(80, 9))
+    told = lambda d: sorted(map(repr, d.collect()))
+    assert told(D.file_spans(df)) == told(D.spans(D.resolve(D.declaring(df)))) == told(D.spans(D.resolved(df)))
