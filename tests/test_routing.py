@@ -115,3 +115,35 @@ def test_cleaning_trims_a_text_once(spark):
     plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(r"(?=\n|\z)") == 1
     assert [r.t for r in cleaned.collect()] == ["a\nb\n\n\nc\n", "\n", "", None]
+
+
+def test_trimming_is_looked_for_at_line_feeds(spark):
+    """Every blank before a line feed or at the end is found, and a text without one is what it was."""
+    import re
+
+    from corpusmill.functions import texts
+    from pyspark.sql import functions as F
+
+    blanks = "\t\x0b\x0c\r\x1c\x1f \x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000"
+    given = [f"a{x}b\nc" for x in blanks] + [f"a{x}\nb" for x in blanks] + [f"a\nb{x}" for x in blanks] + ["", "\n", " ", " \n", "\n\n\n", "x", "a \n\n\n\n\nb"]
+    df = spark.createDataFrame([(t,) for t in given], "t string")
+    got = {r.t: r.c for r in df.select("t", texts.clean_text(F.col("t")).alias("c")).collect()}
+    for t in given:
+        want = re.sub(rf"[{blanks}]+(?=\n|\Z)", "", t)
+        if "\n\n\n" not in want and want.strip("\n"):
+            assert got[t] == want
+    assert (got["\n\n\n"], got[" \n"], got[" "], got["a \n\n\n\n\nb"]) == ("\n", "\n", "", "a\n\n\nb")
+    plan = df.select(texts.clean_text(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN") >= 2
+
+
+def test_paths_are_counted_without_their_texts(spark, monkeypatch):
+    """Which paths repeat is told by the paths alone."""
+    from corpusmill.sources import files as fs
+
+    counted = []
+    real = fs.cut_lineage
+    monkeypatch.setattr(fs, "cut_lineage", lambda df: counted.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    rows = spark.createDataFrame([("a", "x"), ("b", "y"), ("a", "w")], "relative_path string, content string")
+    assert {(r.relative_path, r.content) for r in fs.distinct_paths(rows).select("relative_path", "content").collect()} <= {("a", "x"), ("a", "w"), ("b", "y")}
+    assert "octet_length" not in counted[0]
